@@ -40,13 +40,6 @@ def _keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(_ALL, F.lit(0)), [_ALL]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join that treats a null key as a value, keeping the left key columns."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -215,6 +208,22 @@ def change_counts(
     )
 
 
+def mark_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """1 for every row of a key but the earliest, with null keys equal to each other.
+
+    The earliest place per key is an aggregate joined back on the key.  A window would
+    sort a hot key in one task; the join lets adaptive execution split it.
+    """
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    d = df.withColumn("__place", place)
+    firsts = d.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    return (
+        null_safe_join(d, firsts, keys)
+        .withColumn(out, (F.col("__place") != F.col("__first")).cast("int"))
+        .drop("__place", "__first")
+    )
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One whole row per key, the earliest by ``order``.
 

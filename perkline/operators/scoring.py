@@ -663,3 +663,66 @@ def savings(spend: DataFrame, offered: DataFrame, catalog: DataFrame, baseline:
 def check_cases(cases: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Pass flag per case from ``actual`` and ``expected``."""
     return cases.withColumn("passed", F.abs(F.col("actual") - F.col("expected")) < tolerance)
+
+
+def online_user_features(purchases: DataFrame, spend: DataFrame, profiles: DataFrame, key: str = "user_id") -> DataFrame:
+    """Feature row per scoring request.
+
+    Uses the population deviation, the upper median, and the share of merchants seen
+    more than once; these differ on purpose from the batch features of the same names.
+    """
+    amount = F.greatest(F.col("amount"), F.lit(0.0))
+    p = purchases.withColumn("__a", amount)
+    base = p.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("__a").alias("total_spending"),
+        F.avg("__a").alias("avg_transaction_amount"),
+        F.stddev_pop("__a").alias("transaction_amount_std"),
+    )
+    upper = ordered.pick_ranks(p, [key], "__a", {"median_transaction_amount": lambda n: F.floor(n / 2)}).drop("n_values")
+    names = F.lower(F.trim("merchant"))
+    merchants = (
+        p.where(names != "").groupBy(key, names.alias("__m")).agg(F.count(F.lit(1)).alias("__k"))
+        .groupBy(key)
+        .agg(
+            F.count(F.lit(1)).alias("num_unique_merchants"),
+            F.sum((F.col("__k") > 1).cast("long")).alias("__repeat"),
+        )
+    )
+    total = spend.groupBy(key).agg(F.sum("amount").alias("__s"), F.count(F.lit(1)).alias("__k"))
+    shares = spend.join(total, key).withColumn("__p", F.col("amount") / F.col("__s"))
+    entropy = shares.groupBy(key).agg(
+        F.sum(-F.col("__p") * F.log2("__p")).alias("__e"), F.max("__k").alias("n_categories")
+    )
+    d = (
+        base.join(upper, key, "left")
+        .join(merchants, key, "left")
+        .join(entropy, key, "left")
+        .join(profiles.select(key, "monthly_spend"), key, "left")
+    )
+    total_col = F.col("total_spending")
+    budget = (
+        F.when(F.col("monthly_spend") > 0, F.col("monthly_spend"))
+        .when(total_col > 0, total_col)
+        .otherwise(F.lit(1000.0))
+    )
+    e = F.coalesce(F.col("__e"), F.lit(0.0))
+    return d.select(
+        key,
+        budget.alias("monthly_budget"),
+        (budget * 12).alias("annual_budget"),
+        F.log1p(budget).alias("monthly_budget_log"),
+        "total_spending",
+        "avg_transaction_amount",
+        "median_transaction_amount",
+        "transaction_amount_std",
+        F.greatest(e, F.lit(0.0)).alias("spending_diversity"),
+        (e / F.log2(F.greatest(F.coalesce(F.col("n_categories"), F.lit(0)), F.lit(2)))).alias("category_affinity_score"),
+        F.coalesce("num_unique_merchants", F.lit(0)).alias("num_unique_merchants"),
+        (F.coalesce("__repeat", F.lit(0)) / F.greatest(F.coalesce("num_unique_merchants", F.lit(0)), F.lit(1))).alias(
+            "repeat_merchant_ratio"
+        ),
+        F.when(F.col("avg_transaction_amount") > 0, F.col("transaction_amount_std") / F.col("avg_transaction_amount"))
+        .otherwise(F.lit(0.0))
+        .alias("spending_velocity"),
+    )

@@ -209,7 +209,7 @@ def text_measures(text: Column) -> Column:
     )
 
 
-def reading_ease(text: Column, min_ease: float = 50.0, max_grade: float = 10.0) -> Column:
+def reading_ease(text: Column, min_ease: float = 50.0, max_grade: float = 10.0, digits: int = 2) -> Column:
     """struct(ease, grade, passed): syllables are vowel runs, a final silent e not counted."""
     w = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9']+)"), F.lit(1))
     n = F.greatest(F.size(w), F.lit(1))
@@ -224,8 +224,8 @@ def reading_ease(text: Column, min_ease: float = 50.0, max_grade: float = 10.0)
     ease = 206.835 - 1.015 * (n / sentences) - 84.6 * (total / n)
     grade = 0.39 * (n / sentences) + 11.8 * (total / n) - 15.59
     return F.struct(
-        F.round(ease, 2).alias("ease"),
-        F.round(grade, 2).alias("grade"),
+        F.round(ease, digits).alias("ease"),
+        F.round(grade, digits).alias("grade"),
         ((ease >= min_ease) & (grade <= max_grade)).alias("passed"),
     )
 

@@ -363,11 +363,11 @@ def map_and_array_rules(t):
       greatest(len(v), 1) AS n2, greatest(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')), 1) AS s2,
       greatest(coalesce(list_sum(list_transform(v, lambda x: greatest(len(regexp_extract_all(lower(x), '[aeiouy]+')) - CASE WHEN lower(x)[-1] = 'e' AND len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END, 1))), 0), 1) AS syl2 FROM w)
    SELECT doc_id, len::INT AS length, nw::INT AS words, round(0.39 * (n / s) + 11.8 * (syl / n) - 15.59, 6) AS grade,
-     round(206.835 - 1.015 * (n2 / s2) - 84.6 * (syl2 / n2), 2) AS ease, round(0.39 * (n2 / s2) + 11.8 * (syl2 / n2) - 15.59, 2) AS grade2,
+     round(206.835 - 1.015 * (n2 / s2) - 84.6 * (syl2 / n2), 6) AS ease, round(0.39 * (n2 / s2) + 11.8 * (syl2 / n2) - 15.59, 6) AS grade2,
      206.835 - 1.015 * (n2 / s2) - 84.6 * (syl2 / n2) >= 50 AND 0.39 * (n2 / s2) + 11.8 * (syl2 / n2) - 15.59 <= 10 AS passed FROM m""",
 )
 def explanation_measures(t):
-    d = t("documents").select("doc_id", text.text_measures(F.col("text")).alias("m"), text.reading_ease(F.col("text")).alias("r"))
+    d = t("documents").select("doc_id", text.text_measures(F.col("text")).alias("m"), text.reading_ease(F.col("text"), digits=6).alias("r"))
     return d.select(
         "doc_id", "m.length", "m.words", F.round("m.grade", 6).alias("grade"), F.col("r.ease").alias("ease"),
         F.col("r.grade").alias("grade2"), F.col("r.passed").alias("passed"),
@@ -378,10 +378,8 @@ def explanation_measures(t):
     "claims_and_quality",
     "TXT3 TXT4 MON9",
     r"""WITH c AS (SELECT p_partkey, 'The ' || p_name || ' earns ' || p_size || 'x and costs $' || p_size * 5 || ' a year' AS s, 'about $' || p_size % 10 || ' back' AS r1, p_size % 20 || 'x at home' AS r2, p_name, p_size, p_partkey % 3 AS pros FROM part),
-   x AS (SELECT *, (CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_size % 20 = p_size AND p_size % 2 = 0 THEN 1 WHEN p_size % 20 = 7 THEN 1 ELSE 0 END)
-       + (CASE WHEN p_size * 5 = 100 OR p_size * 5 = 25 THEN 1 ELSE 0 END) + 0 AS dummy FROM c),
    v AS (SELECT *, CASE WHEN p_size IN (7, p_size // 2 * 2) THEN 1 ELSE 0 END + CASE WHEN p_size % 20 IN (7, p_size // 2 * 2) THEN 1 ELSE 0 END
-        + CASE WHEN p_size * 5 IN (100, 25) THEN 1 ELSE 0 END + CASE WHEN p_size % 10 IN (100, 25) THEN 1 ELSE 0 END AS sup FROM x),
+        + CASE WHEN p_size * 5 IN (100, 25) THEN 1 ELSE 0 END + CASE WHEN p_size % 10 IN (100, 25) THEN 1 ELSE 0 END AS sup FROM c),
    q AS (SELECT *, length(s) + length(r1) + length(r2) <= 60 AS length_ok, true AS relevance_ok, pros = 2 AS pros_cons_ok, p_size <= 25 AND p_size % 20 <= 25 AS guard_ok FROM v)
    SELECT p_partkey, 4 AS total, sup::INT AS supported, round(sup / 4, 6) AS score, sup / 4 >= 0.95 AS passed, length_ok, relevance_ok, pros_cons_ok, guard_ok,
      round((length_ok::INT + relevance_ok::INT + pros_cons_ok::INT + guard_ok::INT) / 4, 3) AS quality_score FROM q""",

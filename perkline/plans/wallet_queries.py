@@ -326,7 +326,7 @@ def profile_purchases(t):
      FROM det d JOIN users u ON u.user_id = d.user_id JOIN cat_cards c ON c.card_id = d.card_id LEFT JOIN af a ON a.user_id = d.user_id AND a.card_id = d.card_id
      LEFT JOIN cat_bonus tb ON tb.card_id = d.card_id AND tb.category = 'travel'),
   r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 7) DESC, annual_fee, card_id) AS k FROM bl)
-  SELECT user_id, card_id, k::INT AS rank, round(score, 8) AS score, round(det, 6) AS deterministic_score FROM r WHERE k <= 3""",
+  SELECT user_id, card_id, k::INT AS rank, round(score, 10) AS score, round(det, 6) AS deterministic_score FROM r WHERE k <= 3""",
     "spend_profile users transactions",
 )
 def profile_scores(t):
@@ -347,7 +347,7 @@ def profile_scores(t):
     d = d.withColumn("score", sc.blend(F.col("reward_amount"), F.lit(1.5), F.coalesce("affinity", F.lit(1.0)), personalised))
     ranked = sc.rank_cards(d.withColumn("s", F.round("score", 7)), ["user_id"], "s").where("rank <= 3")
     return ranked.select(
-        "user_id", "card_id", "rank", F.round("score", 8).alias("score"), F.round("reward_amount", 6).alias("deterministic_score")
+        "user_id", "card_id", "rank", F.round("score", 10).alias("score"), F.round("reward_amount", 6).alias("deterministic_score")
     )
 
 

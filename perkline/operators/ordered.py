@@ -242,3 +242,34 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 def _has_map(df: DataFrame, cols: Sequence[str]) -> bool:
     return any("map<" in df.schema[c].dataType.simpleString() for c in cols)
+
+
+def cumulative(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+    """Running totals of ``sums`` up to and including each value, per key.
+
+    ``counts`` has one row per (key, value).  Adds ``cum_<name>`` and ``all_<name>``.
+    """
+    d, ks = _keys(counts, keys)
+    d = d.withColumn("__b", value_chunk(F.col(value)))
+    local = W.partitionBy(*ks, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    over = W.partitionBy(*ks).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    per = d.groupBy(*ks, "__b").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])
+    per = per.select(
+        *ks,
+        "__b",
+        *[F.coalesce(F.sum(f"__s_{s}").over(over), F.lit(0)).alias(f"__c_{s}") for s in sums],
+        *[F.sum(f"__s_{s}").over(W.partitionBy(*ks)).alias(f"all_{s}") for s in sums],
+    )
+    for s in sums:
+        d = d.withColumn(f"__l_{s}", F.sum(s).over(local))
+    d = null_safe_join(d, per, [*ks, "__b"])
+    for s in sums:
+        d = d.withColumn(f"cum_{s}", F.col(f"__c_{s}") + F.col(f"__l_{s}")).drop(f"__c_{s}", f"__l_{s}")
+    return d.drop("__b", _ALL)
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, rank) with equal values sharing the mean of their positions."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    c = cumulative(counts, [], value, ["__n"])
+    return c.select(value, (F.col("cum___n") - F.col("__n") + (F.col("__n") + 1) / 2).alias(out))

@@ -10,6 +10,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,16 +108,20 @@ def imputed_counts(df: DataFrame) -> DataFrame:
 
 
 def dataset(users: DataFrame, txn_features: DataFrame, target: str = TARGET) -> tuple[DataFrame, list[str]]:
-    """Joined, imputed and derived frame with its feature columns as doubles."""
-    d = derived(impute(join_users(users, txn_features)))
+    """Joined, imputed and derived frame with its feature columns as doubles.
+
+    The joined frame, one row per user, is persisted: the medians and every training
+    pass read it again, and the aggregation over all transactions should run once.
+    A lost executor recomputes its part.
+    """
+    joined = join_users(users, txn_features).persist(StorageLevel.MEMORY_AND_DISK)
+    d = derived(impute(joined))
     if target not in d.columns:
         raise ValueError(f"target column {target} is missing after the join")
     cols = feature_columns(d)
     if not cols:
         raise ValueError("no feature columns")
-    for c in [*cols, target]:
-        d = d.withColumn(c, F.col(c).cast("double"))
-    return d, cols
+    return d.withColumns({c: F.col(c).cast("double") for c in [*cols, target]}), cols
 
 
 def strata(df: DataFrame, target: str, bins: int = 4, discrete: bool | None = None) -> DataFrame:
@@ -194,14 +199,15 @@ def candidates(target: str, trees: int = 100, rounds: int = 100, seed: int = 42)
 
 def train_all(train: DataFrame, val: DataFrame, columns: Sequence[str], target: str, models: Mapping[str, object]) -> tuple[DataFrame, dict]:
     """Fit every candidate and the mean baseline; leaderboard by validation RMSE."""
+    train, val = train.persist(StorageLevel.MEMORY_AND_DISK), val.persist(StorageLevel.MEMORY_AND_DISK)
     fitted: dict = {"mean_baseline": mean_baseline(train, target)}
     for name, est in models.items():
         fitted[name] = Pipeline(stages=[assembler(columns), est]).fit(train).transform
-    rows = None
-    for name, predict in fitted.items():
-        r = regression_metrics(predict(val), target, "prediction").withColumn("model", F.lit(name))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows.orderBy("rmse", "model"), fitted
+    scored = [(name, *regression_metrics(predict(val), target, "prediction").first()) for name, predict in fitted.items()]
+    train.unpersist()
+    val.unpersist()
+    board = train.sparkSession.createDataFrame(scored, "model string, n long, rmse double, mae double, r2 double")
+    return board.orderBy("rmse", "model"), fitted
 
 
 def tune(train: DataFrame, columns: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 4, seed: int = 42):

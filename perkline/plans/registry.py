@@ -43,7 +43,7 @@ def query(name: str, covers: str, sql: str | None = None, reads: str = ""):
     return register
 
 
-MODULES = ["scoring_queries", "wallet_queries", "cleaning_queries", "feature_queries", "quality_queries", "fairness_queries", "monitoring_queries", "model_queries"]
+MODULES = ["scoring_queries", "wallet_queries", "cleaning_queries", "feature_queries", "quality_queries", "fairness_queries", "monitoring_queries", "model_queries", "io_queries"]
 
 
 def load_all() -> dict[str, Query]:

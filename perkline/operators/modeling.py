@@ -107,14 +107,21 @@ def imputed_counts(df: DataFrame) -> DataFrame:
     return wide.unpivot([], cols, "column", "filled").where("filled > 0")
 
 
-def dataset(users: DataFrame, txn_features: DataFrame, target: str = TARGET) -> tuple[DataFrame, list[str]]:
-    """Joined, imputed and derived frame with its feature columns as doubles.
+def written(df: DataFrame, folder: str | None) -> DataFrame:
+    """The frame written to a shared folder and read back, or as it is without one.
 
-    The joined frame, one row per user, is persisted: the medians and every training
-    pass read it again, and the aggregation over all transactions should run once.
-    A lost executor recomputes its part.
+    Training reads its frame many times; a written table runs the aggregation over all
+    transactions once, keeps later plans short, and survives a lost executor.
     """
-    joined = join_users(users, txn_features).persist(StorageLevel.MEMORY_AND_DISK)
+    if folder is None:
+        return df
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def dataset(users: DataFrame, txn_features: DataFrame, target: str = TARGET, folder: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Joined, imputed and derived frame with its feature columns as doubles."""
+    joined = written(join_users(users, txn_features), folder)
     d = derived(impute(joined))
     if target not in d.columns:
         raise ValueError(f"target column {target} is missing after the join")

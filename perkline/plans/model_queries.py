@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from perkline.operators import features, modeling, scaling
 from perkline.plans.registry import query
+from perkline.sources import sinks
 
 R = lambda c, n=8: F.round(c, n).alias(c)
 PLAN = scaling.Plan(standard=["monthly_budget"], minmax=["num", "flat"], onehot=["location_type"], label=["archetype"])
@@ -62,10 +63,9 @@ def label_codes(t):
     return out.select("user_id", F.col("archetype").alias("code"), scaling.inverse_label(F.col("archetype"), classes).alias("back"))
 
 
-def _frame(t):
+def _frame(t, folder=None):
     txf = features.user_features(t("transactions"), order=("txn_date", "transaction_id", "tie_break"))
-    d, cols = modeling.dataset(features.profile_features(t("users").drop("ord")), txf)
-    return d, cols
+    return modeling.dataset(features.profile_features(t("users").drop("ord")), txf, folder=folder)
 
 
 @query(
@@ -209,8 +209,10 @@ def classes_kept(t):
 @query("trained_models", "MDL1 MDL2 MDL3 MDL4 MDL6 TOP8")
 def trained_models(t):
     """Leaderboard of the learners on the user feature frame; fits have no SQL form."""
-    d, cols = _frame(t)
-    s = modeling.split(d, modeling.TARGET, "user_id", discrete=False).drop("stratum")
+    base = sinks.work_folder(t("users").sparkSession, "training")
+    d, cols = _frame(t, base + "-frame")
+    s = modeling.split(d, modeling.TARGET, "user_id", discrete=False).select(*cols, modeling.TARGET, "split")
+    s = modeling.written(s, base + "-split")
     models = modeling.candidates(modeling.TARGET, trees=10, rounds=5)
     board, _ = modeling.train_all(s.where("split = 'train'"), s.where("split = 'val'"), cols, modeling.TARGET, models)
     return board.select("model", "n", R("rmse"), R("mae"), R("r2", 6))

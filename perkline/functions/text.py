@@ -189,38 +189,42 @@ def prompt_fingerprint(text: Column) -> Column:
 # ------------------------------------------------------------------- readability
 
 
-def words(text: Column) -> Column:
-    """Whitespace-separated words."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def text_measures(text: Column) -> Column:
-    """struct(length, words, grade): grade counts vowels per word, at least one each."""
-    w = words(text)
-    n = F.greatest(F.size(w), F.lit(1))
-    sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]")), F.lit(1))
-    syllables = F.aggregate(
-        w, F.lit(0), lambda acc, x: acc + F.greatest(F.length(F.regexp_replace(F.lower(x), "[^aeiou]", "")), F.lit(1))
-    )
+    """struct(length, words, grade): grade counts vowels per word, at least one each.
+
+    The syllables of all words add up to the vowels of the text plus one for every
+    word without a vowel, so the text is scanned whole and never cut into words.
+    """
+    low = F.lower(text)
+    words = _count(text, r"\S+")
+    n = F.greatest(words, F.lit(1))
+    sentences = F.greatest(_count(text, r"[.!?]"), F.lit(1))
+    vowels = F.length(low) - F.length(F.translate(low, "aeiou", ""))
+    syllables = vowels + _count(low, r"(?<!\S)[^\saeiou]++(?!\S)")
     return F.struct(
         F.length(text).alias("length"),
-        F.size(w).alias("words"),
+        words.alias("words"),
         (0.39 * (n / sentences) + 11.8 * (syllables / n) - 15.59).alias("grade"),
     )
 
 
 def reading_ease(text: Column, min_ease: float = 50.0, max_grade: float = 10.0, digits: int = 2) -> Column:
-    """struct(ease, grade, passed): syllables are vowel runs, a final silent e not counted."""
-    w = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9']+)"), F.lit(1))
-    n = F.greatest(F.size(w), F.lit(1))
-    sentences = F.greatest(F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")), F.lit(1))
-
-    def syllables(x: Column) -> Column:
-        low = F.lower(x)
-        runs = F.regexp_count(low, F.lit("[aeiouy]+"))
-        return F.greatest(runs - F.when(low.endswith("e") & (runs > 1), 1).otherwise(0), F.lit(1))
-
-    total = F.greatest(F.aggregate(w, F.lit(0), lambda acc, x: acc + syllables(x)), F.lit(1))
+    """struct(ease, grade, passed): syllables are vowel runs, a final silent e not counted.
+
+    Over the whole text that is all vowel runs, less one for each word that ends in e
+    after an earlier run, plus one for each word without a vowel.
+    """
+    low = F.lower(text)
+    word, cons = "[a-z0-9']", "[b-df-hj-np-tv-xz0-9']"
+    n = F.greatest(_count(text, r"[A-Za-z0-9']+"), F.lit(1))
+    sentences = F.greatest(_count(text, r"[^.!?]*[^.!?\s][^.!?]*"), F.lit(1))
+    silent = _count(low, f"(?<!{word}){cons}*+[aeiouy]++{cons}++{word}*+(?<=e)")
+    flat = _count(low, f"(?<!{word}){cons}++(?!{word})")
+    total = F.greatest(_count(low, "[aeiouy]+") - silent + flat, F.lit(1))
     ease = 206.835 - 1.015 * (n / sentences) - 84.6 * (total / n)
     grade = 0.39 * (n / sentences) + 11.8 * (total / n) - 15.59
     return F.struct(

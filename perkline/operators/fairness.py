@@ -48,9 +48,10 @@ def slices(df: DataFrame, columns: Sequence[str], metrics: Sequence[str]) -> Dat
     for m in metrics:
         q = ordered.quantiles(long, keys, m, {f"{m}_median": 0.5}).drop("n_values")
         out = ordered.null_safe_join(out, q, keys, "left")
-    totals = W.partitionBy("slice_column")
-    out = out.withColumn("fraction", F.col("count") / F.sum("count").over(totals))
-    return out.withColumn("imbalance", F.max("count").over(totals) / F.min("count").over(totals))
+    totals = out.groupBy("slice_column").agg(
+        F.sum("count").alias("__t"), (F.max("count") / F.min("count")).alias("imbalance")
+    )
+    return out.join(totals, "slice_column").withColumn("fraction", F.col("count") / F.col("__t")).drop("__t")
 
 
 def quantile_slices(df: DataFrame, column: str, metrics: Sequence[str], n: int = 4) -> DataFrame:

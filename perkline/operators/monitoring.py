@@ -192,10 +192,10 @@ def period_report(requests: DataFrame, start: str, end: str) -> DataFrame:
     """One row for the period; rates from summed flags, percentiles from raw rows."""
     d = requests.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     total = d.agg(*request_aggregates())
-    lat = latency_stats(d.withColumn("__g", F.lit(1)), ["__g"])
-    names = name_sets(d.withColumn("__g", F.lit(1)), ["__g"])
+    lat = latency_stats(d, []).select(F.struct("*")).scalar()
+    names = name_sets(d, []).select(F.struct("*")).scalar()
     days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
-    out = total.withColumn("__g", F.lit(1)).join(lat, "__g", "left").join(names, "__g", "left").drop("__g")
+    out = total.withColumn("__l", lat).withColumn("__n", names).select(*total.columns, "__l.*", "__n.*")
     return out.withColumn("avg_per_day", F.col("request_count") / days)
 
 

@@ -26,8 +26,11 @@ def value_chunk(value: Column, resolution: int = 256) -> Column:
     another, whatever the scale of the data.  There are at most about 380,000 of them.
     """
     size = F.floor(F.log(F.abs(value)) * F.lit(resolution)) + F.lit(_ZERO_AT)
+    edge = F.lit(2 * _ZERO_AT)
     return (
         F.when(value == 0, F.lit(0))
+        .when(value == float("inf"), edge)
+        .when(value == float("-inf"), -edge)
         .when(value > 0, size)
         .otherwise(-size)
         .cast("long")
@@ -65,10 +68,11 @@ def pick_ranks(
     """
     df, keys = _keys(df, groups)
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
+        df.withColumn("__v", F.col(value).cast("double"))
+        .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+        .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__b", value_chunk(F.col("__v")) if resolution == 256 else value_chunk(F.col("__v"), resolution))
+        .withColumn("__b", value_chunk(F.col("__v"), resolution))
     )
     per_bucket = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
     over = W.partitionBy(*keys).orderBy("__b")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perkline.operators import ordered
+
 MISSING = "<MISSING>"
 UNKNOWN = "<UNKNOWN>"
 MAX_CATEGORIES = 10_000
@@ -64,10 +66,10 @@ def fit(df: DataFrame, plan: Plan, dataset: str) -> DataFrame:
             )
         )
         seen = df.select(pairs.alias("p")).select("p.*").distinct()
-        listed = seen.groupBy("column", "method").agg(F.array_sort(F.collect_set("text")).alias("v"))
+        placed = ordered.row_index(seen, ["column", "method"], F.substring("text", 1, 2), [F.col("text")], "i")
         parts.append(
-            listed.select("column", "method", F.posexplode("v").alias("position", "text")).select(
-                F.lit(dataset).alias("dataset"), "column", "method", F.col("position").cast("int").alias("position"), "text",
+            placed.select(
+                F.lit(dataset).alias("dataset"), "column", "method", (F.col("i") - 1).cast("int").alias("position"), "text",
                 F.lit(None).cast("double").alias("num"),
             )
         )

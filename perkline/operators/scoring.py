@@ -388,8 +388,12 @@ def score_card_table(pairs: DataFrame, amount: str = "amount", category: str = "
 
 
 def wallet(user_cards: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Saved cards with their catalogue data; ids missing from the catalogue drop out."""
-    return user_cards.join(catalog, "card_id", "inner")
+    """Saved cards with their catalogue data, each card once per user.
+
+    Ids missing from the catalogue drop out, so a wallet is never longer than the catalogue.
+    """
+    once = user_cards.groupBy("user_id", "card_id").agg(F.min("saved_order").alias("saved_order"))
+    return once.join(catalog, "card_id", "inner")
 
 
 def finder(users: DataFrame, user_cards: DataFrame, cards: Sequence[Card]) -> DataFrame:

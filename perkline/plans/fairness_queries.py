@@ -61,7 +61,7 @@ def _scan_sql(f: str) -> str:
   UNION ALL SELECT {_row('group_metric_difference', f, 'max(d)', 0.2, "'monthly_budget: ' || max_by(g, d)")} FROM (SELECT g, abs(m - o) / greatest(abs(o), 1e-10) AS d FROM (SELECT {f} AS g, avg(monthly_budget) AS m FROM users WHERE {f} IS NOT NULL GROUP BY 1) CROSS JOIN (SELECT avg(monthly_budget) AS o FROM users))"""
 
 
-@query("data_bias_scan", "FAI4 FAI5 FAI6 FAI10 UDF1", " UNION ALL ".join(_scan_sql(f) for f in ["archetype", "age_group", "location_type"]), "users")
+@query("data_bias_scan", "FAI4 FAI5 FAI6 FAI10 UDF1 MAT5 RSH8", " UNION ALL ".join(_scan_sql(f) for f in ["archetype", "age_group", "location_type"]), "users")
 def data_bias_scan(t):
     return fa.data_bias_scan(t("users"), ["archetype", "age_group", "location_type"], ["monthly_budget"]).withColumn("value", F.round("value", 8))
 

@@ -72,7 +72,7 @@ def _model_sql(f: str) -> str:
   UNION ALL SELECT {_row('equalized_odds_difference', f, 'greatest(coalesce(max(tpr) - min(tpr), 0), coalesce(max(fpr) - min(fpr), 0))', 0.1)} FROM g_{f}
   UNION ALL SELECT {_row('accuracy_difference', f, 'max(acc) - min(acc)', 0.1, "''", 'false')} FROM g_{f}
   UNION ALL SELECT {_row('accuracy_ratio', f, 'min(acc) / max(acc)', 0.1, "''", 'false')} FROM g_{f}
-  UNION ALL SELECT {_row('performance_disparity', f, 'max(abs(e - o) / o)', 0.1, "printf('ratio %.4f', max(e) / min(e))")} FROM (SELECT avg(abs(target - score)) AS e, count(*) AS n FROM predictions GROUP BY {f}) CROSS JOIN (SELECT avg(abs(target - score)) AS o FROM predictions) WHERE n >= 10"""
+  UNION ALL SELECT {_row('performance_disparity', f, 'max(abs(e - o) / o)', 0.1, "printf('ratio %.4f', max(e) / min(e))")} FROM (SELECT avg(abs(target - score)) AS e, count(*) AS n FROM predictions GROUP BY {f}) CROSS JOIN (SELECT avg(abs(target - score)) AS o FROM predictions) WHERE n >= 10 HAVING count(*) > 0"""
 
 
 def _group_sql(f: str) -> str:

@@ -366,10 +366,10 @@ def stream_sliding_latency(t):
     "SELECT event_type AS message, user_id % 4 AS severity, 1::BIGINT AS n FROM events GROUP BY 1, 2",
 )
 def stream_alert_dedupe(t):
-    """All rows arrive in one batch here, so each kind of alert is sent once."""
+    """With a quiet time longer than the data each kind of alert is sent once."""
     spark, s = _stream(t, "events")
     s = s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("message"), (F.col("user_id") % 4).alias("severity"))
-    d = _run(spark, streams.dedupe_alerts(s, "ts", quiet="3650 days"), "alerts")
+    d = _run(spark, streams.dedupe_alerts(s, "ts", quiet_seconds=3650 * 86400), "alerts")
     return d.groupBy("message", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 

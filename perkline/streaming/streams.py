@@ -48,9 +48,33 @@ def sliding_latency(requests: DataFrame, ts: str, size: str = "1 day", step: str
     )
 
 
-def dedupe_alerts(alerts: DataFrame, ts: str, keys: Sequence[str] = ("severity", "message"), quiet: str = "3600 seconds") -> DataFrame:
-    """The first alert of each kind; repeats stay silent until the time from it has passed."""
-    return alerts.withWatermark(ts, quiet).dropDuplicatesWithinWatermark(list(keys))
+def dedupe_alerts(alerts: DataFrame, ts: str, keys: Sequence[str] = ("severity", "message"), quiet_seconds: int = 3600) -> DataFrame:
+    """The first alert of each kind; repeats stay silent until the time from it has passed.
+
+    Spark's own deduplication within a watermark may drop an alert that comes after
+    the quiet time, because it looks at the watermark and not at the first alert.  So
+    the time of the last alert sent is kept as state, one number per kind.
+    """
+    quiet = int(quiet_seconds * 1_000_000)
+    schema = alerts.schema
+    names = alerts.columns
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        times = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        last = state.get[0] if state.exists else None
+        sent, i = [], 0
+        if last is not None:
+            i = int(times.searchsorted(last + quiet))
+        while i < len(times):
+            sent.append(i)
+            last = int(times[i])
+            i = int(times.searchsorted(last + quiet))
+        if sent:
+            state.update((last,))
+        yield rows.iloc[sent][names]
+
+    return alerts.groupBy(*keys).applyInPandasWithState(step, schema, "last_sent long", "append", GroupStateTimeout.NoTimeout)
 
 
 def contract_split(rows: DataFrame, reasons: Column) -> tuple[DataFrame, DataFrame]:

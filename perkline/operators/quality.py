@@ -266,7 +266,7 @@ def outliers_zscore(
 
 
 def schema_violations(df: DataFrame, dataset: str, required: Sequence[str], kinds: Mapping[str, str]) -> DataFrame:
-    """Missing required columns and columns of another kind, from the schema alone."""
+    """Missing required columns and columns of another kind; ``observed`` counts the rows affected."""
     def kind(dt: T.DataType) -> str:
         if isinstance(dt, NUMERIC):
             return "numeric"
@@ -275,11 +275,11 @@ def schema_violations(df: DataFrame, dataset: str, required: Sequence[str], kind
         return "boolean" if isinstance(dt, T.BooleanType) else "string"
 
     have = {f.name: kind(f.dataType) for f in df.schema.fields}
-    rows = [(dataset, "missing_column", c, "CRITICAL", 1.0, 1.0) for c in required if c not in have]
-    rows += [(dataset, "dtype_mismatch", c, "WARNING", 1.0, 1.0) for c, k in kinds.items() if c in have and have[c] != k]
-    return df.sparkSession.createDataFrame(
-        rows, "dataset string, check_name string, column string, severity string, observed double, ratio double"
-    )
+    rows = [(dataset, "missing_column", c, "CRITICAL") for c in required if c not in have]
+    rows += [(dataset, "dtype_mismatch", c, "WARNING") for c, k in kinds.items() if c in have and have[c] != k]
+    found = df.sparkSession.createDataFrame(rows, "dataset string, check_name string, column string, severity string")
+    count = df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return found.withColumn("observed", count).withColumn("ratio", F.lit(1.0))
 
 
 def distribution_drift(

@@ -149,7 +149,8 @@ def issuer_bias(t):
 
 @query("issuer_caps", "FAI23", f"SELECT detail AS issuer, round(max_rate - 0.05, 8) AS cap FROM ({ISSUER_SQL}) WHERE is_biased", "recommendations")
 def issuer_caps(t):
-    return fa.issuer_caps(fa.issuer_bias(t("recommendations"), "segment", "issuer", 0.003)).select("issuer", R("cap"))
+    bias = fa.issuer_bias(t("recommendations"), "segment", "issuer", 0.003).withColumn("max_rate", F.round("max_rate", 10))
+    return fa.issuer_caps(bias).select("issuer", R("cap"))
 
 
 @query(

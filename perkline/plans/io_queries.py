@@ -213,13 +213,18 @@ def offers_round_trip(t):
 @query(
     "file_manifest",
     "SRC6",
+    "SELECT event_type, count(*) AS rows, true AS listed FROM events GROUP BY 1",
 )
 def file_manifest(t):
-    """Name, size and checksum of written files; bytes differ between engines."""
-    spark = t("nation").sparkSession
-    base = sinks.write_table(t("nation").coalesce(1), sinks.work_folder(spark, "manifest"), "csv")
-    m = files.manifest(spark, base).where(F.col("path").endswith(".csv"))
-    return m.select(F.element_at(F.split("path", r"\."), -1).alias("kind"), "bytes", F.length("sha256").alias("sha_length"))
+    """Files written per event type, listed with size and checksum, and matched to their rows."""
+    spark = t("events").sparkSession
+    base = sinks.write_table(t("events"), sinks.work_folder(spark, "manifest"), "csv", ["event_type"])
+    m = files.manifest(spark, base).where(F.col("path").endswith(".csv") & (F.col("bytes") > 0) & (F.length("sha256") == 64))
+    back = spark.read.option("header", True).csv(base).select("event_type", F.col("_metadata.file_name").alias("file"))
+    per = back.groupBy("event_type", "file").agg(F.count(F.lit(1)).alias("n"))
+    m = m.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type"), F.lit(True).alias("listed"))
+    j = per.join(m, ["event_type", "file"], "left")
+    return j.groupBy("event_type").agg(F.sum("n").alias("rows"), F.min(F.coalesce("listed", F.lit(False))).alias("listed"))
 
 
 @query(

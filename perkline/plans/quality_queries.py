@@ -168,8 +168,8 @@ def outliers_zscore(t):
 @query(
     "schema_violations",
     "ANM4",
-    """SELECT 'events' AS dataset, 'missing_column' AS check_name, 'amount' AS "column", 'CRITICAL' AS severity, 1.0::DOUBLE AS observed, 1.0::DOUBLE AS ratio
-     UNION ALL SELECT 'events', 'dtype_mismatch', 'props', 'WARNING', 1.0, 1.0""",
+    """SELECT 'events' AS dataset, 'missing_column' AS check_name, 'amount' AS "column", 'CRITICAL' AS severity, count(*)::DOUBLE AS observed, 1.0::DOUBLE AS ratio FROM events
+     UNION ALL SELECT 'events', 'dtype_mismatch', 'props', 'WARNING', count(*), 1.0 FROM events""",
 )
 def schema_violations(t):
     return quality.schema_violations(t("events"), "events", ["event_id", "amount"], {"props": "numeric", "value": "numeric", "ts": "datetime"})

@@ -71,8 +71,16 @@ def spending_by_category(txns: DataFrame, user: str = "user_id", category: str =
     )
 
 
+def _fixed_mode(counts: dict[int, str]) -> Column:
+    """Most frequent of a few known values from their count columns, ties to the smallest."""
+    return F.array_min(F.array(*[F.struct((-F.col(c)).alias("n"), F.lit(v).alias("v")) for v, c in counts.items()]))["v"]
+
+
 def base_block(txns: DataFrame, categories: Sequence[str], user: str = "user_id") -> DataFrame:
-    """All per-user sums in one aggregate: category pivot, totals, weekend share."""
+    """All per-user sums in one aggregate: category pivot, totals, calendar counts.
+
+    Months and weekdays are few, so their modes come from conditional counts here.
+    """
     cal = calendar_parts(F.col("txn_date"))
     a = F.col("amount")
     aggs = []
@@ -80,6 +88,10 @@ def base_block(txns: DataFrame, categories: Sequence[str], user: str = "user_id"
         hit = F.col("category") == c
         aggs.append(F.coalesce(F.sum(F.when(hit, a)), F.lit(0.0)).alias(f"{c}_total_spent"))
         aggs.append(F.coalesce(F.sum(F.when(hit & a.isNotNull(), 1)), F.lit(0)).alias(f"{c}_txn_count"))
+    months = {m: f"__month_{m}" for m in range(1, 13)}
+    days = {d: f"__dow_{d}" for d in range(7)}
+    aggs += [F.count(F.when(cal["month"] == m, 1)).alias(c) for m, c in months.items()]
+    aggs += [F.count(F.when(cal["day_of_week"] == d, 1)).alias(c) for d, c in days.items()]
     aggs += [
         F.sum(a).alias("total_spending"),
         F.count(a).alias("total_transactions"),
@@ -91,22 +103,18 @@ def base_block(txns: DataFrame, categories: Sequence[str], user: str = "user_id"
     if "suspicious" in txns.columns:
         aggs += [F.sum("suspicious").alias("num_suspicious"), F.avg("suspicious").alias("suspicious_rate")]
     d = txns.groupBy(user).agg(*aggs)
-    return d.withColumn("spending_diversity", entropy_of([F.col(f"{c}_total_spent") for c in categories]))
+    d = d.withColumns({"peak_spending_month": _fixed_mode(months), "peak_spending_day": _fixed_mode(days)})
+    if categories:
+        d = d.withColumn("spending_diversity", entropy_of([F.col(f"{c}_total_spent") for c in categories]))
+    return d.drop(*months.values(), *days.values())
 
 
 def frequency_block(txns: DataFrame, user: str = "user_id") -> DataFrame:
-    """Distinct counts, modes, repeat ratio and mean per code, from value counts.
+    """Distinct counts and modes of card, code and merchant, and the mean per code.
 
     A mode with equal counts is the smallest value.
     """
-    cal = calendar_parts(F.col("txn_date"))
-    dimsets = {
-        "month": F.lpad(cal["month"].cast("string"), 2, "0"),
-        "dow": cal["day_of_week"].cast("string"),
-        "card": F.col("card_used"),
-        "mcc": F.col("mcc_code").cast("string"),
-        "merchant": F.col("merchant"),
-    }
+    dimsets = {"card": F.col("card_used"), "mcc": F.col("mcc_code").cast("string"), "merchant": F.col("merchant")}
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), v.alias("val")) for k, v in dimsets.items()]))
     counts = (
         txns.select(user, "amount", pairs.alias("p"))
@@ -121,9 +129,7 @@ def frequency_block(txns: DataFrame, user: str = "user_id") -> DataFrame:
     def distinct(dim: str) -> Column:
         return F.sum((F.col("dim") == dim).cast("long"))
 
-    d = counts.groupBy(user).agg(
-        mode("month").cast("int").alias("peak_spending_month"),
-        mode("dow").cast("int").alias("peak_spending_day"),
+    return counts.groupBy(user).agg(
         distinct("card").alias("num_cards_used"),
         mode("card").alias("primary_card"),
         distinct("mcc").alias("num_unique_mccs"),
@@ -132,7 +138,6 @@ def frequency_block(txns: DataFrame, user: str = "user_id") -> DataFrame:
         distinct("merchant").alias("num_unique_merchants"),
         mode("merchant").alias("favorite_merchant"),
     )
-    return d
 
 
 def user_features(

@@ -56,7 +56,7 @@ def user_spending_pivot(t):
             keep.append(R(c))
         elif c in ("transaction_amount_std", "spending_diversity"):
             keep.append(R(c, 5))
-        elif c != "__n":
+        elif c not in ("__n", "peak_spending_month", "peak_spending_day"):
             keep.append(F.col(c))
     return d.select(*keep)
 
@@ -78,7 +78,8 @@ def user_spending_pivot(t):
     "transactions",
 )
 def user_frequencies(t):
-    d = fe.frequency_block(t("transactions"))
+    peaks = fe.base_block(t("transactions"), []).select("user_id", "peak_spending_month", "peak_spending_day")
+    d = peaks.join(fe.frequency_block(t("transactions")), "user_id")
     return d.withColumn("avg_spending_per_mcc", F.round("avg_spending_per_mcc", 8))
 
 

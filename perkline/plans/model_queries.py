@@ -76,7 +76,7 @@ def _frame(t, folder=None):
     "transactions users",
 )
 def model_frame(t):
-    d, _ = _frame(t)
+    d, _ = _frame(t, sinks.work_folder(t("users").sparkSession, "frame"))
     return d.select("user_id", R("monthly_budget", 6), R("median_transaction_amount", 6), "spending_velocity")
 
 

@@ -29,6 +29,15 @@ def _case(expr: str, values: list, quote: bool = True) -> str:
     return f"CASE {expr} {arms} ELSE {lit(values[-1])} END"
 
 
+def _txt(expr: str) -> str:
+    return f"CAST({expr} AS STRING)"
+
+
+def _pad(expr: str, width: int) -> str:
+    """Zero-padded number; longer numbers keep all their digits."""
+    return f"lpad({_txt(expr)}, CAST(greatest({width}, length({_txt(expr)})) AS INT), '0')"
+
+
 MCC_SAMPLE = [5812, 5411, 5541, 4511, 5942, 4899, 5912, 7832, 4900, 5999, 7011, 5462, 4121, 6300]
 CATEGORY_SAMPLE = [
     "dining", "groceries", "gas", "travel", "online_shopping", "streaming", "drugstore",
@@ -58,14 +67,14 @@ SQL: dict[str, str] = {}
 
 # One row per line item; amounts end at a whole cent by construction.
 SQL["transactions"] = f"""
-SELECT printf('txn_%09d%07d%05d%d', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS transaction_id,
-       printf('user_%06d', o_custkey) AS user_id,
+SELECT 'txn_' || {_pad('l_orderkey', 9)} || {_pad('l_partkey', 7)} || {_pad('l_suppkey', 5)} || {_txt('l_linenumber')} AS transaction_id,
+       'user_' || {_pad('o_custkey', 6)} AS user_id,
        CAST(o_orderdate AS DATE) AS txn_date,
        {_case("l_partkey % 14", CATEGORY_SAMPLE)} AS category,
-       printf('Supplier %d', l_suppkey) AS merchant,
+       'Supplier ' || {_txt('l_suppkey')} AS merchant,
        CAST({_case("l_partkey % 14", MCC_SAMPLE, False)} AS INT) AS mcc_code,
        floor(l_extendedprice * (1 - l_discount)) / 100 AS amount,
-       printf('card_%d', (l_suppkey + o_orderkey) % 5) AS card_used,
+       'card_' || {_txt('(l_suppkey + o_orderkey) % 5')} AS card_used,
        CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_foreign,
        CASE WHEN floor(l_extendedprice * (1 - l_discount)) / 100 > 900 THEN 1 ELSE 0 END AS suspicious,
        l_extendedprice AS tie_break
@@ -74,24 +83,24 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 
 # The same rows before cleaning: text dates, gaps, odd codes, negative amounts.
 SQL["raw_transactions"] = f"""
-SELECT printf('txn_%09d%07d%05d%d', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS transaction_id,
-       printf('user_%06d', o_custkey) AS user_id,
+SELECT 'txn_' || {_pad('l_orderkey', 9)} || {_pad('l_partkey', 7)} || {_pad('l_suppkey', 5)} || {_txt('l_linenumber')} AS transaction_id,
+       'user_' || {_pad('o_custkey', 6)} AS user_id,
        CASE WHEN l_partkey % 31 = 0 THEN 'not-a-date' WHEN l_partkey % 37 = 0 THEN '2031-01-01'
             ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date_text,
        CASE l_partkey % 17 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  DINING ' ELSE
             {_case("l_partkey % 14", CATEGORY_SAMPLE)} END AS category,
-       printf('Supplier %d', l_suppkey) AS merchant,
+       'Supplier ' || {_txt('l_suppkey')} AS merchant,
        CAST(CASE WHEN l_partkey % 19 = 0 THEN 1234 ELSE {_case("l_partkey % 14", MCC_SAMPLE, False)} END AS INT) AS mcc_code,
        CASE WHEN l_partkey % 23 = 0 THEN -l_extendedprice WHEN l_suppkey % 29 = 0 THEN NULL
             WHEN l_partkey % 41 = 0 THEN floor(l_extendedprice / 1000) * 100
             ELSE floor(l_extendedprice * (1 - l_discount)) / 10 END AS amount,
-       printf('card_%d', l_suppkey % 5) AS card_used,
+       'card_' || {_txt('l_suppkey % 5')} AS card_used,
        l_extendedprice AS tie_break
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
 SQL["users"] = f"""
-SELECT printf('user_%06d', c_custkey) AS user_id,
+SELECT 'user_' || {_pad('c_custkey', 6)} AS user_id,
        {_case("c_custkey % 8", ARCHETYPE_SAMPLE)} AS archetype,
        c_acctbal AS monthly_budget,
        CASE c_custkey % 4 WHEN 0 THEN '[''card_1'', ''card_2'']' WHEN 1 THEN '[''card_3'']'
@@ -104,7 +113,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 
 # Profiles as delivered: some users come twice and some budgets are missing.
-SQL["raw_users"] = """
+SQL["raw_users"] = f"""
 SELECT user_id, archetype, CASE WHEN ord % 13 = 0 THEN NULL ELSE CAST(monthly_budget AS STRING) END AS monthly_budget,
        cards, redemption_preference, age_group, location_type, ord * 2 AS ord
 FROM users
@@ -115,7 +124,7 @@ FROM users WHERE ord % 9 = 0
 """
 
 SQL["cards"] = f"""
-SELECT printf('card_%07d', p_partkey) AS card_id,
+SELECT 'card_' || {_pad('p_partkey', 7)} AS card_id,
        CASE p_partkey % 6 WHEN 0 THEN '  ' || p_name || '®   Credit Card ' WHEN 1 THEN 'AMEX ' || p_name || '™'
             WHEN 2 THEN upper(p_name) || ' chili''s  card' WHEN 3 THEN NULL WHEN 4 THEN 'usb aaa ' || p_name ELSE p_name END AS card_name,
        {_case("p_partkey % 8", ISSUER_SAMPLE)} AS issuer,
@@ -162,7 +171,7 @@ def _per_slot(template: str, slots: int) -> str:
 
 SQL["user_cards"] = _per_slot(
     f"""
-SELECT printf('user_%06d', c_custkey) AS user_id, CAST(@k AS INT) AS saved_order,
+SELECT 'user_' || {_pad('c_custkey', 6)} AS user_id, CAST(@k AS INT) AS saved_order,
        {_case("(c_custkey * 3 + @k * 5) % 7", CARD_SAMPLE)} AS card_id
 FROM customer WHERE c_custkey % 4 >= @k
 """,
@@ -170,8 +179,8 @@ FROM customer WHERE c_custkey % 4 >= @k
 )
 
 SQL["user_personas"] = _per_slot(
-    """
-SELECT printf('user_%06d', c_custkey) AS user_id,
+    f"""
+SELECT 'user_' || {_pad('c_custkey', 6)} AS user_id,
        CASE @k WHEN 1 THEN CASE c_custkey % 3 WHEN 0 THEN 'student' WHEN 1 THEN 'traveler' ELSE 'gamer' END
                 ELSE CASE c_custkey % 2 WHEN 0 THEN 'family' ELSE 'cashback-focused' END END AS persona
 FROM customer WHERE c_custkey % 3 >= @k
@@ -182,7 +191,7 @@ FROM customer WHERE c_custkey % 3 >= @k
 # Monthly spend per user and category, the shape of a scoring request.
 SQL["spend_profile"] = _per_slot(
     f"""
-SELECT printf('user_%06d', c_custkey) AS user_id,
+SELECT 'user_' || {_pad('c_custkey', 6)} AS user_id,
        {_case("(c_custkey + @k * 2) % 7", [" Dining", "GROCERIES", "travel", "gas", "pets", "streaming", "drugstores"])} AS raw_category,
        floor(c_acctbal * @k / 7) / 2 AS raw_amount
 FROM customer
@@ -190,8 +199,8 @@ FROM customer
     4,
 )
 
-SQL["requests"] = """
-SELECT event_id AS request_id, ts AS request_ts, printf('user_%06d', user_id) AS user_id,
+SQL["requests"] = f"""
+SELECT event_id AS request_id, ts AS request_ts, 'user_' || {_pad('user_id', 6)} AS user_id,
        CAST(ts AS DATE) AS day,
        CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 3 = 0 THEN NULL ELSE 'success' END AS request_status,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS recommendation_flow,
@@ -202,27 +211,27 @@ SELECT event_id AS request_id, ts AS request_ts, printf('user_%06d', user_id) AS
        floor(value * 5) / 100 AS rank_ms,
        CASE WHEN event_id % 2 = 0 THEN floor(value * 35) / 100 ELSE 0.0 END AS llm_explanation_ms,
        CASE WHEN event_id % 2 = 0 THEN floor(value * 7) / 10 ELSE NULL END AS explanation_latency_ms,
-       CASE WHEN event_id % 13 = 0 THEN 'none' WHEN event_id % 17 = 0 THEN '' ELSE printf('card_%d', user_id % 12) END AS top_card,
+       CASE WHEN event_id % 13 = 0 THEN 'none' WHEN event_id % 17 = 0 THEN '' ELSE 'card_' || {_txt('user_id % 12')} END AS top_card,
        CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS is_personalized,
        CASE WHEN event_id % 2 = 0 THEN event_id % 4 ELSE NULL END AS llm_calls,
        CASE WHEN event_id % 2 = 0 THEN event_id % 3 ELSE NULL END AS llm_successes,
        CASE WHEN event_id % 2 = 0 THEN event_id % 4 - event_id % 3 ELSE NULL END AS llm_fallbacks,
        CASE WHEN event_id % 2 = 0 THEN (event_id * 7) % 900 ELSE NULL END AS llm_tokens,
-       CASE WHEN event_id % 2 = 0 THEN printf('model-%d', event_id % 6) ELSE NULL END AS llm_model,
-       CASE WHEN event_id % 2 = 0 THEN printf('v%d', event_id % 4) ELSE NULL END AS llm_prompt_version,
-       printf('m%d', event_id % 3) AS model_version,
+       CASE WHEN event_id % 2 = 0 THEN 'model-' || {_txt('event_id % 6')} ELSE NULL END AS llm_model,
+       CASE WHEN event_id % 2 = 0 THEN 'v' || {_txt('event_id % 4')} ELSE NULL END AS llm_prompt_version,
+       'm' || {_txt('event_id % 3')} AS model_version,
        floor(value * 3) / 4 AS blended_score
 FROM events
 """
 
 SQL["ledger"] = f"""
-SELECT printf('led_%09d%07d%05d%d', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id,
-       printf('user_%06d', o_custkey) AS user_id,
-       printf('Supplier %d', l_suppkey) AS merchant,
+SELECT 'led_' || {_pad('l_orderkey', 9)} || {_pad('l_partkey', 7)} || {_pad('l_suppkey', 5)} || {_txt('l_linenumber')} AS id,
+       'user_' || {_pad('o_custkey', 6)} AS user_id,
+       'Supplier ' || {_txt('l_suppkey')} AS merchant,
        floor(l_extendedprice * (1 - l_discount)) / 100 AS amount,
        CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE {_case("l_partkey % 14", CATEGORY_SAMPLE)} END AS category,
        {_case("l_suppkey % 8", CARD_SAMPLE + [None])} AS chosen_card_id,
-       CASE WHEN l_suppkey % 8 = 7 THEN NULL WHEN l_suppkey % 8 = 6 THEN NULL ELSE printf('Card no %d', l_suppkey % 8) END AS chosen_card_name,
+       CASE WHEN l_suppkey % 8 = 7 THEN NULL WHEN l_suppkey % 8 = 6 THEN NULL ELSE 'Card no ' || {_txt('l_suppkey % 8')} END AS chosen_card_name,
        floor(l_extendedprice * l_tax) / 100 AS reward_earned,
        floor(l_extendedprice * l_discount) / 100 AS estimated_savings,
        {_case("l_linenumber % 3", ["portfolio", "transaction", "quick_transaction"])} AS source_flow,

@@ -168,14 +168,30 @@ def _check_portfolio(cards: Sequence[Card]) -> None:
         )
 
 
-def rate_book(cards: Sequence[Card], category: Column, day: Column | None = None) -> Column:
-    """array<struct<card...>> for a purchase, each card with its rate there."""
-    _check_portfolio(cards)
-    quarters = sorted({q for c in cards for q in c.rotating}) if day is not None else []
-    cats = sorted(
+def _categories(cards: Sequence[Card]) -> list[str]:
+    return sorted(
         {k for c in cards for k in [*c.bonuses, *c.caps, *c.credits, *[x for v in c.rotating.values() for x in v[0]]]}
     )
 
+
+def _book(cards: Sequence[Card], page, category: Column, day: Column | None) -> Column:
+    """Literal map from category (and quarter, where bonuses rotate) to ``page(category, quarter)``."""
+    _check_portfolio(cards)
+    quarters = sorted({q for c in cards for q in c.rotating}) if day is not None else []
+    keyed = [(cat if q is None else f"{cat}|{q}", page(cat, q)) for cat in _categories(cards) for q in [None, *quarters]]
+    fallback = page("", None)
+    if not keyed:
+        return fallback
+    book = F.create_map(*[x for k, v in keyed for x in (F.lit(k), v)])
+    found = F.try_element_at(book, category)
+    if quarters:
+        found = F.coalesce(F.try_element_at(book, F.concat_ws("|", category, quarter_label(day))), found)
+    return F.coalesce(found, fallback)
+
+
+def rate_book(cards: Sequence[Card], category: Column, day: Column | None = None) -> Column:
+    """array<struct<card...>> for a purchase, each card with its rate there."""
+
     def entry(c: Card, cat: str, q: str | None) -> Column:
         credit, freq = c.credits.get(cat, (0.0, "monthly"))
         base = DEFAULT_RATE if c.base_rate is None else c.base_rate
@@ -191,18 +207,34 @@ def rate_book(cards: Sequence[Card], category: Column, day: Column | None = None
             F.lit(freq).alias("credit_frequency"),
         )
 
+    return _book(cards, lambda cat, q: F.array(*[entry(c, cat, q) for c in cards]), category, day)
+
+
+def ranked_book(cards: Sequence[Card], amount: Column, category: Column, day: Column | None = None, top_k: int | None = None) -> Column:
+    """Cards of a purchase in rank order, taken from orders fixed in the plan.
+
+    A reward is the amount times a rate, so the order for a category depends on the
+    amount only through its sign: rates descending, ascending for a refund, and fees
+    alone for a zero or missing amount.  Equal rewards go by fee, then card id.
+    """
+
+    def order(cat: str, q: str | None, sign: int) -> Column:
+        ranked = sorted(cards, key=lambda c: (-sign * c.rate(cat, q), c.annual_fee, c.card_id))[:top_k]
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(c.card_id).alias("card_id"), F.lit(c.card_name).alias("card_name"),
+                    F.lit(float(c.annual_fee)).alias("annual_fee"), F.lit(float(c.rate(cat, q))).alias("rate"),
+                )
+                for c in ranked
+            ]
+        )
+
     def page(cat: str, q: str | None) -> Column:
-        return F.array(*[entry(c, cat, q) for c in cards])
+        return F.struct(order(cat, q, 1).alias("earn"), order(cat, q, -1).alias("refund"), order(cat, q, 0).alias("nothing"))
 
-    keyed = [(cat if q is None else f"{cat}|{q}", page(cat, q)) for cat in cats for q in [None, *quarters]]
-    fallback = page("", None)
-    if not keyed:
-        return fallback
-    book = F.create_map(*[x for k, v in keyed for x in (F.lit(k), v)])
-    plain = F.try_element_at(book, category)
-    if quarters:
-        plain = F.coalesce(F.try_element_at(book, F.concat_ws("|", category, quarter_label(day))), plain)
-    return F.coalesce(plain, fallback)
+    orders = _book(cards, page, category, day)
+    return F.when(amount > 0, orders["earn"]).when(amount < 0, orders["refund"]).otherwise(orders["nothing"])
 
 
 def score_portfolio(
@@ -255,29 +287,16 @@ def rank_portfolio(
 ) -> DataFrame:
     """Ranked cards per purchase: reward first, then lower fee, then card id.
 
-    The ranking sorts the short literal array inside the row, so it needs no shuffle.
+    The order is looked up, not sorted, so ranking needs neither a shuffle nor a sort.
     """
-    book = rate_book(cards, F.col(category), F.col(day) if day else None)
-    ranked = F.array_sort(
-        F.transform(
-            book,
-            lambda c: F.struct(
-                (-reward_amount(F.col(amount), c["rate"])).alias("neg"),
-                c["annual_fee"].alias("annual_fee"),
-                c["card_id"].alias("card_id"),
-                c["card_name"].alias("card_name"),
-            ),
-        )
-    )
-    if top_k:
-        ranked = F.slice(ranked, 1, top_k)
+    ranked = ranked_book(cards, F.col(amount), F.col(category), F.col(day) if day else None, top_k)
     return txns.select("*", F.posexplode(ranked).alias("__p", "__c")).select(
         *txns.columns,
         (F.col("__p") + 1).alias("rank"),
         F.col("__c.card_id").alias("card_id"),
         F.col("__c.card_name").alias("card_name"),
         F.col("__c.annual_fee").alias("annual_fee"),
-        (-F.col("__c.neg")).alias("reward_amount"),
+        reward_amount(F.col(amount), F.col("__c.rate")).alias("reward_amount"),
     )
 
 
@@ -288,20 +307,12 @@ def best_card(
     category: str = "category",
     day: str | None = "txn_date",
 ) -> DataFrame:
-    """The top card of each purchase, as a projection."""
-    book = rate_book(cards, F.col(category), F.col(day) if day else None)
-    top = F.array_min(
-        F.transform(
-            book,
-            lambda c: F.struct(
-                (-reward_amount(F.col(amount), c["rate"])).alias("neg"), c["annual_fee"].alias("fee"), c["card_id"].alias("id")
-            ),
-        )
-    )
+    """The top card of each purchase: one lookup per row."""
+    top = ranked_book(cards, F.col(amount), F.col(category), F.col(day) if day else None, 1)[0]
     return (
         txns.withColumn("__b", top)
-        .withColumn("best_card_id", F.col("__b.id"))
-        .withColumn("best_reward", -F.col("__b.neg"))
+        .withColumn("best_card_id", F.col("__b.card_id"))
+        .withColumn("best_reward", reward_amount(F.col(amount), F.col("__b.rate")))
         .drop("__b")
     )
 

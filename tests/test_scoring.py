@@ -53,6 +53,22 @@ def test_ranking_breaks_ties_by_fee_then_id(spark):
     assert sc.rank_portfolio(t, cards, top_k=2).count() == 2
 
 
+def test_refunds_zero_and_missing_amounts_rank_as_scored(spark):
+    cards = [sc.Card("a", annual_fee=95.0, base_rate=1.0, bonuses={"gas": 3.0}), sc.Card("b", base_rate=2.0), ROT]
+    rows = [(i, a, c, d) for i, (a, c, d) in enumerate((a, c, d) for a in (50.0, -20.0, 0.0, None) for c in ("gas", "groceries", "zoo", None) for d in (JAN, APR))]
+    t = spark.createDataFrame(rows, "id int, amount double, category string, txn_date date")
+    scored = {}
+    for r in sc.score_portfolio(t, cards, foreign=None).collect():
+        scored.setdefault(r["id"], []).append((-r["reward_amount"] if r["reward_amount"] is not None else 0.0, r["annual_fee"], r["card_id"]))
+    ranked = {}
+    for r in sc.rank_portfolio(t, cards).orderBy("id", "rank").collect():
+        ranked.setdefault(r["id"], []).append(r["card_id"])
+    best = {r["id"]: r["best_card_id"] for r in sc.best_card(t, cards).collect()}
+    for i in scored:
+        want = [c for _, _, c in sorted(scored[i])]
+        assert ranked[i] == want and best[i] == want[0]
+
+
 def _capped(rows, cap, bonus, base):
     spent, out = 0.0, []
     for amount in rows:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perkline.llm import line_rules
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,3 +39,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = token_files.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), shared.new_folder(spark, "token-files"))
     return token_files.read(manifest)
+
+
+@register("op7_line_rules", line_rules.ORACLE)
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every text, and whether enough of it stands outside its host's common lines."""
+    return line_rules.judge(table(spark, sf_dir, "documents"))

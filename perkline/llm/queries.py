@@ -45,3 +45,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every text, and whether enough of it stands outside its host's common lines."""
     return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register("op1_pattern_packing")
+def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in sequences of at most 2048 tokens."""
+    from perkline.llm import packing, shared
+
+    pieces = shared.stored(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "pieces")
+    return packing.packed(pieces).drop("copy")

@@ -54,3 +54,11 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = shared.stored(packing.pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "pieces")
     return packing.packed(pieces).drop("copy")
+
+
+@register("op6_merge_pieces")
+def op6_merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every text and of what they decode to."""
+    from perkline.llm import merge_pieces
+
+    return merge_pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perkline.llm import line_rules
 
@@ -62,3 +63,13 @@ def op6_merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perkline.llm import merge_pieces
 
     return merge_pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@register("op5_byte_cnn")
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every text, from labelled documents outside the held-out third."""
+    from perkline.llm import byte_cnn
+
+    docs, held_out = table(spark, sf_dir, "documents"), byte_cnn.fold(F.col("doc_id"), 3, 1)
+    net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"), held_out=held_out)
+    return byte_cnn.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -73,3 +73,13 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), byte_cnn.fold(F.col("doc_id"), 3, 1)
     net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"), held_out=held_out)
     return byte_cnn.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@register("op10_language_masks")
+def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents outside the held-out quarter."""
+    from perkline.llm import byte_cnn, language_masks
+
+    docs, held_out = table(spark, sf_dir, "documents"), byte_cnn.fold(F.col("doc_id"), 4, 2)
+    masks = language_masks.learned(docs.filter(~held_out))
+    return language_masks.identified(docs, masks).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

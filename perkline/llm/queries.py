@@ -83,3 +83,11 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), byte_cnn.fold(F.col("doc_id"), 4, 2)
     masks = language_masks.learned(docs.filter(~held_out))
     return language_masks.identified(docs, masks).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op8_grid_join")
+def op8_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
+    from perkline.llm import grid_join
+
+    return grid_join.linked(table(spark, sf_dir, "embeddings"))

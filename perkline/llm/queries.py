@@ -91,3 +91,11 @@ def op8_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perkline.llm import grid_join
 
     return grid_join.linked(table(spark, sf_dir, "embeddings"))
+
+
+@register("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without passages of 50 words that a smaller document has."""
+    from perkline.llm import repeats
+
+    return repeats.repeats(table(spark, sf_dir, "documents"))

@@ -61,12 +61,6 @@ class Words:
     first: np.ndarray
     hashes: np.ndarray
 
-    def text(self, i: int) -> bytes:
-        return b" ".join(self.of(i))
-
-    def of(self, i: int) -> list[bytes]:
-        raw, a, b = self.data.tobytes() if isinstance(self.data, np.ndarray) else self.data, self.first[i], self.first[i + 1]
-        return [raw[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,3 +130,25 @@ def window_starts(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     np.cumsum(n, out=bounds[1:])
     starts = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], n)
     return starts, bounds
+
+
+def joined(found: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """Words (those of ``keep``) of each text joined by one space; text ``i`` is ``raw[at[i]:at[i + 1] - 1]``."""
+    starts, sizes = found.starts, found.ends - found.starts
+    kept_before = np.arange(len(starts) + 1) if keep is None else np.concatenate([[0], np.cumsum(keep)])
+    if keep is not None:
+        starts, sizes = starts[keep], sizes[keep]
+    ends = np.cumsum(sizes + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 32, np.uint8)
+    places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(ends - sizes - 1, sizes) + places] = found.data[np.repeat(starts, sizes) + places]
+    return out.tobytes(), np.concatenate([[0], ends])[kept_before[found.first]]
+
+
+def digests(found: Words, keep: np.ndarray | None = None) -> list[str]:
+    """Lowercase hex SHA-256 of each text's words (those of ``keep``) joined by one space."""
+    from hashlib import sha256
+
+    raw, at = joined(found, keep)
+    view = memoryview(raw)
+    return [sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -99,3 +99,11 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perkline.llm import repeats
 
     return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike by 0.75 or more."""
+    from perkline.llm import jaccard_join
+
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))

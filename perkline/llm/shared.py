@@ -6,11 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perkline.llm.words import mix
+
 SCAN_BYTES = 16 << 20
 
 
@@ -69,3 +73,39 @@ def slices(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Itera
         held += n
     if at < batch.num_rows:
         yield batch.slice(at)
+
+
+ID_FILTER_BITS = 1 << 26
+
+
+def reduced(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` less most rows whose ``key`` is not in ``ids`` (one long column): what a join need not shuffle.
+
+    A Bloom filter of a fixed 8 MB is put together on the executors and sent out, however
+    many ids there are.  With very many it lets every row through, so a join must follow.
+    """
+    def places(values: np.ndarray) -> list[np.ndarray]:
+        own = mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return [(own >> np.uint64(s)) & np.uint64(ID_FILTER_BITS - 1) for s in (0, 32)]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(ID_FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            for at in places(batch.column(0).drop_null().to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some].view(np.int64))], names=["at", "bits"])
+
+    rows = ids.mapInArrow(marked, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(ID_FILTER_BITS // 64, np.uint64)
+    table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def there(values: pd.Series) -> pd.Series:
+        out = values.notna().to_numpy()
+        for at in places(values.fillna(0).to_numpy()):
+            out &= (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    return df.filter(there(F.col(key)))

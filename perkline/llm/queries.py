@@ -107,3 +107,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perkline.llm import jaccard_join
 
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
+@register("op4_suffix_tree")
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every text by the tree and by plain word counts."""
+    from perkline.llm import byte_cnn, suffix_tree
+
+    return suffix_tree.scored(table(spark, sf_dir, "documents"), byte_cnn.fold(F.col("doc_id"), 7, 2))

@@ -86,7 +86,7 @@ def steadiness(padded: np.ndarray, spots: np.ndarray, at: np.ndarray) -> np.ndar
     known = np.zeros(len(grid), bool)
     begin = at[np.searchsorted(at, grid, "right") - 1]
     own = four[: len(grid)]
-    for lag in LAGS:
+    for lag in [k for k in LAGS if k < len(grid)]:
         same = own[lag:] == own[: len(grid) - lag]
         known[lag:] |= same & (grid[lag:] - lag >= begin[lag:])
     sums = np.concatenate([[0], np.cumsum(known)])

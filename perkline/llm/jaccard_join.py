@@ -232,7 +232,8 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     base = shared.stored(prefixes(docs, frequent(docs, size), size), "shingle-prefixes")
     light = base.select("doc_id", "n", "key1", "key2")
     firsts = light.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("rep"))
-    members = shared.stored(light.join(firsts, ["n", "key1", "key2"], "left").select("doc_id", "n", "rep"), "shingle-classes")
+    classes = light.join(firsts, ["n", "key1", "key2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    members = shared.stored(classes, "shingle-classes")
     reps = members.filter(F.col("doc_id") == F.col("rep")).groupBy("doc_id").agg(F.max("n").alias("n"))
 
     posted = base.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode("cells").alias("cell"))
@@ -245,7 +246,7 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     cells = met.join(centre, "doc_id").select("cell", "doc_id", "n", "rows", (-F.col("own") / (F.floor(F.col("n") / 4) + 1)).alias("off_centre"))
     cells = shared.stored(cells, "jaccard-cells")
     ids = cells.select("doc_id").distinct()
-    texts = shared.stored(shared.reduced(docs, ids).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "jaccard-texts")
+    texts = shared.stored(shared.parted(docs, ids)[1].join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "jaccard-texts")
 
     pivots = shared.stored(_pivots(cells), "jaccard-pivots")
     stars = cells.join(pivots, "cell").filter(_fits(F.col("n"), F.col("pivot_n")))
@@ -293,7 +294,16 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with all columns, less every document that a smaller doc_id is connected with."""
-    stay = joined(docs, size).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with all columns, less every document that a smaller doc_id is connected with.
+
+    Of rows with one doc_id one stays.  Only rows that may go are shuffled.
+    """
+    found = shared.stored(joined(docs, size).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "jaccard-result")
+    state = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    touched = shared.stored(state.filter((F.col("component_id") < F.col("doc_id")) | (F.col("rows") > 1)), "jaccard-touched")
+    rest, maybe = shared.parted(docs, touched.select("doc_id"))
+    own = touched.select(F.col("doc_id").alias("__own_id"), F.col("component_id").alias("__own_component"))
+    stays = maybe.join(own, F.col("doc_id") == F.col("__own_id"), "left")
+    stays = stays.filter(F.col("__own_id").isNull() | (F.col("__own_component") == F.col("doc_id"))).dropDuplicates(["doc_id"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rest.select(*names).unionByName(stays.select(*names))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perkline.llm import shared
 from perkline.llm.recompression import anchors, windows_with_all
@@ -176,19 +177,23 @@ def without_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
         found = words(batch.column(1))
         raw, at = joined(found, _cut(found, batch.column(2), length))
         texts = [raw[a : max(a, b - 1)].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        return pa.RecordBatch.from_arrays([batch.column(0), _longs(spans_hash(found.hashes, found.first)), pa.array(texts, pa.string())], names=["doc_id", "key1", "new_text"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _longs(spans_hash(found.hashes, found.first)), pa.array(texts, pa.string())], names=["doc_id", "key1", "__new_text"])
 
-    cut = shared.over_text(changed, ["doc_id", "text", "removed"], run, "doc_id long, key1 long, new_text string").dropDuplicates(["doc_id", "key1"])
-    copies = flagged.filter("copy").select("doc_id", "key1", F.lit("").alias("new_text")).distinct()
-    new = cut.unionByName(copies).select(F.col("doc_id").alias("new_id"), F.col("key1").alias("new_key"), "new_text")
+    cut = shared.over_text(changed, ["doc_id", "text", "removed"], run, "doc_id long, key1 long, __new_text string").dropDuplicates(["doc_id", "key1"])
+    copies = flagged.filter("copy").select("doc_id", "key1", F.lit("").alias("__new_text")).distinct()
+    new = cut.unionByName(copies).select(F.col("doc_id").alias("__new_id"), F.col("key1").alias("__new_key"), "__new_text")
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = words(batch.column(columns.index("text")))
         return pa.RecordBatch.from_arrays([*batch.columns, _longs(spans_hash(found.hashes, found.first))], names=[*columns, "__key"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __key long"
-    whole = shared.over_text(docs, columns, keyed, schema)
-    out = whole.join(new, (F.col("doc_id") == F.col("new_id")) & (F.col("__key") == F.col("new_key")), "left").filter(F.col("new_text").isNull() | (F.col("new_text") != ""))
-    text = F.coalesce("new_text", "text")
-    values = [text.alias(c) if c == "text" else F.when(F.col("new_text").isNotNull(), F.length("new_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns]
-    return out.select(*values)
+    new = shared.stored(new, "repeat-texts")
+    rest, maybe = shared.parted(docs, new.select("__new_id"))
+    schema = T.StructType([*docs.schema, T.StructField("__key", T.LongType())])
+    out = shared.over_text(maybe, columns, keyed, schema).join(new, (F.col("doc_id") == F.col("__new_id")) & (F.col("__key") == F.col("__new_key")), "left")
+    out = out.filter(F.col("__new_text").isNull() | (F.col("__new_text") != ""))
+    values = []
+    for c in columns:
+        old, then = F.col(f"`{c}`"), {"text": F.col("__new_text"), "n_chars": F.length("__new_text")}.get(c)
+        values.append(old if then is None else F.when(F.col("__new_text").isNotNull(), then.cast(docs.schema[c].dataType)).otherwise(old).alias(c))
+    return rest.select(*[F.col(f"`{c}`") for c in columns]).unionByName(out.select(*values))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perkline.llm.words import mix
 
@@ -48,18 +49,23 @@ def partitions_for(spark: SparkSession, wanted: int) -> int:
     return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def over_text(docs: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, max_bytes: int = 4 << 20) -> DataFrame:
+def over_text(docs: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, max_bytes: int = 4 << 20) -> DataFrame:
     """Apply ``fn`` to Arrow slices of ``docs`` whose ``text`` has about ``max_bytes`` bytes or is one row.
 
     A null text arrives as null.  ``fn`` gets ``columns`` and returns a batch of ``schema``.
+    Columns travel under numbers, so any name will do.
     """
+    kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    numbers = [f"c{i}" for i in range(len(kind))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, max_bytes):
-                yield fn(part)
+            for part in slices(batch.rename_columns(columns), max_bytes):
+                yield fn(part).rename_columns(numbers)
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    safe = T.StructType([T.StructField(n, f.dataType) for n, f in zip(numbers, kind)])
+    sent = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    return sent.mapInArrow(run, safe).toDF(*[f.name for f in kind])
 
 
 def slices(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -78,12 +84,15 @@ def slices(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Itera
 ID_FILTER_BITS = 1 << 26
 
 
-def reduced(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``df`` less most rows whose ``key`` is not in ``ids`` (one long column): what a join need not shuffle.
+def parted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` is surely not in ``ids`` (one long column), and the others.
 
-    A Bloom filter of a fixed 8 MB is put together on the executors and sent out, however
-    many ids there are.  With very many it lets every row through, so a join must follow.
+    So a join with ``ids`` need not shuffle the first part.  A Bloom filter of a fixed 8 MB
+    is put together on the executors and sent out, however many ids there are; with very
+    many, all rows are in the second part, which a join has to look through in any case.
+    A null key is surely not in ``ids``.
     """
+
     def places(values: np.ndarray) -> list[np.ndarray]:
         own = mix(values.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         return [(own >> np.uint64(s)) & np.uint64(ID_FILTER_BITS - 1) for s in (0, 32)]
@@ -108,4 +117,5 @@ def reduced(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
             out &= (sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return pd.Series(out)
 
-    return df.filter(there(F.col(key)))
+    mark = there(F.col(key))
+    return df.filter(~mark), df.filter(mark)

@@ -409,23 +409,23 @@ def metric_gate(metrics: DataFrame, minimums: Mapping[str, float]) -> DataFrame:
 # ----------------------------------------------------------------------- counterfactual
 
 
-def counterfactuals(df: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+def counterfactuals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each row once per other value of each sensitive column.
 
-    ``columns`` maps a column to its values, taken with ``features.distinct_values``.
-    The values are literals in the plan, so nothing is joined.
+    The values of a column are one array that every row is exploded by, found by the same
+    plan; so nothing is collected, and there is no limit on their number.
     """
     out = None
-    for c, values in columns.items():
-        alt = F.explode(F.array(*[F.lit(v) for v in values]))
-        d = df.withColumn("__alt", alt).where(~F.col("__alt").eqNullSafe(F.col(c)))
+    for c in columns:
+        values = df.agg(F.sort_array(F.collect_set(c))).scalar()
+        d = df.withColumn("__alt", values).withColumn("__alt", F.explode("__alt")).where(~F.col("__alt").eqNullSafe(F.col(c)))
         d = d.withColumn("flipped", F.lit(c)).withColumn("original_value", F.col(c)).withColumn(c, F.col("__alt")).drop("__alt")
         out = d if out is None else out.unionByName(d)
     return out
 
 
 def counterfactual_sensitivity(
-    df: DataFrame, item: str, columns: Mapping[str, Sequence[str]], predict: Callable[[DataFrame], DataFrame], limit: float = 0.05
+    df: DataFrame, item: str, columns: Sequence[str], predict: Callable[[DataFrame], DataFrame], limit: float = 0.05
 ) -> tuple[DataFrame, DataFrame]:
     """Largest prediction change per row, and the share of sensitive rows per feature.
 

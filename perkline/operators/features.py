@@ -172,14 +172,6 @@ def one_hot(column: str, values: Sequence[str], prefix: str) -> dict[str, Column
     return {f"{prefix}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values}
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct non-null values; raises beyond ``limit`` instead of guessing."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; one-hot columns are not the right shape")
-    return sorted(str(r[0]) for r in rows)
-
-
 # ------------------------------------------------------------------------------ cards
 
 

@@ -16,25 +16,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ALL = "__all__"
-_ZERO_AT = 10_000_000
+CHUNKS = 256
+_DRAWN_PER_CHUNK = 4
 
 
-def value_chunk(value: Column, resolution: int = 256) -> Column:
-    """An integer that never decreases as ``value`` grows.
+def range_chunk(df: DataFrame, value: str, out: str, chunks: int = CHUNKS) -> DataFrame:
+    """``df`` with ``out``: an integer that never decreases as ``value`` grows, null for null.
 
-    Buckets are logarithmic, so each holds values within 1/``resolution`` of one
-    another, whatever the scale of the data.  There are at most about 380,000 of them.
+    The bounds are distinct values of ``df`` itself, drawn in the order of their hashes, so
+    the chunks hold about equally many distinct values whatever their scale, offset or
+    type, and every evaluation finds the same bounds.
     """
-    size = F.floor(F.log(F.abs(value)) * F.lit(resolution)) + F.lit(_ZERO_AT)
-    edge = F.lit(2 * _ZERO_AT)
-    return (
-        F.when(value == 0, F.lit(0))
-        .when(value == float("inf"), edge)
-        .when(value == float("-inf"), -edge)
-        .when(value > 0, size)
-        .otherwise(-size)
-        .cast("long")
-    )
+    drawn = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__s")).distinct()
+    drawn = drawn.orderBy(F.xxhash64("__s"), "__s").limit(_DRAWN_PER_CHUNK * chunks)
+    every = drawn.agg(F.sort_array(F.collect_list("__s")).alias("b")).select(F.filter("b", lambda x, i: i % _DRAWN_PER_CHUNK == 0))
+    return df.withColumn("__bounds", every.scalar()).withColumn(out, F.size(F.filter("__bounds", lambda b: b <= F.col(value)))).drop("__bounds")
 
 
 def _keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -57,7 +53,7 @@ def pick_ranks(
     groups: Sequence[str],
     value: str,
     ranks: Mapping[str, "callable"],
-    resolution: int = 256,
+    chunks: int = CHUNKS,
 ) -> DataFrame:
     """Exact order statistics: one column per entry of ``ranks``.
 
@@ -72,8 +68,8 @@ def pick_ranks(
         .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__b", value_chunk(F.col("__v"), resolution))
     )
+    counts = range_chunk(counts, "__v", "__b", chunks)
     per_bucket = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
     over = W.partitionBy(*keys).orderBy("__b")
     placed = per_bucket.withColumn(
@@ -178,8 +174,12 @@ def row_index(
     return running_before(df, keys, chunk, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1)
 
 
-def hash_chunk(h: Column, bits: int = 10) -> Column:
-    """Leading bits of a 64-bit hash: an even, order-keeping chunk for hash order."""
+def hash_chunk(h: Column, bits: int = 20) -> Column:
+    """Leading bits of a 64-bit hash: an even, order-keeping chunk for hash order.
+
+    A million chunks per group at most, so a task sorts a millionth of a group; a small
+    group has no more chunks than rows.
+    """
     return F.shiftright(h, 64 - bits)
 
 
@@ -254,7 +254,7 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequenc
     ``counts`` has one row per (key, value).  Adds ``cum_<name>`` and ``all_<name>``.
     """
     d, ks = _keys(counts, keys)
-    d = d.withColumn("__b", value_chunk(F.col(value)))
+    d = range_chunk(d, value, "__b")
     local = W.partitionBy(*ks, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     over = W.partitionBy(*ks).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     per = d.groupBy(*ks, "__b").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])

@@ -16,7 +16,6 @@ from perkline.operators import ordered
 
 MISSING = "<MISSING>"
 UNKNOWN = "<UNKNOWN>"
-MAX_CATEGORIES = 10_000
 PARAM_SCHEMA = "dataset string, column string, method string, position int, text string, num double"
 
 
@@ -66,7 +65,8 @@ def fit(df: DataFrame, plan: Plan, dataset: str) -> DataFrame:
             )
         )
         seen = df.select(pairs.alias("p")).select("p.*").distinct()
-        placed = ordered.row_index(seen, ["column", "method"], F.substring("text", 1, 2), [F.col("text")], "i")
+        seen = ordered.range_chunk(seen, "text", "__range")
+        placed = ordered.row_index(seen, ["column", "method"], F.col("__range"), [F.col("text")], "i")
         parts.append(
             placed.select(
                 F.lit(dataset).alias("dataset"), "column", "method", (F.col("i") - 1).cast("int").alias("position"), "text",
@@ -80,10 +80,11 @@ def fit(df: DataFrame, plan: Plan, dataset: str) -> DataFrame:
 
 
 def collect_params(params: DataFrame, dataset: str) -> dict:
-    """Parameters as plain values; raises when a column has too many categories."""
-    rows = params.where(F.col("dataset") == dataset).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError("too many categories to apply as columns; use label_join")
+    """Parameters of the methods that shape columns: two numbers, or the names of one-hot columns.
+
+    Label codes stay a table, see :func:`label_join`.
+    """
+    rows = params.where((F.col("dataset") == dataset) & (F.col("method") != "label")).collect()
     book: dict = {}
     for r in sorted(rows, key=lambda r: (r["column"], r["method"], r["position"])):
         book.setdefault((r["column"], r["method"]), []).append(r["text"] if r["text"] is not None else r["num"])
@@ -108,35 +109,23 @@ def transform(df: DataFrame, params: Mapping) -> DataFrame:
         elif (c, "onehot") in params:
             text = F.coalesce(v.cast("string"), F.lit(MISSING))
             cols += [(text == F.lit(k)).cast("int").alias(f"{c}_{k}") for k in params[(c, "onehot")]]
-        elif (c, "label") in params:
-            book = F.create_map(*[x for i, k in enumerate(params[(c, "label")]) for x in (F.lit(k), F.lit(i))])
-            cols.append(F.coalesce(F.try_element_at(book, F.coalesce(v.cast("string"), F.lit(MISSING))), F.lit(-1)).alias(c))
         else:
             cols.append(v)
     return df.select(*cols)
 
 
-def inverse_label(code: Column, classes: Sequence[str]) -> Column:
-    arr = F.array(*[F.lit(c) for c in classes])
-    return F.coalesce(F.when(code >= 0, F.try_element_at(arr, code.cast("int") + 1)), F.lit(UNKNOWN))
+def _classes(params: DataFrame, dataset: str, column: str) -> DataFrame:
+    chosen = params.where((F.col("dataset") == dataset) & (F.col("column") == column) & (F.col("method") == "label"))
+    return chosen.select(F.col("text").alias("__t"), F.col("position").alias("__code"))
 
 
 def label_join(df: DataFrame, params: DataFrame, dataset: str, column: str) -> DataFrame:
-    """Label encoding for columns of any cardinality, as a join with the class table."""
-    classes = params.where((F.col("dataset") == dataset) & (F.col("column") == column) & (F.col("method") == "label"))
-    classes = classes.select(F.col("text").alias("__t"), F.col("position").alias("__code"))
+    """Label codes for a column of any cardinality, as a join with the class table; -1 for unknown."""
     d = df.withColumn("__t", F.coalesce(F.col(column).cast("string"), F.lit(MISSING)))
-    return d.join(classes, "__t", "left").withColumn(column, F.coalesce("__code", F.lit(-1))).drop("__t", "__code")
-
+    return d.join(_classes(params, dataset, column), "__t", "left").withColumn(column, F.coalesce("__code", F.lit(-1))).drop("__t", "__code")
 
-def describe_params(params: DataFrame) -> DataFrame:
-    """How many columns and values each method holds per dataset."""
-    return params.groupBy("dataset", "method").agg(F.count_distinct("column").alias("columns"), F.count(F.lit(1)).alias("values"))
 
-
-def fit_all(tables: Mapping[str, DataFrame], plans: Mapping[str, Plan]) -> DataFrame:
-    out = None
-    for name, df in tables.items():
-        p = fit(df, plans[name], name)
-        out = p if out is None else out.unionByName(p)
-    return out
+def inverse_label(df: DataFrame, params: DataFrame, dataset: str, column: str, code: str, out: str) -> DataFrame:
+    """The class behind each code, as a join; unknown codes give ``<UNKNOWN>``."""
+    found = _classes(params, dataset, column)
+    return df.join(found, F.col(code) == F.col("__code"), "left").withColumn(out, F.coalesce("__t", F.lit(UNKNOWN))).drop("__t", "__code")

@@ -4,8 +4,10 @@ Two shapes of the same arithmetic:
 
 * a *portfolio* is a short list of cards the caller names.  It becomes a literal rate
   book inside the plan, so scoring is a map lookup per transaction with no join.
-* a *card table* of any size meets its spend rows through an equi join, and the
-  expressions below work on its columns.
+* a *card table* of any size becomes a small table of the best cards per category,
+  quarter and foreign flag (:func:`best_by_category`), which purchases meet in an equi
+  join; or it meets its spend rows through an equi join and the expressions below work
+  on its columns.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 from perkline import dims
 from perkline.operators import ordered
 
-MAX_LITERAL_CARDS = 500
 DEFAULT_RATE = 1.0
 
 
@@ -161,13 +162,6 @@ def effective_rate(reward: Column, amount: Column) -> Column:
 # ------------------------------------------------------------------ literal portfolio
 
 
-def _check_portfolio(cards: Sequence[Card]) -> None:
-    if len(cards) > MAX_LITERAL_CARDS:
-        raise ValueError(
-            f"{len(cards)} cards do not belong in a plan literal; keep them as a table and use score_card_table"
-        )
-
-
 def _categories(cards: Sequence[Card]) -> list[str]:
     return sorted(
         {k for c in cards for k in [*c.bonuses, *c.caps, *c.credits, *[x for v in c.rotating.values() for x in v[0]]]}
@@ -176,7 +170,6 @@ def _categories(cards: Sequence[Card]) -> list[str]:
 
 def _book(cards: Sequence[Card], page, category: Column, day: Column | None) -> Column:
     """Literal map from category (and quarter, where bonuses rotate) to ``page(category, quarter)``."""
-    _check_portfolio(cards)
     quarters = sorted({q for c in cards for q in c.rotating}) if day is not None else []
     keyed = [(cat if q is None else f"{cat}|{q}", page(cat, q)) for cat in _categories(cards) for q in [None, *quarters]]
     fallback = page("", None)
@@ -210,12 +203,13 @@ def rate_book(cards: Sequence[Card], category: Column, day: Column | None = None
     return _book(cards, lambda cat, q: F.array(*[entry(c, cat, q) for c in cards]), category, day)
 
 
-def ranked_book(cards: Sequence[Card], amount: Column, category: Column, day: Column | None = None, top_k: int | None = None) -> Column:
+def ranked_by_rate(cards: Sequence[Card], amount: Column, category: Column, day: Column | None = None, top_k: int | None = None) -> Column:
     """Cards of a purchase in rank order, taken from orders fixed in the plan.
 
-    A reward is the amount times a rate, so the order for a category depends on the
-    amount only through its sign: rates descending, ascending for a refund, and fees
-    alone for a zero or missing amount.  Equal rewards go by fee, then card id.
+    For purchases whose reward is the amount times a rate and nothing else, so the order
+    for a category depends on the amount only through its sign: rates descending,
+    ascending for a refund, and fees alone for a zero or missing amount.  Equal rewards
+    go by fee, then card id.
     """
 
     def order(cat: str, q: str | None, sign: int) -> Column:
@@ -234,7 +228,53 @@ def ranked_book(cards: Sequence[Card], amount: Column, category: Column, day: Co
         return F.struct(order(cat, q, 1).alias("earn"), order(cat, q, -1).alias("refund"), order(cat, q, 0).alias("nothing"))
 
     orders = _book(cards, page, category, day)
-    return F.when(amount > 0, orders["earn"]).when(amount < 0, orders["refund"]).otherwise(orders["nothing"])
+    found = F.when(amount > 0, orders["earn"]).when(amount < 0, orders["refund"]).otherwise(orders["nothing"])
+    return F.transform(found, lambda c: c.withField("reward", reward_amount(amount, c["rate"])))
+
+
+def net_reward(card: Column, amount: Column, foreign: Column | None, amortize_months: int | None, with_credits: bool, spent: Column | None = None) -> Column:
+    """What one card of a rate book earns on a purchase after fees, credits and caps.
+
+    ``spent`` is the spend of the bucket before the purchase: a card whose cap is reached,
+    or has less left than the amount, earns its base rate there.
+    """
+    rate = card["rate"]
+    if spent is not None:
+        remaining = F.greatest(card["cap"] - spent, F.lit(0.0))
+        rate = F.when((remaining <= 0) | (remaining < amount), card["base_rate"]).otherwise(rate)
+    out = reward_amount(amount, rate, foreign, card["foreign_fee_pct"], card["annual_fee"], amortize_months)
+    if with_credits:
+        credit = credit_per_purchase(amount, card["credit"], card["credit_frequency"])
+        out = out + F.when(card["credit"] > 0, credit).otherwise(F.lit(0.0))
+    return out
+
+
+def ranked_by_reward(
+    cards: Sequence[Card], amount: Column, category: Column, day: Column | None = None, top_k: int | None = None,
+    foreign: Column | None = None, amortize_months: int | None = None, with_credits: bool = False, spent: Column | None = None,
+) -> Column:
+    """Cards of a purchase ordered by what they earn net, inside the row: reward, lower fee, card id."""
+    entries = F.transform(
+        rate_book(cards, category, day),
+        lambda c: F.struct(
+            (-F.coalesce(net_reward(c, amount, foreign, amortize_months, with_credits, spent), F.lit(0.0))).alias("less"),
+            c["annual_fee"].alias("annual_fee"), c["card_id"].alias("card_id"), c["card_name"].alias("card_name"), c["rate"].alias("rate"),
+            net_reward(c, amount, foreign, amortize_months, with_credits, spent).alias("reward"),
+        ),
+    )
+    ranked = F.sort_array(entries)
+    return F.slice(ranked, 1, top_k) if top_k else ranked
+
+
+def _ranked(txns: DataFrame, cards: Sequence[Card], top_k, amount, category, day, foreign, amortize_months, with_credits, spent) -> Column:
+    """The lookup where a reward is a rate times the amount, the order inside the row where more counts."""
+    day_col = F.col(day) if day else None
+    abroad = (F.col(foreign) == 1) if foreign and foreign in txns.columns and any(c.foreign_fee_pct for c in cards) else None
+    capped = F.col(spent) if spent and any(c.caps for c in cards) else None
+    credits = with_credits and any(c.credits for c in cards)
+    if abroad is None and capped is None and not credits and not amortize_months:
+        return ranked_by_rate(cards, F.col(amount), F.col(category), day_col, top_k)
+    return ranked_by_reward(cards, F.col(amount), F.col(category), day_col, top_k, abroad, amortize_months, credits, capped)
 
 
 def score_portfolio(
@@ -284,19 +324,24 @@ def rank_portfolio(
     amount: str = "amount",
     category: str = "category",
     day: str | None = "txn_date",
+    foreign: str | None = "is_foreign",
+    amortize_months: int | None = None,
+    with_credits: bool = False,
+    spent: str | None = None,
 ) -> DataFrame:
-    """Ranked cards per purchase: reward first, then lower fee, then card id.
+    """Ranked cards per purchase: net reward first, then lower fee, then card id.
 
-    The order is looked up, not sorted, so ranking needs neither a shuffle nor a sort.
+    The net reward counts the foreign fee, the amortised annual fee, credits and, with
+    ``spent``, caps.  Ranking needs neither a shuffle nor a sort across rows.
     """
-    ranked = ranked_book(cards, F.col(amount), F.col(category), F.col(day) if day else None, top_k)
+    ranked = _ranked(txns, cards, top_k, amount, category, day, foreign, amortize_months, with_credits, spent)
     return txns.select("*", F.posexplode(ranked).alias("__p", "__c")).select(
         *txns.columns,
         (F.col("__p") + 1).alias("rank"),
         F.col("__c.card_id").alias("card_id"),
         F.col("__c.card_name").alias("card_name"),
         F.col("__c.annual_fee").alias("annual_fee"),
-        reward_amount(F.col(amount), F.col("__c.rate")).alias("reward_amount"),
+        F.col("__c.reward").alias("reward_amount"),
     )
 
 
@@ -306,15 +351,45 @@ def best_card(
     amount: str = "amount",
     category: str = "category",
     day: str | None = "txn_date",
+    foreign: str | None = "is_foreign",
+    amortize_months: int | None = None,
+    with_credits: bool = False,
+    spent: str | None = None,
 ) -> DataFrame:
-    """The top card of each purchase: one lookup per row."""
-    top = ranked_book(cards, F.col(amount), F.col(category), F.col(day) if day else None, 1)[0]
-    return (
-        txns.withColumn("__b", top)
-        .withColumn("best_card_id", F.col("__b.card_id"))
-        .withColumn("best_reward", reward_amount(F.col(amount), F.col("__b.rate")))
-        .drop("__b")
-    )
+    """The card of each purchase with the highest net reward."""
+    top = F.get(_ranked(txns, cards, 1, amount, category, day, foreign, amortize_months, with_credits, spent), F.lit(0))
+    return txns.withColumn("__b", top).withColumn("best_card_id", F.col("__b.card_id")).withColumn("best_reward", F.col("__b.reward")).drop("__b")
+
+
+# ------------------------------------------------------------------------ card tables
+
+
+def best_by_category(cards: DataFrame, top_k: int = 10) -> DataFrame:
+    """The best ``top_k`` cards per category and foreign flag, by the net share of an amount.
+
+    ``cards`` has card_id, annual_fee, base_rate, bonuses (map of category to rate) and
+    foreign_fee_pct, and may have any number of rows.  The category ``""`` stands for all
+    without a bonus anywhere.  A reward is the amount times the net rate, so this order
+    holds for every purchase; the result has 2 * (categories + 1) * top_k rows.
+    """
+    base = cards.select("card_id", "annual_fee", F.coalesce("base_rate", F.lit(DEFAULT_RATE)).alias("base_rate"), "bonuses", F.coalesce("foreign_fee_pct", F.lit(0.0)).alias("fee"))
+    named = cards.select(F.explode(F.map_keys("bonuses")).alias("k")).agg(F.array_union(F.array(F.lit("")), F.sort_array(F.collect_set("k")))).scalar()
+    paged = base.withColumn("category", named).withColumn("category", F.explode("category")).withColumn("foreign", F.explode(F.array(F.lit(False), F.lit(True))))
+    rate = F.coalesce(F.try_element_at("bonuses", F.col("category")), F.col("base_rate"))
+    net = paged.withColumn("rate", rate).withColumn("net_rate", F.col("rate") - F.when(F.col("foreign"), F.col("fee")).otherwise(F.lit(0.0)))
+    order = W.partitionBy("category", "foreign").orderBy(F.desc("net_rate"), "annual_fee", "card_id")
+    return net.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("category", "foreign", "rank", "card_id", "annual_fee", "rate", "net_rate")
+
+
+def rank_card_table(txns: DataFrame, cards: DataFrame, top_k: int = 10, amount: str = "amount", category: str = "category", foreign: str = "is_foreign") -> DataFrame:
+    """Ranked cards of a table of any size per purchase with a positive amount."""
+    best = best_by_category(cards, top_k)
+    known = best.where(F.col("rank") == 1).select(F.col("category").alias("__known")).distinct()
+    spend = txns.where(F.col(amount) > 0).withColumn("__foreign", F.coalesce(F.col(foreign) == 1, F.lit(False)))
+    keyed = spend.join(known, F.col(category) == F.col("__known"), "left").withColumn("__page", F.coalesce("__known", F.lit("")))
+    pages = best.select(F.col("category").alias("__page"), F.col("foreign").alias("__foreign"), "rank", "card_id", "annual_fee", "net_rate")
+    out = keyed.join(pages, ["__page", "__foreign"])
+    return out.select(*txns.columns, "rank", "card_id", "annual_fee", (F.col(amount) * F.col("net_rate") / 100).alias("reward_amount"))
 
 
 # ------------------------------------------------------------------------- spend caps
@@ -409,7 +484,6 @@ def wallet(user_cards: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def finder(users: DataFrame, user_cards: DataFrame, cards: Sequence[Card]) -> DataFrame:
     """(user, card) pairs of the catalogue that the user has not saved."""
-    _check_portfolio(cards)
     offered = users.select("user_id", F.explode(F.array(*[F.lit(c.card_id) for c in cards])).alias("card_id"))
     return offered.join(user_cards.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
 

@@ -264,6 +264,5 @@ def _predict(d):
 )
 def counterfactual_sensitivity(t):
     p = t("predictions")
-    values = {c: features.distinct_values(p, c) for c in ("segment", "source")}
-    _, share = fa.counterfactual_sensitivity(p, "item_id", values, _predict)
+    _, share = fa.counterfactual_sensitivity(p, "item_id", ("segment", "source"), _predict)
     return share.select("feature", "flips", R("sensitivity"))

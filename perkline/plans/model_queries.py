@@ -28,8 +28,8 @@ def _src(t):
 )
 def scaled_features(t):
     d = _src(t)
-    book = scaling.collect_params(scaling.fit(d, PLAN, "users"), "users")
-    out = scaling.transform(d, book)
+    params = scaling.fit(d, PLAN, "users")
+    out = scaling.label_join(scaling.transform(d, scaling.collect_params(params, "users")), params, "users", "archetype")
     return out.select("user_id", R("monthly_budget"), R("num"), "flat", F.col("location_type_<MISSING>").alias("missing"), F.col("location_type_rural").alias("rural"), "archetype")
 
 
@@ -58,9 +58,8 @@ def label_codes(t):
     d = _src(t)
     known = d.where("num < 3 AND archetype <> 'high_roller'")
     params = scaling.fit(known, scaling.Plan(label=["archetype"]), "users")
-    classes = scaling.collect_params(params, "users")[("archetype", "label")]
-    out = scaling.label_join(d, params, "users", "archetype")
-    return out.select("user_id", F.col("archetype").alias("code"), scaling.inverse_label(F.col("archetype"), classes).alias("back"))
+    out = scaling.label_join(d, params, "users", "archetype").select("user_id", F.col("archetype").alias("code"))
+    return scaling.inverse_label(out, params, "users", "archetype", "code", "back")
 
 
 def _frame(t, folder=None):

@@ -22,6 +22,20 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Tables of one scale folder by name."""
+
+    spark: SparkSession
+    folder: str
+
+    def __call__(self, table: str) -> DataFrame:
+        return tables.load(self.spark, self.folder, table)
+
+    def path(self, table: str) -> str:
+        return f"{self.folder.rstrip('/')}/{table}.parquet"
+
+
 def query(name: str, covers: str, sql: str | None = None, reads: str = ""):
     """Register ``fn(t)`` where ``t("table")`` loads a table of the scale folder.
 
@@ -30,7 +44,7 @@ def query(name: str, covers: str, sql: str | None = None, reads: str = ""):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda table: tables.load(spark, sf_dir, table))
+            return fn(Tables(spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

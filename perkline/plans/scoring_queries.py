@@ -133,6 +133,60 @@ def rewards_with_fees_and_credits(t):
     )
 
 
+@query(
+    "net_ranked_cards",
+    "WIN2 WIN3 RWD2 RWD3 RWD7",
+    """, f AS (SELECT *, 'Q' || quarter(txn_date) AS q FROM transactions),
+  s AS (
+   SELECT transaction_id, tie_break, 'rotator' AS card_id, 0.0 AS fee, amount, CASE WHEN amount = 0 THEN 0 ELSE amount * ((CASE WHEN q = 'Q1' AND category IN ('groceries','gas') THEN 5.0 WHEN q = 'Q3' AND category = 'dining' THEN 5.0 WHEN category = 'gas' THEN 2.0 ELSE 1.0 END)::DOUBLE / 100) - CASE WHEN is_foreign = 1 THEN amount * (3.0::DOUBLE / 100) ELSE 0 END END AS reward FROM f
+   UNION ALL
+   SELECT transaction_id, tie_break, 'credits', 240.0, amount, CASE WHEN amount = 0 THEN 0 ELSE amount * ((CASE WHEN category = 'dining' THEN 3.0 ELSE 1.5 END)::DOUBLE / 100) - 240.0::DOUBLE / 12 / 30 END
+     + CASE category WHEN 'dining' THEN least(10.0::DOUBLE / 4, amount) WHEN 'travel' THEN least(50.0::DOUBLE / 48, amount) WHEN 'gas' THEN least(30.0::DOUBLE / 12, amount) WHEN 'other' THEN least(8.0::DOUBLE / 4, amount) ELSE 0 END FROM f
+   UNION ALL
+   SELECT transaction_id, tie_break, 'bare', 95.0, amount, CASE WHEN amount = 0 THEN 0 ELSE amount * (1.0::DOUBLE / 100) - 95.0::DOUBLE / 12 / 30 END FROM f),
+  r AS (SELECT *, row_number() OVER (PARTITION BY transaction_id, tie_break ORDER BY reward DESC, fee, card_id) AS rnk FROM s)
+  SELECT card_id, rnk::INT AS rank, count(*) AS n, round(sum(reward), 6) AS total_reward FROM r GROUP BY 1, 2""",
+    "transactions",
+)
+def net_ranked_cards(t):
+    """Cards of each purchase by what they earn after foreign fees, amortised fees and credits."""
+    r = sc.rank_portfolio(t("transactions"), FEATURED, amortize_months=12, with_credits=True)
+    return r.groupBy("card_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_amount"), 6).alias("total_reward"))
+
+
+def _catalogue(t):
+    """The curated cards and every card of the feeds, with any rates they give."""
+    feed = t("card_feed").select(
+        F.concat_ws("_", "source", "ord").alias("card_id"), F.greatest("annual_fee", F.lit(0.0)).alias("annual_fee"), F.expr("try_cast(base_reward_rate AS DOUBLE)").alias("base_rate"),
+        F.when(F.col("ord") % 5 == 0, F.create_map(F.lit("dining"), (F.col("ord") % 7).cast("double"))).otherwise(F.create_map().cast("map<string,double>")).alias("bonuses"),
+        F.when(F.col("ord") % 3 == 0, F.lit(2.7)).otherwise(F.lit(0.0)).alias("foreign_fee_pct"),
+    )
+    rows = [(c.card_id, c.annual_fee, c.base_rate, dict(c.bonuses), c.foreign_fee_pct) for c in sc.curated_portfolio()]
+    curated = t.spark.createDataFrame(rows, "card_id string, annual_fee double, base_rate double, bonuses map<string,double>, foreign_fee_pct double")
+    return feed.unionByName(curated)
+
+
+@query(
+    "catalog_ranked_cards",
+    "JON6 RWD10 RWD13 TOP1",
+    f""", {CARD_CTES},
+  c AS (SELECT source || '_' || ord AS card_id, greatest(annual_fee, 0.0)::DOUBLE AS annual_fee, coalesce(try_cast(base_reward_rate AS DOUBLE), 1.0) AS base_rate, CASE WHEN ord % 3 = 0 THEN 2.7::DOUBLE ELSE 0 END AS fee FROM card_feed
+        UNION ALL SELECT card_id, annual_fee, base_rate, 0 FROM cat_cards),
+  b AS (SELECT source || '_' || ord AS card_id, 'dining' AS category, (ord % 7)::DOUBLE AS rate FROM card_feed WHERE ord % 5 = 0 UNION ALL SELECT * FROM cat_bonus),
+  k AS (SELECT DISTINCT category FROM b UNION ALL SELECT ''),
+  n AS (SELECT k.category, x.abroad, c.card_id, c.annual_fee, coalesce(b.rate, c.base_rate) - CASE WHEN x.abroad THEN c.fee ELSE 0 END AS net
+        FROM c CROSS JOIN k CROSS JOIN (VALUES (true), (false)) x(abroad) LEFT JOIN b ON b.card_id = c.card_id AND b.category = k.category),
+  r AS (SELECT *, row_number() OVER (PARTITION BY category, abroad ORDER BY net DESC, annual_fee, card_id) AS rnk FROM n QUALIFY rnk <= 10)
+  SELECT r.card_id, r.rnk::INT AS rank, count(*) AS n, round(sum(t.amount * net / 100), 6) AS total_reward
+  FROM transactions t JOIN r ON r.category = CASE WHEN t.category IN (SELECT category FROM k) THEN t.category ELSE '' END AND r.abroad = (t.is_foreign = 1) WHERE t.amount > 0 GROUP BY 1, 2""",
+    "transactions card_feed",
+)
+def catalog_ranked_cards(t):
+    """The ten best cards of the whole catalogue for every purchase, the catalogue being a table."""
+    r = sc.rank_card_table(t("transactions"), _catalogue(t))
+    return r.groupBy("card_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_amount"), 6).alias("total_reward"))
+
+
 CAPPED = [
     sc.Card("gold", "Gold", 250.0, 1.0, {"dining": 4.0, "groceries": 4.0}, caps={"dining": 1500.0, "groceries": 2500.0}),
     sc.Card("flat", "Flat", 0.0, 2.0),

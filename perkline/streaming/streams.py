@@ -17,7 +17,7 @@ from perkline.operators import monitoring, quality
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", only: str | None = None, max_files: int = 1000) -> DataFrame:
-    """New files of a folder as they arrive; ``only`` keeps matching file names."""
+    """New files at ``path`` (a folder or a pattern) as they arrive; ``only`` keeps matching file names."""
     r = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
     if only:
         r = r.option("pathGlobFilter", only)
@@ -112,16 +112,17 @@ def spend_before(
     return d.groupBy(*keys).applyInPandasWithState(step, schema, CAP_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (), timeout: int = 600) -> DataFrame:
-    """Process all available input into Parquet files and return them as a table."""
+def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Process all available input into Parquet files and return them as a table.
+
+    Waits until everything is processed, however long that takes; a failure raises.
+    """
     w = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(*partition_by)
     q = w.trigger(availableNow=True).start()
     try:
-        q.awaitTermination(timeout)
-        if q.exception():
-            raise q.exception()
+        q.awaitTermination()
     finally:
         q.stop()
     return df.sparkSession.read.schema(df.schema).parquet(path)

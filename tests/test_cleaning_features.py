@@ -142,9 +142,6 @@ def test_quartiles_are_value_cuts(spark):
 def test_one_hot_nulls_are_zero(spark):
     df = spark.createDataFrame([("a",), (None,), ("z",)], "c string").withColumns(features.one_hot("c", ["a", "b"], "c"))
     assert [(r["c_a"], r["c_b"]) for r in df.collect()] == [(1, 0), (0, 0), (0, 0)]
-    assert features.distinct_values(df, "c") == ["a", "z"]
-    with pytest.raises(ValueError):
-        features.distinct_values(df, "c", limit=1)
 
 
 def test_missing_columns_are_a_plan_time_error(spark):

@@ -57,11 +57,21 @@ def test_infinities_are_ordered_and_nan_is_missing(spark):
     assert (r["n_values"], r["lo"], r["hi"]) == (3, float("-inf"), float("inf"))
 
 
-def test_value_chunk_never_decreases(spark):
-    vals = sorted([0.0, 1e-300, -1e-300, 1e300, -1e300, *[random.Random(1).uniform(-1e4, 1e4) for _ in range(500)]])
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
-    chunks = [r["c"] for r in df.select("i", ordered.value_chunk(F.col("v")).alias("c")).orderBy("i").collect()]
+@pytest.mark.parametrize("name", ["log", "epoch", "ids", "offset"])
+def test_range_chunk_follows_the_data(spark, name):
+    rnd = random.Random(1)
+    vals = {
+        "log": [0.0, 1e-300, -1e-300, 1e300, -1e300, *[rnd.uniform(-1e4, 1e4) for _ in range(995)]],
+        "epoch": [1.7e9 + 60.0 * i for i in range(10_000)],
+        "ids": [float(i) for i in range(20_000)],
+        "offset": [0.0, *[1e12 + i for i in range(9_999)]],
+    }[name]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    chunks = [r["c"] for r in ordered.range_chunk(df, "v", "c").orderBy("v").collect()]
     assert chunks == sorted(chunks)
+    assert len(set(chunks)) > 200 and max(chunks.count(c) for c in set(chunks)) < len(vals) / 25
+    got = ordered.quantiles(df, [], "v", {"a": 0.1, "b": 0.5, "c": 0.999}).first()
+    assert all(_close(got[k], _quantile(vals, p)) for k, p in (("a", 0.1), ("b", 0.5), ("c", 0.999)))
 
 
 def test_running_before_and_row_index(skewed):

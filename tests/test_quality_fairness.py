@@ -121,17 +121,26 @@ def test_scaling_round_trip(spark, tmp_path):
     scaling.fit(df, plan, "t").write.parquet(str(tmp_path / "params"))
     params = spark.read.parquet(str(tmp_path / "params"))
     book = scaling.collect_params(params, "t")
-    out = scaling.transform(df, book)
+    out = scaling.label_join(scaling.transform(df, book), params, "t", "d").orderBy("a")
     assert out.columns == ["a", "b", "c_<MISSING>", "c_x", "c_y", "d"]
     first = out.first()
     assert first["a"] == pytest.approx(-2 / math.sqrt(8 / 3)) and first["b"] == 0.0 and (first["c_x"], first["d"]) == (1, 0)
     unseen = spark.createDataFrame([(1.0, 3.0, "new", "zz")], df.schema)
     r = scaling.transform(unseen, book).first()
-    assert (r["c_x"], r["c_y"], r["c_<MISSING>"], r["d"]) == (0, 0, 0, -1)
+    assert (r["c_x"], r["c_y"], r["c_<MISSING>"]) == (0, 0, 0)
     assert scaling.label_join(unseen, params, "t", "d").first()["d"] == -1
-    back = out.select(scaling.inverse_label(F.col("d"), book[("d", "label")]).alias("x"))
+    back = scaling.inverse_label(out, params, "t", "d", "d", "x").orderBy("a")
     assert [x["x"] for x in back.collect()] == ["p", "q", "p"]
-    assert scaling.describe_params(params).where("method = 'label'").first()["values"] == 2
+    many = spark.createDataFrame([(f"user_{i:06d}",) for i in range(20_000)], "d string")
+    wide = scaling.fit(many, scaling.Plan(label=["d"]), "m")
+    coded = scaling.label_join(many.withColumn("text", F.col("d")), wide, "m", "d").collect()
+    assert all(r["d"] == int(r["text"][5:]) for r in coded) and len(coded) == 20_000
+
+
+def test_flips_take_any_number_of_values(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(1200)], "id long, c string").where("id < 1200")
+    assert fairness.counterfactuals(df.where("id < 40"), ["c"]).count() == 40 * 39
+    assert fairness.counterfactuals(df, ["c"]).groupBy("id").count().where("count = 1199").count() == 1200
 
 
 def test_split_is_stratified_and_exact(spark):

@@ -159,10 +159,33 @@ def test_default_spend_scales():
     assert s["groceries"] == 800.0 and sum(s.values()) == pytest.approx(2000.0)
 
 
-def test_large_portfolios_are_refused(spark):
+def test_ranking_counts_the_foreign_fee(spark):
+    cards = [sc.Card("a", base_rate=2.0, foreign_fee_pct=3.0), sc.Card("b", base_rate=1.5)]
+    t = spark.createDataFrame([(1, 100.0, "x", JAN, 1), (2, 100.0, "x", JAN, 0)], "id int, amount double, category string, txn_date date, is_foreign int")
+    assert {r["id"]: (r["best_card_id"], round(r["best_reward"], 6)) for r in sc.best_card(t, cards).collect()} == {1: ("b", 1.5), 2: ("a", 2.0)}
+    assert [r["card_id"] for r in sc.rank_portfolio(t, cards).where("id = 1").orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_ranking_counts_credits_amortised_fees_and_caps(spark):
+    cards = [sc.Card("gold", annual_fee=360.0, base_rate=1.0, bonuses={"gas": 4.0}, caps={"gas": 500.0}, credits={"zoo": (8.0, "monthly")}), sc.Card("flat", base_rate=1.5)]
+    t = spark.createDataFrame([(1, 200.0, "gas", 100.0), (2, 200.0, "gas", 400.0), (3, 10.0, "gas", 0.0), (4, 10.0, "zoo", 0.0)], "id int, amount double, category string, spent double")
+    got = {r["id"]: r["best_card_id"] for r in sc.best_card(t, cards, day=None, amortize_months=12, with_credits=True, spent="spent").collect()}
+    assert got == {1: "gold", 2: "flat", 3: "flat", 4: "gold"}
+
+
+def test_portfolios_have_no_size_limit(spark):
     t = spark.createDataFrame([(1.0, "gas")], "amount double, category string")
-    with pytest.raises(ValueError):
-        sc.best_card(t, [sc.Card(str(i)) for i in range(sc.MAX_LITERAL_CARDS + 1)], day=None)
+    assert sc.best_card(t, [sc.Card(str(i), base_rate=i / 100) for i in range(600)], day=None).first()["best_card_id"] == "599"
+
+
+def test_card_tables_rank_like_portfolios(spark):
+    own = [sc.Card(f"c{i}", annual_fee=float(i % 4), base_rate=(i % 7) / 2, bonuses={"gas": float(i % 5)} if i % 3 else {}, foreign_fee_pct=float(i % 2) * 2) for i in range(40)]
+    table = spark.createDataFrame([(c.card_id, c.annual_fee, c.base_rate, dict(c.bonuses), c.foreign_fee_pct) for c in own], "card_id string, annual_fee double, base_rate double, bonuses map<string,double>, foreign_fee_pct double")
+    t = spark.createDataFrame([(i, 10.0 + i, c, f) for i, (c, f) in enumerate((c, f) for c in ("gas", "zoo", None) for f in (0, 1, None))], "id int, amount double, category string, is_foreign int")
+    want = [(r["id"], r["rank"], r["card_id"]) for r in sc.rank_portfolio(t, own, top_k=4, day=None).collect()]
+    got = sc.rank_card_table(t, table, top_k=4).collect()
+    assert sorted((r["id"], r["rank"], r["card_id"]) for r in got) == sorted(want)
+    assert sc.rank_card_table(t, table.limit(0)).count() == 0
 
 
 def test_finder_leaves_out_the_wallet(spark):

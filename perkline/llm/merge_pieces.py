@@ -118,7 +118,9 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
-vocabulary = cache(Vocabulary)
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:

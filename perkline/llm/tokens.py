@@ -83,7 +83,9 @@ class _Encoder:
         return b"".join(map(ids.__getitem__, tokens))
 
 
-_encoder = cache(_Encoder)
+@cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def encode_all(path: str, texts: list[str | None]) -> list[bytes]:

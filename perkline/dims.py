@@ -70,6 +70,7 @@ MCC_EXACT = {
     5411: "groceries",
     5912: "drugstores",
 }
+# Fixed value: category of other merchant codes.
 MCC_DEFAULT = "general"
 
 # Issuer spellings mapped to one name.
@@ -125,6 +126,7 @@ ARCHETYPE_BUDGET = {
     "high_roller": (5000.0, 30000.0),
     "category_specialist": (1000.0, 10000.0),
 }
+# Archetypes, age groups, locations and redemption preferences.
 ARCHETYPES = [
     "young_professional",
     "suburban_family",
@@ -189,16 +191,103 @@ MERGE_JUNK_PREFIXES = [
 ]
 CATALOG_JUNK_PREFIXES = ["best for:", "our pick for:", "2026best", "best credit card"]
 
-# Generic merchant words by category, first category in this order wins.  Callers
-# pass their own brand list as a table with the same three columns; see
-# ``operators.scoring.resolve_category``.
-GENERIC_MERCHANT_WORDS = {
-    "dining": ["uber eats", "restaurant", "cafe", "coffee", "bakery", "diner", "grill", "pizza", "sushi", "bistro"],
-    "groceries": ["grocery", "supermarket", "fresh market", "market basket"],
-    "travel": ["hotel", "motel", "resort", "airlines", "uber", "lyft"],
-    "gas": ["gas station", "fuel", "gasoline"],
-    "streaming": ["netflix", "spotify", "prime video"],
-    "entertainment": ["cinema", "theater", "bowling", "arcade"],
-    "online_shopping": ["amazon", "ebay", "etsy"],
-    "drugstore": ["pharmacy", "drug mart"],
+# Merchant keywords by category; the first category in this order wins.
+MERCHANT_WORDS = {
+    "dining": [
+        "doordash", "door dash", "uber eats", "ubereats", "grubhub", "grub hub", "instacart", "seamless", "caviar", "postmates", "gopuff",
+        "mcdonald", "chick-fil-a", "chickfila", "wendy", "burger king", "taco bell", "popeyes", "five guys", "in-n-out", "shake shack", "sonic",
+        "dairy queen", "kfc", "papa john", "domino", "little caesar",
+        "chipotle", "starbucks", "dunkin", "panera", "subway", "panda express", "olive garden", "applebee", "chili", "texas roadhouse", "outback",
+        "cheesecake factory", "denny", "ihop", "waffle house",
+        "restaurant", "cafe", "coffee", "bakery", "diner", "eatery", "steakhouse", "grill", "pizzeria", "pizza", "sushi", "ramen", "taqueria",
+        "bar & grill", "gastropub", "bistro", "brasserie", "cantina", "trattoria",
+    ],
+    "groceries": [
+        "whole foods", "trader joe", "kroger", "safeway", "publix", "wegmans", "aldi", "sprouts", "meijer", "stop & shop", "stop and shop", "giant",
+        "food lion", "heb", "grocery", "supermarket", "market basket", "winco", "piggly wiggly", "fresh market", "albertson", "vons", "ralphs",
+        "tom thumb", "randall", "winn-dixie", "shoprite", "costco", "sam's club", "bj's wholesale",
+    ],
+    "travel": [
+        "delta", "united airlines", "american airlines", "southwest", "jetblue", "alaska airlines", "spirit airlines", "frontier airlines", "hawaiian airlines",
+        "marriott", "hilton", "hyatt", "ihg", "wyndham", "best western", "radisson", "holiday inn", "sheraton", "westin", "ritz-carlton", "four seasons",
+        "kimpton", "motel", "hotel", "resort",
+        "airbnb", "vrbo", "expedia", "booking.com", "hotels.com", "priceline", "kayak", "orbitz", "hotwire", "travelocity",
+        "uber", "lyft", "enterprise", "hertz", "avis", "budget rent", "national car", "alamo", "dollar rent", "amtrak", "greyhound", "megabus",
+    ],
+    "gas": [
+        "shell", "bp", "chevron", "exxon", "mobil", "texaco", "citgo", "marathon", "sunoco", "valero", "arco", "76 gas", "casey", "kwik trip", "wawa",
+        "sheetz", "speedway", "circle k", "gas station", "fuel", "gasoline",
+    ],
+    "streaming": [
+        "netflix", "hulu", "disney+", "disney plus", "hbo", "max", "peacock", "paramount+", "paramount plus", "apple tv", "amazon prime video",
+        "prime video", "crunchyroll", "fubo", "sling", "youtube premium", "spotify", "apple music", "tidal", "pandora", "sirius", "deezer", "audible",
+    ],
+    "entertainment": [
+        "amc", "regal", "cinemark", "imax", "cinema", "theater", "ticketmaster", "stubhub", "eventbrite", "livenation", "live nation", "seatgeek",
+        "gamestop", "playstation", "xbox", "nintendo", "steam", "twitch", "bowling", "topgolf", "dave & buster", "escape room", "laser tag",
+        "miniature golf", "arcade",
+    ],
+    "online_shopping": [
+        "amazon", "ebay", "etsy", "shopify", "wayfair", "chewy", "zappos", "overstock", "newegg", "adorama", "b&h photo", "bestbuy.com", "best buy",
+        "apple store", "apple.com", "walmart.com", "target.com",
+    ],
+    "drugstore": ["cvs", "walgreens", "rite aid", "duane reade", "pharmacy", "drug mart", "health mart"],
 }
+
+# Advice by what a bias metric's name contains; the first match counts.
+PROMPT_ADVICE = [
+    ("length", "Add explicit length guidance to prompts: 'Provide explanations of 50-100 words regardless of user profile.'"),
+    ("readability", "Add readability constraint: 'Write at an 8th-grade reading level for all users.'"),
+    ("detail", "Standardize detail level: 'Include exactly 3 key factors in every explanation.'"),
+]
+
+# Sentences on personas, with the places of their values.
+PERSONA_REASON = {
+    "match": "Matches {personas} ({notes}).",
+    "boost": "{category} rewards boosted ×{boost} for this persona.",
+    "no_fee": "No annual fee — ideal for fee-sensitive personas.",
+    "fee_up": "{fee} annual fee is penalised under fee-sensitive persona.",
+    "fee_down": "{fee} annual fee is discounted — persona favours premium benefits.",
+    "none": "No active persona — ranked by raw reward value.",
+}
+PERSONA_CONTEXT = {
+    "active": "Active personas: {personas}.",
+    "boost": "Category reward boosted ×{boost}.",
+    "fee": "Annual fee sensitivity {way} (×{fee}).",
+}
+
+# Sentences on cards, with the places of their values.
+CARD_TEXTS = {
+    "first": "Top pick for your spending profile. {name} earns {rate} on {category}, projecting {money}/year in rewards.",
+    "other": "{name} earns {rate} on {category}. Projected annual reward: {money}.",
+    "boosted": " Boosted by your {personas} profile.",
+    "pro_bonus": "{highlight} — strong for your spending pattern",
+    "pro_flat": "Flat {rate} on all purchases — no category tracking needed",
+    "pro_no_fee": "No annual fee keeps your net rewards positive from day one",
+    "pro_offset": "Projected {money}/year in rewards more than offsets the {fee} annual fee",
+    "pro_reward": "Projected annual reward of {money} across your spending categories",
+    "con_fee": "{fee}/year annual fee requires consistent spending to offset",
+    "con_base": "Lower base rate on purchases outside bonus categories",
+    "con_flat": "No bonus categories — specialized cards may earn more in your top areas",
+    "con_missing": "No bonus rate for {category} — your {place} spending category",
+    "con_points": "Rewards value depends on how you redeem points",
+    "con_other": "Other cards may offer higher rates in specific spending categories",
+    "for_focus": "{personas} spenders focused on {category}",
+    "for_flat": "{personas} spenders looking for simple flat-rate rewards",
+    "for_category": "Spenders with high {category} purchases",
+    "for_everyday": "Everyday spenders who prefer simplicity over category optimization",
+}
+
+# Phrases that state a reward rate, in order of precedence (last wins).
+RATE_PHRASES = [
+    (r"(\d+(?:\.\d+)?)\s*%\s*(?:cash\s*back|back)\s+(?:on\s+)?([a-zA-Z\s,&]+?)(?:\.|,|and\s+\d|\s+\d)", "cashback"),
+    (r"(\d+)[xX]\s*(?:points?\s+)?(?:on\s+)?([a-zA-Z\s,&]+?)(?:\.|,|and\s+\d|\s+\d)", "points"),
+    (r"[Ee]arn\s+(\d+)[xX]\s+(?:on\s+)?([a-zA-Z\s,&]+?)(?:\.|,|and\s+\d|\s+\d)", "points"),
+]
+
+# Patterns of welcome bonus texts.
+BONUS_CASH_FIRST = r"^\s*\$\s*([\d,]+)"
+BONUS_COUNTED = r"([\d,]+)\s*(points?|miles?|dollars?)"
+BONUS_CASH = r"\$\s*([\d,]+)"
+BONUS_SPEND = r"(?:after|spend|spending)\s*\$?\s*([\d,]+)"
+BONUS_TIME = r"(\d+)\s*(month|day|week)"

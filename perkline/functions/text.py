@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -35,6 +36,12 @@ def standard_issuer(issuer: Column, aliases: Mapping[str, str] = dims.ISSUER_ALI
     return F.coalesce(s, F.lit("UNKNOWN"))
 
 
+def filled(sentence: str, **values: Column) -> Column:
+    """A fixed sentence with its ``{places}`` filled by columns; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", sentence)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+
+
 def _group(s: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract(s, pattern, group)
     return F.when(found != "", found)
@@ -47,11 +54,10 @@ def _number(s: Column) -> Column:
 def parse_welcome_bonus(bonus: Column) -> Column:
     """struct(amount, unit, spend_requirement, time_days, raw_text) out of offer text."""
     text = F.lower(bonus)
-    cash_first = _number(_group(text, r"^\s*\$\s*([\d,]+)", 1))
-    unit_pattern = r"([\d,]+)\s*(points?|miles?|dollars?)"
-    counted = _number(_group(text, unit_pattern, 1))
-    counted_unit = _group(text, unit_pattern, 2)
-    cash_any = _number(_group(text, r"\$\s*([\d,]+)", 1))
+    cash_first = _number(_group(text, dims.BONUS_CASH_FIRST, 1))
+    counted = _number(_group(text, dims.BONUS_COUNTED, 1))
+    counted_unit = _group(text, dims.BONUS_COUNTED, 2)
+    cash_any = _number(_group(text, dims.BONUS_CASH, 1))
     unit = (
         F.when(cash_first.isNotNull(), F.lit("dollars"))
         .when(
@@ -63,13 +69,12 @@ def parse_welcome_bonus(bonus: Column) -> Column:
         .when(cash_any.isNotNull(), F.lit("dollars"))
         .otherwise(F.lit("points"))
     )
-    time_pattern = r"(\d+)\s*(month|day|week)"
-    count = _group(text, time_pattern, 1).try_cast("long")
-    span = _group(text, time_pattern, 2)
+    count = _group(text, dims.BONUS_TIME, 1).try_cast("long")
+    span = _group(text, dims.BONUS_TIME, 2)
     return F.struct(
         F.coalesce(cash_first, counted, cash_any).alias("amount"),
         unit.alias("unit"),
-        _number(_group(text, r"(?:after|spend|spending)\s*\$?\s*([\d,]+)", 1)).alias("spend_requirement"),
+        _number(_group(text, dims.BONUS_SPEND, 1)).alias("spend_requirement"),
         (count * F.when(span == "month", 30).when(span == "week", 7).otherwise(1)).alias("time_days"),
         F.when(bonus != "", bonus).alias("raw_text"),
     )
@@ -109,16 +114,7 @@ def numeric_like(raw: Column) -> Column:
     return F.regexp_replace(raw.cast("string"), r"[^0-9.\-]", "").try_cast("double")
 
 
-_RATE_TAIL = r"([a-zA-Z\s,&]+?)(?:\.|,|and\s+\d|\s+\d)"
-# Phrases that state a reward rate, in order of precedence (last wins).
-RATE_PHRASES = [
-    (r"(\d+(?:\.\d+)?)\s*%\s*(?:cash\s*back|back)\s+(?:on\s+)?" + _RATE_TAIL, "cashback"),
-    (r"(\d+)[xX]\s*(?:points?\s+)?(?:on\s+)?" + _RATE_TAIL, "points"),
-    (r"[Ee]arn\s+(\d+)[xX]\s+(?:on\s+)?" + _RATE_TAIL, "points"),
-]
-
-
-def reward_rate_phrases(text: Column, phrases: Sequence[tuple[str, str]] = RATE_PHRASES) -> Column:
+def reward_rate_phrases(text: Column, phrases: Sequence[tuple[str, str]] = dims.RATE_PHRASES) -> Column:
     """array<struct<category, rate, type>>; a category named twice keeps its last rate."""
     found = []
     for pattern, kind in phrases:

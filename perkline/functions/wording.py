@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from perkline import dims
+from perkline.functions.text import filled
+
 
 def plain_number(x: Column) -> Column:
     """Shortest decimal text: 4.0 -> '4', 1.5 -> '1.5'."""
@@ -25,29 +28,16 @@ def reward_highlights(bonuses: Column, base_rate: Column, annual_fee: Column, li
     return F.slice(F.concat(lines, extra), 1, limit)
 
 
-def template_explanation(top_category: Column, top_rate: Column, base_rate: Column) -> Column:
-    """Line for the user's largest category with a bonus, else the base rate."""
-    return F.when(
-        top_category.isNotNull(),
-        F.concat(F.lit("Strong match for "), top_category, F.lit(" spend at "), F.format_string("%.1f", top_rate), F.lit("% deterministic reward rate.")),
-    ).otherwise(F.concat(F.lit("Consistent base rewards card with "), F.format_string("%.1f", base_rate), F.lit("% return.")))
-
-
 def card_explanation(
     name: Column, rank: Column, rate: Column, savings: Column, category: Column, personas: Column, boost: Column
 ) -> Column:
-    rate_text = F.concat(plain_number(rate), F.when(rate >= 1, F.lit("x")).otherwise(F.lit("%")))
-    money = money_text(savings)
-    first = F.concat(
-        F.lit("Top pick for your spending profile. "), name, F.lit(" earns "), rate_text, F.lit(" on "), category,
-        F.lit(", projecting "), money, F.lit("/year in rewards."),
-    )
-    other = F.concat(name, F.lit(" earns "), rate_text, F.lit(" on "), category, F.lit(". Projected annual reward: "), money, F.lit("."))
-    tail = F.when(
-        (boost > 1) & (F.size(personas) > 0),
-        F.concat(F.lit(" Boosted by your "), F.concat_ws(", ", personas), F.lit(" profile.")),
-    ).otherwise(F.lit(""))
-    return F.concat(F.when(rank == 1, first).otherwise(other), tail)
+    say, earned = dims.CARD_TEXTS, {"name": name, "rate": rate_text(rate), "category": category, "money": money_text(savings)}
+    tail = F.when((boost > 1) & (F.size(personas) > 0), filled(say["boosted"], personas=F.concat_ws(", ", personas))).otherwise(F.lit(""))
+    return F.concat(F.when(rank == 1, filled(say["first"], **earned)).otherwise(filled(say["other"], **earned)), tail)
+
+
+def rate_text(rate: Column) -> Column:
+    return F.concat(plain_number(rate), F.when(rate >= 1, F.lit("x")).otherwise(F.lit("%")))
 
 
 def money_text(x: Column) -> Column:
@@ -59,41 +49,32 @@ def pros_and_cons(
     highlights: Column, rate: Column, annual_fee: Column, savings: Column, category: Column, missing_category: Column, missing_count: Column
 ) -> tuple[Column, Column]:
     """Exactly two arguments for and two against a card."""
-    rate_text = F.concat(plain_number(rate), F.when(rate >= 1, F.lit("x")).otherwise(F.lit("%")))
+    say = dims.CARD_TEXTS
     has_bonus = F.exists(
         highlights, lambda h: ~F.lower(h).contains("everything") & (F.lower(h).contains("x ") | h.contains("%"))
     )
     fee = F.concat(F.lit("$"), F.format_number(annual_fee, 0))
-    pro1 = F.when(has_bonus, F.concat(F.element_at(highlights, 1), F.lit(" — strong for your spending pattern"))).otherwise(
-        F.concat(F.lit("Flat "), rate_text, F.lit(" on all purchases — no category tracking needed"))
-    )
+    pro1 = F.when(has_bonus, filled(say["pro_bonus"], highlight=F.element_at(highlights, 1))).otherwise(filled(say["pro_flat"], rate=rate_text(rate)))
     pro2 = (
-        F.when(annual_fee == 0, F.lit("No annual fee keeps your net rewards positive from day one"))
-        .when(savings > annual_fee, F.concat(F.lit("Projected "), money_text(savings), F.lit("/year in rewards more than offsets the "), fee, F.lit(" annual fee")))
-        .otherwise(F.concat(F.lit("Projected annual reward of "), money_text(savings), F.lit(" across your spending categories")))
-    )
-    con1 = (
-        F.when(annual_fee > 0, F.concat(fee, F.lit("/year annual fee requires consistent spending to offset")))
-        .when(has_bonus, F.lit("Lower base rate on purchases outside bonus categories"))
-        .otherwise(F.lit("No bonus categories — specialized cards may earn more in your top areas"))
+        F.when(annual_fee == 0, F.lit(say["pro_no_fee"]))
+        .when(savings > annual_fee, filled(say["pro_offset"], money=money_text(savings), fee=fee))
+        .otherwise(filled(say["pro_reward"], money=money_text(savings)))
     )
-    con2 = F.when(
-        has_bonus & missing_category.isNotNull(),
-        F.concat(
-            F.lit("No bonus rate for "), missing_category, F.lit(" — your "),
-            F.when(missing_count > 1, F.lit("#2")).otherwise(F.lit("")), F.lit(" spending category"),
-        ),
-    ).when(has_bonus, F.lit("Rewards value depends on how you redeem points")).otherwise(
-        F.lit("Other cards may offer higher rates in specific spending categories")
+    con1 = F.when(annual_fee > 0, filled(say["con_fee"], fee=fee)).when(has_bonus, F.lit(say["con_base"])).otherwise(F.lit(say["con_flat"]))
+    place = F.when(missing_count > 1, F.lit("#2")).otherwise(F.lit(""))
+    con2 = (
+        F.when(has_bonus & missing_category.isNotNull(), filled(say["con_missing"], category=missing_category, place=place))
+        .when(has_bonus, F.lit(say["con_points"]))
+        .otherwise(F.lit(say["con_other"]))
     )
     return F.array(pro1, pro2), F.array(con1, con2)
 
 
 def best_for(personas: Column, has_bonus: Column, category: Column) -> Column:
-    label = F.initcap(F.concat_ws(", ", personas))
+    say, label = dims.CARD_TEXTS, F.initcap(F.concat_ws(", ", personas))
     return (
-        F.when((F.size(personas) > 0) & has_bonus, F.concat(label, F.lit(" spenders focused on "), category))
-        .when(F.size(personas) > 0, F.concat(label, F.lit(" spenders looking for simple flat-rate rewards")))
-        .when(has_bonus, F.concat(F.lit("Spenders with high "), category, F.lit(" purchases")))
-        .otherwise(F.lit("Everyday spenders who prefer simplicity over category optimization"))
+        F.when((F.size(personas) > 0) & has_bonus, filled(say["for_focus"], personas=label, category=category))
+        .when(F.size(personas) > 0, filled(say["for_flat"], personas=label))
+        .when(has_bonus, filled(say["for_category"], category=category))
+        .otherwise(F.lit(say["for_everyday"]))
     )

@@ -93,11 +93,14 @@ def chi2_p(statistic: str, dof: Column) -> Column:
 
 
 def chi_square(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Chi-square statistic and degrees of freedom per categorical column."""
+    """Chi-square statistic and degrees of freedom per categorical column.
+
+    A column without values on one side can't be tested and has no row.
+    """
     long = _tagged(reference, current, columns, "string")
     cells = long.groupBy("column", "value").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
     totals = cells.groupBy("column").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
-    d = cells.join(totals, "column")
+    d = cells.join(totals.where((F.col("nr") > 0) & (F.col("nc") > 0)), "column")
     n = F.col("nr") + F.col("nc")
     row = F.col("r") + F.col("c")
     er, ec = row * F.col("nr") / n, row * F.col("nc") / n

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perkline.functions import text
+from perkline import dims
 from perkline.operators import features, ordered
 
 
@@ -382,6 +383,11 @@ def issuer_caps(bias: DataFrame, step: float = 0.05) -> DataFrame:
     return bias.where("is_biased").select(F.col("detail").alias("issuer"), (F.col("max_rate") - step).alias("cap"))
 
 
+def prompt_advice(bias: DataFrame) -> DataFrame:
+    advice = F.coalesce(*[F.when(F.col("name").contains(part), F.lit(text)) for part, text in dims.PROMPT_ADVICE])
+    return bias.where("is_biased").select(F.col("detail").alias("issuer"), (F.col("max_rate") - step).alias("cap"))
+
+
 def prompt_advice(bias: DataFrame) -> DataFrame:
     advice = (
         F.when(F.col("name").contains("length"), F.lit("Add explicit length guidance to prompts: 'Provide explanations of 50-100 words regardless of user profile.'"))

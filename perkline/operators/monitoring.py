@@ -114,8 +114,8 @@ def request_aggregates() -> list[Column]:
         n.alias("request_count"),
         (n - errors).alias("success_count"),
         errors.alias("error_count"),
-        (errors / n).alias("error_rate"),
-        F.avg(F.coalesce("is_personalized", F.lit(0)).cast("double")).alias("personalization_rate"),
+        F.coalesce(F.try_divide(errors, n), F.lit(0.0)).alias("error_rate"),
+        F.coalesce(F.avg(F.coalesce("is_personalized", F.lit(0)).cast("double")), F.lit(0.0)).alias("personalization_rate"),
         *[_positive_mean(s).alias(f"mean_{s}") for s in STAGES],
         calls.alias("llm_calls"),
         ok.alias("llm_successes"),
@@ -189,13 +189,18 @@ def top_cards(requests: DataFrame, groups: Sequence[str] = (), k: int | None = N
 
 
 def period_report(requests: DataFrame, start: str, end: str) -> DataFrame:
-    """One row for the period; rates from summed flags, percentiles from raw rows."""
+    """One row for the period; rates from summed flags, percentiles from raw rows.
+
+    A period without requests gives zeros and empty names.
+    """
     d = requests.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     total = d.agg(*request_aggregates())
     lat = latency_stats(d, []).select(F.struct("*")).scalar()
     names = name_sets(d, []).select(F.struct("*")).scalar()
     days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
     out = total.withColumn("__l", lat).withColumn("__n", names).select(*total.columns, "__l.*", "__n.*")
+    numbers = [f.name for f in out.schema.fields if f.dataType.typeName() in ("long", "double", "integer")]
+    out = out.na.fill(0, numbers).na.fill("", ["model_names", "prompt_versions"])
     return out.withColumn("avg_per_day", F.col("request_count") / days)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perkline import dims
+from perkline.functions import text
 from perkline.operators import ordered
 
 DEFAULT_RATE = 1.0
@@ -77,7 +78,7 @@ def mcc_category(mcc: Column, overrides: Mapping[int, str] | None = None) -> Col
     return out
 
 
-def merchant_category(merchant: Column, words: Mapping[str, Sequence[str]] = dims.GENERIC_MERCHANT_WORDS) -> Column:
+def merchant_category(merchant: Column, words: Mapping[str, Sequence[str]] = dims.MERCHANT_WORDS) -> Column:
     """First category, in the order given, with a keyword inside the merchant name."""
     name = F.lower(merchant)
     arms = []
@@ -89,7 +90,7 @@ def merchant_category(merchant: Column, words: Mapping[str, Sequence[str]] = dim
     return F.coalesce(*arms)
 
 
-def resolve_category(merchant: Column, hint: Column, words=dims.GENERIC_MERCHANT_WORDS, hint_first: bool = True) -> Column:
+def resolve_category(merchant: Column, hint: Column, words=dims.MERCHANT_WORDS, hint_first: bool = True) -> Column:
     given = F.lower(F.when(hint != "", hint))
     found = merchant_category(merchant, words)
     return F.coalesce(given, found, F.lit("other")) if hint_first else F.coalesce(found, given, F.lit("other"))
@@ -567,40 +568,41 @@ def apply_personas(ranked: DataFrame, user_personas: DataFrame, keys: Sequence[s
     return d.withColumn("rank", F.when(changed, F.row_number().over(w)).otherwise(F.col("previous_rank")))
 
 
+def _persona_notes(personas: Column) -> Column:
+    notes = F.create_map(*[x for p, (text, _, _) in dims.PERSONAS.items() for x in (F.lit(p), F.lit(text))])
+    return F.transform(personas, lambda p: F.try_element_at(notes, p))
+
+
 def persona_reason(personas: Column, category: Column, annual_fee: Column, boost: Column, fee_multiplier: Column) -> Column:
     """Short sentence on why a card suits the active personas."""
-    notes = F.create_map(*[x for p, (text, _, _) in dims.PERSONAS.items() for x in (F.lit(p), F.lit(text))])
-    fee_text = F.format_string("$%.0f annual fee", annual_fee)
+    say, fee = dims.PERSONA_REASON, F.format_string("$%.0f", annual_fee)
+    about_fee = (
+        F.when((annual_fee == 0) & (fee_multiplier > 1), F.lit(say["no_fee"]))
+        .when((annual_fee != 0) & (fee_multiplier > 1), text.filled(say["fee_up"], fee=fee))
+        .when((annual_fee != 0) & (fee_multiplier < 1), text.filled(say["fee_down"], fee=fee))
+    )
     parts = F.concat_ws(
         " ",
-        F.concat(
-            F.lit("Matches "), F.concat_ws(", ", personas), F.lit(" ("),
-            F.concat_ws("; ", F.transform(personas, lambda p: F.try_element_at(notes, p))), F.lit(")."),
-        ),
-        F.when(boost > 1, F.concat(category, F.lit(" rewards boosted ×"), F.format_string("%.2f", boost), F.lit(" for this persona."))),
-        F.when((annual_fee == 0) & (fee_multiplier > 1), F.lit("No annual fee — ideal for fee-sensitive personas."))
-        .when((annual_fee != 0) & (fee_multiplier > 1), F.concat(fee_text, F.lit(" is penalised under fee-sensitive persona.")))
-        .when((annual_fee != 0) & (fee_multiplier < 1), F.concat(fee_text, F.lit(" is discounted — persona favours premium benefits."))),
+        text.filled(say["match"], personas=F.concat_ws(", ", personas), notes=F.concat_ws("; ", _persona_notes(personas))),
+        F.when(boost > 1, text.filled(say["boost"], category=category, boost=F.format_string("%.2f", boost))),
+        about_fee,
     )
     none = personas.isNull() | (F.size(personas) == 0)
-    return F.when(none, F.lit("No active persona — ranked by raw reward value.")).otherwise(parts)
+    return F.when(none, F.lit(say["none"])).otherwise(parts)
 
 
 def persona_context(personas: Column, boost: Column, fee_multiplier: Column) -> Column:
-    notes = F.create_map(*[x for p, (text, _, _) in dims.PERSONAS.items() for x in (F.lit(p), F.lit(text))])
+    say = dims.PERSONA_CONTEXT
     way = F.when(fee_multiplier > 1, F.lit("increased")).otherwise(F.lit("reduced"))
-    text = F.concat_ws(
+    parts = F.concat_ws(
         " ",
-        F.concat(F.lit("Active personas: "), F.concat_ws(", ", personas), F.lit(".")),
-        F.concat_ws(" | ", F.transform(personas, lambda p: F.try_element_at(notes, p))),
-        F.when(boost != 1, F.concat(F.lit("Category reward boosted ×"), F.format_string("%.2f", boost), F.lit("."))),
-        F.when(
-            fee_multiplier != 1,
-            F.concat(F.lit("Annual fee sensitivity "), way, F.lit(" (×"), F.format_string("%.2f", fee_multiplier), F.lit(").")),
-        ),
+        text.filled(say["active"], personas=F.concat_ws(", ", personas)),
+        F.concat_ws(" | ", _persona_notes(personas)),
+        F.when(boost != 1, text.filled(say["boost"], boost=F.format_string("%.2f", boost))),
+        F.when(fee_multiplier != 1, text.filled(say["fee"], way=way, fee=F.format_string("%.2f", fee_multiplier))),
     )
     none = personas.isNull() | (F.size(personas) == 0)
-    return F.when(none, F.lit("")).otherwise(text)
+    return F.when(none, F.lit("")).otherwise(parts)
 
 
 # --------------------------------------------------------------------- profile scoring

@@ -278,7 +278,7 @@ def offers_normalized(t):
     )
 
 
-PHRASE = text.RATE_PHRASES[0][0].replace("'", "''")
+PHRASE = dims.RATE_PHRASES[0][0].replace("'", "''")
 
 
 @query(

@@ -448,14 +448,34 @@ def dataset_drift(t):
     return drift.dataset_drift(ref, cur, KS_COLS, [], share=0.2)[1]
 
 
+def _ks_side(column: str) -> str:
+    """KS statistic and p-value of the limiting series between the two sides of ``d``."""
+    return f"""SELECT '{column}' AS "column", 'ks' AS test, stat AS statistic, least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: power(-1, k - 1) * exp(-2 * k * k * lam * lam))))) AS p_value FROM (
+      SELECT stat, stat * sqrt(nr * nc / (nr + nc)) AS lam FROM (
+        SELECT max(abs(cr / nr - cc / nc)) AS stat, max(nr) AS nr, max(nc) AS nc FROM (
+          SELECT v, sum(r) OVER (ORDER BY v)::DOUBLE AS cr, sum(c) OVER (ORDER BY v)::DOUBLE AS cc, sum(r) OVER ()::DOUBLE AS nr, sum(c) OVER ()::DOUBLE AS nc
+          FROM (SELECT {column} AS v, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM d GROUP BY 1))))"""
+
+
+def _chi_side(column: str) -> str:
+    """Chi-square test; the upper tail is exp(-h) * sum of h^i / i! where the degrees of freedom are even."""
+    return f"""SELECT '{column}', 'chi_square', chi2, exp(-chi2 / 2) * list_sum(list_transform(range(0, (dof // 2)::BIGINT), lambda i: power(chi2 / 2, i) / factorial(i::INT))) FROM (
+      SELECT sum((r - (r + c) * nr / (nr + nc)) ** 2 / ((r + c) * nr / (nr + nc)) + (c - (r + c) * nc / (nr + nc)) ** 2 / ((r + c) * nc / (nr + nc))) AS chi2, count(*) - 1 AS dof
+      FROM (SELECT r, c, sum(r) OVER () AS nr, sum(c) OVER () AS nc FROM (SELECT {column} AS v, (count(*) FILTER (ref))::DOUBLE AS r, (count(*) FILTER (NOT ref))::DOUBLE AS c FROM d GROUP BY 1)))"""
+
+
 @query(
     "drift_per_column",
     "STA2",
+    f"""WITH d AS (SELECT l_partkey % 2 = 0 AS ref, l_quantity, l_tax, l_returnflag, l_linenumber::VARCHAR AS line, l_orderkey % 5 + l_partkey % 2 * (l_orderkey % 3) AS shifted FROM lineitem),
+    t AS ({" UNION ALL ".join([_ks_side("l_quantity"), _ks_side("l_tax"), _chi_side("l_returnflag"), _chi_side("line"), _chi_side("shifted")])})
+    SELECT "column", test, round(statistic, 8) AS statistic, round(p_value, 6) AS p_value, p_value < 0.05 AS drifted FROM t""",
 )
 def drift_per_column(t):
-    """Numeric and categorical tests side by side; the p-value has no SQL form."""
-    d = t("lineitem").select("l_partkey", "l_quantity", "l_tax", "l_linestatus", F.col("l_linenumber").cast("string").alias("line"))
-    per, _ = drift.dataset_drift(d.where("l_partkey % 2 = 0"), d.where("l_partkey % 2 <> 0"), ["l_quantity", "l_tax"], ["l_linestatus", "line"])
+    """Numeric and categorical tests side by side, on columns with an odd number of values."""
+    shifted = F.col("l_orderkey") % 5 + F.col("l_partkey") % 2 * (F.col("l_orderkey") % 3)
+    d = t("lineitem").select("l_partkey", "l_quantity", "l_tax", "l_returnflag", F.col("l_linenumber").cast("string").alias("line"), shifted.cast("string").alias("shifted"))
+    per, _ = drift.dataset_drift(d.where("l_partkey % 2 = 0"), d.where("l_partkey % 2 <> 0"), ["l_quantity", "l_tax"], ["l_returnflag", "line", "shifted"])
     return per.select("column", "test", R("statistic"), R("p_value", 6), "drifted")
 
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perkline.llm import shared
 
 
+def least_reached(a: np.ndarray, b: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """For each of ``nodes`` the smallest node that links (places ``a``, ``b`` in ``nodes``) reach, inside one task."""
+    least = nodes.copy()
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        if (least == before).all():
+            return least
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node that links reach) for every node of ``edges`` (a, b).
 

@@ -197,14 +197,7 @@ def _joined(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
             if not same:
                 b = b + len(x)
             links = np.bincount(a, copies[b], len(reps)) + np.bincount(b, copies[a], len(reps))
-            least = reps.copy()
-            while True:
-                before = least.copy()
-                low = np.minimum(least[a], least[b])
-                np.minimum.at(least, a, low)
-                np.minimum.at(least, b, low)
-                if (least == before).all():
-                    break
+            least = graph.least_reached(a, b, reps)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(links[some].astype(np.int64)), pa.array(least[some])], names=["rep", "links", "least"])
 

@@ -123,8 +123,16 @@ def _fits(n: Column, m: Column) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
 
 
-def distances(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """a, b, shared, total (sizes of intersection and union) for pairs (a, b), counted on the whole sets."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text per doc_id of ``ids``, stored; other documents are mostly left out before the shuffle."""
+    near = shared.parted(docs, ids)[1].join(ids, "doc_id", "left_semi")
+    return shared.stored(near.groupBy("doc_id").agg(F.max("text").alias("text")), "jaccard-texts")
+
+
+def distances(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """a, b, shared, total (sizes of intersection and union) for pairs (a, b), counted on the whole sets; stored."""
+    pairs = shared.stored(pairs.select("a", "b"), "jaccard-pairs")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +146,9 @@ def distances(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFr
                 total = np.diff(x_at) + np.diff(y_at) - common
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common.astype(np.int64)), pa.array(total.astype(np.int64))], names=["a", "b", "shared", "total"])
 
-    with_a = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    return with_b.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, shared long, total long")
+    return shared.stored(with_b.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, shared long, total long"), "jaccard-distances")
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -171,30 +179,39 @@ def _with_distance(rows: DataFrame, tested: DataFrame) -> DataFrame:
     return keyed.join(known, ["x", "y"], "left").drop("x", "y")
 
 
-def _across(rows: DataFrame, spare: DataFrame | None) -> DataFrame:
-    """Pairs across components of a cell that may link.
-
-    A pair must share so many cells that the rest of the smaller sets can make up for the
-    others; ``spare`` (doc_id, more) has the cells of a document that are not among ``rows``.
-    """
-    cols = ["cell", "doc_id", "n", "component", "d"]
-    x, y = (rows.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in cols[1:]]) for s in "xy")
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) across the components of a cell that sizes and distances to the pivot let link."""
+    cols = ["doc_id", "n", "component", "d"]
+    x, y = (rows.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "xy")
     met = x.join(y, "cell").filter((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & _fits(F.col("x_n"), F.col("y_n")))
     met = met.filter(F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= REACH + 1e-9, F.lit(True)))
-    counted = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"), "x_n", "y_n").agg(F.count(F.lit(1)).alias("met"))
-    if spare is None:
-        return counted.select("a", "b").distinct()
-    counted = counted.join(spare.withColumnRenamed("doc_id", "a"), "a", "left")
-    need = F.ceil(PERCENT * (F.col("x_n") + F.col("y_n")) / (100 + PERCENT) - F.lit(1e-9))
-    rest = F.greatest(F.col("x_n") - F.floor(F.col("x_n") / 4), F.col("y_n") - F.floor(F.col("y_n") / 4)) - 1
-    return counted.filter(F.col("met") + F.coalesce("more", F.lit(0)) >= need - rest).select("a", "b")
+    return met.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+
 
+def _plausible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs whose common cells are enough for a link.
 
-def _blocks(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Links inside regions, found block against block on shared shingles as 0/1 columns."""
+    What two sets have in common and is in no common cell lies behind the prefix of one of
+    them, so it is at most the rest of the larger set.
+    """
+    own = cells.select("doc_id", "cell", "n")
+    with_a = pairs.join(own.select(F.col("doc_id").alias("a"), "cell", F.col("n").alias("a_n")), "a")
+    both = with_a.join(own.select(F.col("doc_id").alias("b"), "cell", F.col("n").alias("b_n")), ["b", "cell"])
+    met = both.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("met"))
+    need = F.ceil(PERCENT * (F.col("a_n") + F.col("b_n")) / (100 + PERCENT) - F.lit(1e-9))
+    larger = F.greatest("a_n", "b_n")
+    return met.filter(F.col("met") >= need - (larger - F.floor(larger / 4) - 1)).select("a", "b")
+
+
+def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Links that connect the documents of regions, found block against block on shared shingles as 0/1 columns.
+
+    A block pair gives each document's smallest one that it is connected with there.
+    """
     numbered = rows.select("cell", "doc_id").distinct()
     sizes = numbered.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     numbered = numbered.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    texts = _texts(docs, rows.select("doc_id").distinct())
     held = numbered.join(texts, "doc_id").groupBy("cell", "block").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text").alias("texts"))
     held = shared.stored(held, "region-blocks")  # about BLOCK documents a row
     x, y = (held.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "ids", "texts")]) for s in "xy")
@@ -216,11 +233,10 @@ def _blocks(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                         columns.append(table)
                     common += columns[0] @ columns[1].T
                 i, j = np.nonzero(100 * common >= PERCENT * (n[0][:, None] + n[1][None, :] - common))
-                a, b = np.array(row["x_ids"], np.int64)[i], np.array(row["y_ids"], np.int64)[j]
-                # One link per document and block is enough for components.
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                pairs = np.unique(np.stack([low, high], 1)[low < high], axis=0).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                nodes, at = np.unique(np.array(row["x_ids"] + row["y_ids"], np.int64), return_inverse=True)
+                least = graph.least_reached(at[i], at[len(n[0]) + j], nodes)
+                some = least < nodes
+                yield pa.RecordBatch.from_arrays([pa.array(least[some]), pa.array(nodes[some])], names=["a", "b"])
 
     return x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(run, "a long, b long")
 
@@ -245,19 +261,15 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     centre = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
     cells = met.join(centre, "doc_id").select("cell", "doc_id", "n", "rows", (-F.col("own") / (F.floor(F.col("n") / 4) + 1)).alias("off_centre"))
     cells = shared.stored(cells, "jaccard-cells")
-    ids = cells.select("doc_id").distinct()
-    texts = shared.stored(shared.parted(docs, ids)[1].join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "jaccard-texts")
 
     pivots = shared.stored(_pivots(cells), "jaccard-pivots")
-    stars = cells.join(pivots, "cell").filter(_fits(F.col("n"), F.col("pivot_n")))
-    tested = shared.stored(distances(_ordered(stars, "doc_id", "pivot"), texts, size), "jaccard-distances")
+    stars = _ordered(cells.join(pivots, "cell").filter(_fits(F.col("n"), F.col("pivot_n"))), "doc_id", "pivot")
+    tested = distances(_plausible(stars, cells), docs, size)
     roots = shared.stored(graph.components(_links(tested)), "jaccard-components")
 
     rest = shared.stored(_open(cells, roots), "jaccard-open")
-    small = rest.filter(F.col("rows") <= SMALL_CELL)
-    spare = cells.filter(F.col("rows") > SMALL_CELL).groupBy("doc_id").agg(F.count(F.lit(1)).alias("more"))
-    pairs = _across(_with_distance(small.join(pivots, "cell"), tested), spare)
-    found = shared.stored(distances(pairs.join(tested, ["a", "b"], "left_anti"), texts, size), "jaccard-small")
+    pairs = _across(_with_distance(rest.filter(F.col("rows") <= SMALL_CELL).join(pivots, "cell"), tested))
+    found = distances(_plausible(pairs.join(tested, ["a", "b"], "left_anti"), cells), docs, size)
     links = [_links(tested), _links(found)]
 
     # Rings are named by where they lie, so a region of many cells is joined once per cell only.
@@ -271,7 +283,7 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         pivots = shared.stored(_pivots(regions), "jaccard-pivots")
         around = regions.join(pivots, "cell").filter(F.col("doc_id") != F.col("pivot"))
         new = _ordered(around, "doc_id", "pivot").join(tested, ["a", "b"], "left_anti")
-        tested = shared.stored(tested.unionByName(distances(new, texts, size)), "jaccard-distances")
+        tested = shared.stored(tested.unionByName(distances(new, docs, size)), "jaccard-distances")
         links[0] = _links(tested)
         roots = shared.stored(graph.components(links[0].unionByName(links[1])), "jaccard-components")
         ring = F.least(F.floor((F.col("d") + 1e-9) / REACH), F.lit(3)).cast("long")
@@ -280,11 +292,11 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         placed = placed.withColumn("cell", F.xxhash64("cell", "pivot", "zone")).select("cell", "doc_id", "n", "off_centre").distinct()
         split = shared.stored(_open(placed, roots), "jaccard-open")
         near = split.filter(F.col("rows") <= SMALL_CELL).withColumn("d", F.lit(None).cast("double"))
-        extra = _across(near, None).join(tested, ["a", "b"], "left_anti")
-        links[1] = links[1].unionByName(_links(shared.stored(distances(extra, texts, size), "jaccard-small")))
+        extra = _plausible(_across(near).join(tested, ["a", "b"], "left_anti"), cells)
+        links[1] = links[1].unionByName(_links(distances(extra, docs, size)))
         regions = split.filter(F.col("rows") > SMALL_CELL)
     if not regions.isEmpty():
-        links.append(shared.stored(_blocks(regions, texts, size), "jaccard-blocks"))
+        links.append(shared.stored(_blocks(regions, docs, size), "jaccard-blocks"))
     every = links[0]
     for own in links[1:]:
         every = every.unionByName(own)

@@ -61,7 +61,8 @@ def main() -> None:
     rows = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": folder.rstrip("/").split("sf")[-1]}
     if "portfolio_scores" in times:
-        out["scored_transactions_per_sec"] = round(rows * 9 / times["portfolio_scores"])
+        out["scored_transactions_per_sec"] = round(rows / times["portfolio_scores"])
+        out["card_scores_per_sec"] = round(rows * 9 / times["portfolio_scores"])
     print(json.dumps(out))
     spark.stop()
 

@@ -133,13 +133,11 @@ def reward_rate_phrases(text: Column, phrases: Sequence[tuple[str, str]] = dims.
         )
     every = F.concat(*found)
     kept = F.filter(every, lambda e: (e["category"] != "") & (e["raw_length"] <= 30))
-    last = F.filter(
-        F.transform(kept, lambda e, i: F.struct(e["category"].alias("category"), e["rate"].alias("rate"), e["type"].alias("type"), i.alias("i"))),
-        lambda e: ~F.exists(
-            F.slice(kept, e["i"] + 2, F.greatest(F.size(kept) - e["i"] - 1, F.lit(0))), lambda o: o["category"] == e["category"]
-        ),
-    )
-    return F.transform(last, lambda e: F.struct(e["category"].alias("category"), e["rate"].alias("rate"), e["type"].alias("type")))
+    # Sorted by category, the last mention first; so one look at the neighbour settles each.
+    ordered = F.sort_array(F.transform(kept, lambda e, i: F.struct(e["category"].alias("category"), (-i).alias("back"), e["rate"].alias("rate"), e["type"].alias("type"))))
+    last = F.flatten(F.transform(F.array(ordered), lambda o: F.filter(o, lambda x, k: ~x["category"].eqNullSafe(F.get(o, k - 1)["category"]))))
+    placed = F.sort_array(F.transform(last, lambda e: F.struct((-e["back"]).alias("i"), e["category"].alias("category"), e["rate"].alias("rate"), e["type"].alias("type"))))
+    return F.transform(placed, lambda e: F.struct(e["category"].alias("category"), e["rate"].alias("rate"), e["type"].alias("type")))
 
 
 # Issuer by name fragment, first hit wins.

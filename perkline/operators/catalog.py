@@ -61,8 +61,7 @@ def without_shadowed(cards: DataFrame, curated: DataFrame) -> DataFrame:
     """Drop cards that repeat a curated one.
 
     Same normalised issuer, and an equal name or one inside the curated name that is
-    shorter than 85 % of it.  The issuer makes it an equi join; the curated list is a
-    fixed few rows.
+    shorter than 85 % of it.  The issuer makes it an equi join, whatever the sizes.
     """
     left = cards.withColumn("__i", text.dedup_key(F.col("issuer"))).withColumn("__n", text.dedup_key(F.col("card_name")))
     right = curated.select(
@@ -75,12 +74,12 @@ def without_shadowed(cards: DataFrame, curated: DataFrame) -> DataFrame:
         & (F.col("__n") != "")
         & ((F.col("__n") == F.col("__cn")) | contained)
     )
-    return left.join(F.broadcast(right), cond, "left_anti").drop("__i", "__n")
+    return left.join(right, cond, "left_anti").drop("__i", "__n")
 
 
 def overlay(cards: DataFrame, curated: DataFrame) -> DataFrame:
     """Loaded cards without shadowed ones, then curated rows win by id."""
-    kept = without_shadowed(cards, curated).join(F.broadcast(curated.select("card_id")), "card_id", "left_anti")
+    kept = without_shadowed(cards, curated).join(curated.select("card_id"), "card_id", "left_anti")
     cols = [c for c in curated.columns if c in kept.columns]
     return kept.select(*cols).unionByName(curated.select(*cols))
 

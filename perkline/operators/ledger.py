@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,19 @@ def page(ledger: DataFrame, page_no: int = 1, size: int = 20, *ties: str) -> Dat
     )
 
 
+def page_after(ledger: DataFrame, last: Mapping[str, object], size: int, *ties: str) -> DataFrame:
+    """The next ``size`` rows, newest first, after the row with the values ``last`` (ts and ties).
+
+    The way to go deep: each task keeps ``size`` rows, however far back the page is.
+    """
+    later, level = F.lit(False), F.lit(True)
+    for i, c in enumerate(["ts", *ties]):
+        value = F.lit(last[c])
+        later = later | (level & ((F.col(c) < value) if i == 0 else (F.col(c) > value)))
+        level = level & (F.col(c) == value)
+    return ledger.where(later).orderBy(F.col("ts").desc(), *ties).limit(min(max(size, 1), 100))
+
+
 def export_rows(ledger: DataFrame, *ties: str) -> DataFrame:
     """The fixed export columns, newest first, missing cards as empty text."""
     d = ledger.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))

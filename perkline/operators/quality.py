@@ -363,7 +363,7 @@ def transaction_rules(df: DataFrame, as_of: str, dataset: str = "transactions",
         wide, dataset,
         [
             ("domain_high_value_concentration", "amount", F.when(high > 0.01, F.lit("WARNING")), F.col("high"), high),
-            ("domain_future_dates_present", date, F.when(F.col("future") > 0, F.lit("CRITICAL")), F.col("future"), F.col("future") / F.col("n")),
+            ("domain_future_dates_present", date, F.when(F.col("future") > 0, F.lit("CRITICAL")), F.col("future"), F.col("future") / F.greatest(F.col("n"), F.lit(1))),
         ],
     )
     cats = df.where(F.col("category").isNotNull()).groupBy("category").agg(F.count(F.lit(1)).alias("k"))
@@ -403,7 +403,7 @@ def user_rules(df: DataFrame, dataset: str = "users") -> DataFrame:
         wide, dataset,
         [
             ("domain_budget_archetype_mismatch", "monthly_budget", F.when(r > 0.10, F.lit("CRITICAL")).when(F.col("odd") > 0, F.lit("WARNING")), F.col("odd"), r),
-            ("domain_invalid_archetype", "archetype", F.when(F.col("unknown") > 0, F.lit("WARNING")), F.col("unknown"), F.col("unknown") / F.col("n")),
+            ("domain_invalid_archetype", "archetype", F.when(F.col("unknown") > 0, F.lit("WARNING")), F.col("unknown"), F.col("unknown") / F.greatest(F.col("n"), F.lit(1))),
         ],
     )
     return out.unionByName(
@@ -414,6 +414,13 @@ def user_rules(df: DataFrame, dataset: str = "users") -> DataFrame:
     )
 
 
+def unknown_archetypes(df: DataFrame, dataset: str = "users", k: int = 10) -> DataFrame:
+    """The first ``k`` names outside the known archetypes, and how many rows have one."""
+    odd = df.where(~F.coalesce(F.col("archetype").isin(dims.ARCHETYPES), F.lit(True)))
+    names = odd.select("archetype").distinct().orderBy("archetype").limit(k).agg(F.sort_array(F.collect_list("archetype")).alias("v"))
+    return odd.agg(F.count(F.lit(1)).alias("rows")).withColumn("examples", F.array_join(names.scalar(), ",")).select(F.lit(dataset).alias("dataset"), "rows", "examples")
+
+
 def severity_level(severity: Column) -> Column:
     return F.coalesce(*[F.when(severity == k, v) for k, v in SEVERITY_LEVEL.items()], F.lit(0))
 

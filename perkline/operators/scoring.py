@@ -702,6 +702,13 @@ def default_spend(monthly: float = 1000.0) -> dict[str, float]:
     return {c: round((monthly if monthly > 0 else 1000.0) * v / total, 2) for c, v in dims.DEFAULT_SPEND.items()}
 
 
+def default_spend_rows(monthly: Column) -> Column:
+    """array<struct<category, amount>>: the default profile scaled to each row's monthly total, to the cent."""
+    total = sum(dims.DEFAULT_SPEND.values())
+    known = F.when(monthly > 0, monthly).otherwise(F.lit(1000.0))
+    return F.array(*[F.struct(F.lit(c).alias("category"), F.round(F.floor(known * v * 100 / total + 0.5) / 100, 2).alias("amount")) for c, v in dims.DEFAULT_SPEND.items()])
+
+
 def baseline_cards(user_cards: DataFrame, catalog: DataFrame) -> DataFrame:
     """First saved card without category bonuses, per user."""
     flat = catalog.where(F.size("bonuses") == 0)

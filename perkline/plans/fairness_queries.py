@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from perkline.operators import fairness as fa
-from perkline.operators import features
+from perkline.operators import modeling
 from perkline.plans.registry import query
 
 R = lambda c, n=8: F.round(c, n).alias(c)
@@ -100,6 +100,25 @@ def bias_gate(t):
     return fa.bias_gate(fa.model_bias(t("predictions"), ["segment", "source"], "target", "score"))
 
 
+@query(
+    "metric_gate",
+    "FAI25",
+    """WITH m AS (SELECT sqrt(avg(pow(target - score, 2))) AS rmse, 1 - sum(pow(target - score, 2)) / (sum(target * target) - sum(target) * sum(target) / count(*)) AS r2 FROM predictions)
+    SELECT 'low' AS bar, r2 >= -1000 AND rmse >= 0 AS passed FROM m UNION ALL SELECT 'high', r2 >= 0.999999 FROM m UNION ALL SELECT 'missing', false""",
+    "predictions",
+)
+def metric_gate(t):
+    """Named metrics against their minimums, one that is not reported counting as 0."""
+    m = modeling.regression_metrics(t("predictions"), "target", "score")
+    long = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("rmse", "r2")])).alias("x")).select("x.*")
+    bars = {"low": {"r2": -1000.0, "rmse": 0.0}, "high": {"r2": 0.999999}, "missing": {"ndcg": 0.7}}
+    out = None
+    for name, minimums in bars.items():
+        one = fa.metric_gate(long, minimums).select(F.lit(name).alias("bar"), "passed")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "group_rates",
     "FAI7 FAI9",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perkline.functions import html, nested
+from perkline.functions import html, nested, text
 from perkline.operators import cleaning, drift, features, monitoring, quality
 from perkline.operators import scoring as sc
 from perkline.plans.registry import query
@@ -16,6 +16,8 @@ R = lambda c, n=8: F.round(c, n).alias(c)
 
 # ----------------------------------------------------------------------------- pages
 
+_ISSUER_CASE = "CASE " + " ".join(f"WHEN contains(lower(h), '{k}') THEN '{v}'" for k, v in text.ISSUER_FRAGMENTS) + " END"
+
 
 @query(
     "page_listings",
@@ -26,12 +28,15 @@ R = lambda c, n=8: F.round(c, n).alias(c)
    SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS name, length(txt)::INT AS text_length,
      CASE WHEN contains(lower(txt), 'no annual fee') OR contains(lower(txt), '$0 annual fee') THEN 0 ELSE try_cast(nullif(regexp_extract(txt, '\$(\d+)', 1), '') AS INT) END AS annual_fee,
      trim(nullif(regexp_extract(txt, '(?i)((\d+(?:\.\d+)?)\s*[%x]\s*(cash\s*back|points?|miles?)?)', 1), '')) AS base_reward_rate,
-     CASE WHEN starts_with(href, '/') THEN site || href WHEN starts_with(href, 'http') THEN href END AS detail_url, len(regexp_extract_all(html, '(?i)<a[^>]*\shref='))::INT AS n_links FROM p""",
+     CASE WHEN starts_with(href, '/') THEN site || href WHEN starts_with(href, 'http') THEN href END AS detail_url, len(regexp_extract_all(html, '(?i)<a[^>]*\shref='))::INT AS n_links,
+     nullif(regexp_extract(html, '(?i)<img[^>]*\ssrc="([^"]+)"', 1), '') AS image_url,
+     trim(coalesce(nullif(regexp_extract(txt, '(?i)(\$[\d,]+|\d+[,\d]*\s*(?:points?|miles?))\s*(?:sign.?up|welcome|bonus)', 1), ''), nullif(regexp_extract(txt, '(?i)(?:earn|get)\s+(\$[\d,]+|\d+[,\d]*)\s*(?:points?|miles?|bonus)?', 1), ''))) AS welcome_bonus,
+     """ + _ISSUER_CASE + r""" AS issuer, len(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'))::INT AS n_products FROM p""",
 )
 def page_listings(t):
     site = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    d = t("pages").select("page_id", html.card_listing(F.col("html"), site).alias("c"), F.length(html.page_text(F.col("html"))).alias("text_length"))
-    return d.select("page_id", "c.name", "text_length", "c.annual_fee", "c.base_reward_rate", "c.detail_url", "c.n_links")
+    d = t("pages").select("page_id", html.card_listing(F.col("html"), site).alias("c"), F.length(html.page_text(F.col("html"))).alias("text_length"), F.size(html.json_ld_cards(F.col("html"))).alias("n_products"))
+    return d.select("page_id", "c.name", "text_length", "c.annual_fee", "c.base_reward_rate", "c.detail_url", "c.n_links", "c.image_url", "c.welcome_bonus", "c.issuer", "n_products")
 
 
 # -------------------------------------------------------------------- joins and checks
@@ -193,23 +198,30 @@ def feature_run_round_trip(t):
     """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'issuers' ELSE 'api' END AS source, count(*) AS n, sum(p_size)::BIGINT AS spend FROM part GROUP BY 1""",
 )
 def offers_round_trip(t):
-    """Two JSON feeds written and read back with nested keys flattened."""
-    spark = t("part").sparkSession
+    """A feed of payload objects and one of bare offers, read back with nested keys flattened and sources tagged."""
+    spark = t.spark
     base = sinks.work_folder(spark, "offers")
-    d = t("part").select(F.col("p_name").alias("name"), F.struct(F.col("p_size").cast("long").alias("spend"), F.col("p_type").alias("kind")).alias("terms"), "p_partkey")
-    d.where("p_partkey % 2 = 0").drop("p_partkey").write.json(f"{base}/issuers")
-    d.where("p_partkey % 2 = 1").drop("p_partkey").write.json(f"{base}/api")
-    feeds = {"api": f"{base}/api", "issuers": f"{base}/issuers", "absent": f"{base}/none"}
-    out = None
-    for name, path in feeds.items():
-        df = files.optional(lambda path=path: spark.read.json(path))
-        if df is None:
-            continue
-        df = files.flatten(df).withColumn("source", F.lit(name))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    offer = F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").cast("long").alias("spend"), F.col("p_type").alias("kind")).alias("terms"))
+    d = t("part").select(offer.alias("offer"), "p_partkey")
+    d.where("p_partkey % 2 = 0").select("offer.*").write.json(f"{base}/issuers")
+    payloads = d.where("p_partkey % 2 = 1").groupBy(F.floor(F.col("p_partkey") / 50)).agg(F.collect_list("offer").alias("offers")).select("offers")
+    payloads.write.json(f"{base}/api")
+    out = files.read_feeds(spark, {"api": f"{base}/api", "issuers": f"{base}/issuers", "absent": f"{base}/none"}, lines=True)
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("`terms.spend`").alias("spend"))
 
 
+@query(
+    "latest_output",
+    "SRC5",
+    """WITH r AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS run_id, CASE WHEN event_id % 97 = 0 THEN 'final' ELSE 'checkpoint' END AS stage, event_type FROM events)
+     SELECT event_type, run_id, stage FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY run_id DESC, stage = 'final' DESC) = 1""",
+)
+def latest_output(t):
+    """The newest run of each kind, its final output if there is one, else its checkpoint."""
+    r = t("events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.when(F.col("event_id") % 97 == 0, "final").otherwise("checkpoint").alias("stage"))
+    return files.latest_run(r.distinct(), ["event_type"])
+
+
 @query(
     "file_manifest",
     "SRC6",

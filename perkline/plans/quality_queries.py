@@ -73,7 +73,8 @@ def quality_suites(t):
     "raw_transactions users cards",
 )
 def quality_summary(t):
-    return quality.suite_summary(_suites(t))
+    handed = quality.require_columns(_suites(t), ["dataset", "passed"], "suite results")
+    return quality.suite_summary(handed)
 
 
 @query(
@@ -215,6 +216,18 @@ def domain_rules(t):
     return _anomalies(t).withColumn("ratio", F.round("ratio", 9))
 
 
+@query(
+    "unknown_archetypes",
+    "ANM9",
+    f"""WITH o AS (SELECT CASE WHEN ord % 9 = 0 THEN 'kind_' || (ord % 40) ELSE archetype END AS a FROM users), x AS (SELECT a FROM o WHERE a NOT IN ({IN(dims.ARCHETYPES)}))
+     SELECT 'users' AS dataset, (SELECT count(*) FROM x) AS rows, (SELECT string_agg(a, ',' ORDER BY a) FROM (SELECT DISTINCT a FROM x ORDER BY a LIMIT 10)) AS examples""",
+    "users",
+)
+def unknown_archetypes(t):
+    odd = F.when(F.col("ord") % 9 == 0, F.concat(F.lit("kind_"), (F.col("ord") % 40).cast("string"))).otherwise(F.col("archetype"))
+    return quality.unknown_archetypes(t("users").withColumn("archetype", odd))
+
+
 @query(
     "anomaly_report",
     "ANM6 ANM10",

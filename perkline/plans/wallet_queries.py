@@ -199,6 +199,27 @@ def merchant_category(t):
     )
 
 
+_KEYWORDS = [w for words in dims.MERCHANT_WORDS.values() for w in words]
+_KEYWORD_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _KEYWORDS) + "]"
+_KEYWORD_CASE = "CASE " + " ".join(
+    f"WHEN {' OR '.join(f"contains(m, '{w.replace(chr(39), chr(39) * 2)}')" for w in words)} THEN '{c}'" for c, words in dims.MERCHANT_WORDS.items()
+) + " ELSE 'other' END"
+
+
+@query(
+    "merchant_keywords",
+    "STR10",
+    f"""WITH m AS (SELECT lower(p_brand || ' ' || upper({_KEYWORD_LIST}[(p_partkey % {len(_KEYWORDS) + 20})::INT + 1]) || ' no ' || p_partkey) AS m FROM part)
+  SELECT {_KEYWORD_CASE} AS category, count(*) AS n FROM (SELECT coalesce(m, 'unnamed shop') AS m FROM m) GROUP BY 1""",
+)
+def merchant_keywords(t):
+    """Merchants by every keyword of the table, the first category in its order winning."""
+    word = F.get(F.array(*[F.lit(w) for w in _KEYWORDS]), (F.col("p_partkey") % (len(_KEYWORDS) + 20)).cast("int"))
+    merchant = F.coalesce(F.concat(F.col("p_brand"), F.lit(" "), F.upper(word), F.lit(" no "), F.col("p_partkey").cast("string")), F.lit("unnamed shop"))
+    found = t("part").select(sc.resolve_category(merchant, F.lit(None).cast("string")).alias("category"))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "personalized_scores",
     "RWD8",
@@ -274,12 +295,8 @@ DEFAULT_SQL = "CASE WHEN {b} > 0 THEN {b} ELSE 1000 END"
     "users",
 )
 def default_spend_profile(t):
-    total = sum(dims.DEFAULT_SPEND.values())
-    budget = F.when(F.col("monthly_budget") > 0, F.col("monthly_budget")).otherwise(F.lit(1000.0))
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.lit(v).alias("w")) for k, v in dims.DEFAULT_SPEND.items()]))
-    d = t("users").select("user_id", budget.alias("b"), rows.alias("r"))
-    cents = F.floor(F.col("b") * F.col("r.w") * 100 / total + 0.5)
-    return d.select("user_id", "r.category", F.round(cents / 100, 2).alias("amount"))
+    d = t("users").select("user_id", F.explode(sc.default_spend_rows(F.col("monthly_budget"))).alias("r"))
+    return d.select("user_id", "r.category", "r.amount")
 
 
 PURCHASES = """ex AS (SELECT user_id, sum(amount) AS e FROM spend GROUP BY 1),
@@ -421,3 +438,36 @@ def wallet_highlights(t):
     w = sc.wallet(t("user_cards"), catalog(t))
     lines = wording.reward_highlights(F.col("bonuses"), F.col("base_rate"), F.col("annual_fee"))
     return w.groupBy("card_id", F.concat_ws(" | ", lines).alias("highlights")).agg(F.count(F.lit(1)).alias("n_wallets"))
+
+
+_RATE = "rtrim(rtrim(printf('%.6f', rate), '0'), '.') || CASE WHEN rate >= 1 THEN 'x' ELSE '%' END"
+_MONEY = "'$' || round(savings)::INT"
+
+
+@query(
+    "card_arguments",
+    "STR15",
+    f"""WITH d AS (SELECT p_partkey, (p_size % 6)::DOUBLE / 2 AS rate, (p_size % 4 * 95)::DOUBLE AS fee, (p_size * 10)::DOUBLE AS savings, p_type AS category, p_size % 3 = 0 AS bonus,
+     CASE WHEN p_size % 2 = 0 THEN 'gas' END AS missing, p_size % 5 AS n, p_size % 7 < 3 AS persona FROM part)
+   SELECT p_partkey,
+     CASE WHEN bonus THEN '4x dining — strong for your spending pattern' ELSE 'Flat ' || {_RATE} || ' on all purchases — no category tracking needed' END AS pro1,
+     CASE WHEN fee = 0 THEN 'No annual fee keeps your net rewards positive from day one' WHEN savings > fee THEN 'Projected ' || {_MONEY} || '/year in rewards more than offsets the $' || fee::INT || ' annual fee'
+       ELSE 'Projected annual reward of ' || {_MONEY} || ' across your spending categories' END AS pro2,
+     CASE WHEN fee > 0 THEN '$' || fee::INT || '/year annual fee requires consistent spending to offset' WHEN bonus THEN 'Lower base rate on purchases outside bonus categories'
+       ELSE 'No bonus categories — specialized cards may earn more in your top areas' END AS con1,
+     CASE WHEN bonus AND missing IS NOT NULL THEN 'No bonus rate for ' || missing || ' — your ' || CASE WHEN n > 1 THEN '#2' ELSE '' END || ' spending category' WHEN bonus THEN 'Rewards value depends on how you redeem points'
+       ELSE 'Other cards may offer higher rates in specific spending categories' END AS con2,
+     CASE WHEN persona AND bonus THEN 'Student, Traveler spenders focused on ' || category WHEN persona THEN 'Student, Traveler spenders looking for simple flat-rate rewards' WHEN bonus THEN 'Spenders with high ' || category || ' purchases'
+       ELSE 'Everyday spenders who prefer simplicity over category optimization' END AS best_for FROM d""",
+)
+def card_arguments(t):
+    """Two arguments for and against a card, and whom it suits."""
+    size = F.col("p_size")
+    bonus = size % 3 == 0
+    lines = F.when(bonus, F.array(F.lit("4x dining"), F.lit("1% on everything else"))).otherwise(F.array(F.lit("1.5% on everything")))
+    personas = F.when(size % 7 < 3, F.array(F.lit("student"), F.lit("traveler"))).otherwise(F.array().cast("array<string>"))
+    pros, cons = wording.pros_and_cons(
+        lines, (size % 6) / 2, (size % 4 * 95).cast("double"), (size * 10).cast("double"), F.col("p_type"), F.when(size % 2 == 0, F.lit("gas")), size % 5
+    )
+    suits = wording.best_for(personas, bonus, F.col("p_type"))
+    return t("part").select("p_partkey", pros[0].alias("pro1"), pros[1].alias("pro2"), cons[0].alias("con1"), cons[1].alias("con2"), suits.alias("best_for"))

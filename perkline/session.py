@@ -32,17 +32,3 @@ def build_session(app: str = "perkline", cores: int | None = None) -> SparkSessi
         .getOrCreate()
     )
 
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Folder for cut lineage: the one the cluster names, else the caller's own.
-
-    A cluster sets ``spark.checkpoint.dir`` to a folder every executor can reach.
-    ``fallback`` is only used where it is unset, as in tests on one machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or fallback
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is unset and no fallback folder was given")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,12 +49,13 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema, ()))
 
 
-def read_offers(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
+def read_offers(spark: SparkSession, path: str, schema: str | T.StructType | None = None, lines: bool = False) -> DataFrame | None:
     """Offers from ``{"offers": [...]}`` or a bare list, nested keys as dotted columns.
 
-    A payload object has no card name of its own, which tells the two shapes apart.
+    A payload object has no card name of its own, which tells the two shapes apart.  With
+    ``lines`` every line is a payload or an offer, so large files are split between tasks.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", not lines)
     if schema is not None:
         reader = reader.schema(schema)
     df = optional(lambda: reader.json(path))
@@ -65,11 +66,11 @@ def read_offers(spark: SparkSession, path: str, schema: str | T.StructType | Non
     return flatten(df)
 
 
-def read_feeds(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame | None:
+def read_feeds(spark: SparkSession, paths: Mapping[str, str], lines: bool = False) -> DataFrame | None:
     """All feeds in one frame, rows without a source tagged with the feed's name."""
     out = None
     for name, path in paths.items():
-        df = read_offers(spark, path)
+        df = read_offers(spark, path, lines=lines)
         if df is None:
             continue
         tag = F.coalesce(F.col("source"), F.lit(name)) if "source" in df.columns else F.lit(name)
@@ -102,10 +103,10 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
-def latest_run(runs: DataFrame) -> DataFrame:
-    """The newest run, its final output before its checkpoint."""
+def latest_run(runs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The newest run (of each group), its final output before its checkpoint."""
     best = F.max(F.struct("run_id", (F.col("stage") == "final").alias("is_final"), "stage"))
-    return runs.agg(best.alias("b")).select("b.run_id", "b.stage")
+    return runs.groupBy(*groups).agg(best.alias("b")).select(*groups, "b.run_id", "b.stage")
 
 
 def latest_snapshot(snapshots: DataFrame, run: str = "run_id") -> DataFrame:

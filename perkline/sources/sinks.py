@@ -12,17 +12,18 @@ from pyspark.sql import types as T
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach.
+    """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    It lies below the folder the cluster names in ``spark.checkpoint.dir``.  Only a
-    single-machine session without that setting falls back to a temporary folder.
+    A session on one machine that has no such folder gets one; elsewhere the setting must
+    be there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/perkline-{name}-{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix=f"perkline-{name}-") + "/out"
+    if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        shared = f"{tempfile.gettempdir()}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/perkline-{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:

@@ -148,3 +148,45 @@ def test_alerts_stay_silent_for_an_hour_from_the_first(spark, tmp_path):
         _write(spark, [(minutes, t0 + dt.timedelta(minutes=minutes), "a", 0.0)], src)
         rows = drain()
     assert sorted(r["id"] for r in rows.collect()) == [0, 200]
+
+
+def test_a_failing_stream_raises(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    _write(spark, [(1, dt.datetime(2024, 1, 1), "a", 1.0)], src)
+    s = streams.file_stream(spark, src, "id long, ts timestamp, kind string, amount double").withColumn("bad", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        streams.run_available(s, out, ck)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_single_files_and_folders(spark, tmp_path, parts):
+    rows = [(i, dt.datetime(2024, 1, 1), "a", 1.0) for i in range(9)]
+    table = spark.createDataFrame(rows, "id long, ts timestamp, kind string, amount double")
+    path = tmp_path / "events.parquet"
+    if parts == 1:
+        table.toPandas().to_parquet(path, coerce_timestamps="us")
+    else:
+        table.repartition(parts).write.parquet(str(path))
+    got = streams.run_available(streams.file_stream(spark, f"{path}*", table.schema), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert got.count() == 9
+
+
+def test_a_period_without_requests_is_zero(spark):
+    numbers = ["llm_calls", "llm_successes", "llm_fallbacks", "llm_tokens", "is_personalized"]
+    cols = ["day date", "request_status string", "total_ms double", "explanation_latency_ms double", "llm_model string", "llm_prompt_version string", *[f"{n} long" for n in numbers]]
+    cols += [f"{s} double" for s in monitoring.STAGES if s not in ("total_ms",)]
+    empty = spark.createDataFrame([], ", ".join(dict.fromkeys(cols)))
+    r = monitoring.period_report(empty, "2024-01-01", "2024-01-07").first().asDict()
+    assert r["request_count"] == 0 and r["error_rate"] == 0.0 and r["personalization_rate"] == 0.0 and r["avg_per_day"] == 0.0
+    assert r["model_names"] == "" and all(v is not None for v in r.values())
+
+
+def test_pages_follow_a_key(spark):
+    rows = [(dt.datetime(2024, 1, 1 + i % 5), i) for i in range(23)]
+    d = spark.createDataFrame(rows, "ts timestamp, id int")
+    want = sorted(rows, key=lambda r: (-r[0].timestamp(), r[1]))
+    got, last = [], {"ts": dt.datetime(2999, 1, 1), "id": 0}
+    while page := ledger.page_after(d, last, 5, "id").collect():
+        got += [(r["ts"], r["id"]) for r in page]
+        last = page[-1].asDict()
+    assert got == want

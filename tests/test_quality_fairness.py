@@ -177,3 +177,12 @@ def test_describe_and_histogram(spark):
     t = profiling.describe_text(df, ["s"]).first()
     assert (t["count"], t["missing"], t["distinct"], t["top"], t["freq"]) == (6, 4, 1, "a", 6)
     assert {r["bin"]: r["n"] for r in profiling.histogram(df, "v", 3).collect()} == {0: 3, 1: 3, 2: 4}
+
+
+def test_columns_without_values_on_one_side_are_not_tested(spark):
+    a = spark.createDataFrame([("x", None), ("y", None), ("x", None)], "p string, q string")
+    b = spark.createDataFrame([("x", "k"), ("y", "l")], "p string, q string")
+    per, verdict = drift.dataset_drift(a, b, [], ["p", "q"])
+    assert [r["column"] for r in per.collect()] == ["p"]
+    assert verdict.first()["columns"] == 1
+    assert drift.chi_square(a.limit(0), b, ["p"]).count() == 0

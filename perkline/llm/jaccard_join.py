@@ -41,7 +41,7 @@ PERCENT = 75
 REACH = 1 - PERCENT / 100
 SMALL_CELL = 64
 #: A shingle goes to the end of the order if more documents than this, and this share of all, have it.
-HOT_DOCS, HOT_SHARE = 32, 1e-4
+HOT_DOCS, HOT_SHARE = 16, 1e-4
 ROUNDS = 6
 BLOCK = 512
 _HELD = 8 << 20
@@ -66,8 +66,8 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 def frequent(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Shingles of many documents, sorted: at most the mean set size over ``HOT_SHARE`` of them.
 
-    Counts are summed from what each task sees three times among some millions of
-    shingles.  They only set the order of shingles, on which no result depends.
+    Counts are summed from what each task sees twice among some millions of shingles.
+    They only set the order of shingles, on which no result depends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +75,7 @@ def frequent(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
         def flush():
             own, count = np.unique(np.concatenate(held), return_counts=True)
-            own, count = own[count > 2], count[count > 2]
+            own, count = own[count > 1], count[count > 1]
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count.astype(np.int64))], names=["shingle", "docs"])
 
         for batch in batches:
@@ -194,10 +194,9 @@ def _plausible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     What two sets have in common and is in no common cell lies behind the prefix of one of
     them, so it is at most the rest of the larger set.
     """
-    own = cells.select("doc_id", "cell", "n")
-    with_a = pairs.join(own.select(F.col("doc_id").alias("a"), "cell", F.col("n").alias("a_n")), "a")
-    both = with_a.join(own.select(F.col("doc_id").alias("b"), "cell", F.col("n").alias("b_n")), ["b", "cell"])
-    met = both.groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("met"))
+    own = cells.groupBy("doc_id").agg(F.collect_list("cell").alias("cells"), F.max("n").alias("n"))  # one document's prefix
+    a, b = (own.select(F.col("doc_id").alias(s), F.col("cells").alias(f"{s}_cells"), F.col("n").alias(f"{s}_n")) for s in "ab")
+    met = pairs.join(a, "a").join(b, "b").withColumn("met", F.size(F.array_intersect("a_cells", "b_cells")))
     need = F.ceil(PERCENT * (F.col("a_n") + F.col("b_n")) / (100 + PERCENT) - F.lit(1e-9))
     larger = F.greatest("a_n", "b_n")
     return met.filter(F.col("met") >= need - (larger - F.floor(larger / 4) - 1)).select("a", "b")

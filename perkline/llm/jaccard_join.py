@@ -10,10 +10,11 @@ most of what belongs together.  Where a cell then still holds several components
 
 * a small cell compares its documents across components, if the cells they share and the
   triangle inequality over the pivot allow a link;
+* a middling cell is joined block by block, with no row per pair;
 * a large cell becomes Voronoi-like regions: rings of the link distance around the pivot,
   each with the next ring as its window, so that a pair within the link distance meets in
   one.  The pivot is done with, and each region is joined in the same way again;
-* regions that no longer shrink are joined block by block, with no row per pair.
+* regions that no longer shrink are joined block by block too.
 
 Documents of equal sets are one class and are not compared.  Results are exact: filters
 only drop pairs that can't link, and every pair that is kept is checked on its whole sets.
@@ -42,8 +43,9 @@ REACH = 1 - PERCENT / 100
 SMALL_CELL = 64
 #: A shingle goes to the end of the order if more documents than this, and this share of all, have it.
 HOT_DOCS, HOT_SHARE = 16, 1e-4
-ROUNDS = 6
 BLOCK = 512
+#: Cells up to this size are joined block by block at once; larger ones are taken apart by rings first.
+RING_ROWS, ROUNDS = 16 * BLOCK, 6
 _HELD = 8 << 20
 _SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x589965CC75374CC3))
 
@@ -240,6 +242,15 @@ def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(run, "a long, b long")
 
 
+def _rings(around: DataFrame, tested: DataFrame) -> DataFrame:
+    """Regions of a cell around its pivot: each ring of the link distance together with the next one."""
+    outer = F.least(F.floor((F.col("d") + 1e-9) / REACH), F.lit(3)).cast("long")
+    inner = F.least(F.floor((F.col("d") - 1e-9) / REACH), F.lit(3)).cast("long")
+    zones = F.array_distinct(F.transform(F.array(inner - 1, outer - 1, outer), lambda z: F.greatest(z, F.lit(0).cast("long"))))
+    placed = _with_distance(around, tested).withColumn("zone", F.explode(zones))
+    return placed.withColumn("cell", F.xxhash64("cell", "pivot", "zone")).select("cell", "doc_id", "n", "off_centre").distinct()
+
+
 def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
@@ -272,7 +283,8 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     links = [_links(tested), _links(found)]
 
     # Rings are named by where they lie, so a region of many cells is joined once per cell only.
-    regions, before = rest.filter(F.col("rows") > SMALL_CELL), None
+    middling, regions = rest.filter(F.col("rows").between(SMALL_CELL + 1, RING_ROWS)), rest.filter(F.col("rows") > RING_ROWS)
+    blocked, before = [middling], None
     for _ in range(ROUNDS):
         regions = shared.stored(regions, "jaccard-regions")
         rows = regions.count()
@@ -285,17 +297,20 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         tested = shared.stored(tested.unionByName(distances(new, docs, size)), "jaccard-distances")
         links[0] = _links(tested)
         roots = shared.stored(graph.components(links[0].unionByName(links[1])), "jaccard-components")
-        ring = F.least(F.floor((F.col("d") + 1e-9) / REACH), F.lit(3)).cast("long")
-        inner = F.floor((F.col("d") - 1e-9) / REACH).cast("long")
-        placed = _with_distance(around, tested).withColumn("zone", F.explode(F.array_distinct(F.array(F.greatest(F.least(inner, F.lit(3)) - 1, F.lit(0)), F.greatest(ring - 1, F.lit(0)), F.least(ring, F.lit(3))))))
-        placed = placed.withColumn("cell", F.xxhash64("cell", "pivot", "zone")).select("cell", "doc_id", "n", "off_centre").distinct()
-        split = shared.stored(_open(placed, roots), "jaccard-open")
+        split = shared.stored(_open(_rings(around, tested), roots), "jaccard-open")
         near = split.filter(F.col("rows") <= SMALL_CELL).withColumn("d", F.lit(None).cast("double"))
         extra = _plausible(_across(near).join(tested, ["a", "b"], "left_anti"), cells)
         links[1] = links[1].unionByName(_links(distances(extra, docs, size)))
-        regions = split.filter(F.col("rows") > SMALL_CELL)
-    if not regions.isEmpty():
-        links.append(shared.stored(_blocks(regions, docs, size), "jaccard-blocks"))
+        blocked.append(split.filter(F.col("rows").between(SMALL_CELL + 1, RING_ROWS)))
+        regions = split.filter(F.col("rows") > RING_ROWS)
+    blocked.append(regions)
+    columns = ["cell", "doc_id"]
+    left = blocked[0].select(*columns)
+    for own in blocked[1:]:
+        left = left.unionByName(own.select(*columns))
+    left = shared.stored(left, "jaccard-blocks")
+    if not left.isEmpty():
+        links.append(shared.stored(_blocks(left, docs, size), "jaccard-blocks"))
     every = links[0]
     for own in links[1:]:
         every = every.unionByName(own)

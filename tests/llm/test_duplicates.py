@@ -129,8 +129,9 @@ def chain_rows():
 
 
 def test_jaccard_join(spark, monkeypatch):
-    for small in (64, 4):
+    for small, rings in ((64, 8192), (4, 8)):
         monkeypatch.setattr(jaccard_join, "SMALL_CELL", small)
+        monkeypatch.setattr(jaccard_join, "RING_ROWS", rings)
         rows = edge_texts() + chain_rows()
         docs = edge_docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(chain_rows(), "doc_id long, text string"))
         own, sets = near(rows)

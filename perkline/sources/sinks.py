@@ -22,7 +22,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         shared = f"{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/perkline-{name}-{uuid.uuid4().hex}"
 
 

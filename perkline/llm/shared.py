@@ -49,7 +49,7 @@ def partitions_for(spark: SparkSession, wanted: int) -> int:
     return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def over_text(docs: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, max_bytes: int = 4 << 20) -> DataFrame:
+def over_text(docs: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``fn`` to Arrow slices of ``docs`` whose ``text`` has about ``max_bytes`` bytes or is one row.
 
     A null text arrives as null.  ``fn`` gets ``columns`` and returns a batch of ``schema``.

@@ -170,6 +170,69 @@ def test_distributions_sum_to_one(spark):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def plain_tree(texts, depth):
+    """Probabilities by dictionaries: (tokens -> list of probabilities), and the retained contexts."""
+    lines = [[*words((t or "").translate(LOWER)), None] for t in texts]
+    n = collections.Counter(tuple(w[i - d : i + 1]) for w in lines for i in range(len(w)) for d in range(min(i, depth) + 1))
+    tokens, kinds = sum(map(len, lines)), sum(len(k) == 1 for k in n)
+    once, twice = (sum(v == x for k, v in n.items() if len(k) == 1 and k != (None,)) for x in (1, 2))
+    discount = once / (once + 2 * twice) if once else 0.5
+    spare = {}
+
+    def p(context, symbol):
+        if not context:
+            seen = n.get((symbol,), 0)
+            return (seen - discount) / tokens if seen else max(discount * kinds / tokens, 1 / (tokens + 1))
+        lower = p(context[1:], symbol)
+        if context not in spare:
+            return lower
+        seen = n.get((*context, symbol), 0)
+        return (max(seen - 0.75, 0) / n[context] if seen >= 2 else 0) + spare[context] * lower
+
+    for d in range(1, depth + 1):
+        nexts = collections.defaultdict(list)
+        for k, v in n.items():
+            if len(k) == d + 1 and v >= 2:
+                nexts[k[:-1]].append((k[-1], v))
+        more = {}
+        for context, follow in nexts.items():
+            total, suffix = n[context], [p(context[1:], s) for s, _ in follow]
+            gain = sum(v * math.log(v / total / q) for (_, v), q in zip(follow, suffix))
+            rest = 1 - sum(v for _, v in follow) / total
+            gain += total * rest * math.log(rest / max(1 - sum(suffix), 1e-9)) if rest > 1e-9 else 0
+            if gain > 0.5 * len(follow) * math.log(max(total, 2)):
+                more[context] = 1 - sum(v - 0.75 for _, v in follow) / total
+        spare.update(more)
+    return (lambda t: [p(tuple(w[max(0, i - depth) : i]), w[i]) for w in [[*words((t or "").translate(LOWER)), None]] for i in range(len(w))]), spare
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts and next words far below 1e-4 of the tokens count, at every depth, as in plain Python."""
+    def corpus(n):
+        rng = random.Random(6)
+        return [prose(rng, 120) + f" rare{i // 4} then{i // 4} last{i // 4} " + prose(rng, 60) for i in range(n)]
+
+    kept = {}
+    for n in (300, 600):
+        texts = corpus(n)
+        docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+        counts, tree = suffix_tree.learned(docs)
+        chances, spare = plain_tree(texts, suffix_tree.DEPTH)
+        assert [len(x["stays"]) for x in tree.nodes] == [sum(len(c) == d for c in spare) for d in range(1, suffix_tree.DEPTH + 1)]
+        assert {(f"rare{i}",) for i in range(n // 4)} | {(f"rare{i}", f"then{i}") for i in range(n // 4)} <= {*spare}
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(docs, F.lit(False)).collect()}
+        for i in range(0, n, 29):
+            assert got[i] == pytest.approx(sum(math.log10(x) for x in chances(texts[i])), abs=1e-6)
+        kept[n] = len(spare)
+    assert 4 < 1e-4 * sum(len(words(t)) for t in texts)
+    assert kept[600] > 1.5 * kept[300]
+    held = spark.createDataFrame([(0, texts[0]), (1, "rare3 then3 last3"), (2, "ka then3 last3 nowhere"), (3, None)], "doc_id long, text string")
+    both = docs.select((F.col("doc_id") + 100).alias("doc_id"), "text").unionByName(held)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.scored(both, F.col("doc_id") < 100).collect()}
+    for i, t in held.collect():
+        assert got[i] == pytest.approx(sum(math.log10(x) for x in chances(t)), abs=1e-6)
+
+
 def test_line_rules_against_sql(spark):
     rng = random.Random(4)
     common = "Home | About us | Contact"

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from perkline.llm import byte_cnn, jaccard_join, language_masks, packing, repeats, shared
 
-#: A trained classifier and float scores are beyond SQL; tests hold run() against plain Python.
+#: A trained classifier and float scores are beyond SQL.  The test holds run() against its stages one by one; no stage
+#: is held against plain Python there.
 ORACLE_SQL = None
 
 

@@ -419,7 +419,8 @@ def counterfactuals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each row once per other value of each sensitive column.
 
     The values of a column are one array that every row is exploded by, found by the same
-    plan; so nothing is collected, and there is no limit on their number.
+    plan, so nothing is collected.  One task holds that array, and there are rows times
+    values of rows: sensitive columns need a proven bound of distinct values.
     """
     out = None
     for c in columns:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm import line_rules
+from perkline.llm import collocations, lexical_search, line_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,24 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from perkline.llm import byte_cnn, suffix_tree
 
     return suffix_tree.scored(table(spark, sf_dir, "documents"), byte_cnn.fold(F.col("doc_id"), 7, 2))
+
+
+@register("op11_tiled_search", lexical_search.ORACLE)
+def op11_tiled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_collocations", collocations.ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language by how far they exceed what their parts foretell."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op13_warc_chunks", warc.ORACLE)
+def op13_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, and what reading those back finds."""
+    from perkline.llm import shared
+
+    manifest = warc.write(table(spark, sf_dir, "pages"), shared.new_folder(spark, "warc"))
+    return warc.records(warc.read(manifest, with_data=False))

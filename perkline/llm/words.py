@@ -78,14 +78,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Find and hash the words of every text; ``lower`` hashes A-Z as a-z."""
+def words(texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
+    """Find and hash the words of every text; ``lower`` hashes A-Z as a-z, ``separator`` marks the bytes between words."""
     raw, at = text_bytes(texts)
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(raw, none, none, np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint64))
-    inside = ~_SEPARATOR[raw]
+    inside = ~separator[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = at[(at > 0) & (at < n)]

@@ -261,6 +261,8 @@ CARD_TEXTS = {
     "first": "Top pick for your spending profile. {name} earns {rate} on {category}, projecting {money}/year in rewards.",
     "other": "{name} earns {rate} on {category}. Projected annual reward: {money}.",
     "boosted": " Boosted by your {personas} profile.",
+    "template_bonus": "Strong match for {category} spend at {rate}% deterministic reward rate.",
+    "template_base": "Consistent base rewards card with {rate}% return.",
     "pro_bonus": "{highlight} — strong for your spending pattern",
     "pro_flat": "Flat {rate} on all purchases — no category tracking needed",
     "pro_no_fee": "No annual fee keeps your net rewards positive from day one",

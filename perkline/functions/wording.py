@@ -36,6 +36,13 @@ def card_explanation(
     return F.concat(F.when(rank == 1, filled(say["first"], **earned)).otherwise(filled(say["other"], **earned)), tail)
 
 
+def template_explanation(category: Column, bonus_rate: Column, base_rate: Column) -> Column:
+    """Line on the user's largest category that the card has a bonus for, else on its base rate."""
+    say = dims.CARD_TEXTS
+    plain = filled(say["template_base"], rate=F.format_string("%.1f", base_rate))
+    return F.coalesce(filled(say["template_bonus"], category=category, rate=F.format_string("%.1f", bonus_rate)), plain)
+
+
 def rate_text(rate: Column) -> Column:
     return F.concat(plain_number(rate), F.when(rate >= 1, F.lit("x")).otherwise(F.lit("%")))
 

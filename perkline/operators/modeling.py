@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -231,6 +231,30 @@ def tune(train: DataFrame, columns: Sequence[str], target: str, grid: Mapping[st
     return cv.fit(train)
 
 
+def linear(target: str) -> LinearRegression:
+    """Ordinary least squares in closed form: one pass over the rows, the same result every time."""
+    return LinearRegression(labelCol=target, solver="normal", regParam=0.0)
+
+
+def train_point_value(frame: DataFrame, columns: Sequence[str], folder: str, model=None, target: str = "point_value") -> str:
+    """Fit a pipeline on the rows with a target and save it in a shared ``folder``; a random forest unless given."""
+    est = model if model is not None else candidates(target)["random_forest"]
+    Pipeline(stages=[assembler(columns), est]).fit(frame.where(F.col(target).isNotNull())).write().overwrite().save(folder)
+    return folder
+
+
+def predicted_point_values(frame: DataFrame, folder: str, key: str = "user_id") -> DataFrame:
+    """``key`` and point_value, as the pipeline saved in ``folder`` predicts it.
+
+    The frame may lack columns that the pipeline was fitted on, which count as 0, and may
+    have more than those.
+    """
+    model = PipelineModel.load(folder)
+    wanted = model.stages[0].getInputCols()
+    aligned = frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in frame.columns else F.lit(0.0) for c in wanted})
+    return model.transform(aligned).select(key, F.col("prediction").alias("point_value"))
+
+
 # --------------------------------------------------------------------- the evaluation
 
 

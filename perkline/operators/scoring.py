@@ -366,30 +366,33 @@ def best_card(
 
 
 def best_by_category(cards: DataFrame, top_k: int = 10) -> DataFrame:
-    """The best ``top_k`` cards per category and foreign flag, by the net share of an amount.
+    """The best ``top_k`` cards per category, foreign flag and sign of an amount, by the net share of it.
 
     ``cards`` has card_id, annual_fee, base_rate, bonuses (map of category to rate) and
     foreign_fee_pct, and may have any number of rows.  The category ``""`` stands for all
-    without a bonus anywhere.  A reward is the amount times the net rate, so this order
-    holds for every purchase; the result has 2 * (categories + 1) * top_k rows.
+    without a bonus anywhere; the names of categories are a short vocabulary.  A reward is
+    the amount times the net rate, so a positive amount puts the highest net rate first, a
+    refund the lowest, and none the lowest fee; that order holds for every purchase.  The
+    result has 6 * (categories + 1) * top_k rows.
     """
     base = cards.select("card_id", "annual_fee", F.coalesce("base_rate", F.lit(DEFAULT_RATE)).alias("base_rate"), "bonuses", F.coalesce("foreign_fee_pct", F.lit(0.0)).alias("fee"))
     named = cards.select(F.explode(F.map_keys("bonuses")).alias("k")).agg(F.array_union(F.array(F.lit("")), F.sort_array(F.collect_set("k")))).scalar()
-    paged = base.withColumn("category", named).withColumn("category", F.explode("category")).withColumn("foreign", F.explode(F.array(F.lit(False), F.lit(True))))
+    turns = F.array(*[F.struct(F.lit(abroad).alias("foreign"), F.lit(sign).alias("sign")) for abroad in (False, True) for sign in (1, -1, 0)])
+    paged = base.withColumn("category", named).withColumn("category", F.explode("category")).select("*", F.inline(turns))
     rate = F.coalesce(F.try_element_at("bonuses", F.col("category")), F.col("base_rate"))
     net = paged.withColumn("rate", rate).withColumn("net_rate", F.col("rate") - F.when(F.col("foreign"), F.col("fee")).otherwise(F.lit(0.0)))
-    order = W.partitionBy("category", "foreign").orderBy(F.desc("net_rate"), "annual_fee", "card_id")
-    return net.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("category", "foreign", "rank", "card_id", "annual_fee", "rate", "net_rate")
+    order = W.partitionBy("category", "foreign", "sign").orderBy((-F.col("sign") * F.col("net_rate")).asc(), "annual_fee", "card_id")
+    return net.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("category", "foreign", "sign", "rank", "card_id", "annual_fee", "rate", "net_rate")
 
 
 def rank_card_table(txns: DataFrame, cards: DataFrame, top_k: int = 10, amount: str = "amount", category: str = "category", foreign: str = "is_foreign") -> DataFrame:
-    """Ranked cards of a table of any size per purchase with a positive amount."""
+    """Ranked cards of a table of any size per purchase; a refund ranks what it loses least on, a null amount is nothing."""
     best = best_by_category(cards, top_k)
     known = best.where(F.col("rank") == 1).select(F.col("category").alias("__known")).distinct()
-    spend = txns.where(F.col(amount) > 0).withColumn("__foreign", F.coalesce(F.col(foreign) == 1, F.lit(False)))
+    spend = txns.withColumns({"__foreign": F.coalesce(F.col(foreign) == 1, F.lit(False)), "__sign": F.signum(F.coalesce(F.col(amount), F.lit(0.0))).cast("int")})
     keyed = spend.join(known, F.col(category) == F.col("__known"), "left").withColumn("__page", F.coalesce("__known", F.lit("")))
-    pages = best.select(F.col("category").alias("__page"), F.col("foreign").alias("__foreign"), "rank", "card_id", "annual_fee", "net_rate")
-    out = keyed.join(pages, ["__page", "__foreign"])
+    pages = best.select(F.col("category").alias("__page"), F.col("foreign").alias("__foreign"), F.col("sign").alias("__sign"), "rank", "card_id", "annual_fee", "net_rate")
+    out = keyed.join(pages, ["__page", "__foreign", "__sign"])
     return out.select(*txns.columns, "rank", "card_id", "annual_fee", (F.col(amount) * F.col("net_rate") / 100).alias("reward_amount"))
 
 

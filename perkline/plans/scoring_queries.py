@@ -154,7 +154,16 @@ def net_ranked_cards(t):
     return r.groupBy("card_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_amount"), 6).alias("total_reward"))
 
 
-def _catalogue(t):
+#: The catalogue of ``catalogue`` as SQL: c (cards) and b (bonuses).
+CATALOGUE_CTES = f"""{CARD_CTES},
+  c AS (SELECT source || '_' || ord AS card_id, greatest(annual_fee, 0.0)::DOUBLE AS annual_fee, coalesce(try_cast(base_reward_rate AS DOUBLE), 1.0) AS base_rate, CASE WHEN ord % 3 = 0 THEN 2.7::DOUBLE ELSE 0 END AS fee FROM card_feed
+        UNION ALL SELECT card_id, annual_fee, base_rate, 0 FROM cat_cards),
+  b AS (SELECT source || '_' || ord AS card_id, 'dining' AS category, (ord % 7)::DOUBLE AS rate FROM card_feed WHERE ord % 5 = 0 UNION ALL SELECT * FROM cat_bonus)"""
+#: Some purchases turned into refunds, zero and missing amounts; both engines read it.
+SIGNED_AMOUNT = "CASE mcc_code % 7 WHEN 1 THEN -amount WHEN 2 THEN CAST(0 AS DOUBLE) WHEN 3 THEN NULL ELSE amount END"
+
+
+def catalogue(t):
     """The curated cards and every card of the feeds, with any rates they give."""
     feed = t("card_feed").select(
         F.concat_ws("_", "source", "ord").alias("card_id"), F.greatest("annual_fee", F.lit(0.0)).alias("annual_fee"), F.expr("try_cast(base_reward_rate AS DOUBLE)").alias("base_rate"),
@@ -169,22 +178,21 @@ def _catalogue(t):
 @query(
     "catalog_ranked_cards",
     "JON6 RWD10 RWD13 TOP1",
-    f""", {CARD_CTES},
-  c AS (SELECT source || '_' || ord AS card_id, greatest(annual_fee, 0.0)::DOUBLE AS annual_fee, coalesce(try_cast(base_reward_rate AS DOUBLE), 1.0) AS base_rate, CASE WHEN ord % 3 = 0 THEN 2.7::DOUBLE ELSE 0 END AS fee FROM card_feed
-        UNION ALL SELECT card_id, annual_fee, base_rate, 0 FROM cat_cards),
-  b AS (SELECT source || '_' || ord AS card_id, 'dining' AS category, (ord % 7)::DOUBLE AS rate FROM card_feed WHERE ord % 5 = 0 UNION ALL SELECT * FROM cat_bonus),
+    f""", {CATALOGUE_CTES},
   k AS (SELECT DISTINCT category FROM b UNION ALL SELECT ''),
   n AS (SELECT k.category, x.abroad, c.card_id, c.annual_fee, coalesce(b.rate, c.base_rate) - CASE WHEN x.abroad THEN c.fee ELSE 0 END AS net
         FROM c CROSS JOIN k CROSS JOIN (VALUES (true), (false)) x(abroad) LEFT JOIN b ON b.card_id = c.card_id AND b.category = k.category),
-  r AS (SELECT *, row_number() OVER (PARTITION BY category, abroad ORDER BY net DESC, annual_fee, card_id) AS rnk FROM n QUALIFY rnk <= 10)
-  SELECT r.card_id, r.rnk::INT AS rank, count(*) AS n, round(sum(t.amount * net / 100), 6) AS total_reward
-  FROM transactions t JOIN r ON r.category = CASE WHEN t.category IN (SELECT category FROM k) THEN t.category ELSE '' END AND r.abroad = (t.is_foreign = 1) WHERE t.amount > 0 GROUP BY 1, 2""",
+  g AS (SELECT *, row_number() OVER (PARTITION BY category, abroad, sgn ORDER BY -sgn * net, annual_fee, card_id) AS rnk FROM n CROSS JOIN (VALUES (1), (-1), (0)) y(sgn) QUALIFY rnk <= 10),
+  p AS (SELECT category, is_foreign, {SIGNED_AMOUNT} AS amount FROM transactions)
+  SELECT g.card_id, g.rnk::INT AS rank, g.sgn AS sign, count(*) AS n, round(sum(p.amount * net / 100), 6) AS total_reward
+  FROM p JOIN g ON g.category = CASE WHEN p.category IN (SELECT category FROM k) THEN p.category ELSE '' END AND g.abroad = (p.is_foreign = 1) AND g.sgn = sign(coalesce(p.amount, 0)) GROUP BY 1, 2, 3""",
     "transactions card_feed",
 )
 def catalog_ranked_cards(t):
-    """The ten best cards of the whole catalogue for every purchase, the catalogue being a table."""
-    r = sc.rank_card_table(t("transactions"), _catalogue(t))
-    return r.groupBy("card_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_amount"), 6).alias("total_reward"))
+    """The ten best cards of the whole catalogue for every purchase, refund and missing amount, the catalogue being a table."""
+    r = sc.rank_card_table(t("transactions").withColumn("amount", F.expr(SIGNED_AMOUNT)), catalogue(t))
+    r = r.withColumn("sign", F.signum(F.coalesce("amount", F.lit(0.0))).cast("int"))
+    return r.groupBy("card_id", "rank", "sign").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_amount"), 6).alias("total_reward"))
 
 
 CAPPED = [

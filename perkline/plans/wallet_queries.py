@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from perkline import dims
 from perkline.functions import wording
+from perkline.operators import modeling, recommend
 from perkline.operators import scoring as sc
 from perkline.plans.registry import query
-from perkline.plans.scoring_queries import CARD_CTES
+from perkline.plans.scoring_queries import CARD_CTES, CATALOGUE_CTES, SIGNED_AMOUNT, catalogue
+from perkline.sources import sinks
 
 
 def catalog(t):
@@ -471,3 +475,123 @@ def card_arguments(t):
     )
     suits = wording.best_for(personas, bonus, F.col("p_type"))
     return t("part").select("p_partkey", pros[0].alias("pro1"), pros[1].alias("pro2"), cons[0].alias("con1"), cons[1].alias("con2"), suits.alias("best_for"))
+
+
+# ------------------------------------------------------- the first cards of a whole catalogue
+
+_UP = "floor({x} * 1e{d} + (0.5 + 1e-6)) / 1e{d}"
+# Users' spend or the default purchase, their first category, personas and yearly factor.
+_ASKED = f"""asked AS (SELECT user_id, category, amount FROM spend
+   UNION ALL SELECT user_id, 'other', CASE WHEN monthly_budget > 0 THEN monthly_budget ELSE 100 END FROM users WHERE user_id NOT IN (SELECT user_id FROM spend)),
+ main AS (SELECT user_id, min_by(category, (-amount, category)) AS category, max(amount) AS amount FROM asked GROUP BY 1),
+ fac AS (SELECT d.user_id, avg({BOOST}) AS boost, avg({FEE_MULT}) AS fm FROM main d JOIN user_personas p ON p.user_id = d.user_id WHERE persona IN ({KNOWN}) GROUP BY 1),
+ tot AS (SELECT a.user_id, c.card_id, c.annual_fee, sum(a.amount * (coalesce(b.rate, c.base_rate) / 100)) AS reward
+   FROM asked a CROSS JOIN c LEFT JOIN b ON b.card_id = c.card_id AND b.category = a.category GROUP BY 1, 2, 3),
+ scr AS (SELECT t.*, m.amount AS main_amount, CASE WHEN u.monthly_budget > 0 THEN u.monthly_budget ELSE m.amount END AS monthly,
+   CASE WHEN f.boost IS NULL THEN {_UP.format(x='reward', d=8)} ELSE {_UP.format(x='(reward * boost - (fm - 1) * annual_fee / 12)', d=4)} END AS score
+   FROM tot t JOIN users u ON u.user_id = t.user_id JOIN main m ON m.user_id = t.user_id LEFT JOIN fac f ON f.user_id = t.user_id)"""
+_PICKED = f"""SELECT user_id, card_id, (row_number() OVER w)::INT AS rank, round(reward, 6) AS raw_reward, round(score, 4) AS score, {_UP.format(x='(reward * (monthly / main_amount * 12))', d=2)} AS projected_savings
+   FROM pool WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, {_UP.format(x='reward', d=8)} DESC, annual_fee, card_id)"""
+
+
+def _sentence(name, **values):
+    """A fixed sentence as SQL, its places filled by expressions."""
+    parts = re.split(r"\{(\w+)\}", dims.CARD_TEXTS[name])
+    return " || ".join(values[x] if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(parts) if i % 2 or x)
+
+
+def _asked(t):
+    users = t("users").select("user_id", F.col("monthly_budget").alias("monthly_spend"))
+    return users, sc.normalize_spend(t("spend_profile")), t("user_cards"), t("user_personas")
+
+
+@query(
+    "portfolio_recommendation",
+    "RWD13 JON7 TOP1",
+    f"""WITH {CATALOGUE_CTES}, {SPEND}, {_ASKED},
+ pool AS (SELECT s.*, NOT EXISTS (SELECT 1 FROM user_cards u WHERE u.user_id = s.user_id) AS generic FROM scr s
+   WHERE s.user_id NOT IN (SELECT user_id FROM user_cards) OR (s.user_id, s.card_id) IN (SELECT (user_id, card_id) FROM user_cards)),
+ r AS ({_PICKED.replace('round(reward, 6)', 'generic AS is_generic, round(reward, 6)')})
+ SELECT * FROM r WHERE NOT is_generic OR rank <= 10""",
+    "spend_profile user_cards user_personas users card_feed",
+)
+def portfolio_recommendation(t):
+    """Saved cards in order; for users without any, the first ten of the whole catalogue."""
+    d = recommend.portfolio(*_asked(t), catalogue(t))
+    return d.select("user_id", "card_id", "rank", "is_generic", F.round("raw_reward", 6).alias("raw_reward"), F.round("score", 4).alias("score"), "projected_savings")
+
+
+@query(
+    "catalogue_finder",
+    "RWD13 JON8 TOP1",
+    f"""WITH {CATALOGUE_CTES}, {SPEND}, {_ASKED},
+ pool AS (SELECT s.* FROM scr s WHERE (s.user_id, s.card_id) NOT IN (SELECT (user_id, card_id) FROM user_cards)),
+ r AS ({_PICKED}) SELECT * FROM r WHERE rank <= 10""",
+    "spend_profile user_cards user_personas users card_feed",
+)
+def catalogue_finder(t):
+    """The first ten cards of the whole catalogue that a user hasn't saved."""
+    d = recommend.portfolio(*_asked(t), catalogue(t), full_catalogue=True)
+    return d.select("user_id", "card_id", "rank", F.round("raw_reward", 6).alias("raw_reward"), F.round("score", 4).alias("score"), "projected_savings")
+
+
+@query(
+    "purchase_recommendation",
+    "RWD14 RWD9 STR10",
+    f"""WITH {CATALOGUE_CTES},
+ q AS (SELECT transaction_id, tie_break, user_id, {SIGNED_AMOUNT} AS amount, lower(category) AS used, lower(category) AS known FROM transactions WHERE suspicious = 0),
+ fac AS (SELECT x.user_id, x.category, avg({BOOST}) AS boost, avg({FEE_MULT}) AS fm FROM (SELECT DISTINCT user_id, used AS category FROM q) x JOIN user_personas p ON p.user_id = x.user_id WHERE persona IN ({KNOWN}) GROUP BY 1, 2),
+ rate AS (SELECT k.known, c.card_id, c.annual_fee, coalesce(b.rate, c.base_rate) AS rate FROM (SELECT DISTINCT known FROM q) k CROSS JOIN c LEFT JOIN b ON b.card_id = c.card_id AND b.category = k.known),
+ same AS (SELECT DISTINCT amount, used, known, boost, fm FROM q LEFT JOIN fac f ON f.user_id = q.user_id AND f.category = q.used),
+ edge AS (SELECT known, rate, annual_fee, card_id, row_number() OVER (PARTITION BY known, rate, annual_fee ORDER BY card_id) AS i FROM rate QUALIFY i <= 5),
+ scr AS (SELECT s.*, e.card_id, e.annual_fee, coalesce(amount, 0) * (rate / 100) AS reward,
+   CASE WHEN boost IS NULL THEN {_UP.format(x='(coalesce(amount, 0) * (rate / 100))', d=8)} ELSE {_UP.format(x='(coalesce(amount, 0) * (rate / 100) * boost - (fm - 1) * annual_fee / 12)', d=4)} END AS score
+   FROM same s JOIN edge e ON e.known = s.known),
+ r AS (SELECT *, row_number() OVER (PARTITION BY amount, used, boost, fm ORDER BY score DESC, {_UP.format(x='reward', d=8)} DESC, annual_fee, card_id) AS k FROM scr QUALIFY k <= 5)
+ SELECT r.used AS category_used, r.card_id, r.k::INT AS rank, count(*) AS n, round(sum(r.reward), 5) AS raw_reward
+ FROM q LEFT JOIN fac f ON f.user_id = q.user_id AND f.category = q.used JOIN r ON r.amount IS NOT DISTINCT FROM q.amount AND r.used = q.used AND r.boost IS NOT DISTINCT FROM f.boost AND r.fm IS NOT DISTINCT FROM f.fm GROUP BY 1, 2, 3""",
+    "transactions user_personas card_feed",
+)
+def purchase_recommendation(t):
+    """The first five cards of the whole catalogue for every unsuspicious purchase, refunds too, with the user's personas."""
+    q = t("transactions").where("suspicious = 0").withColumn("amount", F.expr(SIGNED_AMOUNT))
+    d = recommend.for_purchases(q, t("user_personas"), catalogue(t), ["transaction_id", "tie_break"], k=5)
+    return d.groupBy("category_used", "card_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("raw_reward"), 5).alias("raw_reward"))
+
+
+@query(
+    "modelled_profile_scores",
+    "RWD10 RWD11 TOP1 STR15",
+    f"""WITH {CATALOGUE_CTES}, {SPEND}, {PURCHASES},
+ m AS (SELECT regr_slope(pv, x) AS slope, regr_intercept(pv, x) AS icpt FROM (SELECT ln(1 + greatest(monthly_budget, 0)) AS x, {{POINT_VALUE}} AS pv FROM users)),
+ pred AS (SELECT user_id, icpt + slope * ln(1 + greatest(monthly_budget, 0)) AS pv FROM users, m),
+ cs AS (SELECT user_id, category, sum(amount) AS amount FROM pur GROUP BY 1, 2),
+ det AS (SELECT s.user_id, c.card_id, c.annual_fee, c.base_rate, sum(s.amount * (coalesce(b.rate, c.base_rate) / 100)) AS det
+   FROM cs s CROSS JOIN c LEFT JOIN b ON b.card_id = c.card_id AND b.category = s.category GROUP BY 1, 2, 3, 4),
+ stot AS (SELECT user_id, sum(amount) AS tot FROM spend GROUP BY 1),
+ up AS (SELECT s.user_id, b.card_id, sum(s.amount / t.tot * greatest(b.rate - c.base_rate, 0) * 0.75) AS m FROM spend s JOIN stot t ON t.user_id = s.user_id JOIN b ON b.category = s.category JOIN c ON c.card_id = b.card_id GROUP BY 1, 2),
+ sc AS (SELECT d.user_id, d.card_id, d.annual_fee, d.base_rate, d.det, p.pv > 0 AS personal, CASE WHEN p.pv > 0 THEN 0.6 * d.det + 0.4 * (d.det * (p.pv / 0.01::DOUBLE)
+     * CASE WHEN st.tot IS NULL THEN 1 ELSE greatest(1 + coalesce(u.m, 0) + CASE WHEN us.redemption_preference LIKE 'travel%' AND tb.rate > d.base_rate THEN 0.15 ELSE 0 END + CASE WHEN us.redemption_preference = 'cash_back' AND d.annual_fee <= 0 THEN 0.1 ELSE 0 END, 0.1) END) ELSE d.det END AS score
+   FROM det d JOIN users us ON us.user_id = d.user_id JOIN pred p ON p.user_id = d.user_id LEFT JOIN stot st ON st.user_id = d.user_id LEFT JOIN up u ON u.user_id = d.user_id AND u.card_id = d.card_id LEFT JOIN b tb ON tb.card_id = d.card_id AND tb.category = 'travel'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_UP.format(x='score', d=7)} DESC, {_UP.format(x='det', d=8)} DESC, annual_fee, card_id) AS k FROM sc QUALIFY k <= 10),
+ fb AS (SELECT r.user_id, r.card_id, min_by(b.category, (-s.amount, b.category)) AS cat, min_by(b.rate, (-s.amount, b.category)) AS rate FROM r JOIN spend s ON s.user_id = r.user_id JOIN b ON b.card_id = r.card_id AND b.category = s.category GROUP BY 1, 2)
+ SELECT r.user_id, r.card_id, k::INT AS rank, round(det, 4) AS deterministic_score, round(score, 3) AS blended_score, personal AS is_personalized,
+   CASE WHEN fb.cat IS NOT NULL THEN {{BONUS_LINE}} ELSE {{BASE_LINE}} END AS explanation FROM r LEFT JOIN fb ON fb.user_id = r.user_id AND fb.card_id = r.card_id""".replace(
+        "{POINT_VALUE}", "CASE redemption_preference " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dims.POINT_VALUE.items()) + " ELSE 0.01 END::DOUBLE"
+    )
+    .replace("{BONUS_LINE}", _sentence("template_bonus", category="fb.cat", rate="printf('%.1f', fb.rate)"))
+    .replace("{BASE_LINE}", _sentence("template_base", rate="printf('%.1f', r.base_rate)")),
+    "spend_profile users transactions card_feed",
+)
+def modelled_profile_scores(t):
+    """Ten cards per profile, scored with the point value that a trained, saved and reloaded model predicts."""
+    spend, _, bought = purchases(t)
+    users = t("users")
+    value = F.create_map(*[x for k, v in dims.POINT_VALUE.items() for x in (F.lit(k), F.lit(float(v)))])
+    frame = users.select("user_id", F.log1p(F.greatest("monthly_budget", F.lit(0.0))).alias("monthly_budget_log"), F.coalesce(F.try_element_at(value, F.col("redemption_preference")), F.lit(0.01)).alias("point_value"))
+    folder = sinks.work_folder(t.spark, "point-value-model")
+    modeling.train_point_value(frame, ["monthly_budget_log"], folder, model=modeling.linear("point_value"))
+    predicted = modeling.predicted_point_values(frame.drop("point_value"), folder)
+    profiles = users.select("user_id", F.col("redemption_preference").startswith("travel").alias("likes_travel"), (F.col("redemption_preference") == "cash_back").alias("likes_cashback"))
+    d = recommend.profile_scores(profiles, spend, bought, predicted, catalogue(t))
+    return d.select("user_id", "card_id", "rank", F.round("deterministic_score", 4).alias("deterministic_score"), F.round("blended_score", 3).alias("blended_score"), "is_personalized", "explanation")

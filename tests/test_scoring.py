@@ -186,6 +186,10 @@ def test_card_tables_rank_like_portfolios(spark):
     got = sc.rank_card_table(t, table, top_k=4).collect()
     assert sorted((r["id"], r["rank"], r["card_id"]) for r in got) == sorted(want)
     assert sc.rank_card_table(t, table.limit(0)).count() == 0
+    back = t.withColumn("amount", F.when(F.col("id") % 3 == 0, -F.col("amount")).when(F.col("id") % 3 == 1, 0.0).when(F.col("id") < 8, F.col("amount")))
+    want = [(r["id"], r["rank"], r["card_id"]) for r in sc.rank_portfolio(back, own, top_k=4, day=None).collect()]
+    got = sc.rank_card_table(back, table, top_k=4).collect()
+    assert sorted((r["id"], r["rank"], r["card_id"]) for r in got) == sorted(want) and len(want) == 36
 
 
 def test_finder_leaves_out_the_wallet(spark):

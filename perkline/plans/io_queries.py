@@ -324,8 +324,9 @@ def transformation_run(t):
 def _stream(t, table: str, domain: str | None = None):
     """A driver table as a file stream, optionally through a domain SELECT."""
     spark = t.spark
-    # The pattern takes one file as well as a folder of part files.
-    s = streams.file_stream(spark, t.path(table) + "*", t(table).schema)
+    # A source that is one file has to be a pattern; this one matches the name and nothing beside it.
+    path = t.path(table)
+    s = streams.file_stream(spark, f"{path[:-1]}[{path[-1]}]", t(table).schema)
     if domain:
         s = spark.sql(tables.SQL[domain].replace(f"FROM {table}", "FROM {src}"), src=s)
     return spark, s

@@ -6,15 +6,23 @@ everything there is, writes files, and stops.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from perkline.operators import monitoring, quality
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a key that are put in order at once; more go through the state store by time.
+HELD_ROWS = 20_000
+#: Time ranges that rows of a large key are cut into, and again where one holds too many.
+RANGES = 32
+
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", only: str | None = None, max_files: int = 1000) -> DataFrame:
     """New files at ``path`` (a folder or a pattern) as they arrive; ``only`` keeps matching file names."""
@@ -48,33 +56,152 @@ def sliding_latency(requests: DataFrame, ts: str, size: str = "1 day", step: str
     )
 
 
-def dedupe_alerts(alerts: DataFrame, ts: str, keys: Sequence[str] = ("severity", "message"), quiet_seconds: int = 3600) -> DataFrame:
-    """The first alert of each kind; repeats stay silent until the time from it has passed.
+def _micros(times: pd.Series) -> np.ndarray:
+    """Microseconds since 1970; a missing time comes first."""
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
 
-    Spark's own deduplication within a watermark may drop an alert that comes after
-    the quiet time, because it looks at the watermark and not at the first alert.  So
-    the time of the last alert sent is kept as state, one number per kind.
+
+class InOrder(StatefulProcessor):
+    """Takes the rows of a key in order, a bounded number at a time, and carries a value along.
+
+    Rows arrive in slices in no order.  A key with few is sorted in memory.  The slices of
+    a larger one are cut by ranges of time and put into the state store; the ranges are
+    then taken in order, and one that still holds too many is cut again.  So memory holds
+    ``HELD_ROWS`` rows, or those of one instant, however many a key has.  What is held lives
+    in the store for the micro-batch only; ``carry`` outlives it.
     """
-    quiet = int(quiet_seconds * 1_000_000)
-    schema = alerts.schema
-    names = alerts.columns
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        times = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
-        last = state.get[0] if state.exists else None
-        sent, i = [], 0
+
+    def __init__(self, columns: Sequence[str], time: str, order: Sequence[str], carry: str, most: int | None = None):
+        self.columns, self.time, self.order, self.schema = list(columns), time, list(order), carry
+        self.most = most or HELD_ROWS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carry = handle.getValueState("carry", self.schema)
+        self.held = handle.getMapState("held", "width long, range long, part long", "rows binary")
+
+    def step(self, key: tuple, rows: pd.DataFrame, carried: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        """The output for ordered rows and the new carry; none leaves it as it is."""
+        raise NotImplementedError
+
+    def done(self, key: tuple, rows_end: object, carried: tuple | None) -> None:
+        """Called after the rows of a micro-batch, to register timers."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        carried, last = (self.carry.get() if self.carry.exists() else None), None
+        changed = False
+        for chunk in self._ordered(rows):
+            out, new = self.step(key, chunk, carried)
+            if new is not None:
+                carried, changed = new, True
+            last = chunk
+            if len(out):
+                yield out
+        if changed:
+            self.carry.update(carried)
         if last is not None:
-            i = int(times.searchsorted(last + quiet))
+            self.done(key, last, carried)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _sorted(self, frames: list[pd.DataFrame]) -> pd.DataFrame:
+        return (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(self.order, kind="stable")
+
+    def _ordered(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near, rows = [], 0
+        frames = (frame.set_axis(self.columns, axis=1) for frame in frames)  # some names arrive changed
+        for frame in frames:
+            near.append(frame)
+            rows += len(frame)
+            if rows > self.most:
+                break
+        if rows <= self.most:
+            if rows:
+                yield self._sorted(near)
+            return
+        times = np.concatenate([_micros(f[self.time]) for f in near])
+        known = times[times > np.iinfo(np.int64).min]
+        width = max(1, int(known.max() - known.min()) // RANGES) if len(known) else 1
+        sizes: dict[int, list[int]] = {}
+        for frame in near:
+            self._put(frame, width, sizes)
+        del near, times, known
+        for frame in frames:
+            self._put(frame, width, sizes)
+        yield from self._take(width, sizes)
+
+    def _put(self, frame: pd.DataFrame, width: int, sizes: dict[int, list[int]]) -> None:
+        for at in range(0, len(frame), self.most):
+            part = frame.iloc[at : at + self.most]
+            for name, own in part.groupby(_micros(part[self.time]) // width, sort=False):
+                size = sizes.setdefault(int(name), [0, 0])
+                self.held.updateValue((width, int(name), size[1]), (pickle.dumps(own, protocol=5),))
+                size[0] += len(own)
+                size[1] += 1
+
+    def _parts(self, width: int, name: int, parts: int) -> Iterator[pd.DataFrame]:
+        for i in range(parts):
+            place = (width, name, i)
+            raw = self.held.getValue(place)[0]
+            self.held.removeKey(place)
+            yield pickle.loads(raw)
+
+    def _take(self, width: int, sizes: dict[int, list[int]]) -> Iterator[pd.DataFrame]:
+        for name in sorted(sizes):
+            rows, parts = sizes[name]
+            if rows <= self.most or width == 1:
+                yield self._sorted(list(self._parts(width, name, parts)))
+                continue
+            finer, inner = max(1, width // RANGES), {}
+            for part in self._parts(width, name, parts):
+                self._put(part, finer, inner)
+            yield from self._take(finer, inner)
+
+
+class _Quiet(InOrder):
+    """The first row and then each first one after a quiet time; the time of the last one is carried."""
+
+    def __init__(self, time: str, names: Sequence[str], quiet: int, most: int | None = None):
+        super().__init__(names, time, [time], "last long", most=most)
+        self.quiet = quiet
+
+    def step(self, key, rows, carried):
+        times = _micros(rows[self.time])
+        last, sent = (carried[0] if carried else None), []
+        i = 0 if last is None else int(times.searchsorted(last + self.quiet))
         while i < len(times):
             sent.append(i)
             last = int(times[i])
-            i = int(times.searchsorted(last + quiet))
-        if sent:
-            state.update((last,))
-        yield rows.iloc[sent][names]
+            i = int(times.searchsorted(last + self.quiet))
+        return rows.iloc[sent], (last,) if sent else None
+
+    def done(self, key, rows_end, carried):
+        if carried:
+            self.handle.registerTimer(-(-(carried[0] + self.quiet) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # Rows before the watermark come no more, so from here on the next alert is sent anyway.
+        if self.carry.exists() and self.carry.get()[0] + self.quiet <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.carry.clear()
+        return iter(())
+
+
+def dedupe_alerts(
+    alerts: DataFrame, ts: str, keys: Sequence[str] = ("severity", "message"), quiet_seconds: int = 3600, delay: str = "1 hour", most: int | None = None
+) -> DataFrame:
+    """The first alert of each kind; repeats stay silent until the time from it has passed.
 
-    return alerts.groupBy(*keys).applyInPandasWithState(step, schema, "last_sent long", "append", GroupStateTimeout.NoTimeout)
+    Spark's own deduplication within a watermark may drop an alert that comes after
+    the quiet time, because it looks at the watermark and not at the first alert.  So
+    the time of the last alert sent is kept as state, one number per kind, until the
+    watermark has passed its quiet time.  Alerts later than ``delay`` are dropped.
+    """
+    step = _Quiet(ts, alerts.columns, int(quiet_seconds * 1_000_000), most)
+    return alerts.withWatermark(ts, delay).groupBy(*keys).transformWithStateInPandas(step, alerts.schema, "Append", "EventTime")
 
 
 def contract_split(rows: DataFrame, reasons: Column) -> tuple[DataFrame, DataFrame]:
@@ -82,45 +209,68 @@ def contract_split(rows: DataFrame, reasons: Column) -> tuple[DataFrame, DataFra
     return quality.split_rows(rows, reasons)
 
 
-CAP_STATE = "spent_cents long"
+class _Spend(InOrder):
+    """Spend before each row of a bucket, in whole cents; the spend so far is carried until the bucket's end."""
+
+    def __init__(self, columns: Sequence[str], order: Sequence[str], keys: Sequence[str], kept: Sequence[str], until: str | None, most: int | None):
+        super().__init__(columns, order[0], order, "spent_cents long", most)
+        self.keys, self.kept, self.until = list(keys), list(kept), until
+
+    def step(self, key, rows, carried):
+        cents = (rows["__amount"].clip(lower=0).fillna(0.0) * 100).round().astype("int64")
+        spent = carried[0] if carried else 0
+        out = rows[self.kept].copy()
+        for name, value in zip(self.keys, key):
+            out[name] = value
+        out["spent_before"] = (cents.cumsum() - cents + spent) / 100.0
+        return out, (int(spent + cents.sum()),)
+
+    def done(self, key, rows_end, carried):
+        if self.until:
+            end = _micros(rows_end[self.until].iloc[-1:])[0]
+            if end > np.iinfo(np.int64).min:
+                self.handle.registerTimer(int(-(-end // 1000)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.carry.clear()
+        return iter(())
 
 
 def spend_before(
-    purchases: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, kept: Sequence[str], schema: str
+    purchases: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, kept: Sequence[str], schema: str,
+    until: str | None = None, delay: str = "1 hour", most: int | None = None,
 ) -> DataFrame:
     """Spend of a bucket before each purchase, carried across micro-batches as state.
 
-    The reset period belongs into ``keys``.  State is one number per key; rows of a
-    micro-batch are put in order, so the intake size (``max_files``) bounds the work.
+    The first of ``order`` is the time.  The reset period belongs into ``keys``; ``until``
+    names the column with its end, and a bucket's state goes when the watermark has passed
+    that; purchases later than ``delay`` are dropped then.  Without it a bucket counts
+    forever.
     """
-    order, kept, n_keys = list(order), list(kept), len(keys)
-    key_names = list(keys)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        cents = (rows["__amount"].clip(lower=0).fillna(0.0) * 100).round().astype("int64")
-        before = cents.cumsum() - cents + spent
-        state.update((int(spent + cents.sum()),))
-        out = rows[kept].copy()
-        for i in range(n_keys):
-            out[key_names[i]] = key[i]
-        out["spent_before"] = before / 100.0
-        yield out
-
     d = purchases.withColumn("__amount", F.col(amount).cast("double"))
-    return d.groupBy(*keys).applyInPandasWithState(step, schema, CAP_STATE, "append", GroupStateTimeout.NoTimeout)
+    if until:
+        d = d.withWatermark(order[0], delay)
+    step = _Spend(d.columns, order, keys, kept, until, most)
+    mode = "EventTime" if until else "None"
+    return d.groupBy(*keys).transformWithStateInPandas(step, schema, "Append", mode)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Process all available input into Parquet files and return them as a table.
 
-    Waits until everything is processed, however long that takes; a failure raises.
+    Waits until everything is processed, however long that takes; a failure raises.  State
+    is kept in RocksDB, so it need not fit into memory.
     """
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKSDB)
     w = df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.trigger(availableNow=True).start()
+    try:
+        q = w.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before) if before else conf.unset(name)
     try:
         q.awaitTermination()
     finally:

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,117 @@ def test_alerts_stay_silent_for_an_hour_from_the_first(spark, tmp_path):
     assert sorted(r["id"] for r in rows.collect()) == [0, 200]
 
 
+def _parts(spark, folder, rows, schema, files):
+    spark.createDataFrame(rows, schema).repartition(files).write.mode("append").parquet(folder)
+
+
+class _Handle:
+    """A state store in memory that notes the most rows it was given or gave out at once."""
+
+    def __init__(self):
+        self.values, self.timers, self.most = {}, [], 0
+
+    def getValueState(self, name, schema, ttl=None):
+        return _Value(self)
+
+    def getMapState(self, name, key, value, ttl=None):
+        return _Map(self)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Value:
+    def __init__(self, handle):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Map:
+    def __init__(self, handle):
+        self.rows = {}
+
+    def updateValue(self, key, value):
+        assert key not in self.rows
+        self.rows[key] = value
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_a_hot_key_is_taken_in_order_a_few_rows_at_a_time(crowded):
+    """Fifty times the rows that are held at once, half of them in one short burst."""
+    rng = random.Random(3)
+    t0 = pd.Timestamp("2024-01-01")
+    times = [t0 + pd.Timedelta(microseconds=rng.randrange(10**13 if not crowded or i % 2 else 10**4)) for i in range(5000)] + [pd.NaT]
+    rows = pd.DataFrame({"ts": pd.Series(times).astype("datetime64[us]"), "id": range(len(times)), "_x": 1.0})
+
+    class Seen(streams.InOrder):
+        def step(self, key, rows, carried):
+            self.sizes.append(len(rows))
+            return rows, (carried[0] + len(rows) if carried else len(rows),)
+
+    step = Seen(["ts", "id", "_x"], "ts", ["ts", "id"], "n long", most=100)
+    step.sizes, handle = [], _Handle()
+    step.init(handle)
+    frames = (rows.iloc[i : i + 75].set_axis(["ts", "id", "_2"], axis=1) for i in range(0, len(rows), 75))
+    got = pd.concat(list(step.handleInputRows(("k",), frames, None)))
+    assert got["id"].tolist() == rows.sort_values(["ts", "id"], na_position="first")["id"].tolist()
+    assert max(step.sizes) <= 100 and not step.held.rows and step.carry.get() == (len(rows),)
+
+
+def test_streams_with_hot_keys_and_ended_periods(spark, tmp_path):
+    """A key with a third of the rows over several micro-batches; state goes with its year, and quiet alerts are forgotten."""
+    rng = random.Random(8)
+    t0 = dt.datetime(2022, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=i * 2, minutes=rng.randrange(50)), "hot" if i % 3 == 0 else f"k{i % 40}", float(rng.randrange(1, 900)) / 10) for i in range(9000)]
+    src, schema = str(tmp_path / "in"), "id long, ts timestamp, kind string, amount double"
+    for year in (2022, 2023, 2024):
+        _parts(spark, src, [r for r in rows if r[1].year == year], schema, 1)
+
+    def stream():
+        s = streams.file_stream(spark, src, schema, max_files=1)
+        return s.withColumns({"year": F.year("ts"), "ends": F.make_timestamp(F.year("ts") + 1, *[F.lit(x) for x in (1, 1, 0, 0, 0)])})
+
+    want, sums = {}, {}
+    for i, ts, kind, amount in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = round(sums.get((kind, ts.year), 0), 2)
+        sums[kind, ts.year] = want[i] + amount
+    d = streams.spend_before(stream(), ["kind", "year"], ["ts", "id"], "amount", ["id"], "id long, kind string, year int, spent_before double", until="ends", most=100)
+    out, ck = str(tmp_path / "spend"), str(tmp_path / "spend-ck")
+    assert {r["id"]: round(r["spent_before"], 2) for r in streams.run_available(d, out, ck).collect()} == want
+    left = spark.read.format("statestore").option("path", ck).option("stateVarName", "carry").load().select("key.year").distinct().collect()
+    assert [r[0] for r in left] == [2024]
+
+    a = streams.dedupe_alerts(streams.file_stream(spark, src, schema, max_files=1), "ts", keys=["kind"], quiet_seconds=86_400, most=100)
+    out, ck = str(tmp_path / "alerts"), str(tmp_path / "alerts-ck")
+    got = sorted(r["id"] for r in streams.run_available(a, out, ck).collect())
+    sent, last = [], {}
+    for i, ts, kind, _ in sorted(rows, key=lambda r: r[1]):
+        if kind not in last or ts - last[kind] >= dt.timedelta(days=1):
+            sent.append(i)
+            last[kind] = ts
+    assert got == sorted(sent)
+    left = spark.read.format("statestore").option("path", ck).option("stateVarName", "carry").load().count()
+    newest = max(r[1] for r in rows)
+    assert left == sum(1 for t in last.values() if t + dt.timedelta(days=1) > newest - dt.timedelta(hours=1))
+
+
 def test_a_failing_stream_raises(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     _write(spark, [(1, dt.datetime(2024, 1, 1), "a", 1.0)], src)
@@ -167,7 +280,9 @@ def test_streams_read_single_files_and_folders(spark, tmp_path, parts):
         table.toPandas().to_parquet(path, coerce_timestamps="us")
     else:
         table.repartition(parts).write.parquet(str(path))
-    got = streams.run_available(streams.file_stream(spark, f"{path}*", table.schema), str(tmp_path / "out"), str(tmp_path / "ck"))
+    beside = table.limit(1).toPandas()
+    beside.to_parquet(tmp_path / "events.parquet.bak", coerce_timestamps="us")
+    got = streams.run_available(streams.file_stream(spark, f"{tmp_path}/events.parque[t]", table.schema), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert got.count() == 9
 
 

@@ -166,12 +166,37 @@ def with_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """Rank correlation of each column with the target, strongest first."""
-    wide = with_ranks(df.select(*columns, target), [*columns, target]).agg(
-        *[F.corr(f"rank_{c}", f"rank_{target}").alias(c) for c in columns], F.count(F.lit(1)).alias("__n")
+    """Rank correlation of each column with the target, strongest first.
+
+    All columns are one long table of (column, value, target's value, rows), ranked in one
+    cumulative pass; each pair of values asks for its two ranks by one join, whatever the
+    number of columns, and the correlation comes from sums of products.  Ranks are taken
+    from the middle, so the sums stay small.
+    """
+    y = F.col(target).cast("double")
+    named = [F.struct(F.lit(f"c:{c}").alias("column"), F.col(c).cast("double").alias("v"), y.alias("t")) for c in columns]
+    named.append(F.struct(F.lit("target").alias("column"), y.alias("v"), y.alias("t")))
+    long = df.select(F.inline(F.array(*named))).groupBy("column", "v", "t").agg(F.count(F.lit(1)).alias("n"))
+    values = long.where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.sum("n").alias("n"))
+    ranked = ordered.cumulative(values, ["column"], "v", ["n"])
+    middle = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2 - (F.col("all_n") + 1) / 2
+    ranks = ranked.select(F.col("column").alias("of"), F.col("v").alias("value"), middle.alias("r"))
+    pairs = long.where(F.col("v").isNotNull() & F.col("t").isNotNull() & (F.col("column") != "target"))
+    asked = F.array(F.struct(F.col("column").alias("of"), F.col("v").alias("value")), F.struct(F.lit("target").alias("of"), F.col("t").alias("value")))
+    found = pairs.select("column", "v", "t", "n", F.inline(asked)).join(ranks, ["of", "value"])
+    both = found.groupBy("column", "v", "t").agg(
+        F.max("n").alias("n"), F.max(F.when(F.col("of") != "target", F.col("r"))).alias("a"), F.max(F.when(F.col("of") == "target", F.col("r"))).alias("b")
     )
-    long = wide.unpivot(["__n"], list(columns), "parameter", "correlation").where("__n >= 3")
-    return long.select("parameter", "correlation", F.abs("correlation").alias("importance"))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    s = both.groupBy("column").agg(*[F.sum(x).alias(k) for k, x in {"rows": n, "sa": n * a, "sb": n * b, "saa": n * a * a, "sbb": n * b * b, "sab": n * a * b}.items()])
+    rows = F.col("rows")
+    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / rows, F.col("sbb") - F.col("sb") * F.col("sb") / rows
+    corr = F.when((va > 0) & (vb > 0), (F.col("sab") - F.col("sa") * F.col("sb") / rows) / F.sqrt(va * vb))
+    every = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    # One row per column, so that a column without a pair of values is named too.
+    found = s.withColumn("correlation", corr).agg(F.map_from_entries(F.collect_list(F.struct("column", "correlation"))).alias("m"))
+    rows = F.array(*[F.struct(F.lit(c).alias("parameter"), F.try_element_at("m", F.lit(f"c:{c}")).alias("correlation")) for c in columns])
+    return found.select(F.inline(rows)).where(every >= 3).select("parameter", "correlation", F.abs("correlation").alias("importance"))
 
 
 def interactions(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -179,16 +204,13 @@ def interactions(df: DataFrame, columns: Sequence[str], target: str) -> DataFram
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     d = df.select(*columns, target, *[(F.col(a) * F.col(b)).alias(f"{a}__x__{b}") for a, b in pairs])
     alls = [*columns, *[f"{a}__x__{b}" for a, b in pairs]]
-    s = spearman(d, alls, target)
-    single = s.where(F.col("parameter").isin(list(columns))).select(F.col("parameter").alias("p"), F.col("importance").alias("i"))
-    prod = s.where(F.col("parameter").contains("__x__")).withColumn("a", F.split("parameter", "__x__")[0]).withColumn("b", F.split("parameter", "__x__")[1])
-    d = prod.join(single.withColumnsRenamed({"p": "a", "i": "ia"}), "a").join(single.withColumnsRenamed({"p": "b", "i": "ib"}), "b")
-    return d.select(
-        "a",
-        "b",
-        F.greatest(F.col("importance") - F.greatest("ia", "ib"), F.lit(0.0)).alias("interaction"),
-        F.col("importance").alias("joint_correlation"),
-    )
+    found = spearman(d, alls, target).agg(F.map_from_entries(F.collect_list(F.struct("parameter", "importance"))).alias("m"))
+    of = {c: F.try_element_at("m", F.lit(c)) for c in alls}
+    rows = [
+        F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.greatest(of[f"{x}__x__{y}"] - F.greatest(of[x], of[y]), F.lit(0.0)).alias("interaction"), of[f"{x}__x__{y}"].alias("joint_correlation"))
+        for x, y in pairs
+    ]
+    return found.where(F.size("m") > 0).select(F.inline(F.array(*rows)))
 
 
 def safe_ranges(trials: DataFrame, columns: Sequence[str], metric: str, key: str) -> DataFrame:

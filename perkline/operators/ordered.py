@@ -11,26 +11,47 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ALL = "__all__"
-CHUNKS = 256
-_DRAWN_PER_CHUNK = 4
+#: Values that one chunk should hold, and the most chunks that values are cut into.
+CHUNK_VALUES, MOST_CHUNKS = 50_000, 4096
+#: Texts have no sketch: so many rows drawn by hash stand for them, and are cut into fewer chunks.
+DRAWN, DRAWN_PER_CHUNK = 16_384, 16
+_SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def range_chunk(df: DataFrame, value: str, out: str, chunks: int = CHUNKS) -> DataFrame:
+def range_chunk(df: DataFrame, value: str, out: str, chunk_values: int = CHUNK_VALUES) -> DataFrame:
     """``df`` with ``out``: an integer that never decreases as ``value`` grows, null for null.
 
-    The bounds are distinct values of ``df`` itself, drawn in the order of their hashes, so
-    the chunks hold about equally many distinct values whatever their scale, offset or
-    type, and every evaluation finds the same bounds.
+    Bounds are quantiles of the rows of ``df``, whatever their scale or offset, and their
+    number follows from the number of rows, so a chunk holds about ``chunk_values`` of
+    them.  Numbers and times go through a quantile sketch, which combines map-side and asks
+    for nothing that ``df`` doesn't have, so where ``df`` is an aggregate its shuffle is
+    used twice and its input is read once.  A row finds its chunk by halving.
     """
-    drawn = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__s")).distinct()
-    drawn = drawn.orderBy(F.xxhash64("__s"), "__s").limit(_DRAWN_PER_CHUNK * chunks)
-    every = drawn.agg(F.sort_array(F.collect_list("__s")).alias("b")).select(F.filter("b", lambda x, i: i % _DRAWN_PER_CHUNK == 0))
-    return df.withColumn("__bounds", every.scalar()).withColumn(out, F.size(F.filter("__bounds", lambda b: b <= F.col(value)))).drop("__bounds")
+    if isinstance(df.schema[value].dataType, _SKETCHED):
+        places = np.arange(1, MOST_CHUNKS) / MOST_CHUNKS
+        # The other columns are named so that this reads the same shuffled rows as the rest of the plan.
+        sums = [F.max(c).alias(c) for c in df.columns if c != value and isinstance(df.schema[c].dataType, T.NumericType)]
+        sketch = df.agg(F.percentile_approx(value, F.lit(places), F.lit(4 * MOST_CHUNKS)).alias("__p"), F.count(value).alias("__rows"), *sums)
+        chunks = F.least(F.lit(MOST_CHUNKS), F.ceil(F.col("__rows") / chunk_values)).cast("int")
+        step = F.lit(float(MOST_CHUNKS)) / chunks
+        cuts = F.transform(F.sequence(F.lit(1), chunks - 1), lambda i: F.get("__p", (i * step).cast("int") - 1))
+        every = sketch.select(F.when(chunks > 1, cuts).otherwise(F.array().cast(T.ArrayType(df.schema[value].dataType))).alias("b"))
+        most = MOST_CHUNKS
+    else:
+        drawn = df.where(F.col(value).isNotNull()).select(F.col(value).alias("__s"), F.xxhash64(*[c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]).alias("__h"))
+        drawn = drawn.orderBy("__h", "__s").limit(DRAWN)
+        every = drawn.agg(F.sort_array(F.collect_list("__s")).alias("b")).select(F.filter("b", lambda x, i: (i > 0) & (i % DRAWN_PER_CHUNK == 0)).alias("b"))
+        most = DRAWN // DRAWN_PER_CHUNK
+    steps = F.lit(np.array([1 << k for k in range(most.bit_length())][::-1], dtype=np.int32))
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("__bounds", at + s - 1) <= F.col(value), at + s).otherwise(at))
+    return df.withColumn("__bounds", every.scalar()).withColumn(out, F.when(F.col(value).isNotNull(), place)).drop("__bounds")
 
 
 def _keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -53,7 +74,7 @@ def pick_ranks(
     groups: Sequence[str],
     value: str,
     ranks: Mapping[str, "callable"],
-    chunks: int = CHUNKS,
+    chunk_values: int = CHUNK_VALUES,
 ) -> DataFrame:
     """Exact order statistics: one column per entry of ``ranks``.
 
@@ -69,7 +90,7 @@ def pick_ranks(
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    counts = range_chunk(counts, "__v", "__b", chunks)
+    counts = range_chunk(counts, "__v", "__b", chunk_values)
     per_bucket = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
     over = W.partitionBy(*keys).orderBy("__b")
     placed = per_bucket.withColumn(
@@ -135,13 +156,20 @@ def running_before(
     order: Sequence[Column],
     value: Column,
     out: str,
+    within: str | None = None,
+    chunk_values: int = CHUNK_VALUES,
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one within its key.
 
     ``chunk`` must not decrease along ``order``; for time-ordered rows it is a
-    calendar bucket.
+    calendar bucket.  ``within`` names the column that comes next in ``order``: chunks are
+    cut again by ranges of it that hold equally many rows of all, so no part of a chunk has
+    more than its share of the table, even if one key has all its rows on one day.
     """
-    d = df.withColumn("__chunk", chunk).withColumn("__val", value)
+    d = df.withColumn("__chunk", chunk)
+    if within:
+        d = range_chunk(d, within, "__part", chunk_values).withColumn("__chunk", F.struct(F.col("__chunk").alias("a"), F.col("__part").alias("b"))).drop("__part")
+    d = d.withColumn("__val", value)
     part = [*keys, "__chunk"]
     local = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     totals = d.groupBy(*part).agg(F.sum("__val").alias("__sum"))
@@ -166,12 +194,12 @@ def row_index(
     chunk: Column,
     order: Sequence[Column],
     out: str,
+    within: str | None = None,
+    chunk_values: int = CHUNK_VALUES,
 ) -> DataFrame:
-    """1-based position of each row within its key, the distributed ``row_number``."""
-    if not keys:
-        d, ks = _keys(df, keys)
-        return running_before(d, ks, chunk, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1).drop(_ALL)
-    return running_before(df, keys, chunk, order, F.lit(1).cast("long"), out).withColumn(out, F.col(out) + 1)
+    """1-based position of each row within its key, the distributed ``row_number``; ``within`` as in running_before."""
+    d, ks = _keys(df, keys)
+    return running_before(d, ks, chunk, order, F.lit(1).cast("long"), out, within, chunk_values).withColumn(out, F.col(out) + 1).drop(_ALL)
 
 
 def hash_chunk(h: Column, bits: int = 20) -> Column:
@@ -248,13 +276,13 @@ def _has_map(df: DataFrame, cols: Sequence[str]) -> bool:
     return any("map<" in df.schema[c].dataType.simpleString() for c in cols)
 
 
-def cumulative(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+def cumulative(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], chunk_values: int = CHUNK_VALUES) -> DataFrame:
     """Running totals of ``sums`` up to and including each value, per key.
 
     ``counts`` has one row per (key, value).  Adds ``cum_<name>`` and ``all_<name>``.
     """
     d, ks = _keys(counts, keys)
-    d = range_chunk(d, value, "__b")
+    d = range_chunk(d, value, "__b", chunk_values)
     local = W.partitionBy(*ks, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     over = W.partitionBy(*ks).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     per = d.groupBy(*ks, "__b").agg(*[F.sum(s).alias(f"__s_{s}") for s in sums])

@@ -410,9 +410,10 @@ def spend_before(
     """Spend of a bucket before each purchase, negatives counted as zero.
 
     Sums run in whole cents, so the result does not depend on the order of addition.
+    ``chunk`` goes with the first of ``order``; the second cuts it further.
     """
     cents = F.round(F.greatest(F.coalesce(F.col(amount), F.lit(0.0)), F.lit(0.0)) * 100).cast("long")
-    d = ordered.running_before(txns, keys, chunk, [F.col(c) for c in order], cents, "__cents")
+    d = ordered.running_before(txns, keys, chunk, [F.col(c) for c in order], cents, "__cents", within=order[1] if len(order) > 1 else None)
     return d.withColumn(out, F.col("__cents") / 100).drop("__cents")
 
 

@@ -205,5 +205,5 @@ def exact_quantiles(t):
 )
 def chronological_index(t):
     order = [F.col(c) for c in ("txn_date", "user_id", "transaction_id", "tie_break")]
-    d = ordered.row_index(t("transactions"), [], F.col("txn_date"), order, "i")
+    d = ordered.row_index(t("transactions"), [], F.col("txn_date"), order, "i", within="user_id")
     return d.groupBy("txn_date").agg(F.min("i").alias("first_index"), F.max("i").alias("last_index"))

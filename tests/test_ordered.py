@@ -67,13 +67,46 @@ def test_range_chunk_follows_the_data(spark, name):
         "offset": [0.0, *[1e12 + i for i in range(9_999)]],
     }[name]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    chunks = [r["c"] for r in ordered.range_chunk(df, "v", "c").orderBy("v").collect()]
+    chunks = [r["c"] for r in ordered.range_chunk(df, "v", "c", chunk_values=len(vals) // 250).orderBy("v").collect()]
     assert chunks == sorted(chunks)
     assert len(set(chunks)) > 200 and max(chunks.count(c) for c in set(chunks)) < len(vals) / 25
     got = ordered.quantiles(df, [], "v", {"a": 0.1, "b": 0.5, "c": 0.999}).first()
     assert all(_close(got[k], _quantile(vals, p)) for k, p in (("a", 0.1), ("b", 0.5), ("c", 0.999)))
 
 
+@pytest.mark.parametrize("values", [[f"txn_{i:07d}" for i in range(20_000)], ["same"] * 300 + [None, ""] + [f"x{i}" for i in range(100)]])
+def test_range_chunk_of_texts(spark, values):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v string, i int")
+    rows = ordered.range_chunk(df, "v", "c").where("v is not null").orderBy("v").collect()
+    chunks = [r["c"] for r in rows]
+    assert chunks == sorted(chunks)
+    if len(values) > ordered.DRAWN:
+        assert len(set(chunks)) > 900 and max(chunks.count(c) for c in set(chunks)) < 120
+    assert ordered.range_chunk(df, "v", "c").where("v is null and c is not null").count() == 0
+
+
+def test_chunks_follow_the_number_of_values(spark):
+    small = ordered.range_chunk(spark.range(1000).toDF("v"), "v", "c").agg(F.max("c")).first()[0]
+    cut = ordered.range_chunk(spark.range(100_000).toDF("v"), "v", "c", chunk_values=1000).groupBy("c").count().agg(F.count("*"), F.max("count")).first()
+    assert small == 0 and 95 <= cut[0] <= 101 and cut[1] <= 1300
+
+
+def test_one_user_with_all_purchases_on_one_day(spark):
+    """The day is cut by what comes next in the order, into parts that hold their share; sums stay exact."""
+    rows = [(("u" if i % 10 else f"v{i % 7}"), 1, f"t{i:06d}" if i % 50 else None, i % 23) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, day int, id string, amount long").repartition(5)
+    order = [F.col("day"), F.col("id"), F.col("amount")]
+    got = ordered.running_before(df, ["k"], F.col("day"), order, F.col("amount"), "before", within="id")
+    want, sums = {}, {}
+    for k, day, i, a in sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3])):
+        if i is not None:
+            want[k, i] = sums.get(k, 0)
+        sums[k] = sums.get(k, 0) + a
+    assert {(r["k"], r["id"]): r["before"] for r in got.where("id is not null").collect()} == want
+    parts = ordered.range_chunk(df, "id", "c").groupBy("k", "day", "c").count().where("c is not null").agg(F.max("count")).first()[0]
+    assert parts < 200
+
+
 def test_running_before_and_row_index(skewed):
     rows, df = skewed
     order = [F.col("day"), F.col("id")]

@@ -57,24 +57,35 @@ def loadable_cards(merged: DataFrame, order: str = "ord") -> DataFrame:
     return ordered.first_per_key(d, ["card_id"], [-F.col("base_rate"), F.col(order)])
 
 
-def without_shadowed(cards: DataFrame, curated: DataFrame) -> DataFrame:
+GRAM = 3
+
+
+def _grams(name: Column, size: Column | int) -> Column:
+    """Distinct pieces of ``size`` characters; the whole name if it is shorter."""
+    n = F.length(name)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(size) if isinstance(size, int) else size)))
+
+
+def without_shadowed(cards: DataFrame, curated: DataFrame, most: float = 0.85) -> DataFrame:
     """Drop cards that repeat a curated one.
 
     Same normalised issuer, and an equal name or one inside the curated name that is
-    shorter than 85 % of it.  The issuer makes it an equi join, whatever the sizes.
+    shorter than 85 % of it.  A name can only be inside another one that has all its
+    trigrams, so each name looks at the curated names with the trigram that fewest curated
+    names of the issuer have, and at no others.
     """
-    left = cards.withColumn("__i", text.dedup_key(F.col("issuer"))).withColumn("__n", text.dedup_key(F.col("card_name")))
-    right = curated.select(
-        text.dedup_key(F.col("issuer")).alias("__ci"), text.dedup_key(F.col("card_name")).alias("__cn")
-    )
-    contained = F.col("__cn").contains(F.col("__n")) & (F.length("__n") / F.length("__cn") < 0.85)
-    cond = (
-        (F.col("__i") == F.col("__ci"))
-        & (F.col("__i") != "")
-        & (F.col("__n") != "")
-        & ((F.col("__n") == F.col("__cn")) | contained)
-    )
-    return left.join(right, cond, "left_anti").drop("__i", "__n")
+    left = cards.withColumns({"__i": text.dedup_key(F.col("issuer")), "__n": text.dedup_key(F.col("card_name"))})
+    right = curated.select(text.dedup_key(F.col("issuer")).alias("__i"), text.dedup_key(F.col("card_name")).alias("__c")).where("__i <> '' AND __c <> ''").distinct()
+    pieces = F.flatten(F.array(*[_grams(F.col("__c"), k) for k in range(1, GRAM + 1)]))
+    posted = right.select("__i", "__c", F.explode(F.array_distinct(pieces)).alias("__g"))
+    often = posted.groupBy("__i", "__g").agg(F.count(F.lit(1)).alias("__k"))
+    names = left.where("__i <> '' AND __n <> ''").select("__i", "__n").distinct()
+    asked = names.select("__i", "__n", F.explode(_grams(F.col("__n"), F.least(F.lit(GRAM), F.length("__n")))).alias("__g")).join(often, ["__i", "__g"], "left")
+    rarest = asked.groupBy("__i", "__n").agg(F.min(F.struct(F.coalesce("__k", F.lit(0)).alias("k"), F.col("__g").alias("g"))).alias("__r"))
+    met = rarest.where(F.col("__r.k") > 0).select("__i", "__n", F.col("__r.g").alias("__g")).join(posted, ["__i", "__g"])
+    inside = F.col("__c").contains(F.col("__n")) & (F.length("__n") / F.length("__c") < most)
+    shadowed = met.where((F.col("__n") == F.col("__c")) | inside).select("__i", "__n").distinct()
+    return left.join(shadowed, ["__i", "__n"], "left_anti").select(*cards.columns)
 
 
 def overlay(cards: DataFrame, curated: DataFrame) -> DataFrame:

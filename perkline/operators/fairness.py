@@ -384,16 +384,8 @@ def issuer_caps(bias: DataFrame, step: float = 0.05) -> DataFrame:
 
 
 def prompt_advice(bias: DataFrame) -> DataFrame:
+    """Advice on the prompt for each biased measure of the explanations."""
     advice = F.coalesce(*[F.when(F.col("name").contains(part), F.lit(text)) for part, text in dims.PROMPT_ADVICE])
-    return bias.where("is_biased").select(F.col("detail").alias("issuer"), (F.col("max_rate") - step).alias("cap"))
-
-
-def prompt_advice(bias: DataFrame) -> DataFrame:
-    advice = (
-        F.when(F.col("name").contains("length"), F.lit("Add explicit length guidance to prompts: 'Provide explanations of 50-100 words regardless of user profile.'"))
-        .when(F.col("name").contains("readability"), F.lit("Add readability constraint: 'Write at an 8th-grade reading level for all users.'"))
-        .when(F.col("name").contains("detail"), F.lit("Standardize detail level: 'Include exactly 3 key factors in every explanation.'"))
-    )
     return bias.where("is_biased").select("name", advice.alias("suggestion")).where("suggestion IS NOT NULL")
 
 
@@ -415,17 +407,23 @@ def metric_gate(metrics: DataFrame, minimums: Mapping[str, float]) -> DataFrame:
 # ----------------------------------------------------------------------- counterfactual
 
 
-def counterfactuals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+VALUES_PER_CHUNK = 256
+
+
+def counterfactuals(df: DataFrame, columns: Sequence[str], per_chunk: int = VALUES_PER_CHUNK) -> DataFrame:
     """Each row once per other value of each sensitive column.
 
-    The values of a column are one array that every row is exploded by, found by the same
-    plan, so nothing is collected.  One task holds that array, and there are rows times
-    values of rows: sensitive columns need a proven bound of distinct values.
+    The values are a table of chunks of about ``per_chunk``, as many as there are values;
+    a row asks for each chunk by its number and is then exploded by that chunk alone, so no
+    row and no task ever holds all values of a column.
     """
     out = None
     for c in columns:
-        values = df.agg(F.sort_array(F.collect_set(c))).scalar()
-        d = df.withColumn("__alt", values).withColumn("__alt", F.explode("__alt")).where(~F.col("__alt").eqNullSafe(F.col(c)))
+        values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("__alt")).distinct()
+        chunks = values.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_chunk)).cast("int").alias("n")).select("n").scalar()
+        held = values.withColumn("__chunk", F.pmod(F.xxhash64("__alt"), chunks).cast("int")).groupBy("__chunk").agg(F.collect_list("__alt").alias("__alts"))
+        asked = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        d = asked.join(held, "__chunk").drop("__chunk").withColumn("__alt", F.explode("__alts")).drop("__alts").where(~F.col("__alt").eqNullSafe(F.col(c)))
         d = d.withColumn("flipped", F.lit(c)).withColumn("original_value", F.col(c)).withColumn(c, F.col("__alt")).drop("__alt")
         out = d if out is None else out.unionByName(d)
     return out

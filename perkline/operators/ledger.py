@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from perkline.operators import ordered
+
 # Flows a ledger entry may come from.
 SOURCE_FLOWS = ["portfolio", "transaction", "quick_transaction", "manual"]
 EXPORT_COLUMNS = [
@@ -82,16 +85,29 @@ def insights(ledger: DataFrame, card_fees: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def page(ledger: DataFrame, page_no: int = 1, size: int = 20, *ties: str) -> DataFrame:
-    """One page, newest first, with the total and whether another page follows."""
+def page(ledger: DataFrame, page_no: int = 1, size: int = 20, *ties: str, chunk_values: int = ordered.CHUNK_VALUES) -> DataFrame:
+    """One page, newest first, with the total and whether another page follows.
+
+    Times are cut into ranges of about equally many rows, whose counts tell which range the
+    page starts in and ends in.  Only rows of those ranges are put in order, so a page costs
+    the same however deep it is.  Rows without a time come last.
+    """
     no = max(page_no, 1)
     n = min(size if size >= 1 else 20, 100)
     skip = (no - 1) * n
     total = ledger.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.round(F.sum("reward_earned"), 2).alias("r"), F.round(F.sum("estimated_savings"), 2).alias("s")).alias("t")
     ).scalar()
-    rows = ledger.orderBy(F.col("ts").desc(), *ties).offset(skip).limit(n)
-    return rows.withColumn("__t", total).select(
+    cut = ordered.range_chunk(ledger, "ts", "__range", chunk_values).withColumn("__range", F.coalesce("__range", F.lit(-1)))
+    counts = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("k"))  # one row per range
+    newest = F.sum("k").over(W.orderBy(F.desc("__range")))
+    met = counts.withColumn("upto", newest).where((F.col("upto") > skip) & (F.col("upto") - F.col("k") < skip + n))
+    where = met.agg(F.struct(F.min("__range").alias("low"), F.max("__range").alias("high"), F.min(F.col("upto") - F.col("k")).alias("before")).alias("w")).scalar()
+    near = cut.withColumn("__w", where).where(F.col("__range").between(F.col("__w.low"), F.col("__w.high")))
+    # The first rows of the first range that are still before the page; a range has at most a few hundred thousand.
+    order = W.orderBy(F.desc("__range"), F.desc_nulls_last("ts"), *ties)
+    rows = near.withColumn("__k", F.row_number().over(order) + F.col("__w.before")).where((F.col("__k") > skip) & (F.col("__k") <= skip + n))
+    return rows.orderBy("__k").withColumn("__t", total).select(
         *ledger.columns, F.col("__t.n").alias("total"), (F.lit(skip + n) < F.col("__t.n")).alias("has_next"),
         F.col("__t.r").alias("total_rewards"), F.col("__t.s").alias("total_savings"),
     )

@@ -321,6 +321,27 @@ def _repeated(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dup"))
 
 
+def card_rule_details(df: DataFrame, order: str, named: int = 5) -> DataFrame:
+    """check_name, count, max_value, card_names (the first ``named`` in ``order``) of the card rules that look at a value.
+
+    Rules that no card breaks have no row; only the rule on reward rates names cards.
+    """
+    fee = F.col("annual_fee").try_cast("double")
+    rules = [
+        ("domain_reward_rate_too_high", F.col("base_reward_rate").cast("double"), 10.0, 2),
+        ("domain_annual_fee_extreme", fee, 5000.0, 2),
+        ("domain_welcome_bonus_roi_extreme", F.col("welcome_bonus_roi").cast("double"), 1.0, 4),
+    ]
+    wide = df.agg(*[x for i, (_, v, limit, _) in enumerate(rules) for x in (F.count(F.when(v > limit, 1)).alias(f"n{i}"), F.max(F.when(v > limit, v)).alias(f"m{i}"))])
+    first = df.where(rules[0][1] > rules[0][2]).orderBy(order).limit(named)
+    names = first.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("card_name").alias("c")))), lambda x: x["c"]).alias("c")).scalar()
+    rows = [
+        F.struct(F.lit(name).alias("check_name"), F.col(f"n{i}").alias("count"), F.round(f"m{i}", digits).alias("max_value"), (F.col("__names") if not i else F.array().cast("array<string>")).alias("card_names"))
+        for i, (name, _, _, digits) in enumerate(rules)
+    ]
+    return wide.withColumn("__names", names).select(F.inline(F.array(*rows))).where(F.col("count") > 0)
+
+
 def card_rules(df: DataFrame, dataset: str = "cards") -> DataFrame:
     """Rates over 10 %, fees over 5000, bonus worth more than the spend, retired cards, name copies."""
     n = F.count(F.lit(1))

@@ -78,16 +78,48 @@ def mcc_category(mcc: Column, overrides: Mapping[int, str] | None = None) -> Col
     return out
 
 
+def _pattern(words: Mapping[str, int], order: int) -> str | None:
+    """A pattern of the words (word to order) by their common beginnings, at each place the one that comes first in order.
+
+    Words that go on after another one only count if they come before it in order; they are
+    tried first.  ``order`` is that of the shorter word.
+    """
+    own = min(order, words.get("", order))
+    after: dict[str, dict[str, int]] = {}
+    for word, k in words.items():
+        if word and k < own:
+            after.setdefault(word[0], {})[word[1:]] = k
+    parts = [(ch, _pattern(rest, own)) for ch, rest in after.items()]
+    found = [(ch if ch.isalnum() else "\\" + ch) + rest for ch, rest in parts if rest is not None]
+    if not found:
+        return "" if "" in words and words[""] < order else None
+    inner = found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+    return f"(?:{inner})?" if "" in words and words[""] < order else inner
+
+
 def merchant_category(merchant: Column, words: Mapping[str, Sequence[str]] = dims.MERCHANT_WORDS) -> Column:
-    """First category, in the order given, with a keyword inside the merchant name."""
-    name = F.lower(merchant)
-    arms = []
+    """First category, in the order given, with a keyword inside the merchant name.
+
+    All keywords are one pattern that branches by character, tried at each place of the
+    name once, so the work per name does not grow with the number of keywords; where
+    several start at one place, the pattern takes the one whose category comes first.
+    """
+    order = {c: i for i, c in enumerate(words)}
+    ranked: dict[str, int] = {}
     for cat, kws in words.items():
-        hit = F.lit(False)
         for kw in kws:
-            hit = hit | name.contains(kw)
-        arms.append(F.when(hit, F.lit(cat)))
-    return F.coalesce(*arms)
+            ranked[kw.lower()] = min(ranked.get(kw.lower(), len(order)), order[cat])
+    if "" in ranked:
+        ranked = {w: k for w, k in ranked.items() if k < ranked[""] or not w}
+    always = ranked.pop("", len(order))
+    names = F.array(*[F.lit(c) for c in order], F.lit(None).cast("string"))
+    least = F.lit(always)
+    pattern = _pattern(ranked, len(order)) if ranked else None
+    if pattern:
+        place = F.create_map(*[x for w, k in ranked.items() for x in (F.lit(w), F.lit(k))])
+        found = F.regexp_extract_all(F.lower(merchant), F.lit(f"(?=({pattern}))"), F.lit(1))
+        least = F.least(least, F.array_min(F.transform(F.array_distinct(found), lambda w: F.try_element_at(place, w))))
+    return F.when(merchant.isNotNull(), F.get(names, least))
 
 
 def resolve_category(merchant: Column, hint: Column, words=dims.MERCHANT_WORDS, hint_first: bool = True) -> Column:

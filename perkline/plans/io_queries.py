@@ -225,18 +225,15 @@ def latest_output(t):
 @query(
     "file_manifest",
     "SRC6",
-    "SELECT event_type, count(*) AS rows, true AS listed FROM events GROUP BY 1",
+    """SELECT p_brand AS brand, strlen(body)::BIGINT AS bytes, sha256(body) AS sha256 FROM (SELECT p_brand, string_agg(p_partkey || ';' || p_name || chr(10), '' ORDER BY p_partkey) AS body FROM part GROUP BY 1)""",
 )
 def file_manifest(t):
-    """Files written per event type, listed with size and checksum, and matched to their rows."""
-    spark = t("events").sparkSession
-    base = sinks.write_table(t("events"), sinks.work_folder(spark, "manifest"), "csv", ["event_type"])
-    m = files.manifest(spark, base).where(F.col("path").endswith(".csv") & (F.col("bytes") > 0) & (F.length("sha256") == 64))
-    back = spark.read.option("header", True).csv(base).select("event_type", F.col("_metadata.file_name").alias("file"))
-    per = back.groupBy("event_type", "file").agg(F.count(F.lit(1)).alias("n"))
-    m = m.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type"), F.lit(True).alias("listed"))
-    j = per.join(m, ["event_type", "file"], "left")
-    return j.groupBy("event_type").agg(F.sum("n").alias("rows"), F.min(F.coalesce("listed", F.lit(False))).alias("listed"))
+    """One text file per brand, listed with size and checksum."""
+    lines = t("part").select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(";"), F.col("p_name")).alias("value"), F.col("p_brand").alias("brand"))
+    base = sinks.work_folder(t.spark, "manifest")
+    lines.repartition("brand").sortWithinPartitions("brand", "p_partkey").select("value", "brand").write.partitionBy("brand").text(base)
+    m = files.manifest(t.spark, base).where(F.col("path").endswith(".txt"))
+    return m.select(F.url_decode(F.regexp_extract("path", "brand=([^/]+)", 1)).alias("brand"), "bytes", "sha256")
 
 
 @query(

@@ -343,6 +343,17 @@ def ledger_page(t):
     return lg.page(t("ledger"), 3, 25, "id", "tie_break").select("id", "amount", "total", "has_next", "total_rewards")
 
 
+@query(
+    "ledger_deep_page",
+    "TOP2",
+    """WITH n AS (SELECT count(*) AS n, round(sum(reward_earned), 2) AS r FROM ledger) SELECT id, amount, n AS total, 25 * 400 < n AS has_next, r AS total_rewards FROM ledger, n ORDER BY ts DESC, id, tie_break LIMIT 25 OFFSET 9975""",
+    "ledger",
+)
+def ledger_deep_page(t):
+    """Page 400, found through the counts of time ranges."""
+    return lg.page(t("ledger"), 400, 25, "id", "tie_break", chunk_values=2000).select("id", "amount", "total", "has_next", "total_rewards")
+
+
 @query(
     "ledger_export",
     "SNK4",

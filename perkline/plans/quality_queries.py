@@ -216,6 +216,23 @@ def domain_rules(t):
     return _anomalies(t).withColumn("ratio", F.round("ratio", 9))
 
 
+@query(
+    "card_rule_details",
+    "ANM7",
+    f"""WITH {CARD_FEATURES}, x AS (SELECT ord, card_name, base_reward_rate * 3 AS base_reward_rate, fee * 6 AS fee, CASE WHEN spend > 0 THEN usd / spend ELSE 0 END AS roi FROM c),
+   d AS (SELECT 'domain_reward_rate_too_high' AS check_name, count(*) FILTER (base_reward_rate > 10) AS "count", round(max(base_reward_rate), 2) AS max_value,
+       (SELECT string_agg(card_name, '|' ORDER BY ord) FROM (SELECT card_name, ord FROM x WHERE base_reward_rate > 10 ORDER BY ord LIMIT 5)) AS card_names FROM x
+     UNION ALL SELECT 'domain_annual_fee_extreme', count(*) FILTER (fee > 5000), round(max(fee), 2), '' FROM x
+     UNION ALL SELECT 'domain_welcome_bonus_roi_extreme', count(*) FILTER (roi > 1), round(max(roi), 4), '' FROM x)
+   SELECT check_name, "count", max_value::DOUBLE AS max_value, card_names FROM d WHERE "count" > 0""",
+    "cards",
+)
+def card_rule_details(t):
+    """What the card rules found: how many, the largest value, the first five names; rates and fees are raised so that some break them."""
+    f = features.card_features(t("cards")).withColumns({"base_reward_rate": F.col("base_reward_rate") * 3, "annual_fee": F.col("annual_fee").try_cast("double") * 6})
+    return quality.card_rule_details(f, "ord").withColumn("card_names", F.concat_ws("|", "card_names"))
+
+
 @query(
     "unknown_archetypes",
     "ANM9",

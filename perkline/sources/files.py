@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,10 +100,33 @@ def read_logs(spark: SparkSession, base: str, start: str, end: str, schema: str
     return kept.where(F.col(CORRUPT).isNull() & parsed).drop(CORRUPT)
 
 
+SLICE_BYTES = 8 << 20
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size and sha256 of every file below a folder, in path order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+    """Path, size and sha256 of every file below a folder, in path order.
+
+    Files are listed without their content and read in slices inside the tasks, so their
+    size doesn't matter.  Spark's listing leaves out files of no bytes.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
+
+    def digests(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for place in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "/", place))
+                digest = hashlib.sha256()
+                with system.open_input_stream(name, compression=None) as file:
+                    while data := file.read(SLICE_BYTES):
+                        digest.update(data)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
+
+    spread = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return spread.mapInArrow(digests, "path string, bytes long, sha256 string").orderBy("path")
 
 
 def latest_run(runs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

@@ -5,8 +5,9 @@ Documents become pieces of at most ``capacity`` tokens.  The histogram of piece
 
 1. lists the patterns of one to three present lengths that fill a sequence exactly,
 2. fits how often each is used by non-negative least squares against the histogram,
-3. rounds down within what is there, and
-4. packs what is left best-fit in decreasing order, on counts and not on single pieces.
+3. rounds the counts within what is there, fitting what is left again, and
+4. packs the rest best-fit in decreasing order, on counts and not on single pieces; the
+   patterns taken last are packed with it where that saves sequences.
 
 The plan is a list of slot runs: the k-th piece of a length goes to the k-th slot of that
 length.  Its size depends on ``capacity`` alone.  Pieces are numbered within a length in
@@ -33,7 +34,9 @@ from perkline.llm import shared, tokens
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 250
+ROUNDS = 100
+#: Fits of what is left, at most, and the share of whole repeats below which counts are rounded up.
+FITS, LEAST_WHOLE = 6, 0.05
 CHUNK_ROWS = 100_000
 
 
@@ -47,20 +50,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shared.slices(batch, 4 << 20):
-                rows = []
-                for doc_id, key, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), tokens.encode_all(tokenizer, part.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % capacity or capacity
-                    starts = [0, *range(first, n, capacity)] if n > capacity else [0]
-                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                        own = ids[4 * a : 4 * b]
-                        rows.append((doc_id, key, k, a, b - a, zlib.crc32(own), own))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32", "ids"]
-                keep = len(names) if with_ids else -1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)][:keep], names=names[:keep])
+                raw = [x + end for x in tokens.encode_all(tokenizer, part.column(1).to_pylist())]
+                n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+                cuts = np.maximum(1, -(-n // capacity))
+                doc = np.repeat(np.arange(len(raw)), cuts)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                first = n - (cuts - 1) * capacity
+                start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[doc])
+                own = raw
+                if len(doc) > len(raw):
+                    own = [raw[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist())]
+                crc = np.fromiter(map(zlib.crc32, own), np.int64, len(own))
+                at = pa.array(doc)
+                columns = [part.column(0).take(at), part.column(2).take(at), *map(pa.array, (piece.astype(np.int32), start, length, crc))]
+                names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(own, pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(run, schema)
@@ -116,18 +123,26 @@ def fitted(found: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.nd
 
 @dataclass
 class Plan:
-    """Slot runs sorted by length and first rank: run i takes ranks first[i] .. first[i] + repeat - 1 of its length."""
+    """Slot runs sorted by length and first rank: run i takes ranks first[i] .. first[i] + repeat - 1 of its length.
+
+    ``patterned`` of the ``sequences`` are repeats of fitted patterns.
+    """
 
     length: np.ndarray
     first: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    patterned: int
+
 
+#: Items of a sequence as (length, times), and how many such sequences.
+Kind = tuple[list[tuple[int, int]], int]
 
-def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+
+def _best_fit(counts: np.ndarray, capacity: int) -> list[Kind]:
     """Best fit in decreasing order on counts: (items as (length, times), repeats) for each kind of sequence."""
-    kinds: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
+    kinds: dict[int, list[Kind]] = {}
     room = np.zeros(capacity + 1, bool)
     for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
@@ -153,28 +168,74 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, i
     return [k for own in kinds.values() for k in own]
 
 
-def planned(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """Slots for a histogram; ``counts[n]`` pieces have n tokens."""
-    left = counts.astype(np.int64).copy()
-    kinds: list[tuple[list[tuple[int, int]], int]] = []
-    if left[capacity]:
-        kinds.append(([(capacity, 1)], int(left[capacity])))
-        left[capacity] = 0
-    found = patterns(left, capacity)
-    if len(found):
+def _from_patterns(left: np.ndarray, capacity: int) -> list[Kind]:
+    """Kinds of sequences from fitted patterns; their pieces are taken out of ``left``.
+
+    Counts are rounded down while that gives whole sequences, and what is left is fitted
+    again.  Then they are rounded up, the largest first, while there are pieces for them.
+    """
+    kinds: list[Kind] = []
+    up = False
+    for _ in range(FITS):
+        found = patterns(left, capacity)
+        if not len(found):
+            break
         repeats = fitted(found, left)
+        total, used = float(repeats.sum()), 0
+        up = up or np.floor(repeats).sum() < LEAST_WHOLE * total
         for k in np.argsort(-repeats, kind="stable").tolist():
-            if repeats[k] < 1:
+            want = int(np.ceil(repeats[k] - 1e-9) if up else repeats[k])
+            if want < 1 or used >= total:
                 break
             own, times = np.unique(found[k][found[k] > 0], return_counts=True)
-            many = min(int(repeats[k]), int((left[own] // times).min()))
+            many = min(want, int((left[own] // times).min()))
             if many:
                 left[own] -= many * times
                 kinds.append((list(zip(own.tolist()[::-1], times.tolist()[::-1])), many))
-    kinds += _best_fit(left, capacity)
-    plain = _best_fit(counts.astype(np.int64), capacity)
-    if sum(k[1] for k in plain) < sum(k[1] for k in kinds):
-        kinds = plain
+                used += many
+        if up and not used:
+            break
+        up = up or used < LEAST_WHOLE * total
+    return kinds
+
+
+def _with_rest(kinds: list[Kind], left: np.ndarray, capacity: int) -> tuple[list[Kind], list[Kind]]:
+    """``kinds`` and best fit for what is left; the kinds taken last are packed with it as long as that saves sequences.
+
+    What patterns leave may be too alike to fit together.  Twice as many are given back
+    each time, to half of all, and the fewest sequences count.
+    """
+
+    def sequences(some: list[Kind]) -> int:
+        return sum(k[1] for k in some)
+
+    rest = _best_fit(left, capacity)
+    tokens = int((left * np.arange(capacity + 1)).sum())
+    least = -(-tokens // capacity) + sequences(kinds)
+    best, found = sequences(kinds) + sequences(rest), (kinds, rest)
+    kept, back, target, most = list(kinds), 0, max(1, sequences(rest)), sequences(kinds) // 2
+    left = left.copy()
+    while best > least and back < min(target, most) and len(kept) > 1:
+        while len(kept) > 1 and back < target:
+            items, repeat = kept.pop()
+            for length, times in items:
+                left[length] += repeat * times
+            back += repeat
+        rest = _best_fit(left, capacity)
+        if (now := sequences(kept) + sequences(rest)) < best:
+            best, found = now, (list(kept), rest)
+        target *= 2
+    return found
+
+
+def planned(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """Slots for a histogram; ``counts[n]`` pieces have n tokens."""
+    left = counts.astype(np.int64).copy()
+    full = [([(capacity, 1)], int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    fits = _from_patterns(left, capacity)
+    fits, rest = _with_rest(fits, left, capacity)
+    kinds, patterned = full + fits + rest, sum(k[1] for k in fits)
     rows, given, sequence = [], np.zeros(capacity + 1, np.int64), 0
     for items, repeat in kinds:
         offset = 0
@@ -186,7 +247,7 @@ def planned(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
         sequence += repeat
     columns = np.array(rows, np.int64).reshape(-1, 4)
     columns = columns[np.lexsort((columns[:, 1], columns[:, 0]))]
-    return Plan(*columns.T, sequence)
+    return Plan(*columns.T, sequence, patterned)
 
 
 def ranked(found: DataFrame, total: int) -> DataFrame:

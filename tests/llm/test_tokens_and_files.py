@@ -113,6 +113,49 @@ def test_packing_plans_are_valid_and_tight():
     assert packing.planned(full, 64).sequences <= 1.01 * (full * np.arange(65)).sum() / 64 + 1
 
 
+def fewest(lengths, capacity):
+    """Fewest sequences by trying every place for every piece."""
+    best = [len(lengths)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0] and i < len(lengths):
+            return
+        if i == len(lengths):
+            best[0] = min(best[0], len(rooms))
+            return
+        for room in set(rooms):
+            if room >= lengths[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                go(i + 1, [*rest, room - lengths[i]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_small_plans_against_search():
+    rng = np.random.default_rng(11)
+    exact = 0
+    for _ in range(120):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
+        want, got = fewest(lengths, 20), packing.planned(np.bincount(lengths, minlength=21), 20).sequences
+        assert want <= got <= want + 1
+        exact += got == want
+    assert exact >= 115
+
+
+def test_most_mixed_sequences_come_from_patterns():
+    """Also where each length is there once or twice, so that every fitted count is below one."""
+    rng = np.random.default_rng(2)
+    for scale in (1, 30):
+        counts = np.bincount(np.minimum(512, (rng.pareto(1.2, 4000) * 60).astype(int) + 4), minlength=513) * scale
+        plan, least = packing.planned(counts, 512), -(-int((counts * np.arange(513)).sum()) // 512)
+        plain = sum(k[1] for k in packing._best_fit(counts.astype(np.int64), 512))
+        assert plan.patterned > (plan.sequences - counts[512]) / 2
+        assert least <= plan.sequences <= plain + 1
+
+
 def test_empty_table_packs_to_nothing(spark):
     assert packing.packed(shared.stored(packing.pieces(empty_docs(spark), BYTES), "test-pieces")).count() == 0
 

@@ -3,7 +3,8 @@
 Only DataFrame functions: no Python runs on the executors.  Within a text, arrays are
 sorted and neighbours compared, so a very long text costs n log n.  Across documents,
 each document gives one row per distinct normalised line, counted per host and line with
-partial sums, and only lines above the limit are joined back.
+partial sums, and only lines above the limit are joined back.  Line rows (hashes and sizes)
+are written once, as both of these read them.
 
 A null text is an empty one.  A null host is a host of its own.  Rows that repeat a
 document count as documents of their own and get the same verdict.  An empty table gives
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perkline.llm import shared
+
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate in more documents of its host than this ...
@@ -89,7 +92,7 @@ def judge(docs: DataFrame, host: str = "source", limit_docs: int = LIMIT_DOCS, l
     A document is kept if it passes the base rules and at least ``least_left`` of its word
     characters stand in lines under the limits of its host.
     """
-    rows = line_rows(docs, host)
+    rows = shared.stored(line_rows(docs, host), "line-rows")  # read by the count and by the join
     frequent = frequent_lines(rows, docs, host, limit_docs, limit_share).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     hit = rows.join(frequent, rows["host"].eqNullSafe(frequent["f_host"]) & (rows["line"] == frequent["f_line"]), "inner")
     # Repeated rows of a document add up here, and their own count takes it out again.

@@ -47,6 +47,8 @@ BLOCK = 512
 #: Cells up to this size are joined block by block at once; larger ones are taken apart by rings first.
 RING_ROWS, ROUNDS = 16 * BLOCK, 6
 _HELD = 8 << 20
+#: Bytes of text that a worker takes at once; it holds some twenty times as much.
+SLICE = 1 << 20
 _SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x589965CC75374CC3))
 
 
@@ -81,7 +83,7 @@ def frequent(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count.astype(np.int64))], names=["shingle", "docs"])
 
         for batch in batches:
-            for part in shared.slices(batch, 4 << 20):
+            for part in shared.slices(batch, SLICE):
                 held.append(shingles(part.column(0), size)[0])
                 size_held += len(held[-1])
                 rows += part.num_rows
@@ -118,7 +120,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, size: int = SHINGLE) -> DataFrame
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(cells))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *keys, lists], names=["doc_id", "n", "key1", "key2", "cells"])
 
-    return shared.over_text(docs, ["doc_id", "text"], run, "doc_id long, n long, key1 long, key2 long, cells array<long>")
+    return shared.over_text(docs, ["doc_id", "text"], run, "doc_id long, n long, key1 long, key2 long, cells array<long>", SLICE)
 
 
 def _fits(n: Column, m: Column) -> Column:

@@ -17,8 +17,10 @@ import numpy as np
 import regex
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 600_000
 LONGEST_KEPT = 40
+#: Marks that often end a word.
+MARKS = ".,;:!?"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,6 +46,7 @@ class _Encoder:
         self.letters, self.split = _byte_letters(), regex.compile(PATTERN).findall
         self.space = self.letters[32]
         self.kept: dict[str, bytes | None] = {}
+        self.marks = self.merged([*MARKS])
 
     def written(self, token: str) -> str:
         return token.encode().decode("latin-1").translate(self.letters)
@@ -56,20 +59,28 @@ class _Encoder:
         return {t: raw[a:b] for t, a, b in zip(tokens, cuts, cuts[1:])}
 
     def learn(self, pieces: set[str]) -> None:
-        """Add pieces; one with white space of another kind gets None, and its texts go the long way."""
-        plain, other = {}, {}
+        """Add pieces; one with white space of another kind gets None, and its texts go the long way.
+
+        Most are a word, or a word and a mark: two pre-tokens, of which the word is known or learned once.
+        """
+        plain, marked, other = {}, [], {}
         for p in pieces:
-            if p.isascii() and p.isalpha():
-                plain[p] = self.space + p
+            if p.isalpha():
+                plain[p] = self.space + p if p.isascii() else self.written(f" {p}")
+            elif p[-1:] in self.marks and p[:-1].isalpha():
+                marked.append(p)
+                body = p[:-1]
+                if body not in self.kept:
+                    plain[body] = self.space + body if body.isascii() else self.written(f" {body}")
             else:
                 line = p[:1] == "\n"
                 body = p[1:] if line else p
                 other[p] = [self.written(t) for t in self.split(p if line else f" {p}")] if body.split() == [body] else None
         ids = self.merged([*{*plain.values(), *(t for x in other.values() if x for t in x)}])
-        if len(self.kept) + len(pieces) > MEMO_ENTRIES:
-            self.kept.clear()
-        self.kept.update({p: ids[t] for p, t in plain.items()})
-        self.kept.update({p: None if x is None else b"".join(ids[t] for t in x) for p, x in other.items()})
+        kept = self.kept
+        kept.update({p: ids[t] for p, t in plain.items()})
+        kept.update({p: kept[p[:-1]] + self.marks[p[-1]] for p in marked})
+        kept.update({p: None if x is None else b"".join(ids[t] for t in x) for p, x in other.items()})
 
     def first(self, pieces: set[str]) -> dict[str, bytes | None]:
         """Ids of pieces that start a text."""
@@ -93,7 +104,10 @@ def encode_all(path: str, texts: list[str | None]) -> list[bytes]:
     own = _encoder(path)
     cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
     heads = [x.pop(0) if x else "" for x in cut]
-    new = set().union(*cut).difference(own.kept)
+    every = set().union(*cut)
+    new = every.difference(own.kept)
+    if len(own.kept) + len(new) > MEMO_ENTRIES:  # pieces of this slice are the ones most likely to come again
+        own.kept = {p: own.kept[p] for p in every.difference(new)}
     if new:
         own.learn(new)
     first = own.first({*heads})

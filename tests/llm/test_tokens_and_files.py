@@ -113,6 +113,15 @@ def test_packing_plans_are_valid_and_tight():
     assert packing.planned(full, 64).sequences <= 1.01 * (full * np.arange(65)).sum() / 64 + 1
 
 
+def test_a_full_memo_goes_on_with_the_pieces_at_hand(library, monkeypatch):
+    texts = [t or "" for _, t in edge_texts()]
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 40)
+    for at in range(0, len(texts), 3):
+        own = texts[at : at + 3]
+        assert tokens.encode_all(BYTES, own) == [library(t) for t in own]
+        assert tokens.encode_all(BYTES, own[::-1]) == [library(t) for t in own[::-1]]
+
+
 def fewest(lengths, capacity):
     """Fewest sequences by trying every place for every piece."""
     best = [len(lengths)]

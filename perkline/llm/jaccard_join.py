@@ -94,7 +94,7 @@ def frequent(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
             yield from flush()
 
     total = docs.count()
-    counts = docs.select("text").mapInArrow(run, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
+    counts = docs.select("text").mapInArrow(shared.trimmed(run), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
     hot = counts.filter(F.col("docs") > max(HOT_DOCS, HOT_SHARE * total)).select("shingle").toArrow()
     return np.sort(hot["shingle"].to_numpy().view(np.uint64))
 
@@ -152,7 +152,7 @@ def distances(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFra
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    return shared.stored(with_b.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, shared long, total long"), "jaccard-distances")
+    return shared.stored(with_b.select("a", "b", "a_text", "b_text").mapInArrow(shared.trimmed(run), "a long, b long, shared long, total long"), "jaccard-distances")
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 some = least < nodes
                 yield pa.RecordBatch.from_arrays([pa.array(least[some]), pa.array(nodes[some])], names=["a", "b"])
 
-    return x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(run, "a long, b long")
+    return x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(shared.trimmed(run), "a long, b long")
 
 
 def _rings(around: DataFrame, tested: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def counted(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     rows = docs.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(shared.trimmed(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass

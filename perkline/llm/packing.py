@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in shared.slices(batch, 4 << 20):
+            for part in shared.slices(batch, 2 << 20):
                 raw = [x + end for x in tokens.encode_all(tokenizer, part.column(1).to_pylist())]
                 n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
                 cuts = np.maximum(1, -(-n // capacity))
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(shared.trimmed(run), schema)
 
 
 def patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -280,4 +280,4 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *map(pa.array, extra)], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    return ranked(found, int(counts.sum())).select(*columns, "rank").mapInArrow(run, schema)
+    return ranked(found, int(counts.sum())).select(*columns, "rank").mapInArrow(shared.trimmed(run), schema)

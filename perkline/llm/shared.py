@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +51,20 @@ def partitions_for(spark: SparkSession, wanted: int) -> int:
     return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving what it has freed back to the system when it is done: workers live on for the next stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def over_text(docs: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, max_bytes: int = 2 << 20) -> DataFrame:
     """Apply ``fn`` to Arrow slices of ``docs`` whose ``text`` has about ``max_bytes`` bytes or is one row.
 
@@ -65,7 +81,7 @@ def over_text(docs: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
 
     safe = T.StructType([T.StructField(n, f.dataType) for n, f in zip(numbers, kind)])
     sent = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    return sent.mapInArrow(run, safe).toDF(*[f.name for f in kind])
+    return sent.mapInArrow(trimmed(run), safe).toDF(*[f.name for f in kind])
 
 
 def slices(batch: pa.RecordBatch, max_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -105,7 +121,7 @@ def parted(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFram
         some = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some].view(np.int64))], names=["at", "bits"])
 
-    rows = ids.mapInArrow(marked, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = ids.mapInArrow(trimmed(marked), "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(ID_FILTER_BITS // 64, np.uint64)
     table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     sent = df.sparkSession.sparkContext.broadcast(table)

@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 LONGEST_KEPT = 40
 #: Marks that often end a word.
 MARKS = ".,;:!?"

@@ -51,6 +51,12 @@ class _Powers:
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
 
 
+def forget() -> None:
+    """Let go of the powers that are kept."""
+    for own in (_BYTES, _WORDS):
+        own.up = own.down = np.ones(1, np.uint64)
+
+
 @dataclass
 class Words:
     """All words of a column of texts: ``first[i]:first[i + 1]`` are those of text ``i``."""

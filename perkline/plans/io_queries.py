@@ -210,6 +210,28 @@ def offers_round_trip(t):
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("`terms.spend`").alias("spend"))
 
 
+@query(
+    "offer_array_files",
+    "SRC2",
+    """SELECT p_brand AS brand, p_partkey AS part, p_name || ' "' || p_type || '" [{' AS name, p_size::BIGINT AS spend, len(string_split(p_type, ' '))::INT AS n_tags FROM part""",
+)
+def offer_array_files(t):
+    """One array file per brand, every second one a payload with other lists beside the offers, read in slices."""
+    named = F.concat("p_name", F.lit(' "'), "p_type", F.lit('" [{'))
+    offer = F.struct("p_brand", "p_partkey", named.alias("name"), F.struct(F.col("p_size").cast("long").alias("spend"), F.split("p_type", " ").alias("tags")).alias("terms"))
+    payload = F.substring("p_brand", -1, 1).cast("int") % 2 == 0
+    d = t("part").select("p_brand", "p_partkey", F.to_json(offer).alias("line"), payload.alias("payload"))
+    ends = d.groupBy("p_brand", "payload").agg(F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+    d = d.join(ends, ["p_brand", "payload"])
+    before = F.when(F.col("p_partkey") != F.col("first"), F.lit("  ,")).when(F.col("payload"), F.lit('{"meta": {"offers": [{"p_partkey": -1}]}, "old": [{"p_partkey": -2}],\n "offers": [')).otherwise(F.lit("[ "))
+    after = F.when(F.col("p_partkey") != F.col("last"), F.lit("")).when(F.col("payload"), F.lit('], "notes": [{"p_partkey": -3}]}')).otherwise(F.lit("]"))
+    base = sinks.work_folder(t.spark, "arrays")
+    lines = d.select(F.concat(before, "line", after).alias("value"), F.col("p_brand").alias("brand"), "p_partkey")
+    lines.repartition("brand").sortWithinPartitions("brand", "p_partkey").select("value", "brand").write.partitionBy("brand").text(base)
+    out = files.read_offer_arrays(t.spark, base, "p_brand string, p_partkey long, name string, terms struct<spend:long,tags:array<string>>")
+    return out.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("part"), "name", F.col("`terms.spend`").alias("spend"), F.size("`terms.tags`").alias("n_tags"))
+
+
 @query(
     "latest_output",
     "SRC5",

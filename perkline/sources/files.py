@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perkline.sources import json_arrays
+
 LOG_SCHEMA = (
     "timestamp string, request_id string, user_hash string, "
     "input_features struct<spending_categories:map<string,double>,monthly_spend:double,preferred_rewards:array<string>,transaction_history_count:int>, "
@@ -69,6 +71,16 @@ def read_offers(spark: SparkSession, path: str, schema: str | T.StructType | Non
     return flatten(df)
 
 
+def read_offer_arrays(spark: SparkSession, path: str, schema: str | T.StructType, key: str = "offers", slice_bytes: int | None = None) -> DataFrame:
+    """Offers from array files too large for one task, bare lists or ``{"offers": [...]}``.
+
+    Files are cut into slices that many tasks read, see :mod:`perkline.sources.json_arrays`;
+    nested keys become dotted columns.  Records that don't parse give null fields.
+    """
+    found = json_arrays.records(spark, path, key, slice_bytes)
+    return flatten(found.select(F.from_json("record", schema).alias("s")).select("s.*"))
+
+
 def read_feeds(spark: SparkSession, paths: Mapping[str, str], lines: bool = False) -> DataFrame | None:
     """All feeds in one frame, rows without a source tagged with the feed's name."""
     out = None

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from perkline.functions.text import issuer_from_name
 
-JSON_LD = (
-    "array<struct<`@type`:string,name:string,description:string,url:string,image:string,"
-    "offers:struct<price:string>,aggregateRating:struct<ratingValue:string,reviewCount:string>>>"
+JSON_LD_ITEM = (
+    "struct<`@type`:string,name:string,description:string,url:string,image:string,"
+    "offers:struct<price:string>,aggregateRating:struct<ratingValue:string,reviewCount:string>>"
 )
+JSON_LD_BLOCK = "struct<`@type`:string,itemListElement:array<struct<item:string>>>"
 
 
 def _first(s: Column, pattern: str, group: int = 1) -> Column:
@@ -61,15 +62,27 @@ def card_listing(html: Column, site: Column) -> Column:
     )
 
 
+def json_ld_items(block: Column) -> Column:
+    """Items of one JSON-LD block: those of a list, a product itself, or the objects of an item list.
+
+    List elements that are addresses only, and blocks that don't parse, give nothing.
+    """
+    top = F.from_json(block, JSON_LD_BLOCK)
+    listed = F.transform(top["itemListElement"], lambda e: F.from_json(F.when(F.ltrim(e["item"]).startswith("{"), e["item"]), JSON_LD_ITEM))
+    return (
+        F.when(block.rlike(r"^\s*\["), F.from_json(block, f"array<{JSON_LD_ITEM}>"))
+        .when(top["@type"].isin("Product", "CreditCard"), F.array(F.from_json(block, JSON_LD_ITEM)))
+        .otherwise(listed)
+    )
+
+
 def json_ld_cards(html: Column) -> Column:
-    """array<struct> of product items in the page's JSON-LD blocks, object or list."""
+    """array<struct> of named product items in the page's JSON-LD blocks."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    as_list = F.transform(
-        blocks, lambda b: F.from_json(F.when(F.ltrim(b).startswith("["), b).otherwise(F.concat(F.lit("["), b, F.lit("]"))), JSON_LD)
-    )
-    items = F.filter(F.flatten(F.filter(as_list, lambda a: a.isNotNull())), lambda i: i["name"].isNotNull() & i["@type"].rlike("Product|CreditCard|FinancialProduct"))
+    as_list = F.filter(F.transform(blocks, json_ld_items), lambda a: a.isNotNull())
+    named = F.filter(F.flatten(as_list), lambda i: (i["name"] != "") & i["@type"].rlike("Product|CreditCard|FinancialProduct"))
     return F.transform(
-        items,
+        named,
         lambda i: F.struct(
             i["name"].alias("name"), issuer_from_name(i["name"]).alias("issuer"), i["description"].alias("description"), i["url"].alias("detail_url"),
             i["image"].alias("image_url"), F.regexp_extract(i["offers"]["price"], r"(\d+(?:\.\d+)?)", 1).try_cast("double").alias("annual_fee"),

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from perkline.operators import features, ordered
+from perkline.operators import fairness, features, ordered
 from perkline.operators.quality import numeric_columns
 
 TARGET = "estimated_point_value"
@@ -141,12 +142,13 @@ def strata(df: DataFrame, target: str, bins: int = 4, discrete: bool | None = No
 
 
 def split(
-    df: DataFrame, target: str, key: str, train: float = 0.70, val: float = 0.15, test: float = 0.15, seed: int = 42, discrete: bool | None = None
+    df: DataFrame, target: str, key: str, train: float = 0.70, val: float = 0.15, test: float = 0.15, seed: int = 42, discrete: bool | None = None,
+    order: Column | None = None,
 ) -> DataFrame:
-    """``split`` column per row, stratified, from the position in a seeded hash order."""
+    """``split`` column per row, stratified, from the position in a seeded hash order or in that of the long ``order``."""
     if abs(train + val + test - 1.0) > 0.02:
         raise ValueError("split ratios must sum to 1")
-    d = strata(df, target, discrete=discrete).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    d = strata(df, target, discrete=discrete).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)) if order is None else order)
     n = d.groupBy("stratum").agg(F.count(F.lit(1)).alias("__n"))
     d = ordered.row_index(d, ["stratum"], ordered.hash_chunk(F.col("__h")), [F.col("__h"), F.col(key)], "__i")
     d = ordered.null_safe_join(d, n, ["stratum"])
@@ -204,29 +206,95 @@ def candidates(target: str, trees: int = 100, rounds: int = 100, seed: int = 42)
     }
 
 
-def train_all(train: DataFrame, val: DataFrame, columns: Sequence[str], target: str, models: Mapping[str, object]) -> tuple[DataFrame, dict]:
-    """Fit every candidate and the mean baseline; leaderboard by validation RMSE."""
+def train_all(
+    train: DataFrame, val: DataFrame, columns: Sequence[str], target: str, models: Mapping[str, object]
+) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """Fit every candidate and the mean baseline, a tree without a split; leaderboard by validation RMSE."""
     train, val = train.persist(StorageLevel.MEMORY_AND_DISK), val.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted: dict = {"mean_baseline": mean_baseline(train, target)}
-    for name, est in models.items():
-        fitted[name] = Pipeline(stages=[assembler(columns), est]).fit(train).transform
-    scored = [(name, *regression_metrics(predict(val), target, "prediction").first()) for name, predict in fitted.items()]
+    entrants = {"mean_baseline": DecisionTreeRegressor(labelCol=target, maxDepth=0), **models}
+    fitted = {name: Pipeline(stages=[assembler(columns), est]).fit(train) for name, est in entrants.items()}
+    scored = [(name, *regression_metrics(model.transform(val), target, "prediction").first()) for name, model in fitted.items()]
     train.unpersist()
     val.unpersist()
     board = train.sparkSession.createDataFrame(scored, "model string, n long, rmse double, mae double, r2 double")
     return board.orderBy("rmse", "model"), fitted
 
 
-def tune(train: DataFrame, columns: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 4, seed: int = 42):
-    """Grid search of a random forest by k-fold RMSE; returns the refitted best model."""
-    rf = RandomForestRegressor(labelCol=target, seed=seed)
+@dataclass(frozen=True)
+class TrainingRun:
+    """The model chosen and the tables of a training job, read back from ``folder``.
+
+    ``board`` has the candidates, ``metrics`` a row per split, ``ranking`` the first ten of
+    the validation rows, ``segments`` and ``bias`` are of the validation rows, ``verdict``
+    is that on the test rows.
+    """
+
+    best: str
+    folder: str
+    board: DataFrame
+    metrics: DataFrame
+    ranking: DataFrame
+    segments: DataFrame
+    bias: DataFrame
+    verdict: DataFrame
+
+
+def training_job(
+    frame: DataFrame, columns: Sequence[str], target: str, key: str, sensitive: Sequence[str], folder: str, models: Mapping[str, object] | None = None
+) -> TrainingRun:
+    """Train on a frame with a ``split`` column, choose by validation RMSE, and report.
+
+    Rows, predictions, reports and the fitted pipeline of the best model are written below
+    the shared ``folder``; the model is applied once, every report reads its predictions.
+    Columns of ``sensitive`` that the frame lacks are left out.  A split without rows is an
+    error.
+    """
+    rows = written(frame, f"{folder}/rows")
+    have = {r["split"] for r in rows.select("split").distinct().limit(4).collect()}
+    if have != {"train", "val", "test"}:
+        raise ValueError(f"splits with rows: {sorted(str(s) for s in have)}")
+    board, fitted = train_all(rows.where("split = 'train'"), rows.where("split = 'val'"), columns, target, models if models is not None else candidates(target))
+    board = written(board.coalesce(1), f"{folder}/board")
+    best = board.orderBy("rmse", "model").first()["model"]
+    fitted[best].write().overwrite().save(f"{folder}/model")
+    predicted = written(fitted[best].transform(rows).drop("features"), f"{folder}/predictions")
+    val = predicted.where("split = 'val'")
+    groups = [c for c in sensitive if c in rows.columns]
+
+    def report(name: str, df: DataFrame) -> DataFrame:
+        return written(df, f"{folder}/{name}")
+
+    metrics = report("metrics", predicted.groupBy("split").agg(*_errors(F.col(target).cast("double"), F.col("prediction"))))
+    overfit = overfit_check(metrics.where("split = 'train'"), metrics.where("split = 'val'"))
+    bias_schema = "name string, feature string, detail string, value double, threshold double, is_biased boolean"
+    segment_schema = "dimension string, segment string, n long, rmse double, mae double, r2 double"
+    none = rows.sparkSession.createDataFrame
+    return TrainingRun(
+        best, folder, board, metrics,
+        report("ranking", ranking_metrics(val, target, "prediction", key, 10)),
+        report("segments", segment_metrics(val, groups, target, "prediction") if groups else none([], segment_schema)),
+        report("bias", fairness.model_bias(val, groups, target, "prediction") if groups else none([], bias_schema)),
+        report("verdict", holdout_verdict(metrics.where("split = 'test'"), overfit)),
+    )
+
+
+def tune(
+    train: DataFrame, columns: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 3, parallelism: int = 4, seed: int = 42,
+    forest: RandomForestRegressor | None = None, fold: str = "",
+):
+    """Grid search of a random forest by k-fold RMSE; returns the refitted best model.
+
+    ``forest`` gives settings outside the grid, ``fold`` names a column with the number of
+    each row's fold in place of a drawn one.
+    """
+    rf = forest if forest is not None else RandomForestRegressor(labelCol=target, seed=seed)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(getattr(rf, name), list(values))
     pipe = Pipeline(stages=[assembler(columns), rf])
     cv = CrossValidator(
         estimator=pipe, estimatorParamMaps=builder.build(), evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
-        numFolds=folds, parallelism=parallelism, seed=seed,
+        numFolds=folds, parallelism=parallelism, seed=seed, foldCol=fold,
     )
     return cv.fit(train)
 

@@ -79,12 +79,15 @@ def fit(df: DataFrame, plan: Plan, dataset: str) -> DataFrame:
     return out
 
 
-def collect_params(params: DataFrame, dataset: str) -> dict:
+def collect_params(params: DataFrame, dataset: str, most_columns: int = 10_000) -> dict:
     """Parameters of the methods that shape columns: two numbers, or the names of one-hot columns.
 
-    Label codes stay a table, see :func:`label_join`.
+    Label codes stay a table, see :func:`label_join`.  More than ``most_columns`` rows are
+    an error, as each would become a column; :func:`onehot_sparse` takes any number.
     """
-    rows = params.where((F.col("dataset") == dataset) & (F.col("method") != "label")).collect()
+    rows = params.where((F.col("dataset") == dataset) & (F.col("method") != "label")).limit(most_columns + 1).collect()
+    if len(rows) > most_columns:
+        raise ValueError(f"{dataset} would get more than {most_columns} columns; use onehot_sparse")
     book: dict = {}
     for r in sorted(rows, key=lambda r: (r["column"], r["method"], r["position"])):
         book.setdefault((r["column"], r["method"]), []).append(r["text"] if r["text"] is not None else r["num"])
@@ -114,8 +117,8 @@ def transform(df: DataFrame, params: Mapping) -> DataFrame:
     return df.select(*cols)
 
 
-def _classes(params: DataFrame, dataset: str, column: str) -> DataFrame:
-    chosen = params.where((F.col("dataset") == dataset) & (F.col("column") == column) & (F.col("method") == "label"))
+def _classes(params: DataFrame, dataset: str, column: str, method: str = "label") -> DataFrame:
+    chosen = params.where((F.col("dataset") == dataset) & (F.col("column") == column) & (F.col("method") == method))
     return chosen.select(F.col("text").alias("__t"), F.col("position").alias("__code"))
 
 
@@ -125,6 +128,17 @@ def label_join(df: DataFrame, params: DataFrame, dataset: str, column: str) -> D
     return d.join(_classes(params, dataset, column), "__t", "left").withColumn(column, F.coalesce("__code", F.lit(-1))).drop("__t", "__code")
 
 
+def onehot_sparse(df: DataFrame, params: DataFrame, dataset: str, column: str, out: str) -> DataFrame:
+    """``out`` struct(size, position): the place of the one in a one-hot vector of ``size``, null where the category is unknown.
+
+    The categories stay a table and meet the rows in a join, so their number is free.
+    """
+    classes = _classes(params, dataset, column, "onehot")
+    size = classes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    d = df.withColumn("__t", F.coalesce(F.col(column).cast("string"), F.lit(MISSING))).join(classes, "__t", "left")
+    return d.withColumn(out, F.struct(size.alias("size"), F.col("__code").alias("position"))).drop("__t", "__code")
+
+
 def inverse_label(df: DataFrame, params: DataFrame, dataset: str, column: str, code: str, out: str) -> DataFrame:
     """The class behind each code, as a join; unknown codes give ``<UNKNOWN>``."""
     found = _classes(params, dataset, column)

@@ -39,6 +39,38 @@ def page_listings(t):
     return d.select("page_id", "c.name", "text_length", "c.annual_fee", "c.base_reward_rate", "c.detail_url", "c.n_links", "c.image_url", "c.welcome_bonus", "c.issuer", "n_products")
 
 
+def _product(kind, name):
+    """JSON text of one product of a page."""
+    return F.concat(
+        F.lit('{"@type": "'), kind, F.lit('", "name": "'), name, F.lit('", "description": "a \\"fine\\" card", "url": "'), F.col("url"),
+        F.lit('", "image": "/i.png", "offers": {"price": "$'), F.col("page_id").cast("string"), F.lit('.50"}, "aggregateRating": {"ratingValue": 4.5, "reviewCount": '), F.col("page_id").cast("string"), F.lit("}}"),
+    )
+
+
+@query(
+    "page_products",
+    "STR13",
+    """WITH p AS (SELECT page_id, url, page_id % 6 AS k FROM pages),
+    i AS (SELECT page_id, url, 0 AS place, 'Chase One ' || page_id AS name, 'Chase' AS issuer FROM p WHERE k IN (0, 1, 2) UNION ALL SELECT page_id, url, 1, 'Discover Two ' || page_id, 'Discover' FROM p WHERE k IN (1, 2))
+    SELECT page_id, place, name, issuer, 'a "fine" card' AS description, url AS detail_url, '/i.png' AS image_url, page_id + 0.5::DOUBLE AS annual_fee, '4.5' AS rating, page_id::VARCHAR AS review_count FROM i""",
+)
+def page_products(t):
+    """Products that JSON-LD blocks put into the given pages: one object, a list, an item list; broken, other and unnamed ones give none."""
+    pid = F.col("page_id").cast("string")
+    one, two = _product(F.lit("CreditCard"), F.concat(F.lit("Chase One "), pid)), _product(F.lit("FinancialProduct"), F.concat(F.lit("Discover Two "), pid))
+    other = F.lit('{"@type": "Organization", "name": "none"}')
+    k = F.col("page_id") % 6
+    block = (
+        F.when(k == 0, one)
+        .when(k == 1, F.concat(F.lit(" ["), one, F.lit(", "), other, F.lit(", "), two, F.lit("]")))
+        .when(k == 2, F.concat(F.lit('{"@type": "ItemList", "itemListElement": [{"item": "https://a.b/c"}, {"item": '), one, F.lit('}, {"position": 2}, {"item": '), two, F.lit("}]}")))
+        .when(k == 3, F.concat(F.lit("{broken "), one)).when(k == 4, two).otherwise(_product(F.lit("Product"), F.lit("")))
+    )
+    page = F.concat(F.coalesce("html", F.lit("")), F.lit('<script type="application/ld+json">\n'), block, F.lit("</script><script>var x = 1</script>"))
+    found = t("pages").select("page_id", F.posexplode(html.json_ld_cards(page)).alias("place", "c"))
+    return found.select("page_id", "place", "c.*")
+
+
 # -------------------------------------------------------------------- joins and checks
 
 

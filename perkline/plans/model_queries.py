@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from perkline.operators import features, modeling, quality, scaling
+from perkline.plans.fairness_queries import MODEL_BIAS
 from perkline.plans.registry import query
 from perkline.sources import sinks
 
@@ -33,6 +35,21 @@ def scaled_features(t):
     return out.select("user_id", R("monthly_budget"), R("num"), "flat", F.col("location_type_<MISSING>").alias("missing"), F.col("location_type_rural").alias("rural"), "archetype")
 
 
+@query(
+    "onehot_positions",
+    "NRM3",
+    """WITH l AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE 'part ' || l_partkey END AS part, l_quantity FROM lineitem), c AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT coalesce(part, '<MISSING>') AS x FROM l WHERE l_quantity < 10))
+    SELECT part, (SELECT count(*) FROM c) AS size, c.i AS position, count(*) AS n FROM l LEFT JOIN c ON c.x = coalesce(part, '<MISSING>') GROUP BY 1, 2, 3""",
+)
+def onehot_positions(t):
+    """One-hot codes of a column with many categories in sparse form, fitted on a part of the table."""
+    part = F.when(F.col("l_linenumber") != 7, F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
+    d = t("lineitem").select(part.alias("part"), "l_quantity")
+    params = scaling.fit(d.where("l_quantity < 10"), scaling.Plan(onehot=["part"]), "lines")
+    out = scaling.onehot_sparse(d, params, "lines", "part", "code")
+    return out.groupBy("part", F.col("code.size").alias("size"), F.col("code.position").cast("long").alias("position")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "scaling_parameters",
     "NRM5",
@@ -238,3 +255,103 @@ def tuned_forest(t):
     mean = modeling.regression_metrics(modeling.mean_baseline(train, "y")(held), "y", "prediction").select("rmse").scalar()
     m = modeling.regression_metrics(cv.transform(held), "y", "prediction").withColumn("mean_rmse", mean)
     return m.select("n", F.lit(len(cv.avgMetrics)).alias("grid_points"), (F.col("rmse") <= 1.05 * F.col("mean_rmse")).alias("within_5_percent_of_mean"))
+
+
+def _stump(name: str, rows: str) -> str:
+    """CTEs that fit a tree with one split per group ``g`` to ``rows`` (g, x, y): table ``name`` (g, cut, lo, hi)."""
+    return f"""{name}_v AS (SELECT g, x, count(*) AS n, sum(y) AS s FROM {rows} GROUP BY 1, 2),
+    {name}_c AS (SELECT g, x, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY g) AS tn, sum(s) OVER (PARTITION BY g) AS ts FROM {name}_v WINDOW w AS (PARTITION BY g ORDER BY x)),
+    {name} AS (SELECT g, x AS cut, s / n AS lo, (ts - s) / (tn - n) AS hi FROM {name}_c WHERE n < tn QUALIFY row_number() OVER (PARTITION BY g ORDER BY s * s / n + (ts - s) * (ts - s) / (tn - n) DESC, x) = 1)"""
+
+
+def _lines(t):
+    """Price by quantity; every fifth order is held out, the others lie in three folds."""
+    k = F.col("l_orderkey")
+    return t("lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"), (k % 5 == 0).alias("held"), (k % 3).cast("int").alias("fold"))
+
+
+LINES = "d AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y, l_orderkey % 5 = 0 AS held, l_orderkey % 3 AS fold FROM lineitem)"
+WHOLE = {"maxDepth": 1, "maxBins": 64, "subsamplingRate": 1.0, "seed": 42}
+
+
+@query(
+    "tree_models",
+    "MDL1 MDL2 MDL3 MDL4",
+    f"""WITH {LINES}, a AS (SELECT 0 AS g, x, y FROM d WHERE NOT held), {_stump('t1', 'a')},
+    r AS (SELECT 0 AS g, x, 2 * (y - CASE WHEN x <= cut THEN lo ELSE hi END) AS y FROM a CROSS JOIN (SELECT cut, lo, hi FROM t1)), {_stump('t2', 'r')},
+    p AS (SELECT y, (SELECT avg(y) FROM a) AS m, CASE WHEN x <= t1.cut THEN t1.lo ELSE t1.hi END AS f, CASE WHEN x <= t1.cut THEN t1.lo ELSE t1.hi END + 0.1::DOUBLE * CASE WHEN x <= t2.cut THEN t2.lo ELSE t2.hi END AS b FROM d CROSS JOIN t1 CROSS JOIN t2 WHERE held),
+    l AS (SELECT 'mean_baseline' AS model, y, m AS p FROM p UNION ALL SELECT 'random_forest', y, f FROM p UNION ALL SELECT 'gradient_boosting', y, b FROM p)
+    SELECT model, count(*) AS n, round(sqrt(avg(pow(y - p, 2))), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae, round(1 - sum(pow(y - p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2 FROM l GROUP BY 1""",
+)
+def tree_models(t):
+    """The training and its leaderboard with trees small enough to be told in SQL: no resampling, one split a tree."""
+    d = _lines(t)
+    models = {
+        "random_forest": RandomForestRegressor(labelCol="y", numTrees=3, bootstrap=False, featureSubsetStrategy="all", **WHOLE),
+        "gradient_boosting": GBTRegressor(labelCol="y", maxIter=2, stepSize=0.1, featureSubsetStrategy="all", **WHOLE),
+    }
+    board, _ = modeling.train_all(d.where("NOT held"), d.where("held"), ["x"], "y", models)
+    return board.select("model", "n", R("rmse", 4), R("mae", 4), R("r2", 6))
+
+
+@query(
+    "tuned_depth",
+    "MDL5",
+    f"""WITH {LINES}, a AS (SELECT f.g, x, y FROM d CROSS JOIN (VALUES (0), (1), (2), (9)) f(g) WHERE NOT held AND fold <> f.g), {_stump('t1', 'a')}, m AS (SELECT g, avg(y) AS m FROM a GROUP BY 1),
+    e AS (SELECT g, sqrt(avg(pow(y - m.m, 2))) AS e0, sqrt(avg(pow(y - CASE WHEN x <= cut THEN lo ELSE hi END, 2))) AS e1 FROM d JOIN t1 ON (held AND t1.g = 9) OR (NOT held AND t1.g = fold) JOIN m USING (g) GROUP BY 1),
+    c AS (SELECT 0 AS max_depth, avg(e0) AS cv_rmse, (SELECT e0 FROM e WHERE g = 9) AS held FROM e WHERE g < 9 UNION ALL SELECT 1, avg(e1), (SELECT e1 FROM e WHERE g = 9) FROM e WHERE g < 9)
+    SELECT max_depth, round(cv_rmse, 4) AS cv_rmse, cv_rmse = min(cv_rmse) OVER () AS chosen, round(arg_min(held, cv_rmse) OVER (), 4) AS held_out_rmse FROM c""",
+)
+def tuned_depth(t):
+    """Grid search over named folds: mean error of each grid point, the one chosen, and the refitted model's error on held-out rows."""
+    d = _lines(t)
+    forest = RandomForestRegressor(labelCol="y", numTrees=1, bootstrap=False, featureSubsetStrategy="all", **WHOLE)
+    cv = modeling.tune(d.where("NOT held"), ["x"], "y", {"maxDepth": [0, 1]}, folds=3, forest=forest, fold="fold")
+    held = modeling.regression_metrics(cv.transform(d.where("held")), "y", "prediction").first()["rmse"]
+    best = min(cv.avgMetrics)
+    rows = [(depth, float(e), bool(e == best), held) for depth, e in zip([0, 1], cv.avgMetrics)]
+    out = t.spark.createDataFrame(rows, "max_depth int, cv_rmse double, chosen boolean, held_out_rmse double")
+    return out.select("max_depth", R("cv_rmse", 4), "chosen", R("held_out_rmse", 4))
+
+
+_RMSE, _R2 = "sqrt(avg(pow(target - score, 2)))", "1 - sum(pow(target - score, 2)) / (sum(target * target) - sum(target) * sum(target) / count(*))"
+
+
+@query(
+    "training_job",
+    "MDL6 MDL4 EVA3 EVA5 FAI12",
+    f"""WITH h AS (SELECT *, CASE WHEN target <= a THEN 0 WHEN target <= b THEN 1 WHEN target <= c THEN 2 ELSE 3 END AS st FROM predictions CROSS JOIN (SELECT quantile_cont(target, 0.25) AS a, quantile_cont(target, 0.5) AS b, quantile_cont(target, 0.75) AS c FROM predictions)),
+    p AS (SELECT item_id, segment, source, target, score AS x, (row_number() OVER (PARTITION BY st ORDER BY substr(md5(item_id::VARCHAR), 1, 15), item_id) - 0.5) / count(*) OVER (PARTITION BY st) AS place FROM h),
+    s AS (SELECT *, CASE WHEN place < 0.7::DOUBLE THEN 'train' WHEN place < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM p),
+    e AS (SELECT s.*, m, ic + sl * x AS lin FROM s CROSS JOIN (SELECT avg(target) AS m, regr_slope(target, x) AS sl, regr_intercept(target, x) AS ic FROM s WHERE split = 'train')),
+    b AS (SELECT 'mean_baseline' AS model, sqrt(avg(pow(target - m, 2))) AS rmse FROM e WHERE split = 'val' UNION ALL SELECT 'linear', sqrt(avg(pow(target - lin, 2))) FROM e WHERE split = 'val'),
+    v AS (SELECT item_id, segment, source, split, target, CASE (SELECT model FROM b ORDER BY rmse, model LIMIT 1) WHEN 'linear' THEN lin ELSE m END AS score FROM e),
+    g AS (SELECT split, {_RMSE} AS rmse, {_R2} AS r2 FROM v GROUP BY 1),
+    o AS (SELECT t.rmse, t.r2, w.rmse - a.rmse AS gap, (w.rmse - a.rmse > 0.3) OR (a.r2 - w.r2 > 0.15) AS ov FROM g t CROSS JOIN g w CROSS JOIN g a WHERE t.split = 'test' AND w.split = 'val' AND a.split = 'train'),
+    y AS (SELECT concat_ws('; ', CASE WHEN rmse > 0.01 THEN printf('Test RMSE %.6f > threshold 0.01', rmse) END, CASE WHEN r2 < 0.3 THEN printf('Test R² %.4f < threshold 0.3', r2) END, CASE WHEN ov THEN printf('Overfitting detected: RMSE gap=%.6f', gap) END) AS r FROM o)
+    SELECT 'model' AS part, model AS name, round(rmse, 8) AS value FROM b UNION ALL SELECT 'rmse', split, round(rmse, 8) FROM g UNION ALL SELECT 'r2', split, round(r2, 6) FROM g
+    UNION ALL SELECT 'segment', 'segment=' || segment, round({_RMSE}, 8) FROM v WHERE split = 'val' GROUP BY segment HAVING count(*) >= 2 UNION ALL SELECT 'segment', 'source=' || source, round({_RMSE}, 8) FROM v WHERE split = 'val' GROUP BY source HAVING count(*) >= 2
+    UNION ALL SELECT 'bias', name || ' ' || feature || CASE WHEN is_biased THEN ' biased' ELSE '' END, round(value, 8) FROM (WITH predictions AS (SELECT * FROM v WHERE split = 'val') SELECT * FROM ({MODEL_BIAS}))
+    UNION ALL SELECT 'verdict', CASE WHEN r = '' THEN 'All checks passed' ELSE r END, CASE WHEN r = '' THEN 1 ELSE 0 END FROM y""",
+    "predictions",
+)
+def training_job(t):
+    """The whole job with a line and the mean as candidates; all its reports in one long table."""
+    d = t("predictions").select("item_id", "segment", "source", "target", F.col("score").alias("x"))
+    order = F.conv(F.substring(F.md5(F.col("item_id").cast("string")), 1, 15), 16, 10).cast("long")
+    d = modeling.split(d, "target", "item_id", discrete=False, order=order)
+    run = modeling.training_job(d, ["x"], "target", "item_id", ["segment", "source", "age_group"], sinks.work_folder(t.spark, "job"), {"linear": modeling.linear("target")})
+    named = lambda part, name, value, n=8: [F.lit(part).alias("part"), name.alias("name"), F.round(value.cast("double"), n).alias("value")]
+    flag = F.when(F.col("is_biased"), F.lit(" biased")).otherwise(F.lit(""))
+    parts = [
+        run.board.select(*named("model", F.col("model"), F.col("rmse"))),
+        run.metrics.select(*named("rmse", F.col("split"), F.col("rmse"))),
+        run.metrics.select(*named("r2", F.col("split"), F.col("r2"), 6)),
+        run.segments.select(*named("segment", F.concat("dimension", F.lit("="), "segment"), F.col("rmse"))),
+        run.bias.select(*named("bias", F.concat("name", F.lit(" "), "feature", flag), F.col("value"))),
+        run.verdict.select(*named("verdict", F.col("reason"), F.col("passed").cast("int"))),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out

@@ -61,7 +61,36 @@ def card_statistics(df: DataFrame) -> DataFrame:
     )
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """Distinct users and merchants, merchants per user, and counts and sums per category, from one grouping."""
+    d = df.select("category", "user_id", "merchant", "amount", F.col("merchant").isNotNull().cast("long").alias("__named"))
+    sets = d.groupingSets([["category"], ["user_id"], ["merchant"], ["user_id", "merchant"]], "category", "user_id", "merchant").agg(
+        F.grouping_id().alias("set"), F.count(F.lit(1)).cast("double").alias("n"), F.sum("amount").alias("total"), F.sum("__named").alias("named")
+    )
+    # The set is a bit per column, in order, one where the column is not part of it.
+    category, user, merchant, pair = (F.col("set") == b for b in (0b011, 0b101, 0b110, 0b100))
+    named = F.col("merchant").isNotNull()
+
+    def part(where: Column, statistic: str, item: Column, over: Column, under: Column = F.lit(None)) -> Column:
+        return F.when(where, F.struct(F.lit(statistic).alias("statistic"), item.cast("string").alias("item"), over.cast("double").alias("over"), under.cast("double").alias("under")))
+
+    none, one, zero = F.lit(""), F.lit(1), F.lit(0)
+    parts = [
+        part(category & F.col("category").isNotNull(), "category_distribution", F.col("category"), F.col("n")),
+        part(category, "category_spending", F.col("category"), F.col("total")),
+        part(user & F.col("user_id").isNotNull(), "unique_users", none, one),
+        part(user & (F.col("named") > 0), "avg_merchants_per_user", none, zero, one),
+        part(merchant & named, "unique_merchants", none, one),
+        part(pair & named, "avg_merchants_per_user", none, one, zero),
+    ]
+    always = [part(F.lit(True), name, none, zero, under) for name, under in [("unique_users", F.lit(None)), ("unique_merchants", F.lit(None)), ("avg_merchants_per_user", zero)]]
+    rows = sets.select(F.explode(F.array_compact(F.array(*parts))).alias("p")).unionByName(df.sparkSession.range(1).select(F.explode(F.array(*always)).alias("p")))
+    sums = rows.groupBy("p.statistic", "p.item").agg(F.sum("p.over").alias("over"), F.sum("p.under").alias("under"))
+    return sums.select("statistic", "item", F.when(F.col("under").isNull(), F.col("over")).otherwise(F.try_divide("over", "under")).alias("value"))
+
+
 def transaction_statistics(df: DataFrame, date: str = "txn_date") -> DataFrame:
+    """Totals, quartiles, distinct counts and category shares as tidy rows; an empty table has counts of 0 and null averages."""
     a = F.col("amount")
     wide = df.agg(
         F.count(F.lit(1)).alias("total_transactions"),
@@ -69,19 +98,10 @@ def transaction_statistics(df: DataFrame, date: str = "txn_date") -> DataFrame:
         F.stddev_samp(a).alias("amount_std"), F.datediff(F.max(date), F.min(date)).alias("days_covered"),
         F.sum("suspicious").alias("suspicious_count"), (F.avg("suspicious") * 100).alias("suspicious_pct"),
     )
-    pairs = df.where(F.col("merchant").isNotNull()).groupBy("user_id", "merchant").agg(F.lit(1).alias("x"))
-    per_user = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"))
-    spend = df.groupBy("category").agg(F.sum(a).alias("value")).select(
-        F.lit("category_spending").alias("statistic"), F.col("category").alias("item"), "value"
-    )
     return (
         _tidy(wide)
         .unionByName(_quartiles(df, "amount", {"amount_q25": 0.25, "amount_median": 0.5, "amount_q75": 0.75}))
-        .unionByName(distinct_count(df, "user_id", "unique_users"))
-        .unionByName(distinct_count(df, "merchant", "unique_merchants"))
-        .unionByName(_tidy(per_user.agg(F.avg("k").alias("avg_merchants_per_user"))))
-        .unionByName(distribution(df, "category", "category_distribution"))
-        .unionByName(spend)
+        .unionByName(_counted(df))
     )
 
 

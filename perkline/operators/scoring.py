@@ -802,7 +802,7 @@ def check_cases(cases: DataFrame, tolerance: float = 1e-4) -> DataFrame:
 def online_user_features(purchases: DataFrame, spend: DataFrame, profiles: DataFrame, key: str = "user_id") -> DataFrame:
     """Feature row per scoring request.
 
-    Uses the population deviation, the upper median, and the share of merchants seen
+    Purchases and spend are read once per block of features, so give written tables.  Uses the population deviation, the upper median, and the share of merchants seen
     more than once; these differ on purpose from the batch features of the same names.
     """
     amount = F.greatest(F.col("amount"), F.lit(0.0))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from perkline import dims
 from perkline.operators import features as fe
-from perkline.operators import ordered
+from perkline.operators import modeling, ordered
 from perkline.plans.registry import query
+from perkline.sources import sinks
 
 R = lambda c, n=9: F.round(c, n).alias(c)
 
@@ -94,7 +95,9 @@ def user_frequencies(t):
     "transactions",
 )
 def user_features(t):
-    d = fe.user_features(t("transactions"), order=("txn_date", "transaction_id", "tie_break"))
+    """Purchases are put together from their tables once; every block of features reads the written table."""
+    txns = modeling.written(t("transactions"), sinks.work_folder(t.spark, "purchases"))
+    d = fe.user_features(txns, order=("txn_date", "transaction_id", "tie_break"))
     return d.select(
         "user_id", R("total_spending", 4), "total_transactions", R("median_transaction_amount"), R("card_switch_rate"), R("repeat_merchant_ratio"),
         "num_cards_used", R("dining_total_spent", 4),

@@ -80,7 +80,8 @@ def label_codes(t):
 
 
 def _frame(t, folder=None):
-    txf = features.user_features(t("transactions"), order=("txn_date", "transaction_id", "tie_break"))
+    txns = t("transactions") if folder is None else modeling.written(t("transactions"), f"{folder}-purchases")
+    txf = features.user_features(txns, order=("txn_date", "transaction_id", "tie_break"))
     return modeling.dataset(features.profile_features(t("users").drop("ord")), txf, folder=folder)
 
 

@@ -351,11 +351,14 @@ def profile_purchases(t):
     "spend_profile users transactions",
 )
 def profile_scores(t):
-    """Spend is summed per category first: scores are linear in the amount."""
-    spend, _, p = purchases(t)
+    """Spend is summed per category first, as scores are linear in the amount, and written once."""
+    folder = sinks.work_folder(t.spark, "profiles")
+    spend = modeling.written(sc.normalize_spend(t("spend_profile")), f"{folder}/spend")
+    profiles = t("users").select("user_id", F.col("monthly_budget").alias("monthly_spend"))
+    p = sc.profile_purchases(profiles, spend, t("transactions"))
     cat = catalog(t)
     cards = sc.curated_portfolio()
-    by_cat = p.groupBy("user_id", "category").agg(F.sum("amount").alias("amount"))
+    by_cat = modeling.written(p.groupBy("user_id", "category").agg(F.sum("amount").alias("amount")), f"{folder}/totals")
     det = sc.totals_per_card(sc.score_portfolio(by_cat, cards, day=None, foreign=None))
     pref = t("users").select(
         "user_id",
@@ -386,7 +389,11 @@ def profile_scores(t):
     "spend_profile users transactions",
 )
 def online_user_features(t):
-    spend, profiles, p = purchases(t)
+    """Spend and purchases are written once; every block of features reads the narrow tables."""
+    folder = sinks.work_folder(t.spark, "requests")
+    spend = modeling.written(sc.normalize_spend(t("spend_profile")), f"{folder}/spend")
+    profiles = t("users").select("user_id", F.col("monthly_budget").alias("monthly_spend"))
+    p = modeling.written(sc.profile_purchases(profiles, spend, t("transactions")).select("user_id", "amount", "merchant"), f"{folder}/purchases")
     f = sc.online_user_features(p, spend, profiles)
     return f.select(
         "user_id",

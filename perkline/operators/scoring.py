@@ -12,9 +12,11 @@ Two shapes of the same arithmetic:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -397,6 +399,40 @@ def best_card(
 # ------------------------------------------------------------------------ card tables
 
 
+def _first_of_pages(frames: Iterator[pd.DataFrame], top_k: int) -> Iterator[pd.DataFrame]:
+    """The best ``top_k`` cards of this task for every page; rows in hand are those of one batch and the best so far."""
+    held: dict[tuple[int, bool, int], pd.DataFrame] = {}
+    for frame in frames:
+        rates = np.stack(frame["rates"].to_numpy())
+        fee, name, abroad_fee = (frame[c].to_numpy() for c in ("fee_order", "name_order", "fee"))
+        for page in range(rates.shape[1]):
+            for abroad in (False, True):
+                net = rates[:, page] - abroad_fee if abroad else rates[:, page]
+                for sign in (1, -1, 0):
+                    value = np.nan_to_num(-sign * net, nan=np.inf, posinf=np.inf, neginf=-np.inf) + 0.0
+                    last = held.get((page, abroad, sign))
+                    at = np.arange(len(value))
+                    if last is not None and len(last) >= top_k:
+                        v, f, n = last[["value", "fee_order", "name_order"]].iloc[-1]
+                        at = at[(value < v) | ((value == v) & (fee <= f))]
+                        at = at[(value[at] < v) | (fee[at] < f) | (name[at] < n)]
+                    if len(at) > top_k:
+                        # Names are compared only where value and fee tie with the last place.
+                        w = at[np.lexsort((fee[at], value[at]))[top_k - 1]]
+                        at = at[(value[at] < value[w]) | ((value[at] == value[w]) & (fee[at] <= fee[w]))]
+                    if len(at):
+                        near = frame.iloc[at].drop(columns=["rates", "fee"]).assign(value=value[at], rate=rates[at, page], net_rate=net[at])
+                        near = near if last is None else pd.concat([last, near])
+                        held[page, abroad, sign] = near.sort_values(["value", "fee_order", "name_order"]).head(top_k)
+    for (page, abroad, sign), best in held.items():
+        yield best[["card_id", "annual_fee", "rate", "net_rate"]].assign(page=page, foreign=abroad, sign=sign)
+
+
+def _bonus_categories(cards: DataFrame) -> Column:
+    """The names of all bonus categories and ``""`` first, as one array."""
+    return cards.select(F.explode(F.map_keys("bonuses")).alias("k")).agg(F.array_union(F.array(F.lit("")), F.sort_array(F.collect_set("k")))).scalar()
+
+
 def best_by_category(cards: DataFrame, top_k: int = 10) -> DataFrame:
     """The best ``top_k`` cards per category, foreign flag and sign of an amount, by the net share of it.
 
@@ -405,26 +441,32 @@ def best_by_category(cards: DataFrame, top_k: int = 10) -> DataFrame:
     without a bonus anywhere; the names of categories are a short vocabulary.  A reward is
     the amount times the net rate, so a positive amount puts the highest net rate first, a
     refund the lowest, and none the lowest fee; that order holds for every purchase.  The
-    result has 6 * (categories + 1) * top_k rows.
+    result has 6 * (categories + 1) * top_k rows.  No card is sorted that is not among the
+    first of its batch, so a task holds a batch and ``top_k`` cards per page.
     """
+    named = _bonus_categories(cards)
     base = cards.select("card_id", "annual_fee", F.coalesce("base_rate", F.lit(DEFAULT_RATE)).alias("base_rate"), "bonuses", F.coalesce("foreign_fee_pct", F.lit(0.0)).alias("fee"))
-    named = cards.select(F.explode(F.map_keys("bonuses")).alias("k")).agg(F.array_union(F.array(F.lit("")), F.sort_array(F.collect_set("k")))).scalar()
-    turns = F.array(*[F.struct(F.lit(abroad).alias("foreign"), F.lit(sign).alias("sign")) for abroad in (False, True) for sign in (1, -1, 0)])
-    paged = base.withColumn("category", named).withColumn("category", F.explode("category")).select("*", F.inline(turns))
-    rate = F.coalesce(F.try_element_at("bonuses", F.col("category")), F.col("base_rate"))
-    net = paged.withColumn("rate", rate).withColumn("net_rate", F.col("rate") - F.when(F.col("foreign"), F.col("fee")).otherwise(F.lit(0.0)))
+    base = base.withColumn("__named", named)
+    rates = F.transform("__named", lambda c: F.coalesce(F.try_element_at("bonuses", c), F.col("base_rate")).cast("double"))
+    # What is missing comes first.
+    fee = F.coalesce(F.col("annual_fee").cast("double"), F.lit(float("-inf"))).alias("fee_order")
+    rows = base.select("card_id", F.coalesce("card_id", F.lit("")).alias("name_order"), F.col("annual_fee").cast("double").alias("annual_fee"), fee, F.col("fee").cast("double").alias("fee"), rates.alias("rates"))
+    schema = "card_id string, annual_fee double, rate double, net_rate double, page int, foreign boolean, sign int"
+    near = rows.mapInPandas(lambda frames: _first_of_pages(frames, top_k), schema).withColumn("category", F.get(named, F.col("page")))
     order = W.partitionBy("category", "foreign", "sign").orderBy((-F.col("sign") * F.col("net_rate")).asc(), "annual_fee", "card_id")
-    return net.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("category", "foreign", "sign", "rank", "card_id", "annual_fee", "rate", "net_rate")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("category", "foreign", "sign", "rank", "card_id", "annual_fee", "rate", "net_rate")
 
 
 def rank_card_table(txns: DataFrame, cards: DataFrame, top_k: int = 10, amount: str = "amount", category: str = "category", foreign: str = "is_foreign") -> DataFrame:
-    """Ranked cards of a table of any size per purchase; a refund ranks what it loses least on, a null amount is nothing."""
+    """Ranked cards of a table of any size per purchase; a refund ranks what it loses least on, a null amount is nothing.
+
+    Categories are few, so the pages of best cards go to every task and purchases stay where they are.
+    """
     best = best_by_category(cards, top_k)
-    known = best.where(F.col("rank") == 1).select(F.col("category").alias("__known")).distinct()
-    spend = txns.withColumns({"__foreign": F.coalesce(F.col(foreign) == 1, F.lit(False)), "__sign": F.signum(F.coalesce(F.col(amount), F.lit(0.0))).cast("int")})
-    keyed = spend.join(known, F.col(category) == F.col("__known"), "left").withColumn("__page", F.coalesce("__known", F.lit("")))
+    page = F.when(F.array_contains(_bonus_categories(cards), F.col(category)), F.col(category)).otherwise(F.lit(""))
+    keyed = txns.withColumns({"__foreign": F.coalesce(F.col(foreign) == 1, F.lit(False)), "__sign": F.signum(F.coalesce(F.col(amount), F.lit(0.0))).cast("int"), "__page": page})
     pages = best.select(F.col("category").alias("__page"), F.col("foreign").alias("__foreign"), F.col("sign").alias("__sign"), "rank", "card_id", "annual_fee", "net_rate")
-    out = keyed.join(pages, ["__page", "__foreign", "__sign"])
+    out = keyed.join(F.broadcast(pages), ["__page", "__foreign", "__sign"])
     return out.select(*txns.columns, "rank", "card_id", "annual_fee", (F.col(amount) * F.col("net_rate") / 100).alias("reward_amount"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,23 @@ def test_card_tables_rank_like_portfolios(spark):
     assert sorted((r["id"], r["rank"], r["card_id"]) for r in got) == sorted(want) and len(want) == 36
 
 
+def test_only_the_first_cards_of_a_task_are_sorted_and_purchases_stay_where_they_are(spark):
+    rows = [(f"c{i * 7919 % 4000}", None if i % 50 == 0 else float(i % 3), float(i % 4) / 2, {"gas": float(i % 5)} if i % 3 else {}, float(i % 2) * 2) for i in range(4000)]
+    table = spark.createDataFrame(rows, "card_id string, annual_fee double, base_rate double, bonuses map<string,double>, foreign_fee_pct double").repartition(3)
+    best = sc.best_by_category(table, top_k=7)
+    want = []
+    for c in ("", "gas"):
+        for abroad in (False, True):
+            for sign in (1, -1, 0):
+                net = [(-sign * (b.get(c, r) - (x if abroad else 0.0)), f is not None, f or 0.0, i) for i, f, r, b, x in rows]
+                want += [(c, abroad, sign, k + 1, n[3]) for k, n in enumerate(sorted(net)[:7])]
+    assert sorted((r["category"], r["foreign"], r["sign"], r["rank"], r["card_id"]) for r in best.collect()) == sorted(want)
+    pages = list(sc._first_of_pages(iter(pd.DataFrame({"card_id": [f"c{i}" for i in at], "name_order": [f"c{i}" for i in at], "annual_fee": 0.0, "fee_order": 0.0, "fee": 1.0, "rates": [[float(i % 9)] for i in at]}) for at in (range(0, 500), range(500, 1000))), 7))
+    assert sum(map(len, pages)) == 6 * 7
+    t = spark.createDataFrame([(1, 10.0, "gas", 0)], "id int, amount double, category string, is_foreign int")
+    assert "SortMergeJoin" not in sc.rank_card_table(t, table)._jdf.queryExecution().toString()
+
+
 def test_finder_leaves_out_the_wallet(spark):
     users = spark.createDataFrame([("u",), ("v",)], "user_id string")
     saved = spark.createDataFrame([("u", "amex_gold")], "user_id string, card_id string")

@@ -150,11 +150,11 @@ def user_features(
 
     Every block is keyed by the user alone, so the joins align on one partitioning.
     """
-    switches = ordered.change_counts(txns, [user], F.col("txn_date"), [F.col(c) for c in order], "card_used").select(
+    switches = ordered.change_counts(txns, [user], F.col("txn_date"), [F.col(c) for c in order], "card_used", many=True).select(
         user,
         F.when(F.col("n_rows") > 1, F.col("n_changes") / (F.col("n_rows") - 1)).otherwise(F.lit(0.0)).alias("card_switch_rate"),
     )
-    median = ordered.quantiles(txns, [user], "amount", {"median_transaction_amount": 0.5}).drop("n_values")
+    median = ordered.quantiles(txns, [user], "amount", {"median_transaction_amount": 0.5}, many=True).drop("n_values")
     d = (
         base_block(txns, categories, user)
         .join(frequency_block(txns, user), user, "left")

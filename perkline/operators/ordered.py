@@ -69,12 +69,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def mark_large(df: DataFrame, keys: Sequence[str], out: str, most: int = CHUNK_VALUES) -> DataFrame:
+    """``df`` with ``out``: true for keys with more than ``most`` rows, else null.
+
+    There are at most a ``most``-th as many such keys as rows, so they go to every task.
+    """
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(*keys, F.lit(True).alias(out))
+    return null_safe_join(df, F.broadcast(large), keys, "left")
+
+
 def pick_ranks(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     ranks: Mapping[str, "callable"],
     chunk_values: int = CHUNK_VALUES,
+    many: bool = False,
 ) -> DataFrame:
     """Exact order statistics: one column per entry of ``ranks``.
 
@@ -82,7 +92,19 @@ def pick_ranks(
     Rows are first reduced to (group, value, count), so the shuffle carries distinct
     values only and a hot group spreads over its values.  The bucket that holds each
     position is found from per-bucket counts, and only those buckets are sorted.
+
+    ``many`` is for a table of many groups, read once more for their sizes: a group of at
+    most ``chunk_values`` rows is sorted in one piece, and only larger ones go this way.
     """
+    if many:
+        d = mark_large(df, groups, "__large", chunk_values).withColumn("__v", F.col(value).cast("double") + 0.0)
+        d = d.where(F.col("__v").isNotNull() & ~F.isnan("__v")).select(*groups, "__v", "__large")
+        inside, total = W.partitionBy(*groups), F.col("n_values")
+        small = d.where(F.col("__large").isNull()).withColumn("__i", F.row_number().over(inside.orderBy("__v")).cast("long") - 1)
+        small = small.withColumn("n_values", F.count(F.lit(1)).over(inside))
+        picked = [F.max(F.when(F.col("__i") == fn(total).cast("long"), F.col("__v"))).alias(name) for name, fn in ranks.items()]
+        small = small.groupBy(*groups).agg(F.max("n_values").alias("n_values"), *picked)
+        return small.unionByName(pick_ranks(d.where("__large").drop("__large"), groups, "__v", ranks, chunk_values))
     df, keys = _keys(df, groups)
     counts = (
         df.withColumn("__v", F.col(value).cast("double"))
@@ -126,8 +148,9 @@ def quantiles(
     groups: Sequence[str],
     value: str,
     probs: Mapping[str, float],
+    many: bool = False,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group."""
+    """Exact quantiles with linear interpolation, one row per group; ``many`` as in pick_ranks."""
 
     def at(p: float, up: bool):
         def position(n: Column) -> Column:
@@ -140,7 +163,7 @@ def quantiles(
     for name, p in probs.items():
         ranks[f"{name}__lo"] = at(p, False)
         ranks[f"{name}__hi"] = at(p, True)
-    found = pick_ranks(df, groups, value, ranks)
+    found = pick_ranks(df, groups, value, ranks, many=many)
     cols = []
     for name, p in probs.items():
         h = F.lit(float(p)) * (F.col("n_values") - 1)
@@ -158,6 +181,7 @@ def running_before(
     out: str,
     within: str | None = None,
     chunk_values: int = CHUNK_VALUES,
+    many: bool = False,
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one within its key.
 
@@ -165,7 +189,15 @@ def running_before(
     calendar bucket.  ``within`` names the column that comes next in ``order``: chunks are
     cut again by ranges of it that hold equally many rows of all, so no part of a chunk has
     more than its share of the table, even if one key has all its rows on one day.
+
+    ``many`` is for a table of many keys, which is then read several times: a key of at most
+    ``chunk_values`` rows is summed in one piece, and only larger ones are cut.
     """
+    if many:
+        d = mark_large(df, keys, "__large", chunk_values)
+        before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        small = d.where(F.col("__large").isNull()).drop("__large").withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
+        return small.unionByName(running_before(d.where("__large").drop("__large"), keys, chunk, order, value, out, within, chunk_values))
     d = df.withColumn("__chunk", chunk)
     if within:
         d = range_chunk(d, within, "__part", chunk_values).withColumn("__chunk", F.struct(F.col("__chunk").alias("a"), F.col("__part").alias("b"))).drop("__part")
@@ -217,9 +249,16 @@ def change_counts(
     chunk: Column,
     order: Sequence[Column],
     value: str,
+    chunk_values: int = CHUNK_VALUES,
+    many: bool = False,
 ) -> DataFrame:
-    """Per key: row count and how often ``value`` differs from the row before it."""
+    """Per key: row count and how often ``value`` differs from the row before it.
+
+    ``many`` is for a table of many keys, read once more for their sizes: only large keys are cut.
+    """
     d = df.withColumn("__chunk", chunk)
+    if many:
+        d = mark_large(df, keys, "__large", chunk_values).withColumn("__chunk", F.when(F.col("__large"), chunk)).drop("__large")
     part = W.partitionBy(*keys, "__chunk").orderBy(*order)
     place = F.struct(*order)
     d = d.withColumn("__prev", F.lag(value).over(part)).withColumn("__rn", F.row_number().over(part))

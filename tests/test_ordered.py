@@ -150,3 +150,31 @@ def test_average_ranks(spark):
     df = spark.createDataFrame([(v,) for v in [5.0, 1.0, 1.0, 3.0, 5.0, 5.0]], "v double")
     got = {r["v"]: r["r"] for r in ordered.average_ranks(df, "v", "r").collect()}
     assert got == {1.0: 1.5, 3.0: 3.0, 5.0: 5.0}
+
+
+def _many(spark):
+    rows = [(None if u == 3 else f"u{u}", i % 17, f"t{i * 31 % 101}", None if i % 11 == 0 else float((i * 7) % 13) - 3.0) for u in range(6) for i in range(150 if u < 2 else 9)]
+    return spark.createDataFrame(rows, "user string, day int, id string, amount double")
+
+
+def test_small_keys_in_one_piece_give_what_cut_keys_give(spark):
+    d = _many(spark)
+    marked = ordered.mark_large(d, ["user"], "large", 20).where("large").select("user").distinct()
+    assert sorted(r["user"] for r in marked.collect()) == ["u0", "u1"]
+    ranks = {"low": lambda n: F.floor(n / 4), "mid": lambda n: F.floor(n / 2)}
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(ordered.pick_ranks(d, ["user"], "amount", ranks, 20, many=True)) == rows(ordered.pick_ranks(d, ["user"], "amount", ranks, 20))
+    place = [F.col("day"), F.col("id"), F.col("amount")]
+    cents = F.coalesce(F.col("amount"), F.lit(0.0)).cast("long")
+    cut = [ordered.running_before(d, ["user"], F.col("day"), place, cents, "b", "id", 20, many=m) for m in (True, False)]
+    assert rows(cut[0]) == rows(cut[1]) and cut[0].count() == d.count()
+    changes = [ordered.change_counts(d, ["user"], F.col("day"), place, "amount", 20, many=m) for m in (True, False)]
+    assert rows(changes[0]) == rows(changes[1])
+
+
+def test_user_blocks_cut_large_users_only(spark):
+    from perkline.operators import features
+
+    txns = _many(spark).select(F.col("user").alias("user_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("txn_date"), F.col("id").alias("transaction_id"), "amount", F.lit("gas").alias("category"), F.col("id").alias("card_used"), F.lit(1).alias("mcc_code"), F.col("id").alias("merchant"))
+    plan = features.user_features(txns)._jdf.queryExecution().toString()
+    assert "__large" in plan

@@ -131,9 +131,11 @@ def label_join(df: DataFrame, params: DataFrame, dataset: str, column: str) -> D
 def onehot_sparse(df: DataFrame, params: DataFrame, dataset: str, column: str, out: str) -> DataFrame:
     """``out`` struct(size, position): the place of the one in a one-hot vector of ``size``, null where the category is unknown.
 
-    The categories stay a table and meet the rows in a join, so their number is free.
+    The categories stay a table and meet the rows in a join, so their number is free.  Each
+    has one row there, and a hash join holds those only: rows of a common category, such as
+    the missing one, stream past and are never sorted.
     """
-    classes = _classes(params, dataset, column, "onehot")
+    classes = _classes(params, dataset, column, "onehot").hint("shuffle_hash")
     size = classes.agg(F.count(F.lit(1)).alias("n")).scalar()
     d = df.withColumn("__t", F.coalesce(F.col(column).cast("string"), F.lit(MISSING))).join(classes, "__t", "left")
     return d.withColumn(out, F.struct(size.alias("size"), F.col("__code").alias("position"))).drop("__t", "__code")

@@ -178,3 +178,22 @@ def test_user_blocks_cut_large_users_only(spark):
     txns = _many(spark).select(F.col("user").alias("user_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("txn_date"), F.col("id").alias("transaction_id"), "amount", F.lit("gas").alias("category"), F.col("id").alias("card_used"), F.lit(1).alias("mcc_code"), F.col("id").alias("merchant"))
     plan = features.user_features(txns)._jdf.queryExecution().toString()
     assert "__large" in plan
+
+
+def test_rows_of_a_common_category_are_not_sorted(spark):
+    from perkline.operators import scaling
+
+    d = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("part "), F.col("id"))).alias("part"))
+    params = scaling.fit(d.where("part IS NULL OR part < 'part 2'"), scaling.Plan(onehot=["part"]), "lines")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scaling.onehot_sparse(d, params, "lines", "part", "code")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin [__t" in plan
+        codes = {r["part"]: r["code"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    known = sorted(p for p in codes if p and p < "part 2")
+    assert codes[None]["position"] == 0 and [codes[p]["position"] for p in known] == list(range(1, len(known) + 1))
+    assert codes["part 200"]["position"] is None and codes["part 200"]["size"] == len(known) + 1

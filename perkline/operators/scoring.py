@@ -480,14 +480,16 @@ def spend_before(
     chunk: Column,
     amount: str = "amount",
     out: str = "spent_before",
+    many: bool = False,
 ) -> DataFrame:
     """Spend of a bucket before each purchase, negatives counted as zero.
 
     Sums run in whole cents, so the result does not depend on the order of addition.
-    ``chunk`` goes with the first of ``order``; the second cuts it further.
+    ``chunk`` goes with the first of ``order``; the second cuts it further.  ``many`` as in
+    running_before.
     """
     cents = F.round(F.greatest(F.coalesce(F.col(amount), F.lit(0.0)), F.lit(0.0)) * 100).cast("long")
-    d = ordered.running_before(txns, keys, chunk, [F.col(c) for c in order], cents, "__cents", within=order[1] if len(order) > 1 else None)
+    d = ordered.running_before(txns, keys, chunk, [F.col(c) for c in order], cents, "__cents", within=order[1] if len(order) > 1 else None, many=many)
     return d.withColumn(out, F.col("__cents") / 100).drop("__cents")
 
 
@@ -855,7 +857,7 @@ def online_user_features(purchases: DataFrame, spend: DataFrame, profiles: DataF
         F.avg("__a").alias("avg_transaction_amount"),
         F.stddev_pop("__a").alias("transaction_amount_std"),
     )
-    upper = ordered.pick_ranks(p, [key], "__a", {"median_transaction_amount": lambda n: F.floor(n / 2)}).drop("n_values")
+    upper = ordered.pick_ranks(p, [key], "__a", {"median_transaction_amount": lambda n: F.floor(n / 2)}, many=True).drop("n_values")
     names = F.lower(F.trim("merchant"))
     merchants = (
         p.where(names != "").groupBy(key, names.alias("__m")).agg(F.count(F.lit(1)).alias("__k"))

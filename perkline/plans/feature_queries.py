@@ -183,7 +183,9 @@ def user_cards_exploded(t):
 def running_spend(t):
     from perkline.operators import scoring as sc
 
-    d = sc.spend_before(t("transactions"), ["user_id", "category"], ["txn_date", "transaction_id", "tie_break"], F.col("txn_date"))
+    txns = t("transactions").select("user_id", "category", "txn_date", "transaction_id", "tie_break", "amount")
+    txns = modeling.written(txns, sinks.work_folder(t.spark, "spend"))
+    d = sc.spend_before(txns, ["user_id", "category"], ["txn_date", "transaction_id", "tie_break"], F.col("txn_date"), many=True)
     return d.groupBy("user_id", "category").agg(
         F.round(F.sum("spent_before"), 2).alias("sum_before"), F.round(F.max("spent_before"), 2).alias("max_before")
     )

@@ -79,8 +79,11 @@ def user_spending_pivot(t):
     "transactions",
 )
 def user_frequencies(t):
-    peaks = fe.base_block(t("transactions"), []).select("user_id", "peak_spending_month", "peak_spending_day")
-    d = peaks.join(fe.frequency_block(t("transactions")), "user_id")
+    """Both blocks read the purchases, which are put together from their tables once."""
+    txns = t("transactions").select("user_id", "txn_date", "amount", "card_used", "mcc_code", "merchant")
+    txns = modeling.written(txns, sinks.work_folder(t.spark, "frequencies"))
+    peaks = fe.base_block(txns, []).select("user_id", "peak_spending_month", "peak_spending_day")
+    d = peaks.join(fe.frequency_block(txns), "user_id")
     return d.withColumn("avg_spending_per_mcc", F.round("avg_spending_per_mcc", 8))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from perkline import dims
 from perkline.operators import ledger as lg
+from perkline.operators import modeling
 from perkline.operators import monitoring as mo
 from perkline.operators import scoring as sc
 from perkline.plans.registry import query
+from perkline.sources import sinks
 
 R = lambda c, n=8: F.round(c, n).alias(c)
 START, END = "2023-12-30", "2024-02-01"
@@ -317,7 +319,9 @@ def ledger_totals(t):
     "ledger",
 )
 def ledger_insights(t):
-    return lg.insights(t("ledger"), _fees(t), "ts", "id", "tie_break")
+    """Entries are put together from their tables once; totals, categories and cards read the written table."""
+    ledger = modeling.written(t("ledger").drop("merchant", "source_flow"), sinks.work_folder(t.spark, "ledger"))
+    return lg.insights(ledger, _fees(t), "ts", "id", "tie_break")
 
 
 @query(

@@ -197,3 +197,11 @@ def test_rows_of_a_common_category_are_not_sorted(spark):
     known = sorted(p for p in codes if p and p < "part 2")
     assert codes[None]["position"] == 0 and [codes[p]["position"] for p in known] == list(range(1, len(known) + 1))
     assert codes["part 200"]["position"] is None and codes["part 200"]["size"] == len(known) + 1
+
+
+@pytest.mark.parametrize("name", ["user_frequencies", "ledger_insights", "running_spend"])
+def test_purchases_are_put_together_once(spark, name):
+    from perkline.plans.registry import load_all
+
+    plan = load_all()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan

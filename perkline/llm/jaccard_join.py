@@ -46,9 +46,9 @@ HOT_DOCS, HOT_SHARE = 16, 1e-4
 BLOCK = 512
 #: Cells up to this size are joined block by block at once; larger ones are taken apart by rings first.
 RING_ROWS, ROUNDS = 16 * BLOCK, 6
-_HELD = 8 << 20
+_HELD = 4 << 20
 #: Bytes of text that a worker takes at once; it holds some twenty times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x589965CC75374CC3))
 
 
@@ -67,6 +67,17 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return hashes[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
 
 
+def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values that ``held`` has more than once, sorted, and how often; empties ``held``, and sorts in place to spare memory."""
+    values = np.concatenate(held)
+    held.clear()
+    values.sort()
+    same = np.zeros(len(values) + 1, bool)
+    same[1:-1] = values[1:] == values[:-1]
+    first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+    return values[first], (last - first + 1).astype(np.int64)
+
+
 def frequent(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Shingles of many documents, sorted: at most the mean set size over ``HOT_SHARE`` of them.
 
@@ -78,9 +89,8 @@ def frequent(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
         held, size_held, rows = [], 0, 0
 
         def flush():
-            own, count = np.unique(np.concatenate(held), return_counts=True)
-            own, count = own[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count.astype(np.int64))], names=["shingle", "docs"])
+            own, count = repeated(held)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(count)], names=["shingle", "docs"])
 
         for batch in batches:
             for part in shared.slices(batch, SLICE):

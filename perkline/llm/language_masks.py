@@ -92,7 +92,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
         for batch in batches:
-            for part in shared.slices(batch, 4 << 20):
+            for part in shared.slices(batch, 1 << 20):
                 langs, texts = np.array(part.column(1).to_pylist(), object), part.column(0).to_pylist()
                 for lang in sorted(set(langs)):
                     grams = trigrams([t for t, own in zip(texts, langs) if own == lang])[0]
@@ -186,7 +186,7 @@ def identified(docs: DataFrame, masks: Masks) -> DataFrame:
         lang, score = decided(sent.value, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return shared.over_text(docs, ["doc_id", "text"], run, "doc_id long, lang_pred string, score double", 2 << 20)
+    return shared.over_text(docs, ["doc_id", "text"], run, "doc_id long, lang_pred string, score double")
 
 
 def kept(docs: DataFrame, masks: Masks, min_score: float = MIN_SCORE) -> DataFrame:
@@ -198,4 +198,4 @@ def kept(docs: DataFrame, masks: Masks, min_score: float = MIN_SCORE) -> DataFra
         lang, score = decided(sent.value, batch.column(at_text).to_pylist())
         return batch.filter(pa.array([own != UNKNOWN and s >= min_score for own, s in zip(lang, score.tolist())], pa.bool_()))
 
-    return shared.over_text(docs, names, run, docs.schema, 2 << 20)
+    return shared.over_text(docs, names, run, docs.schema)

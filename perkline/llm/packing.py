@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shared.slices(batch, 2 << 20):
-                raw = [x + end for x in tokens.encode_all(tokenizer, part.column(1).to_pylist())]
+                raw = [x + end for x in tokens.encode_all(tokenizer, part.column(1))]
                 n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
                 cuts = np.maximum(1, -(-n // capacity))
                 doc = np.repeat(np.arange(len(raw)), cuts)

@@ -145,7 +145,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, fr
         first = last = None
         for batch in batches:
             for piece in shared.slices(batch, 4 << 20):
-                ids = tokens.encode_all(tokenizer, piece.column(1).to_pylist())
+                ids = tokens.encode_all(tokenizer, piece.column(1))
                 for doc_id, own in zip(piece.column(0).to_pylist(), ids):
                     if out is None:
                         system, place = _filesystem(folder)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from perkline.llm import graph, grid_join, jaccard_join, recompression, repeats
+from perkline.llm import graph, grid_join, jaccard_join, recompression, repeats, shared
 from perkline.llm import words as hashing
 from tests.llm.helpers import LOWER, WORD, edge_docs, edge_texts, empty_docs, prose, words
 
@@ -192,3 +193,25 @@ def test_grid_join(spark, block, monkeypatch):
     got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in grid_join.linked(table, block=block).collect()}
     assert got == {(i, links.get(i, 0), sets.find(i), sets.find(i) == i) for i, _, _ in rows}
     assert grid_join.linked(table.limit(0)).count() == 0
+
+
+def test_repeated_values_are_counted_in_little_memory():
+    """Sorted in place: the peak beside the input is one copy and its marks, not several copies."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 400_000, 1 << 19).astype(np.uint64)
+    own, count = np.unique(values, return_counts=True)
+    held = np.split(values.copy(), 8)
+    tracemalloc.start()
+    found, n = jaccard_join.repeated(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == [] and (found == own[count > 1]).all() and (n == count[count > 1]).all()
+    assert peak < 2.5 * values.nbytes
+    assert [len(x) for x in jaccard_join.repeated([np.zeros(0, np.uint64)])] == [0, 0]
+
+
+def test_text_slices_are_half_a_megabyte_by_default(spark):
+    """Workers hold arrays of many times the size of a slice."""
+    rows = spark.createDataFrame([(i, "x" * 100_000) for i in range(12)], "doc_id long, text string").coalesce(1)
+    sizes = shared.over_text(rows, ["doc_id", "text"], lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]), "n long")
+    assert sorted(r["n"] for r in sizes.collect()) == [2, 5, 5]

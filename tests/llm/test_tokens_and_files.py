@@ -9,6 +9,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from perkline.llm import merge_pieces, packing, shared, token_files, tokens
@@ -186,3 +187,22 @@ def test_pieces_and_their_text_are_the_librarys(spark):
     both = merge_pieces.decoded(merge_pieces.encoded(edge_docs(spark), PIECES), PIECES).collect()
     assert {(r["doc_id"], r["text"]) for r in both} == {(i, own.library.decode(own.library.encode(t or ""))) for i, t in edge_texts()}
     assert merge_pieces.digests(empty_docs(spark), PIECES).count() == 0
+
+
+def test_arrow_texts_are_encoded_by_their_different_pieces(library, monkeypatch):
+    """Each different piece is looked up once a call, however often it stands there; slices of a column start anywhere."""
+    texts = ["", None, "one", "\nOne two", "  two", "two, two\n\nTwo two"] + ["word other, word\nWord other, ß, élan x"] * 50
+    column = pa.array(["cut off", *texts, None]).slice(1, len(texts))
+    assert tokens.encode_all(BYTES, column) == [library(t) for t in texts]
+    assert tokens.encode_all(BYTES, column.slice(0, 0)) == []
+    looked_up = []
+
+    class Kept(dict):
+        def get(self, piece, other=None):
+            looked_up.append(piece)
+            return super().get(piece, other)
+
+    own = tokens._encoder(BYTES)
+    monkeypatch.setattr(own, "kept", Kept(own.kept))
+    assert tokens.encode_all(BYTES, column) == [library(t) for t in texts]
+    assert looked_up and len(looked_up) == len({*looked_up})

@@ -7,12 +7,14 @@ everything there is, writes files, and stops.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from perkline.operators import monitoring, quality
@@ -22,6 +24,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 HELD_ROWS = 20_000
 #: Time ranges that rows of a large key are cut into, and again where one holds too many.
 RANGES = 32
+#: Groups that spending keys are dealt into, for each value of the further keys, and the parts a group's state is kept in.
+GROUPS, SLOTS = 512, 32
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", only: str | None = None, max_files: int = 1000) -> DataFrame:
@@ -87,8 +91,15 @@ class InOrder(StatefulProcessor):
     def done(self, key: tuple, rows_end: object, carried: tuple | None) -> None:
         """Called after the rows of a micro-batch, to register timers."""
 
+    def load(self) -> object:
+        """What was carried out of the last micro-batch."""
+        return self.carry.get() if self.carry.exists() else None
+
+    def save(self, carried: object) -> None:
+        self.carry.update(carried)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        carried, last = (self.carry.get() if self.carry.exists() else None), None
+        carried, last = self.load(), None
         changed = False
         for chunk in self._ordered(rows):
             out, new = self.step(key, chunk, carried)
@@ -98,7 +109,7 @@ class InOrder(StatefulProcessor):
             if len(out):
                 yield out
         if changed:
-            self.carry.update(carried)
+            self.save(carried)
         if last is not None:
             self.done(key, last, carried)
 
@@ -210,29 +221,86 @@ def contract_split(rows: DataFrame, reasons: Column) -> tuple[DataFrame, DataFra
 
 
 class _Spend(InOrder):
-    """Spend before each row of a bucket, in whole cents; the spend so far is carried until the bucket's end."""
+    """Spend before each row of a bucket, in whole cents; the spend so far is carried until the bucket's end.
+
+    A group has the buckets of many names, because a call of the state store per bucket
+    costs more than its rows.  What they have spent is kept in ``SLOTS`` parts, of which a
+    micro-batch reads and writes those whose names it has; ``carry`` lists the parts there are.
+    """
 
     def __init__(self, columns: Sequence[str], order: Sequence[str], keys: Sequence[str], kept: Sequence[str], until: str | None, most: int | None):
-        super().__init__(columns, order[0], order, "spent_cents long", most)
+        super().__init__(columns, order[0], order, "slots array<long>", most)
         self.keys, self.kept, self.until = list(keys), list(kept), until
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.spent = handle.getMapState("spent", "slot long", "names array<string>, cents array<long>, ends array<long>")
+
+    def load(self) -> dict[int, dict]:
+        self.there = set(self.carry.get()[0]) if self.carry.exists() else set()
+        return {}  # filled as names come
+
+    def save(self, carried: dict[int, dict]) -> None:
+        for slot, own in carried.items():
+            self._write(slot, own)
+        if not self.there.issuperset(carried):
+            self.carry.update((sorted(self.there.union(carried)),))
+
+    def _write(self, slot: int, own: dict[str | None, tuple[int, int]]) -> None:
+        self.spent.updateValue((slot,), (list(own), [cents for cents, _ in own.values()], [end for _, end in own.values()]))
+
+    def _slot(self, name: str | None, carried: dict[int, dict]) -> dict[str | None, tuple[int, int]]:
+        slot = zlib.crc32((name or "").encode()) % SLOTS
+        if slot not in carried:
+            carried[slot] = self._read(slot) if slot in self.there else {}
+        return carried[slot]
+
+    def _read(self, slot: int) -> dict[str | None, tuple[int, int]]:
+        names, cents, ends = self.spent.getValue((slot,))
+        return dict(zip(names, zip(cents, ends)))
+
     def step(self, key, rows, carried):
         cents = (rows["__amount"].clip(lower=0).fillna(0.0) * 100).round().astype("int64")
-        spent = carried[0] if carried else 0
+        codes, found = pd.factorize(rows["__name"], use_na_sentinel=False)
+        names = [None if pd.isna(name) else str(name) for name in found]
+        slots = [self._slot(name, carried) for name in names]
+        spent = np.array([own.get(name, (0, 0))[0] for own, name in zip(slots, names)], np.int64)
+        by_name = cents.groupby(codes, sort=True)
         out = rows[self.kept].copy()
-        for name, value in zip(self.keys, key):
+        for name, value in zip(self.keys[1:], key[1:]):
             out[name] = value
-        out["spent_before"] = (cents.cumsum() - cents + spent) / 100.0
-        return out, (int(spent + cents.sum()),)
+        out[self.keys[0]] = rows["__name"]
+        out["spent_before"] = (by_name.cumsum() - cents + spent[codes]) / 100.0
+        never = np.iinfo(np.int64).min
+        ends = np.full(len(names), never)
+        if self.until:
+            ends[codes] = _micros(rows[self.until])
+        for own, name, total, end in zip(slots, names, spent + by_name.sum().to_numpy(), ends):
+            own[name] = (int(total), int(-(-end // 1000)) if end > never else never)
+        return out, carried
 
     def done(self, key, rows_end, carried):
         if self.until:
-            end = _micros(rows_end[self.until].iloc[-1:])[0]
-            if end > np.iinfo(np.int64).min:
-                self.handle.registerTimer(int(-(-end // 1000)))
+            for end in {end for own in carried.values() for _, end in own.values()} - {int(np.iinfo(np.int64).min)}:
+                self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.carry.clear()
+        now, never = expiredTimerInfo.getExpiryTimeInMs(), np.iinfo(np.int64).min
+        self.load()
+        left = []
+        for slot in sorted(self.there):
+            held = self._read(slot)
+            still = {name: (cents, end) for name, (cents, end) in held.items() if end > now or end == never}
+            if not still:
+                self.spent.removeKey((slot,))
+                continue
+            left.append(slot)
+            if len(still) < len(held):
+                self._write(slot, still)
+        if left:
+            self.carry.update((left,))
+        else:
+            self.carry.clear()
         return iter(())
 
 
@@ -242,17 +310,23 @@ def spend_before(
 ) -> DataFrame:
     """Spend of a bucket before each purchase, carried across micro-batches as state.
 
-    The first of ``order`` is the time.  The reset period belongs into ``keys``; ``until``
-    names the column with its end, and a bucket's state goes when the watermark has passed
-    that; purchases later than ``delay`` are dropped then.  Without it a bucket counts
-    forever.
+    The first of ``keys``, a plain value, is the one with many values, as the user is; those
+    are dealt into ``GROUPS`` groups that are taken as one.  The first of ``order`` is the
+    time.  The reset period belongs into ``keys``; ``until`` names the column with its end,
+    and a bucket's state goes when the watermark has passed that; purchases later than
+    ``delay`` are dropped then.  Without it a bucket counts forever.
     """
-    d = purchases.withColumn("__amount", F.col(amount).cast("double"))
+    # As text the name keeps its digits and its nulls in pandas.
+    text = F.col(keys[0]).cast("string")
+    d = purchases.withColumns({"__amount": F.col(amount).cast("double"), "__name": text, "__group": F.pmod(F.xxhash64(text), F.lit(GROUPS))})
     if until:
         d = d.withWatermark(order[0], delay)
     step = _Spend(d.columns, order, keys, kept, until, most)
     mode = "EventTime" if until else "None"
-    return d.groupBy(*keys).transformWithStateInPandas(step, schema, "Append", mode)
+    fields = T.StructType.fromDDL(schema).fields
+    texts = T.StructType([T.StructField(f.name, T.StringType()) if f.name == keys[0] else f for f in fields])
+    out = d.groupBy("__group", *keys[1:]).transformWithStateInPandas(step, texts, "Append", mode)
+    return out.select(*[F.col(f.name).cast(f.dataType) if f.name == keys[0] else f.name for f in fields])
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> DataFrame:

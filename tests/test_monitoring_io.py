@@ -263,6 +263,31 @@ def test_streams_with_hot_keys_and_ended_periods(spark, tmp_path):
     assert left == sum(1 for t in last.values() if t + dt.timedelta(days=1) > newest - dt.timedelta(hours=1))
 
 
+def test_spending_buckets_share_state_calls(spark, tmp_path, monkeypatch):
+    """Many users in one micro-batch are few groups; their spend is carried on, whatever the id."""
+    monkeypatch.setattr(streams, "GROUPS", 16)
+    t0, schema = dt.datetime(2024, 1, 1), "id long, ts timestamp, user long, kind string, amount double"
+    users = [None, 2**53 + 1, 2**53 + 2, *range(400)]
+    row = lambda i, day, at, n, user: (i, t0 + dt.timedelta(days=day, hours=at), user, "a" if n % 3 else "b", n + 0.25)
+    first = [row(n * 10 + at, 0, at, n, user) for n, user in enumerate(users) for at in (2, 1)]
+    later = [row(n * 10 + 5, 3, 0, n, user) for n, user in enumerate(users)]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for rows in (first, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        s = streams.file_stream(spark, src, schema, max_files=1)
+        got = streams.run_available(
+            streams.spend_before(s, ["user", "kind"], ["ts", "id"], "amount", ["id"], "id long, user long, kind string, spent_before double"), out, ck
+        ).collect()
+    found = {r["id"]: (r["user"], r["kind"], r["spent_before"]) for r in got}
+    want = {}
+    for n, user in enumerate(users):
+        kind = "a" if n % 3 else "b"
+        want |= {n * 10 + 1: (user, kind, 0.0), n * 10 + 2: (user, kind, n + 0.25), n * 10 + 5: (user, kind, 2 * n + 0.5)}
+    assert found == want
+    state = spark.read.format("statestore").option("path", ck).option("stateVarName", "carry").load().count()
+    assert 0 < state <= 2 * 16
+
+
 def test_a_failing_stream_raises(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     _write(spark, [(1, dt.datetime(2024, 1, 1), "a", 1.0)], src)

@@ -8,10 +8,14 @@ a very active user costs one row per distinct value after the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perkline import dims
 from perkline.functions import nested, text
@@ -140,27 +144,196 @@ def frequency_block(txns: DataFrame, user: str = "user_id") -> DataFrame:
     )
 
 
+def _blocks(txns: DataFrame, categories: Sequence[str], user: str, order: Sequence[str]) -> DataFrame:
+    """The feature rows of users with any number of transactions, cut by day, value and frequency."""
+    switches = ordered.change_counts(txns, [user], F.col("txn_date"), [F.col(c) for c in order], "card_used")
+    median = ordered.quantiles(txns, [user], "amount", {"median_transaction_amount": 0.5}).drop("n_values")
+    rate = F.when(F.col("n_rows") > 1, F.col("n_changes") / (F.col("n_rows") - 1)).otherwise(F.lit(0.0))
+    return (
+        base_block(txns, categories, user)
+        .join(frequency_block(txns, user), user, "left")
+        .join(median, user, "left")
+        .join(switches.select(user, rate.alias("card_switch_rate")), user, "left")
+    )
+
+
+def _first_most(group: np.ndarray, count: np.ndarray, groups: int) -> np.ndarray:
+    """Place of the first largest ``count`` of every group, -1 for none; ``group`` is ascending."""
+    order = np.lexsort((np.arange(len(group)), -count, group))
+    found = np.full(groups, -1)
+    own, first = np.unique(group[order], return_index=True)
+    found[own] = order[first]
+    return found
+
+
+class _Rows:
+    """Features of the users of one table whose rows lie together and in order."""
+
+    def __init__(self, rows: pa.Table, categories: int, starts: np.ndarray):
+        self.rows, self.n, self.starts, self.kinds = rows, len(starts), starts, categories
+        self.size = np.diff(np.append(starts, rows.num_rows))
+        self.user = np.repeat(np.arange(self.n), self.size)
+        amount = rows["amount"]
+        self.known = amount.is_valid().to_numpy()
+        self.amount = pc.fill_null(amount, 0.0).to_numpy()
+
+    def _sum(self, values: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+        where = slice(None) if where is None else where
+        return np.bincount(self.user[where], values[where], self.n)
+
+    def _count(self, where: np.ndarray) -> np.ndarray:
+        return np.bincount(self.user[where], minlength=self.n)
+
+    def _mode(self, name: str, low: int, high: int) -> pa.Array:
+        """Most frequent of the numbers from ``low`` to ``high``, ties to the smallest, ``low`` for none."""
+        column = self.rows[name]
+        at, width = column.is_valid().to_numpy(), high - low + 1
+        place = self.user[at] * width + pc.fill_null(column, low).to_numpy().astype(np.int64)[at] - low
+        table = np.bincount(place, minlength=self.n * width).reshape(self.n, width)
+        return pa.array((table.argmax(axis=1) + low).astype(np.int32))
+
+    def _texts(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Code per row (-1 for null), and user, code, count of every pair of them; the texts by code; pair per known row."""
+        coded = self.rows[name].combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        by_size = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(by_size) + 1, np.int64)
+        rank[by_size], rank[-1] = np.arange(len(by_size)), -1
+        code = rank[pc.fill_null(coded.indices, -1).to_numpy()]
+        at, width = code >= 0, max(1, len(by_size))
+        pairs, pair, count = np.unique(self.user[at] * width + code[at], return_inverse=True, return_counts=True)
+        return code, np.stack([pairs // width, pairs % width, count]), at, coded.dictionary.take(pa.array(by_size)), pair
+
+    def columns(self) -> dict[str, pa.Array]:
+        out, whole = {}, self._count(self.known)
+        category = self.rows["__category"].to_numpy()
+        place = (self.user * (self.kinds + 1) + category)[self.known]
+        shape = (self.n, self.kinds + 1)
+        sums = np.bincount(place, self.amount[self.known], self.n * shape[1]).reshape(shape)
+        counts = np.bincount(place, minlength=self.n * shape[1]).reshape(shape)
+        for k in range(self.kinds):
+            out[f"__sum_{k}"], out[f"__count_{k}"] = pa.array(sums[:, k]), pa.array(counts[:, k])
+        total = self._sum(self.amount, self.known)
+        none, mean = whole == 0, total / np.maximum(whole, 1)
+        spread = self._sum((self.amount - mean[self.user]) ** 2, self.known)
+        out["total_spending"], out["total_transactions"], out["__n"] = pa.array(total, mask=none), pa.array(whole), pa.array(self.size)
+        out["avg_transaction_amount"] = pa.array(mean, mask=none)
+        out["transaction_amount_std"] = pa.array(np.sqrt(spread / np.maximum(whole - 1, 1)), mask=whole < 2)
+        day = self.rows["__day"]
+        dated, weekend = day.is_valid().to_numpy(), pc.fill_null(day, 0).to_numpy() >= 5
+        days = self._count(dated)
+        out["weekend_spending_ratio"] = pa.array(self._count(dated & weekend) / np.maximum(days, 1), mask=days == 0)
+        out["peak_spending_month"], out["peak_spending_day"] = self._mode("__month", 1, 12), self._mode("__day", 0, 6)
+        if "suspicious" in self.rows.column_names:
+            flag = self.rows["suspicious"]
+            valid = flag.is_valid().to_numpy()
+            flags, flagged = self._count(valid), np.zeros(self.n, np.int64)
+            np.add.at(flagged, self.user[valid], pc.fill_null(flag, 0).to_numpy().astype(np.int64)[valid])
+            out["num_suspicious"] = pa.array(flagged, mask=flags == 0)
+            out["suspicious_rate"] = pa.array(flagged / np.maximum(flags, 1), mask=flags == 0)
+        names = {"card_used": ("num_cards_used", "primary_card"), "mcc_code": ("num_unique_mccs", "primary_mcc"), "merchant": ("num_unique_merchants", "favorite_merchant")}
+        any_, distinct = np.zeros(self.n, bool), {}
+        for name, (number, most) in names.items():
+            code, (own, value, count), at, texts, pair = self._texts(name)
+            distinct[number] = np.bincount(own, minlength=self.n)
+            any_ |= distinct[number] > 0
+            first = _first_most(own, count, self.n)
+            out[most] = texts.take(pa.array(value[first] if len(value) else np.zeros(self.n, np.int64), mask=first < 0))
+            if name == "card_used":
+                turned = np.zeros(len(code), bool)
+                turned[1:] = (code[1:] != code[:-1]) & (self.user[1:] == self.user[:-1])
+                out["card_switch_rate"] = pa.array(self._count(turned) / np.maximum(self.size - 1, 1))
+            if name == "mcc_code":
+                known = self.known[at]
+                n = np.bincount(pair[known], minlength=len(own))
+                mean = np.bincount(pair[known], self.amount[at][known], len(own)) / np.maximum(n, 1)
+                means = np.bincount(own[n > 0], minlength=self.n)
+                out["avg_spending_per_mcc"] = pa.array(np.bincount(own[n > 0], mean[n > 0], self.n) / np.maximum(means, 1), mask=means == 0)
+        for number, values in distinct.items():
+            out[number] = pa.array(values, mask=~any_)
+        real = self.known & ~np.isnan(self.amount)
+        n, order = self._count(real), np.lexsort((self.amount[real], self.user[real]))
+        values, begin = self.amount[real][order] + 0.0, np.cumsum(n) - n
+        if not len(values):
+            values = np.zeros(1)
+        h = 0.5 * np.maximum(n - 1, 0)
+        low, high = (values[np.minimum(begin + f(h).astype(np.int64), len(values) - 1)] for f in (np.floor, np.ceil))
+        out["median_transaction_amount"] = pa.array(low + (high - low) * (h - np.floor(h)), mask=n == 0)
+        return out
+
+
+def _of_few(txns: DataFrame, categories: Sequence[str], user: str, order: Sequence[str]) -> DataFrame:
+    """The same rows for users whose transactions fit into a task, from one shuffle and one sort.
+
+    A task gets its users one after the other, each in order, and works on whole Arrow
+    batches; the last user of a batch waits for the next one.
+    """
+    kinds, cal = len(categories), calendar_parts(F.col("txn_date"))
+    place = F.lit(kinds)
+    for k, c in reversed(list(enumerate(categories))):
+        place = F.when(F.col("category") == c, F.lit(k)).otherwise(place)
+    flags = [F.col("suspicious")] if "suspicious" in txns.columns else []
+    # The hash parts most rows at the first look, where names and numbers begin alike.
+    rows = txns.repartition(user).sortWithinPartitions(F.xxhash64(user), user, *order).select(
+        user, place.alias("__category"), cal["month"].alias("__month"), cal["day_of_week"].alias("__day"), F.col("amount").cast("double").alias("amount"),
+        *[F.col(c).cast("string").alias(c) for c in ("card_used", "mcc_code", "merchant")], *flags,
+    )
+    texts = ["primary_card", "primary_mcc", "favorite_merchant"]
+    longs = ["total_transactions", "__n", "num_cards_used", "num_unique_mccs", "num_unique_merchants"]
+    doubles = ["total_spending", "avg_transaction_amount", "transaction_amount_std", "weekend_spending_ratio", "card_switch_rate", "avg_spending_per_mcc", "median_transaction_amount"]
+    if flags:
+        longs, doubles = [*longs, "num_suspicious"], [*doubles, "suspicious_rate"]
+    fields = [T.StructField(user, txns.schema[user].dataType)]
+    for k in range(kinds):
+        fields += [T.StructField(f"__sum_{k}", T.DoubleType()), T.StructField(f"__count_{k}", T.LongType())]
+    for kind, own in [(T.StringType(), texts), (T.LongType(), longs), (T.DoubleType(), doubles), (T.IntegerType(), ["peak_spending_month", "peak_spending_day"])]:
+        fields += [T.StructField(name, kind) for name in own]
+    names = [f.name for f in fields]
+
+    def features(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = _Rows(rows, kinds, starts).columns()
+        out[user] = rows[user].combine_chunks().take(pa.array(starts))
+        yield from pa.table([out[name] for name in names], names=names).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            both = both.combine_chunks()
+            ids = both[user].combine_chunks()
+            starts = np.append(0, np.nonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))[0] + 1)
+            held = both.slice(starts[-1])
+            if starts[-1]:
+                yield from features(both.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield from features(held.combine_chunks(), np.zeros(1, np.int64))
+
+    d = rows.mapInArrow(run, T.StructType(fields))
+    for k, c in enumerate(categories):
+        d = d.withColumnsRenamed({f"__sum_{k}": f"{c}_total_spent", f"__count_{k}": f"{c}_txn_count"})
+    d = d.withColumn("primary_mcc", F.col("primary_mcc").cast("int"))
+    return d.withColumn("spending_diversity", entropy_of([F.col(f"{c}_total_spent") for c in categories])) if categories else d
+
+
 def user_features(
     txns: DataFrame,
     categories: Sequence[str] = FEATURE_CATEGORIES,
     user: str = "user_id",
     order: Sequence[str] = ("txn_date", "transaction_id"),
+    most: int = ordered.CHUNK_VALUES,
 ) -> DataFrame:
     """The full feature row of every user with transactions.
 
-    Every block is keyed by the user alone, so the joins align on one partitioning.
+    Users with at most ``most`` transactions are shuffled once, whole; what larger ones
+    (and those without a name) have is cut and goes block by block.
     """
-    switches = ordered.change_counts(txns, [user], F.col("txn_date"), [F.col(c) for c in order], "card_used", many=True).select(
-        user,
-        F.when(F.col("n_rows") > 1, F.col("n_changes") / (F.col("n_rows") - 1)).otherwise(F.lit(0.0)).alias("card_switch_rate"),
-    )
-    median = ordered.quantiles(txns, [user], "amount", {"median_transaction_amount": 0.5}, many=True).drop("n_values")
-    d = (
-        base_block(txns, categories, user)
-        .join(frequency_block(txns, user), user, "left")
-        .join(median, user, "left")
-        .join(switches, user, "left")
-    )
+    n = txns.groupBy(user).agg(F.count(F.lit(1)).alias("__rows"))
+    large = F.broadcast(n.where((F.col("__rows") > most) | F.col(user).isNull()).select(F.col(user).alias("__large")))
+    same = F.col(user).eqNullSafe(F.col("__large"))
+    cut = _blocks(txns.join(large, same, "left_semi"), categories, user, order)
+    d = cut.unionByName(_of_few(txns.join(large, same, "left_anti"), categories, user, order).select(*cut.columns))
     return d.withColumn("repeat_merchant_ratio", (F.col("__n") - F.col("num_unique_merchants")) / F.col("__n")).drop("__n")
 
 

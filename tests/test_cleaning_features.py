@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,27 @@ def test_missing_columns_are_a_plan_time_error(spark):
 
     with pytest.raises(ValueError, match="amount"):
         quality.require_columns(spark.range(1), ["amount"], "transactions")
+
+
+def test_users_with_few_and_many_purchases_get_the_same_features(spark):
+    """One shuffle for users that fit into a task, blocks for larger ones; gaps, NaN and equal counts included."""
+    rng = random.Random(5)
+    kinds, some = ["dining", "gas", "pets", None], lambda x, share=0.1: None if rng.random() < share else x
+    rows = [
+        (some(f"u{rng.randrange(60) ** 2 // 60}", 0.01), some(dt.date(2023, 1, 1) + dt.timedelta(rng.randrange(500))), i, rng.choice(kinds), some(rng.choice([rng.randrange(900) / 4, -3.0, -0.0])),
+         some(f"c{rng.randrange(3)}"), some(rng.choice([5812, 999, 41])), some(f"m{rng.randrange(30)}é"), some(rng.randrange(2)))
+        for i in range(3000)
+    ]
+    rows += [("nan", dt.date(2023, 1, 1), 9000, "gas", float("nan"), "c", 1, "m", 1), ("nan", None, 9001, "gas", 2.0, None, None, None, None), ("bare", None, 9002, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "user_id string, txn_date date, transaction_id long, category string, amount double, card_used string, mcc_code int, merchant string, suspicious int").repartition(5)
+
+    def table(most):
+        out = features.user_features(d, most=most)
+        return out.schema, {r["user_id"]: [repr(round(x, 8)) if isinstance(x, float) else x for x in r] for r in out.collect()}
+
+    (schema, few), (other, cut), (_, mixed) = table(50_000), table(0), table(60)
+    assert schema.simpleString() == other.simpleString()
+    assert few == cut and mixed == cut and len(few) > 40
+    plan = features._of_few(d, features.FEATURE_CATEGORIES, "user_id", ["txn_date", "transaction_id"])._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("Exchange hashpartitioning") == 1 and "Aggregate" not in physical and "Window" not in physical

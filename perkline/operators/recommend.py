@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -228,12 +229,10 @@ def _best_of_block(users: DataFrame, cards: DataFrame, score: Scorer, key: Seque
                     continue
                 user = {c: _numpy(batch.column(columns.index(c))) for c in numbers}
                 raw, value = score(user, cards)
-                hidden = np.zeros(raw.shape, bool)
-                for row, gone in enumerate(batch.column(len(columns) - 1).to_pylist()):
-                    hidden[row, [place[c] for c in gone or () if c in place]] = True
+                shown, counts = _shown(value, batch.column(len(columns) - 1), place)
                 # Equal scores go by reward, then by the cards' own order.
-                order = np.lexsort((-_rounded(raw, 8), -np.where(hidden, -np.inf, value)))[:, :k]
-                counts = np.minimum(k, (~hidden).sum(axis=1))
+                order = np.lexsort((-_rounded(raw, 8), -shown))[:, :k]
+                counts = np.minimum(k, counts)
                 wanted = np.arange(order.shape[1])[None, :] < counts[:, None]
                 row, rank = np.nonzero(wanted)
                 card = order[row, rank]
@@ -248,6 +247,22 @@ def _best_of_block(users: DataFrame, cards: DataFrame, score: Scorer, key: Seque
     return users.select(*columns).mapInArrow(run, T.StructType([*kinds, *[T.StructField(n, x) for n, x in more]]))
 
 
+def _shown(value: np.ndarray, without: pa.Array, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores without those of the cards that a row is not offered, and how many each row has left.
+
+    Only the cards that are named cost a step of Python; most rows name none.
+    """
+    counts = np.full(len(value), value.shape[1])
+    names = without.flatten()
+    if not len(names):
+        return value, counts
+    rows = np.repeat(np.arange(len(without)), pc.fill_null(pc.list_value_length(without), 0).to_numpy())
+    cards = np.array([place.get(c, -1) for c in names.to_pylist()])
+    hidden = np.zeros(value.shape, bool)
+    hidden[rows[cards >= 0], cards[cards >= 0]] = True
+    return np.where(hidden, -np.inf, value), counts - hidden.sum(axis=1)
+
+
 def _numpy(column: pa.Array) -> np.ndarray:
     if pa.types.is_list(column.type):
         return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,3 +167,19 @@ def test_a_saved_forest_predicts_what_its_trees_say(spark):
     assert len({round(v, 6) for v in got.values()}) > 5
     extra = modeling.predicted_point_values(frame.drop("b").withColumnRenamed("point_value", "z"), folder)
     assert extra.count() == 300
+
+
+def test_rows_that_hide_no_card_cost_no_step_of_python():
+    """Hidden cards are set for all rows at once; what most rows have, none, leaves the scores untouched."""
+    value, place = np.arange(12.0).reshape(4, 3), {"a": 0, "b": 1, "c": 2}
+    without = pa.array([None, ["x", "c", "a"], [], ["b", "b", None]], pa.list_(pa.string()))
+    shown, left = recommend._shown(value, without, place)
+    assert left.tolist() == [3, 1, 3, 2]
+    assert np.isinf(shown).tolist() == [[False] * 3, [True, False, True], [False] * 3, [False, True, False]]
+    assert (shown[~np.isinf(shown)] == value[~np.isinf(shown)]).all()
+    tail, left = recommend._shown(value[:2], without.slice(2), place)
+    assert left.tolist() == [3, 2] and np.isinf(tail).sum() == 1
+    for none in (without.slice(0, 1), pa.array([None, []], pa.list_(pa.string()))):
+        part = value[: len(none)]
+        same, left = recommend._shown(part, none, place)
+        assert same is part and left.tolist() == [3] * len(none)

@@ -162,7 +162,9 @@ def distances(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFra
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    return shared.stored(with_b.select("a", "b", "a_text", "b_text").mapInArrow(shared.trimmed(run), "a long, b long, shared long, total long"), "jaccard-distances")
+    out = shared.stored(with_b.select("a", "b", "a_text", "b_text").mapInArrow(shared.trimmed(run), "a long, b long, shared long, total long"), "jaccard-distances")
+    shared.dropped(pairs, texts)
+    return out
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -217,7 +219,7 @@ def _plausible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Links that connect the documents of regions, found block against block on shared shingles as 0/1 columns.
+    """Links that connect the documents of regions, found block against block on shared shingles as 0/1 columns; stored.
 
     A block pair gives each document's smallest one that it is connected with there.
     """
@@ -227,6 +229,7 @@ def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     texts = _texts(docs, rows.select("doc_id").distinct())
     held = numbered.join(texts, "doc_id").groupBy("cell", "block").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text").alias("texts"))
     held = shared.stored(held, "region-blocks")  # about BLOCK documents a row
+    shared.dropped(texts)
     x, y = (held.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "ids", "texts")]) for s in "xy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +254,9 @@ def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 some = least < nodes
                 yield pa.RecordBatch.from_arrays([pa.array(least[some]), pa.array(nodes[some])], names=["a", "b"])
 
-    return x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(shared.trimmed(run), "a long, b long")
+    out = shared.stored(x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(shared.trimmed(run), "a long, b long"), "jaccard-blocks")
+    shared.dropped(held)
+    return out
 
 
 def _rings(around: DataFrame, tested: DataFrame) -> DataFrame:
@@ -278,11 +283,13 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     often = posted.groupBy("cell").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > 1).select("cell")
     met = posted.join(often, "cell").join(reps, "doc_id").distinct()
     met = shared.stored(met, "shingle-cells")
+    shared.dropped(base)
     more = met.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-    met = met.join(more, "cell")
-    centre = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    cells = met.join(centre, "doc_id").select("cell", "doc_id", "n", "rows", (-F.col("own") / (F.floor(F.col("n") / 4) + 1)).alias("off_centre"))
+    shared_cells = met.join(more, "cell")
+    centre = shared_cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    cells = shared_cells.join(centre, "doc_id").select("cell", "doc_id", "n", "rows", (-F.col("own") / (F.floor(F.col("n") / 4) + 1)).alias("off_centre"))
     cells = shared.stored(cells, "jaccard-cells")
+    shared.dropped(met)
 
     pivots = shared.stored(_pivots(cells), "jaccard-pivots")
     stars = _ordered(cells.join(pivots, "cell").filter(_fits(F.col("n"), F.col("pivot_n"))), "doc_id", "pivot")
@@ -322,7 +329,7 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         left = left.unionByName(own.select(*columns))
     left = shared.stored(left, "jaccard-blocks")
     if not left.isEmpty():
-        links.append(shared.stored(_blocks(left, docs, size), "jaccard-blocks"))
+        links.append(_blocks(left, docs, size))
     every = links[0]
     for own in links[1:]:
         every = every.unionByName(own)

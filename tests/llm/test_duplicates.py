@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import tracemalloc
 from hashlib import sha256
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from perkline.llm import graph, grid_join, jaccard_join, recompression, repeats, shared
 from perkline.llm import words as hashing
@@ -152,6 +155,39 @@ def test_one_of_each(spark):
     assert jaccard_join.one_of_each(empty_docs(spark)).count() == 0
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+
+def test_stored_tables_leave_no_shuffles_and_can_be_dropped(spark):
+    before = shuffle_files(spark)
+    keyed = spark.range(1000).select("id", (F.col("id") % 7).alias("k")).repartition(5, "k")
+    table = shared.stored(keyed.join(keyed.groupBy("k").count(), "k"), "test-table")
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert table.count() == 1000
+    folder = Path(urlparse(table.inputFiles()[0]).path).parent
+    shared.dropped(table)
+    assert not folder.exists()
+    other = f"{shared.new_folder(spark, 'test-other')}/below"
+    spark.range(3).write.parquet(other)
+    with pytest.raises(ValueError):
+        shared.dropped(spark.read.parquet(other))
+    assert spark.read.parquet(other).count() == 3
+
+
+def test_jaccard_join_deletes_tables_that_nothing_reads(spark):
+    """Texts, prefixes and cells go once what is made of them is stored, and so do rounds of components."""
+    folder = Path(shared.shared_folder(spark))
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame(chain_rows(), "doc_id long, text string")
+    assert jaccard_join.joined(docs).count() == len(chain_rows())
+    left = [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before]
+    assert not set(left) & {"jaccard-texts", "jaccard-pairs", "region-blocks", "shingle-prefixes", "shingle-cells"}
+    assert left.count("stars") == 2
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(150)] + [(2000, 2000 + i) for i in range(50)]

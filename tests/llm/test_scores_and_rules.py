@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perkline.llm import byte_cnn, language_masks, line_rules, queries, suffix_tree
+from perkline.llm import byte_cnn, language_masks, line_rules, queries, shared, suffix_tree
 from tests.llm.helpers import LOWER, edge_docs, edge_texts, empty_docs, prose, words
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -148,6 +148,14 @@ def test_suffix_tree_scores(spark):
     assert {r["score"] for r in suffix_tree.scored(docs, F.lit(True)).collect()} == {0.0}
 
 
+def test_suffix_tree_deletes_its_tables_when_the_answers_are_stored(spark):
+    folder = Path(shared.shared_folder(spark))
+    before = set(folder.iterdir())
+    docs = spark.createDataFrame([(i, "a b c " * 20) for i in range(30)], "doc_id long, text string")
+    assert suffix_tree.scored(docs, F.lit(False)).count() == 30
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"answers"}
+
+
 def test_distributions_sum_to_one(spark):
     docs = spark.createDataFrame([(i, "a b " * 30 + "c " * (i % 3) + f"r{i}") for i in range(40)], "doc_id long, text string")
     counts, tree = suffix_tree.learned(docs)

@@ -10,7 +10,9 @@ most of what belongs together.  Where a cell then still holds several components
 
 * a small cell compares its documents across components, if the cells they share and the
   triangle inequality over the pivot allow a link;
-* a middling cell is joined block by block, with no row per pair;
+* a middling cell is joined block by block, with no row per pair: first on the lists of
+  cells, which leave the documents with a partner that could link, then on the texts of
+  those.  A pair is looked at in the first of the cells it shares only;
 * a large cell becomes Voronoi-like regions: rings of the link distance around the pivot,
   each with the next ring as its window, so that a pair within the link distance meets in
   one.  The pivot is done with, and each region is joined in the same way again;
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -195,27 +198,112 @@ def _with_distance(rows: DataFrame, tested: DataFrame) -> DataFrame:
     return keyed.join(known, ["x", "y"], "left").drop("x", "y")
 
 
+def _need(n: Column, m: Column) -> Column:
+    """Cells that two sets must share to link.
+
+    What two sets have in common and is in no common cell lies behind the prefix of one of
+    them, so it is at most the rest of the larger set.
+    """
+    larger = F.greatest(n, m)
+    return F.ceil(PERCENT * (n + m) / (100 + PERCENT) - F.lit(1e-9)) - (larger - F.floor(larger / 4) - 1)
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) across the components of a cell that sizes and distances to the pivot let link."""
-    cols = ["doc_id", "n", "component", "d"]
+    """Pairs (a, b) across the components of a cell that sizes, distances to the pivot and shared cells let link.
+
+    Cells are counted here, as each is a row: all that both have open, but for those ``over``.
+    """
+    cols = ["doc_id", "n", "component", "d", "open", "over"]
     x, y = (rows.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "xy")
+    need = _need(F.col("x_n"), F.col("y_n"))
     met = x.join(y, "cell").filter((F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & _fits(F.col("x_n"), F.col("y_n")))
-    met = met.filter(F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= REACH + 1e-9, F.lit(True)))
-    return met.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    met = met.filter(F.least("x_open", "y_open") >= need)
+    near = F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= REACH + 1e-9, F.lit(True))
+    pairs = met.groupBy(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.bool_and(near).alias("near"), F.max(need - F.least("x_over", "y_over")).alias("here"))
+    return pairs.filter(F.col("near") & (F.col("met") >= F.col("here"))).select("a", "b")
 
 
 def _plausible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Pairs whose common cells are enough for a link.
-
-    What two sets have in common and is in no common cell lies behind the prefix of one of
-    them, so it is at most the rest of the larger set.
-    """
+    """Pairs whose common cells are enough for a link."""
     own = cells.groupBy("doc_id").agg(F.collect_list("cell").alias("cells"), F.max("n").alias("n"))  # one document's prefix
     a, b = (own.select(F.col("doc_id").alias(s), F.col("cells").alias(f"{s}_cells"), F.col("n").alias(f"{s}_n")) for s in "ab")
     met = pairs.join(a, "a").join(b, "b").withColumn("met", F.size(F.array_intersect("a_cells", "b_cells")))
-    need = F.ceil(PERCENT * (F.col("a_n") + F.col("b_n")) / (100 + PERCENT) - F.lit(1e-9))
-    larger = F.greatest("a_n", "b_n")
-    return met.filter(F.col("met") >= need - (larger - F.floor(larger / 4) - 1)).select("a", "b")
+    return met.filter(F.col("met") >= _need(F.col("a_n"), F.col("b_n"))).select("a", "b")
+
+
+def _key() -> Column:
+    """Name of a cell that says its place in the order in which cells are looked at: small, middling, large."""
+    turn = F.when(F.col("rows") <= SMALL_CELL, 0).when(F.col("rows") <= RING_ROWS, 1).otherwise(2)
+    return F.col("cell") + turn.cast("long") * F.lit(1 << 48)
+
+
+def _lists(rest: DataFrame) -> DataFrame:
+    """doc_id, keys (its open cells), open (how many), over (how many of them are not small); stored."""
+    over = F.sum((F.col("rows") > SMALL_CELL).cast("int"))
+    own = rest.groupBy("doc_id").agg(F.collect_list(_key()).alias("keys"), F.count(F.lit(1)).alias("open"), over.alias("over"))  # one document's prefix
+    return shared.stored(own, "jaccard-lists")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with the block of their document, about BLOCK of them a block."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    return rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+
+
+def _shared_counts(hashes: list[np.ndarray], n: list[np.ndarray], among: np.ndarray) -> np.ndarray:
+    """How many of ``among`` (sorted) each set of one side has in common with each of the other; sets are ``n`` hashes each."""
+    common = np.zeros((len(n[0]), len(n[1])), np.float32)
+    for at in range(0, len(among), 4096):
+        part, columns = among[at : at + 4096], []
+        for values, own in zip(hashes, n):
+            spot = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[spot] == values
+            table = np.zeros((len(own), len(part)), np.float32)
+            table[np.repeat(np.arange(len(own)), own)[hit], spot[hit]] = 1
+            columns.append(table)
+        common += columns[0] @ columns[1].T
+    return common
+
+
+def _met(hashes: list[np.ndarray], same: bool) -> np.ndarray:
+    """Values that two sets may have in common, sorted: those of both sides, in one block those of two sets."""
+    if not same:
+        return np.intersect1d(*hashes)
+    values, times = np.unique(hashes[0], return_counts=True)
+    return values[times > 1]
+
+
+def _sieved(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """cell, doc_id of ``rows`` (cell, doc_id, n, component, key) with a document across components that shares enough cells for a link; stored.
+
+    Where a region is a cell (``key`` is its name in ``lists``), only pairs are looked at that share none before it.
+    """
+    columns = [F.col(c) for c in ("doc_id", "n", "component", "keys")]
+    held = _dealt(rows).join(lists.select("doc_id", "keys"), "doc_id").groupBy("cell", "block").agg(F.max("key").alias("key"), F.collect_list(F.struct(*columns)).alias("docs"))
+    held = shared.stored(held, "region-lists")  # about BLOCK documents a row
+    x, y = held.select("cell", "key", F.col("block").alias("x_block"), F.col("docs").alias("x_docs")), held.select("cell", F.col("block").alias("y_block"), F.col("docs").alias("y_docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell, key, a, b = (batch.column(c)[i].as_py() for c in ("cell", "key", "x_block", "y_block"))
+                sides = [batch.column(f"{s}_docs")[i].values for s in "xy"]
+                ids, n, component = ([side.field(c).to_numpy() for side in sides] for c in ("doc_id", "n", "component"))
+                keys = [side.field("keys").flatten().to_numpy() for side in sides]
+                sizes = [pc.list_value_length(side.field("keys")).to_numpy().astype(np.int64) for side in sides]
+                among = _met(keys, a == b)
+                before = 0 if key is None else np.searchsorted(among, key)
+                earlier = _shared_counts(keys, sizes, among[:before])
+                met = earlier + _shared_counts(keys, sizes, among[before:])
+                small, large = np.minimum(n[0][:, None], n[1][None, :]), np.maximum(n[0][:, None], n[1][None, :])
+                need = np.ceil(PERCENT * (small + large) / (100 + PERCENT) - 1e-9) - (large - large // 4 - 1)
+                ok = (met >= need) & (earlier == 0) & (100 * small >= PERCENT * large) & (component[0][:, None] != component[1][None, :])
+                some = np.unique(np.concatenate([ids[0][ok.any(1)], ids[1][ok.any(0)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cell, np.int64)), pa.array(some)], names=["cell", "doc_id"])
+
+    out = shared.stored(x.join(y, "cell").filter(F.col("x_block") <= F.col("y_block")).mapInArrow(shared.trimmed(run), "cell long, doc_id long"), "region-rows")
+    shared.dropped(held)
+    return out
 
 
 def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -223,9 +311,7 @@ def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
     A block pair gives each document's smallest one that it is connected with there.
     """
-    numbered = rows.select("cell", "doc_id").distinct()
-    sizes = numbered.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    numbered = numbered.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    numbered = _dealt(rows.select("cell", "doc_id").distinct())
     texts = _texts(docs, rows.select("doc_id").distinct())
     held = numbered.join(texts, "doc_id").groupBy("cell", "block").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("text").alias("texts"))
     held = shared.stored(held, "region-blocks")  # about BLOCK documents a row
@@ -235,19 +321,10 @@ def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sets = [shingles(pa.array(row[f"{s}_texts"], pa.string()), size) for s in "xy"]
-                n = [np.diff(at) for _, at in sets]
-                both = np.intersect1d(sets[0][0], sets[1][0])
-                common = np.zeros((len(n[0]), len(n[1])), np.float32)
-                for at in range(0, len(both), 4096):
-                    part, columns = both[at : at + 4096], []
-                    for (hashes, _), own in zip(sets, n):
-                        spot = np.minimum(np.searchsorted(part, hashes), len(part) - 1)
-                        hit = part[spot] == hashes
-                        table = np.zeros((len(own), len(part)), np.float32)
-                        table[np.repeat(np.arange(len(own)), own)[hit], spot[hit]] = 1
-                        columns.append(table)
-                    common += columns[0] @ columns[1].T
+                same = row["x_block"] == row["y_block"]
+                sets = [shingles(pa.array(row[f"{s}_texts"], pa.string()), size) for s in ("x" if same else "xy")]
+                hashes, n = ([f(own) for own in (sets * 2 if same else sets)] for f in (lambda own: own[0], lambda own: np.diff(own[1])))
+                common = _shared_counts(hashes, n, _met(hashes, same))
                 i, j = np.nonzero(100 * common >= PERCENT * (n[0][:, None] + n[1][None, :] - common))
                 nodes, at = np.unique(np.array(row["x_ids"] + row["y_ids"], np.int64), return_inverse=True)
                 least = graph.least_reached(at[i], at[len(n[0]) + j], nodes)
@@ -297,12 +374,18 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     roots = shared.stored(graph.components(_links(tested)), "jaccard-components")
 
     rest = shared.stored(_open(cells, roots), "jaccard-open")
-    pairs = _across(_with_distance(rest.filter(F.col("rows") <= SMALL_CELL).join(pivots, "cell"), tested))
-    found = distances(_plausible(pairs.join(tested, ["a", "b"], "left_anti"), cells), docs, size)
+    lists = _lists(rest)
+    near = rest.filter(F.col("rows") <= SMALL_CELL).join(lists.select("doc_id", "open", "over"), "doc_id").join(pivots, "cell")
+    pairs = _across(_with_distance(near, tested)).join(tested, ["a", "b"], "left_anti")
+    found = distances(_plausible(pairs, rest), docs, size)
     links = [_links(tested), _links(found)]
 
     # Rings are named by where they lie, so a region of many cells is joined once per cell only.
-    middling, regions = rest.filter(F.col("rows").between(SMALL_CELL + 1, RING_ROWS)), rest.filter(F.col("rows") > RING_ROWS)
+    stars = graph.components(links[0].unionByName(links[1]))
+    roots = shared.stored(stars, "jaccard-components")
+    shared.dropped(stars)
+    middling = _open(rest.filter(F.col("rows").between(SMALL_CELL + 1, RING_ROWS)), roots).withColumn("key", _key())
+    regions = rest.filter(F.col("rows") > RING_ROWS)
     blocked, before = [middling], None
     for _ in range(ROUNDS):
         regions = shared.stored(regions, "jaccard-regions")
@@ -318,16 +401,16 @@ def joined(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         roots = shared.stored(graph.components(links[0].unionByName(links[1])), "jaccard-components")
         split = shared.stored(_open(_rings(around, tested), roots), "jaccard-open")
         near = split.filter(F.col("rows") <= SMALL_CELL).withColumn("d", F.lit(None).cast("double"))
+        near = near.join(lists.select("doc_id", "open"), "doc_id").withColumn("over", F.col("open"))
         extra = _plausible(_across(near).join(tested, ["a", "b"], "left_anti"), cells)
         links[1] = links[1].unionByName(_links(distances(extra, docs, size)))
         blocked.append(split.filter(F.col("rows").between(SMALL_CELL + 1, RING_ROWS)))
         regions = split.filter(F.col("rows") > RING_ROWS)
     blocked.append(regions)
-    columns = ["cell", "doc_id"]
-    left = blocked[0].select(*columns)
+    left = blocked[0].select("cell", "doc_id", "n", "component", "key")
     for own in blocked[1:]:
-        left = left.unionByName(own.select(*columns))
-    left = shared.stored(left, "jaccard-blocks")
+        left = left.unionByName(own.select("cell", "doc_id", "n", "component", F.lit(None).cast("long").alias("key")))
+    left = _sieved(shared.stored(left, "jaccard-blocks"), lists)
     if not left.isEmpty():
         links.append(_blocks(left, docs, size))
     every = links[0]

@@ -144,6 +144,35 @@ def test_jaccard_join(spark, monkeypatch):
         assert got == want
 
 
+def test_texts_of_middling_cells_are_read_for_documents_with_a_partner_only(spark, monkeypatch):
+    """A passage that many unlike documents share moves no text; families around the limit are linked as before."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(14)]
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(40)] + passage + [f"u{i}y{k}" for k in range(40)])) for i in range(14)]
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(80 + 20 * family)]
+        for i in range(14):
+            w = [f"z{rng.randint(0, 10**9)}" if rng.random() < rng.choice([0.01, 0.04]) else x for x in base]
+            rows.append((100 + 100 * family + i, " ".join(w[: len(w) - 12 * (i % 3)])))
+    for name, value in (("SMALL_CELL", 4), ("BLOCK", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    real, moved, open_cells = shared.stored, set(), []
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "region-blocks":
+            moved.update(i for r in out.select("ids").collect() for i in r["ids"])
+        if name == "jaccard-blocks":
+            open_cells.append(out.count())
+        return out
+
+    monkeypatch.setattr(shared, "stored", watched)
+    own, sets = near(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: sets.find(i) for i, _ in own}
+    assert open_cells[0] and not moved & set(range(14))
+
+
 def test_one_of_each(spark):
     docs = edge_docs(spark)
     own, sets = near(edge_texts())

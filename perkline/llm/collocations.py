@@ -104,7 +104,7 @@ def _part_filter(frequent: DataFrame, width: int) -> np.ndarray:
         some = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some].view(np.int64))], names=["at", "bits"])
 
-    rows = frequent.select("p").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = frequent.select("p").mapInArrow(shared.trimmed(run), "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(PART_BITS // 64, np.uint64)
     table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return table
@@ -153,7 +153,10 @@ def level(cut: DataFrame, known: np.ndarray | None, parts: np.ndarray | None, n:
         held, pending = [], 0
 
         def one() -> tuple[cqf.Lanes, np.ndarray]:
-            return cqf.counted([np.concatenate(x) for x in zip(*(h[0] for h in held))], np.concatenate([h[1] for h in held]))
+            # Ranges are put together one by one, and runs go as soon as they are: none is held twice as a whole.
+            found = [(lanes, c.astype(np.uint32)) for lanes, c in cqf.ranges(held)]
+            held.clear()
+            return [np.concatenate(x) for x in zip(*(lanes for lanes, _ in found))], np.concatenate([c for _, c in found])
 
         def send(lanes: cqf.Lanes, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for f in cqf.sharded(lanes, counts, bits, shard_bits):
@@ -161,9 +164,9 @@ def level(cut: DataFrame, known: np.ndarray | None, parts: np.ndarray | None, n:
 
         for batch in batches:
             for keys, tokens in zip(batch.column(0), batch.column(1)):
-                found = cqf.counted(ngrams(keys.values.to_numpy().view(np.uint64), np.frombuffer(tokens.as_py(), np.uint32)))
-                held.append(found)
-                pending += len(found[1])
+                found, n_found = cqf.counted(ngrams(keys.values.to_numpy().view(np.uint64), np.frombuffer(tokens.as_buffer(), np.uint32)))
+                held.append((found, n_found.astype(np.uint32)))
+                pending += len(n_found)
                 if pending > PENDING:
                     held = [one()]
                     if len(held[0][1]) > HELD:
@@ -174,31 +177,30 @@ def level(cut: DataFrame, known: np.ndarray | None, parts: np.ndarray | None, n:
             yield from send(*one())
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pending = [], 0
+        held: list[cqf.Filter] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            own = cqf.merged(held)
-            often = own.counts >= least
-            ids = cqf.unpack(turn.back([lane[often] for lane in own.lanes]), width, n)
-            flat = pa.array(np.stack(ids, 1).reshape(-1).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([lists, pa.array(own.counts[often])], names=["p", "a"])
+            # A shard's filters stay as they came; of their sum there is one range at a time, and its frequent phrases.
+            for lanes, counts in cqf.ranges([(f.lanes, f.counts) for f in held]):
+                often = counts >= least
+                ids = cqf.unpack(turn.back([lane[often] for lane in lanes]), width, n)
+                flat = pa.array(np.stack(ids, 1).reshape(-1).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([lists, pa.array(counts[often])], names=["p", "a"])
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            for i in range(batch.num_rows):
+                row = tuple(c[i].as_py() for c in batch.columns)
                 if held and held[0].shard != row[0]:
                     yield from done()
-                    held, pending = [], 0
+                    held = []
                 held.append(cqf.Filter.of(row, bits, shard_bits))
-                pending += row[1]
-                if pending > PENDING and len(held) > 1:
-                    held, pending = [cqf.merged(held)], 0
         if held:
             yield from done()
 
-    filters = cut.select("vocabulary.key", "tokens").mapInArrow(fill, cqf.FIELDS)
+    filters = cut.select("vocabulary.key", "tokens").mapInArrow(shared.trimmed(fill), cqf.FIELDS)
     spread = filters.repartition(shared.partitions_for(spark, min(1 << shard_bits, 1 << 12)), "shard").sortWithinPartitions("shard")
-    return shared.stored(spread.mapInArrow(join, "p array<long>, a long"), "phrase-level")
+    return shared.stored(spread.mapInArrow(shared.trimmed(join), "p array<long>, a long"), "phrase-level")
 
 
 def _with_ids(frequent: DataFrame, known: np.ndarray | None) -> DataFrame:
@@ -212,7 +214,7 @@ def _with_ids(frequent: DataFrame, known: np.ndarray | None) -> DataFrame:
             at = np.searchsorted(sent.value, batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["key", "lang", "word", "n", "id"])
 
-    return frequent.mapInArrow(run, "key long, lang string, word string, n long, id long")
+    return frequent.mapInArrow(shared.trimmed(run), "key long, lang string, word string, n long, id long")
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:

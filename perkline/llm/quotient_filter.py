@@ -11,6 +11,7 @@ filters of one shard merge in sorted order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ import numpy as np
 _ODD = 0xD6E8FEB86659FD93
 #: Entries of one filter that share a quotient, on average.
 RUN = 2
+#: Entries that are sorted at once where runs are put together.
+RANGE = 1 << 18
 Lanes = list[np.ndarray]
 FIELDS = "shard int, entries int, quotient int, runs binary, remainders binary, counts binary"
 
@@ -135,13 +138,26 @@ class Filter:
         if room > quotient:
             first = first << np.uint64(room - quotient)
         lanes[0] = lanes[0] | first | top
-        return cls(shard, lanes, _wide(counts, entries)[0].astype(np.int64))
+        size = counts[0]
+        return cls(shard, lanes, np.frombuffer(counts, f"<u{size}", entries, 1))
+
+
+def ranges(runs: list[tuple[Lanes, np.ndarray]]) -> Iterator[tuple[Lanes, np.ndarray]]:
+    """Sorted runs (keys, counts) as one, range by range of the first lane with about ``RANGE`` entries: only a range is held twice."""
+    total = sum(len(c) for _, c in runs)
+    longest = max((lanes[0] for lanes, _ in runs), key=len)
+    parts = max(1, -(-total // RANGE))
+    bounds = longest[np.arange(1, parts) * len(longest) // parts] if len(longest) else longest
+    cuts = [np.concatenate([[0], np.searchsorted(lanes[0], bounds), [len(c)]]).astype(np.int64) for lanes, c in runs]
+    for i in range(len(bounds) + 1):
+        own = [([lane[at[i] : at[i + 1]] for lane in lanes], c[at[i] : at[i + 1]].astype(np.int64)) for (lanes, c), at in zip(runs, cuts)]
+        yield counted([np.concatenate(x) for x in zip(*(lanes for lanes, _ in own))], np.concatenate([c for _, c in own]))
 
 
 def merged(filters: list[Filter]) -> Filter:
     """Filters of one shard as one."""
-    lanes = [np.concatenate(x) for x in zip(*(f.lanes for f in filters))]
-    return Filter(filters[0].shard, *counted(lanes, np.concatenate([f.counts for f in filters])))
+    found = list(ranges([(f.lanes, f.counts) for f in filters]))
+    return Filter(filters[0].shard, [np.concatenate(x) for x in zip(*(lanes for lanes, _ in found))], np.concatenate([c for _, c in found]))
 
 
 def sharded(lanes: Lanes, counts: np.ndarray, bits: int, shard_bits: int) -> list[Filter]:

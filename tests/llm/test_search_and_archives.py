@@ -7,6 +7,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
@@ -110,6 +111,26 @@ def test_filters_lose_nothing(width, n, shard_bits, seed):
     assert got == want
 
 
+def test_filters_are_put_together_in_little_memory():
+    """Beside the runs there is one range at a time and what has been made of them; it was four times the runs."""
+    rng = np.random.default_rng(3)
+    runs = [quotient_filter.counted([rng.integers(0, 1 << 60, 1 << 18, np.uint64), rng.integers(0, 1 << 40, 1 << 18, np.uint64)]) for _ in range(8)]
+    filters = [quotient_filter.Filter(0, *run) for run in runs]
+    size = sum(x.nbytes for lanes, counts in runs for x in [*lanes, counts])
+    tracemalloc.start()
+    try:
+        own = quotient_filter.merged(filters)
+        assert tracemalloc.get_traced_memory()[1] < 2.6 * size
+        want = quotient_filter.counted([np.concatenate(x) for x in zip(*(f.lanes for f in filters))], np.concatenate([f.counts for f in filters]))
+        assert all((a == b).all() for a, b in zip([*own.lanes, own.counts], [*want[0], want[1]]))
+        del own, want
+        tracemalloc.reset_peak()
+        assert sum(len(counts) for _, counts in quotient_filter.ranges(runs)) >= max(len(c) for _, c in runs)
+        assert tracemalloc.get_traced_memory()[1] < size
+    finally:
+        tracemalloc.stop()
+
+
 def test_filters_are_small():
     """A dense filter takes far less than the packed n-grams and counts themselves."""
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 26, 1 << 20, np.uint64))

@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(shared.trimmed(run), schema)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("copy")).mapInArrow(shared.trimmed(run, encodes=True), schema)
 
 
 def patterns(counts: np.ndarray, capacity: int) -> np.ndarray:

@@ -206,3 +206,10 @@ def test_arrow_texts_are_encoded_by_their_different_pieces(library, monkeypatch)
     monkeypatch.setattr(own, "kept", Kept(own.kept))
     assert tokens.encode_all(BYTES, column) == [library(t) for t in texts]
     assert looked_up and len(looked_up) == len({*looked_up})
+
+
+def test_workers_let_go_of_pieces_when_they_go_on_to_other_work(library):
+    tokens.encode_all(BYTES, ["some words to keep"])
+    assert list(shared.trimmed(iter, encodes=True)(iter([]))) == [] and tokens._encoder.cache_info().currsize == 1
+    assert list(shared.trimmed(iter)(iter([]))) == [] and tokens._encoder.cache_info().currsize == 0
+    assert tokens.encode_all(BYTES, ["some words to keep"]) == [library("some words to keep")]
